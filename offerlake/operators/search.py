@@ -304,7 +304,7 @@ def headline(doc_text: Column, terms: Column, max_words: int = 100, min_words: i
         F.concat(F.lit(tx.START_SEL), w, F.lit(tx.STOP_SEL))).otherwise(w))
     hits = F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))),
                     lambda i: F.startswith(F.element_at(marked, i), F.lit(tx.START_SEL)))
-    start = F.coalesce(F.element_at(hits, 1), F.lit(1))
+    start = F.coalesce(F.try_element_at(hits, F.lit(1)), F.lit(1))
     n = F.when(F.size(hits) > 0, F.lit(max_words)).otherwise(F.lit(min_words))
     return F.array_join(F.slice(marked, start, n), " ")
 

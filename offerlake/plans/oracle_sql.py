@@ -239,17 +239,19 @@ ORACLE["score_map"] = f"""{RRF_CTES}
 _SEARCH_TEXT = "concat_ws(' ', d.title, d.text, d.source)"
 _MATCHED = f"list_filter({tokens(_SEARCH_TEXT)}, lambda x: list_contains(q.terms, x) AND length(x) > 2)"
 
-ORACLE["search_results"] = f"""{RRF_CTES}
-    SELECT t.cv_id, t.rank, CAST(t.job_id AS VARCHAR) AS job_id,
+ORACLE["search_results"] = f"""{RRF_CTES},
+    res AS (SELECT t.*, d.title, d.source, d.lang, {_MATCHED} AS matched
+        FROM top t JOIN docs d ON d.job_id = t.job_id JOIN qn2 q ON q.cv_id = t.cv_id)
+    SELECT cv_id, rank, CAST(job_id AS VARCHAR) AS job_id,
         round(least(1.0::DOUBLE, greatest(0.0::DOUBLE,
-            0.0::DOUBLE + (1.0::DOUBLE - 0.0::DOUBLE) * (t.combined_score - 0.0::DOUBLE) / ({SCORE_MAX!r}::DOUBLE - 0.0::DOUBLE))), 2)
+            0.0::DOUBLE + (1.0::DOUBLE - 0.0::DOUBLE) * (combined_score - 0.0::DOUBLE) / ({SCORE_MAX!r}::DOUBLE - 0.0::DOUBLE))), 2)
             AS similarity_score,
-        round(t.embedding_score, 4) AS embedding_score, round(t.fts_score, 4) AS fts_score,
-        round(t.combined_score, 4) AS combined_score,
-        coalesce(d.title, '') AS intitule, coalesce(d.source, '') AS entreprise, coalesce(d.lang, '') AS lieu,
+        round(embedding_score, 4) AS embedding_score, round(fts_score, 4) AS fts_score,
+        round(combined_score, 4) AS combined_score,
+        coalesce(title, '') AS intitule, coalesce(source, '') AS entreprise, coalesce(lang, '') AS lieu,
         '' AS type_contrat, '' AS date_creation,
-        list_slice({ordered_distinct(_MATCHED)}, 1, 10) AS matching_terms
-    FROM top t JOIN docs d ON d.job_id = t.job_id JOIN qn2 q ON q.cv_id = t.cv_id"""
+        list_slice({ordered_distinct('matched')}, 1, 10) AS matching_terms
+    FROM res"""
 
 _MARKED = "regexp_replace(text, '([^.\\n<>]+)', '<b>\\1</b>', 'g')"
 
@@ -261,7 +263,8 @@ def strip_punct(x: str) -> str:
 _KW_CLEAN = f"array_to_string(list_filter({split_ws(strip_punct('m'))}, lambda w: length(w) > 2), ' ')"
 _KW_TERMS = (f"list_filter(list_transform(regexp_extract_all({_MARKED}, '<b>([^<]+)</b>', 1), lambda m: {_KW_CLEAN}), "
              "lambda t: t <> '')")
-ORACLE["matching_terms"] = f"""SELECT doc_id, list_slice({ordered_distinct(_KW_TERMS)}, 1, 10) AS keywords FROM documents"""
+ORACLE["matching_terms"] = f"""WITH kw AS (SELECT doc_id, {_KW_TERMS} AS kw FROM documents)
+    SELECT doc_id, list_slice({ordered_distinct('kw')}, 1, 10) AS keywords FROM kw"""
 
 ORACLE["link_classify"] = f"""{STATUS_CTES}
     SELECT job_id, status, status IN ('200', 'timeout', 'error', 'exception') AS alive FROM status"""
