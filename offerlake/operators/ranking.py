@@ -18,11 +18,27 @@ from pyspark.sql import functions as F
 
 from offerlake.session import checkpoint_dir
 
+# Groups up to this many rows are ranked by a plain window (one task sorts the group); larger or
+# unknown groups take the range-partitioned path.
+WINDOW_GROUP_ROWS = 5_000_000
+
 
 def rank_within(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "rank",
-                partitions: int | None = None) -> DataFrame:
+                partitions: int | None = None, max_group_rows: int | None = None,
+                window_limit: int = WINDOW_GROUP_ROWS) -> DataFrame:
     """Add ``name`` = row_number over (partition by ``by`` order by ``order``); ``order`` must be total
-    (end it with a unique column) for the result to be deterministic."""
+    (end it with a unique column) for the result to be deterministic.
+
+    ``max_group_rows`` is a proven bound on the largest group (e.g. the corpus size when ranking the
+    corpus per CV). When it is known and small, a window is used; otherwise the range-partitioned rank.
+    """
+    if by and max_group_rows is not None and max_group_rows <= window_limit:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
+    return _range_rank(df, by, order, name, partitions)
+
+
+def _range_rank(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str,
+                partitions: int | None) -> DataFrame:
     spark = df.sparkSession
     checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -59,6 +59,7 @@ class SearchConfig:
     metric: str = "l2"  # or "cosine"
     max_query_terms: int | None = None  # the reference keeps 1000
     broadcast_rows: int = 2_000_000  # size check for shipping CV lexemes / vectors
+    window_group_rows: int = 5_000_000  # per-CV corpus size up to which ranks use a window
     keep_symbols: bool = False
 
     @property
@@ -232,7 +233,7 @@ def _rounded(c: str) -> Column:
     return F.round(F.col(c), SCORE_DIGITS)
 
 
-def fuse(pairs: DataFrame, cfg: SearchConfig, key: str = "job_id") -> DataFrame:
+def fuse(pairs: DataFrame, cfg: SearchConfig, key: str = "job_id", corpus_rows: int | None = None) -> DataFrame:
     """Top K per CV by Reciprocal Rank Fusion over ``pairs(cv_id, key, embedding_score, fts_score, title_score)``.
 
     Scores are rounded to 9 places before ranking so last-bit differences cannot swap ranks; ties are
@@ -240,9 +241,9 @@ def fuse(pairs: DataFrame, cfg: SearchConfig, key: str = "job_id") -> DataFrame:
     """
     p = pairs.select("cv_id", key, _rounded("embedding_score").alias("embedding_score"),
                      _rounded("fts_score").alias("fts_score"), _rounded("title_score").alias("title_score"))
-    p = rank_within(p, ["cv_id"], [F.col("embedding_score").desc_nulls_last(), F.col(key).asc()], "embed_rank")
-    p = rank_within(p, ["cv_id"], [F.col("fts_score").desc_nulls_last(), F.col(key).asc()], "fts_rank")
-    p = rank_within(p, ["cv_id"], [F.col("title_score").desc_nulls_last(), F.col(key).asc()], "title_rank")
+    for score, rank in (("embedding_score", "embed_rank"), ("fts_score", "fts_rank"), ("title_score", "title_rank")):
+        p = rank_within(p, ["cv_id"], [F.col(score).desc_nulls_last(), F.col(key).asc()], rank,
+                        max_group_rows=corpus_rows, window_limit=cfg.window_group_rows)
     m = cfg.candidate_depth
     cand = p.filter(F.least("embed_rank", "fts_rank", "title_rank") <= m)
     we, wf, wt = cfg.weights
@@ -281,7 +282,9 @@ def rrf_search(corpus: DataFrame, index: DataFrame, cvs: DataFrame, cfg: SearchC
     title_rank)`` - the top K offers per CV. ``corpus`` has ``key`` and ``embedding``; ``cvs`` has
     ``cv_id``, ``cv_text`` and ``cv_embedding``."""
     cfg = cfg or SearchConfig()
-    return fuse(score_pairs(corpus, index, cvs, cfg, key), cfg, key)
+    # The corpus size bounds every per-CV group; it decides how the three ranks are computed.
+    corpus_rows = corpus.filter(F.col("embedding").isNotNull()).count()
+    return fuse(score_pairs(corpus, index, cvs, cfg, key), cfg, key, corpus_rows)
 
 
 # ----------------------------------------------------------------------------------------------
@@ -296,17 +299,19 @@ def matching_terms(doc_text: Column, terms: Column, limit: int = 10) -> Column:
 
 
 def headline(doc_text: Column, terms: Column, max_words: int = 100, min_words: int = 50) -> Column:
-    """Snippet with matched words marked ``<b>..</b>``: words of the text (split on spaces), starting at
-    the first matched word, at most ``max_words``; without a match the first ``min_words`` words."""
+    """Snippet with matched words marked ``<b>..</b>``: words of the text (split on whitespace), starting
+    at the first matched word, at most ``max_words``; without a match the first ``min_words`` words.
+
+    Linear in the text: one flag per word, ``zip_with`` to mark, ``array_position`` for the start (an outer
+    array referenced inside a lambda would be re-evaluated per element).
+    """
     words = F.split(F.regexp_replace(doc_text, f"[{tx.WS}]+", " "), " ")
-    marked = F.transform(words, lambda w: F.when(
-        F.exists(tx.tokens(w), lambda t: F.array_contains(terms, t)),
-        F.concat(F.lit(tx.START_SEL), w, F.lit(tx.STOP_SEL))).otherwise(w))
-    hits = F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))),
-                    lambda i: F.startswith(F.element_at(marked, i), F.lit(tx.START_SEL)))
-    start = F.coalesce(F.try_element_at(hits, F.lit(1)), F.lit(1))
-    n = F.when(F.size(hits) > 0, F.lit(max_words)).otherwise(F.lit(min_words))
-    return F.array_join(F.slice(marked, start, n), " ")
+    flags = F.transform(words, lambda w: F.exists(tx.tokens(w), lambda t: F.array_contains(terms, t)))
+    marked = F.zip_with(words, flags, lambda w, f: F.when(f, F.concat(F.lit(tx.START_SEL), w, F.lit(tx.STOP_SEL))).otherwise(w))
+    pos = F.array_position(flags, True)
+    start = F.when(pos > 0, pos).otherwise(F.lit(1))
+    n = F.when(pos > 0, F.lit(max_words)).otherwise(F.lit(min_words))
+    return F.array_join(F.slice(marked, start.cast("int"), n), " ")
 
 
 def result_rows(top: DataFrame, offers: DataFrame, queries: DataFrame, cfg: SearchConfig, key: str = "job_id",

@@ -261,7 +261,7 @@ def vector_topk(spark, sf):
     cfg = search.SearchConfig()
     s = search.vector_scores(e, cvs(spark, sf), cfg).withColumn("score", F.round("embedding_score", 9))
     ranked = rank_within(s.select("cv_id", "job_id", "score"), ["cv_id"],
-                         [F.col("score").desc(), F.col("job_id").asc()], "rank")
+                         [F.col("score").desc(), F.col("job_id").asc()], "rank", max_group_rows=e.count())
     return ranked.filter(F.col("rank") <= cfg.top_k)
 
 
