@@ -84,8 +84,10 @@ class SearchConfig:
 
 def build_index(offers: DataFrame, key: str = "job_id", fields: Sequence[tuple[str, str]] = (
         ("title", "A"), ("description", "B"), ("skills", "C")), title_col: str = "title") -> DataFrame:
-    """Posting rows ``(key, lexeme, n_a, n_b, n_c, title_len)``: occurrences of the lexeme per field label
-    and the number of title words. Fields missing from ``offers`` are skipped."""
+    """Posting rows ``(key, lexeme, n_a, n_b, n_c, title_len, w_f, w_t)``: occurrences of the lexeme per
+    field label, the number of title words, and the lexeme's text and title weights under the default
+    field weights (query-independent, so computed once here instead of once per query hit).
+    Fields missing from ``offers`` are skipped."""
     present = [(c, lab) for c, lab in fields if c in offers.columns]
     per_field = [
         offers.select(F.col(key), F.explode(tx.tokens(F.col(c))).alias("lexeme"), F.lit(lab).alias("label"))
@@ -100,7 +102,10 @@ def build_index(offers: DataFrame, key: str = "job_id", fields: Sequence[tuple[s
     title_len = offers.select(key, F.size(tx.tokens(F.col(title_col))).alias("title_len")) if title_col in offers.columns \
         else offers.select(key, F.lit(0).alias("title_len"))
     # The per-offer title length rides along the postings: one narrow join on the offer key.
-    return counts.join(title_len, key).select(key, "lexeme", "n_a", "n_b", "n_c", "title_len")
+    return counts.join(title_len, key).select(
+        key, "lexeme", "n_a", "n_b", "n_c", "title_len",
+        lexeme_weight(F.col("n_a"), F.col("n_b"), F.col("n_c"), FTS_WEIGHTS).alias("w_f"),
+        title_weight(F.col("n_a"), DEFAULT_WEIGHT_D).alias("w_t"))
 
 
 def _h2(n: Column) -> Column:
@@ -147,11 +152,10 @@ def text_scores(index: DataFrame, queries: DataFrame, cfg: SearchConfig, key: st
     n_terms_rows = queries.select(F.sum("n_terms")).first()[0] or 0
     q_terms = _maybe_broadcast(q_terms, n_terms_rows, cfg.broadcast_rows)
     hits = index.join(q_terms, "lexeme")
-    per = hits.select(
-        "cv_id", key, "n_terms", "title_len",
-        lexeme_weight(F.col("n_a"), F.col("n_b"), F.col("n_c"), cfg.field_weights).alias("w_f"),
-        title_weight(F.col("n_a"), cfg.title_weight_d).alias("w_t"),
-    )
+    stored = dict(cfg.field_weights) == FTS_WEIGHTS and cfg.title_weight_d == DEFAULT_WEIGHT_D and "w_f" in index.columns
+    w_f = F.col("w_f") if stored else lexeme_weight(F.col("n_a"), F.col("n_b"), F.col("n_c"), cfg.field_weights)
+    w_t = F.col("w_t") if stored else title_weight(F.col("n_a"), cfg.title_weight_d)
+    per = hits.select("cv_id", key, "n_terms", "title_len", w_f.alias("w_f"), w_t.alias("w_t"))
     return per.groupBy("cv_id", key).agg(
         (F.sum("w_f") / F.first("n_terms")).alias("fts_score"),
         F.when(F.first("title_len") > 0, F.sum("w_t") / F.first("n_terms") / F.first("title_len"))
@@ -261,7 +265,8 @@ def score_pairs(corpus: DataFrame, index: DataFrame, cvs: DataFrame, cfg: Search
     """Every (cv, offer) pair with its three scores; offers without a text hit score 0."""
     queries = cv_lexemes(cvs, cfg)
     vec = vector_scores(corpus, cvs, cfg, key)
-    txt = text_scores(index, queries, cfg, key)
+    # Only offers of the corpus can be ranked: drop other postings before the term join.
+    txt = text_scores(index.join(corpus.select(key), key, "left_semi"), queries, cfg, key)
     both = (vec.select("cv_id", key, "embedding_score", F.lit(None).cast("double").alias("fts_score"),
                        F.lit(None).cast("double").alias("title_score"))
             .unionByName(txt.select("cv_id", key, F.lit(None).cast("double").alias("embedding_score"),

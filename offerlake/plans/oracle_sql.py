@@ -79,7 +79,8 @@ idx_c AS (SELECT job_id, lexeme,
     CAST(count(*) FILTER (WHERE label = 'A') AS INTEGER) AS n_a,
     CAST(count(*) FILTER (WHERE label = 'B') AS INTEGER) AS n_b,
     CAST(count(*) FILTER (WHERE label = 'C') AS INTEGER) AS n_c FROM idx_w GROUP BY job_id, lexeme),
-idx AS (SELECT c.job_id, c.lexeme, c.n_a, c.n_b, c.n_c, CAST(len({tokens('d.title')}) AS INTEGER) AS title_len
+idx AS (SELECT c.job_id, c.lexeme, c.n_a, c.n_b, c.n_c, CAST(len({tokens('d.title')}) AS INTEGER) AS title_len,
+    {lexeme_weight('c.n_a', 'c.n_b', 'c.n_c')} AS w_f, {title_weight('c.n_a')} AS w_t
     FROM idx_c c JOIN docs d ON d.job_id = c.job_id)"""
 
 CVS = """cvq AS (SELECT b.item_id AS cv_id, b.text AS cv_text, e.embedding AS q
@@ -91,8 +92,7 @@ def text_score_ctes(cv_src: str, cv_id: str, cv_text: str) -> str:
 qn AS (SELECT cv_id, list_distinct(flatten(list_transform(terms, lambda t: {tokens('t')}))) AS terms FROM qterms),
 qn2 AS (SELECT cv_id, terms, len(terms) AS n_terms FROM qn),
 qt AS (SELECT cv_id, n_terms, unnest(terms) AS lexeme FROM qn2),
-hits AS (SELECT qt.cv_id, idx.job_id, qt.n_terms, idx.title_len,
-    {lexeme_weight('idx.n_a', 'idx.n_b', 'idx.n_c')} AS w_f, {title_weight('idx.n_a')} AS w_t
+hits AS (SELECT qt.cv_id, idx.job_id, qt.n_terms, idx.title_len, idx.w_f, idx.w_t
     FROM qt JOIN idx ON idx.lexeme = qt.lexeme),
 ts AS (SELECT cv_id, job_id, sum(w_f) / any_value(n_terms) AS fts_score,
     CASE WHEN any_value(title_len) > 0 THEN sum(w_t) / any_value(n_terms) / any_value(title_len) ELSE 0.0 END AS title_score
@@ -219,7 +219,8 @@ ORACLE["global_rank"] = """SELECT l_orderkey, l_linenumber,
 ORACLE["fts_clean"] = f"""WITH {fts_terms_ctes('documents', 'doc_id', 'text', 'c')}
     SELECT cv_id AS doc_id, array_to_string(terms, ' ') AS cleaned FROM c"""
 
-ORACLE["fts_index"] = f"WITH {DOCS}, {INDEX} SELECT * FROM idx"
+ORACLE["fts_index"] = f"""WITH {DOCS}, {INDEX} SELECT job_id, lexeme, n_a, n_b, n_c, title_len,
+    round(w_f, 9) AS w_f, round(w_t, 9) AS w_t FROM idx"""
 
 ORACLE["fts_rank"] = f"""WITH {DOCS}, {INDEX}, {text_score_ctes('benchmark', 'item_id', 'text')}
     SELECT cv_id, job_id, round(fts_score, 9) AS fts_score FROM ts"""

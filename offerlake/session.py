@@ -63,5 +63,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str):
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def spread(df):
+    """Round-robin the rows over the cluster's cores when the scan yields fewer partitions than cores.
+
+    A table stored as one large row group is read by a single task; CPU-heavy per-row work (regular
+    expressions over whole texts) would then run on one core. On a cluster reading many files the scan
+    already has more partitions than cores and this is a no-op, so no shuffle is added there.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = False):
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if spread_rows else df
