@@ -304,19 +304,21 @@ def matching_terms(doc_text: Column, terms: Column, limit: int = 10) -> Column:
 
 
 def headline(doc_text: Column, terms: Column, max_words: int = 100, min_words: int = 50) -> Column:
-    """Snippet with matched words marked ``<b>..</b>``: words of the text (split on whitespace), starting
-    at the first matched word, at most ``max_words``; without a match the first ``min_words`` words.
+    """Snippet with matched words marked ``<b>..</b>``: the text's words (split on whitespace) from the first
+    marked word on, at most ``max_words``; without a match the first ``min_words`` words.
 
-    Linear in the text: one flag per word, ``zip_with`` to mark, ``array_position`` for the start (an outer
-    array referenced inside a lambda would be re-evaluated per element).
+    Matches are marked by one regular-expression pass per row built from the CV's lexemes (whole words,
+    case-insensitive), so the cost is linear in the text rather than words x terms.
     """
-    words = F.split(F.regexp_replace(doc_text, f"[{tx.WS}]+", " "), " ")
-    flags = F.transform(words, lambda w: F.exists(tx.tokens(w), lambda t: F.array_contains(terms, t)))
-    marked = F.zip_with(words, flags, lambda w, f: F.when(f, F.concat(F.lit(tx.START_SEL), w, F.lit(tx.STOP_SEL))).otherwise(w))
-    pos = F.array_position(flags, True)
+    alternatives = F.array_join(terms, "|")
+    pattern = F.concat(F.lit(f"(?iu)(?<![{tx.WORD}])("), alternatives, F.lit(f")(?![{tx.WORD}])"))
+    marked = F.when(F.size(terms) > 0, F.regexp_replace(doc_text, pattern, F.lit(f"{tx.START_SEL}$1{tx.STOP_SEL}"))) \
+        .otherwise(doc_text)
+    words = F.split(F.regexp_replace(marked, f"[{tx.WS}]+", " "), " ")
+    pos = F.array_position(F.transform(words, lambda w: F.contains(w, F.lit(tx.START_SEL))), True)
     start = F.when(pos > 0, pos).otherwise(F.lit(1))
     n = F.when(pos > 0, F.lit(max_words)).otherwise(F.lit(min_words))
-    return F.array_join(F.slice(marked, start.cast("int"), n), " ")
+    return F.array_join(F.slice(words, start.cast("int"), n), " ")
 
 
 def result_rows(top: DataFrame, offers: DataFrame, queries: DataFrame, cfg: SearchConfig, key: str = "job_id",

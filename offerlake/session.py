@@ -70,10 +70,12 @@ def spread(df):
     expressions over whole texts) would then run on one core. On a cluster reading many files the scan
     already has more partitions than cores and this is a no-op, so no shuffle is added there.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. a Connect session without RDD access: leave the scan as it is
+        return df
+    return df.repartition(cores) if parts < cores else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = False):

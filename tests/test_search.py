@@ -134,7 +134,7 @@ def test_matching_terms_and_headline(spark):
     r = df.select(search.matching_terms(F.col("t"), F.col("terms")).alias("m"),
                   search.headline(F.col("t"), F.col("terms")).alias("h")).first()
     assert r.m == ["python", "fastapi", "gcp"]
-    assert r.h.startswith("<b>Python,</b>") and "<b>FastAPI</b>" in r.h
+    assert r.h.startswith("<b>Python</b>,") and "<b>FastAPI</b>" in r.h and "<b>Développeur" not in r.h
 
 
 def test_vector_scores_exact(spark):
