@@ -21,6 +21,8 @@ from offerlake.session import checkpoint_dir
 # Groups up to this many rows are ranked by a plain window (one task sorts the group); larger or
 # unknown groups take the range-partitioned path.
 WINDOW_GROUP_ROWS = 5_000_000
+# The per-slice offset table is broadcast only up to this many rows (checked), else joined normally.
+BROADCAST_OFFSET_ROWS = 1_000_000
 
 
 def rank_within(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "rank",
@@ -50,7 +52,9 @@ def _range_rank(df: DataFrame, by: Sequence[str], order: Sequence[Column], name:
     slices = positioned.groupBy("_pid", *by).agg(F.min("_pos").alias("_first"), F.count("*").alias("_n"))
     earlier = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.select("_pid", *by, "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    out = positioned.join(F.broadcast(slices), ["_pid", *by])
+    # (slices + groups) rows: tiny for a few CVs or a global rank, but many groups make it large.
+    n_slices = slices.count()
+    out = positioned.join(F.broadcast(slices) if n_slices <= BROADCAST_OFFSET_ROWS else slices, ["_pid", *by])
     return out.select(*df.columns, (F.col("_pos") - F.col("_first") + F.col("_before") + 1).alias(name))
 
 

@@ -29,7 +29,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,20 +89,21 @@ def build_index(offers: DataFrame, key: str = "job_id", fields: Sequence[tuple[s
     field weights (query-independent, so computed once here instead of once per query hit).
     Fields missing from ``offers`` are skipped."""
     present = [(c, lab) for c, lab in fields if c in offers.columns]
+    title_len = F.size(tx.tokens(F.col(title_col))) if title_col in offers.columns else F.lit(0)
+    # The title length rides along every exploded word (it depends on the offer only), so no join back.
     per_field = [
-        offers.select(F.col(key), F.explode(tx.tokens(F.col(c))).alias("lexeme"), F.lit(lab).alias("label"))
+        offers.select(F.col(key), title_len.alias("title_len"), F.explode(tx.tokens(F.col(c))).alias("lexeme"),
+                      F.lit(lab).alias("label"))
         for c, lab in present
     ]
     words = per_field[0]
     for part in per_field[1:]:
         words = words.unionByName(part)
     counts = words.groupBy(key, "lexeme").agg(
-        *[F.count_if(F.col("label") == lab).cast("int").alias(f"n_{lab.lower()}") for lab in "ABC"]
+        *[F.count_if(F.col("label") == lab).cast("int").alias(f"n_{lab.lower()}") for lab in "ABC"],
+        F.max("title_len").alias("title_len"),
     )
-    title_len = offers.select(key, F.size(tx.tokens(F.col(title_col))).alias("title_len")) if title_col in offers.columns \
-        else offers.select(key, F.lit(0).alias("title_len"))
-    # The per-offer title length rides along the postings: one narrow join on the offer key.
-    return counts.join(title_len, key).select(
+    return counts.select(
         key, "lexeme", "n_a", "n_b", "n_c", "title_len",
         lexeme_weight(F.col("n_a"), F.col("n_b"), F.col("n_c"), FTS_WEIGHTS).alias("w_f"),
         title_weight(F.col("n_a"), DEFAULT_WEIGHT_D).alias("w_t"))
@@ -261,8 +262,13 @@ def fuse(pairs: DataFrame, cfg: SearchConfig, key: str = "job_id", corpus_rows:
     return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= cfg.top_k)
 
 
-def score_pairs(corpus: DataFrame, index: DataFrame, cvs: DataFrame, cfg: SearchConfig, key: str = "job_id") -> DataFrame:
-    """Every (cv, offer) pair with its three scores; offers without a text hit score 0."""
+def score_pairs(corpus: DataFrame, index: DataFrame, cvs: DataFrame, cfg: SearchConfig, key: str = "job_id",
+                cluster_by_cv: bool = False) -> DataFrame:
+    """Every (cv, offer) pair with its three scores; offers without a text hit score 0.
+
+    ``cluster_by_cv`` hash-partitions the pairs on ``cv_id`` before they are combined, so that the
+    combine and the per-CV rank windows that follow share that one shuffle (used when a CV's group is
+    known to be small enough for a window)."""
     queries = cv_lexemes(cvs, cfg)
     vec = vector_scores(corpus, cvs, cfg, key)
     # Only offers of the corpus can be ranked: drop other postings before the term join.
@@ -271,6 +277,8 @@ def score_pairs(corpus: DataFrame, index: DataFrame, cvs: DataFrame, cfg: Search
                        F.lit(None).cast("double").alias("title_score"))
             .unionByName(txt.select("cv_id", key, F.lit(None).cast("double").alias("embedding_score"),
                                     "fts_score", "title_score")))
+    if cluster_by_cv:
+        both = both.repartition("cv_id")
     # Offers reached only through the text index but lacking a vector are not in the corpus.
     agg = both.groupBy("cv_id", key).agg(F.max("embedding_score").alias("embedding_score"),
                                         F.max("fts_score").alias("fts_score"),
@@ -289,7 +297,8 @@ def rrf_search(corpus: DataFrame, index: DataFrame, cvs: DataFrame, cfg: SearchC
     cfg = cfg or SearchConfig()
     # The corpus size bounds every per-CV group; it decides how the three ranks are computed.
     corpus_rows = corpus.filter(F.col("embedding").isNotNull()).count()
-    return fuse(score_pairs(corpus, index, cvs, cfg, key), cfg, key, corpus_rows)
+    windowed = corpus_rows <= cfg.window_group_rows
+    return fuse(score_pairs(corpus, index, cvs, cfg, key, cluster_by_cv=windowed), cfg, key, corpus_rows)
 
 
 # ----------------------------------------------------------------------------------------------
@@ -340,3 +349,21 @@ def result_rows(top: DataFrame, offers: DataFrame, queries: DataFrame, cfg: Sear
           for c in ("intitule", "entreprise", "lieu", "type_contrat", "date_creation")],
         matching_terms(F.col(text_col), F.col("terms")).alias("matching_terms"),
     )
+
+
+# Result contract: non-null display strings, similarity within [0, 1], a list of matched terms.
+RESULT_FIELDS = ("job_id", "intitule", "entreprise", "lieu", "type_contrat", "date_creation")
+
+
+def check_results(results: DataFrame, name: str = "result_contract") -> tuple[DataFrame, Observation]:
+    """Attach contract counters to ``results``; they fill in when the rows are produced (no extra job)."""
+    obs = Observation(name)
+    checked = results.observe(
+        obs,
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if((F.col("similarity_score") < 0) | (F.col("similarity_score") > 1)).alias("score_out_of_range"),
+        F.count_if(F.greatest(*[F.col(c).isNull() for c in RESULT_FIELDS])).alias("null_fields"),
+        F.count_if(F.col("matching_terms").isNull()).alias("null_terms"),
+        F.count_if(F.col("fts_score") > 0).alias("text_hits"),
+    )
+    return checked, obs

@@ -474,7 +474,7 @@ def gold_build(spark, sf):
 
 
 @query
-def pipeline_end_to_end(spark, sf):
+def batch_end_to_end(spark, sf):
     silver, gold, ex_s, ex_g = jobs.run_batch(_bronze_pages(spark, sf), None, None, AS_OF, dim=64)
     return ex_g
 

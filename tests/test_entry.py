@@ -43,7 +43,7 @@ def test_entry_smoke(spark):
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     rows_only = set(entry.queries()) - set(entry.oracle_sql())
-    assert rows_only == {"gold_build", "pipeline_end_to_end", "headline"}
+    assert rows_only == {"gold_build", "batch_end_to_end", "headline"}
 
 
 @pytest.mark.parametrize("key", ORACLE_KEYS)

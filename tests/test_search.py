@@ -142,3 +142,11 @@ def test_vector_scores_exact(spark):
     cvs = spark.createDataFrame([(10, "x", [1.0, 0.0])], "cv_id long, cv_text string, cv_embedding array<float>")
     got = {r.job_id: r.embedding_score for r in search.vector_scores(vecs, cvs, search.SearchConfig()).collect()}
     assert got == {1: pytest.approx(1.0), 2: pytest.approx(1 - math.sqrt(2))}
+
+
+def test_result_contract_counters(spark, sf_small):
+    res = catalog.QUERIES["search_results"](spark, sf_small)
+    checked, obs = search.check_results(res)
+    n = checked.count()
+    m = obs.get
+    assert m["rows"] == n and m["score_out_of_range"] == 0 and m["null_fields"] == 0 and m["null_terms"] == 0
