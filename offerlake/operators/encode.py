@@ -16,6 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from offerlake.session import ship_by_value
+
+# The functions of this module that run in Python workers travel with the task (no install on executors).
+ship_by_value(__name__)
+
 _ENCODERS: dict = {}
 
 

@@ -36,6 +36,11 @@ from pyspark.sql import types as T
 from offerlake.functions import text as tx
 from offerlake.operators.ranking import rank_within
 
+from offerlake.session import ship_by_value
+
+# The functions of this module that run in Python workers travel with the task (no install on executors).
+ship_by_value(__name__)
+
 # Fixed values of the ranking, as in the reference.
 TOP_K = 100
 RRF_K = 60

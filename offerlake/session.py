@@ -35,6 +35,19 @@ def local_session(cpus: int | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+def ship_by_value(module_name: str) -> None:
+    """Pickle the functions of ``module_name`` by value when they are sent to Python workers, so a
+    ``mapInPandas`` stage runs on executors that do not have this package installed."""
+    import sys
+
+    try:
+        from pyspark import cloudpickle
+
+        cloudpickle.register_pickle_by_value(sys.modules[module_name])
+    except (ImportError, AttributeError, KeyError, ValueError):
+        pass
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
