@@ -115,8 +115,10 @@ def load_serving(silver_batch: DataFrame, gold_batch: DataFrame, served_silver:
     return silver_after, gold_after
 
 
-def lake_report(silver: DataFrame, gold: DataFrame, as_of: str, days: int = 14, top: int = 10) -> dict[str, DataFrame]:
-    """The five lake queries: total, top contract types, top sectors, per day (last ``days``), gold keys."""
+def lake_report(silver: DataFrame, gold: DataFrame, as_of: str, days: int = 14, top: int = 10,
+                approx_distinct: bool = False) -> dict[str, DataFrame]:
+    """The five lake queries: total, top contract types, top sectors, per day (last ``days``), gold keys
+    (exact distinct count, or a HyperLogLog estimate with ``approx_distinct``)."""
     def top_groups(col: str) -> DataFrame:
         return (silver.groupBy(col).agg(F.count("*").cast("long").alias("cnt"))
                 .orderBy(F.col("cnt").desc(), F.col(col).asc_nulls_last()).limit(top))
@@ -128,7 +130,8 @@ def lake_report(silver: DataFrame, gold: DataFrame, as_of: str, days: int = 14,
         "sectors": top_groups("secteurActiviteLibelle"),
         "per_day": (silver.filter(F.col("ingestion_date") >= cutoff).groupBy("ingestion_date")
                     .agg(F.count("*").cast("long").alias("cnt")).orderBy(F.col("ingestion_date").desc())),
-        "gold_keys": gold.agg(F.count_distinct("job_id").cast("long").alias("jobs_with_embeddings")),
+        "gold_keys": gold.agg((F.approx_count_distinct("job_id") if approx_distinct else F.count_distinct("job_id"))
+                              .cast("long").alias("jobs_with_embeddings")),
     }
 
 
