@@ -150,3 +150,35 @@ def test_result_contract_counters(spark, sf_small):
     n = checked.count()
     m = obs.get
     assert m["rows"] == n and m["score_out_of_range"] == 0 and m["null_fields"] == 0 and m["null_terms"] == 0
+
+
+def test_search_edge_cases(spark):
+    offers = spark.createDataFrame([(1, "python dev", "python", ""), (2, "java", "go", ""), (3, "x", "y", "")],
+                                   "job_id long, title string, description string, skills string")
+    vecs = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.5, 0.5])], "job_id long, embedding array<float>")
+    idx = search.build_index(offers)
+    cfg = search.SearchConfig(top_k=2)
+    cvs = spark.createDataFrame([(1, "", [1.0, 0.0]), (2, "de la", [0.0, 1.0]), (3, "Python", [0.0, 0.0])],
+                                "cv_id long, cv_text string, cv_embedding array<float>")
+    out = {(r.cv_id, r.rank): r.job_id for r in search.rrf_search(vecs, idx, cvs, cfg).collect()}
+    assert len(out) == 6
+    # No text hit: every title score is 0, so the title rank (weight 3) goes by key and offer 1 wins even
+    # where the vector prefers offer 2 - equal scores still get unequal rank shares, as in the reference.
+    assert out[(1, 1)] == 1 and out[(2, 1)] == 1 and out[(2, 2)] == 2
+    assert out[(3, 1)] == 1  # text and title hit for 'python'
+    empty = search.rrf_search(vecs, idx, cvs.limit(0), cfg)
+    assert empty.count() == 0
+
+
+def test_vector_scores_in_slices_equal_one_slice(spark, sf_small):
+    corpus, cvs = catalog.corpus(spark, sf_small), catalog.cvs(spark, sf_small)
+    one = search.vector_scores(corpus, cvs, search.SearchConfig())
+    sliced = search.vector_scores(corpus, cvs, search.SearchConfig(broadcast_rows=64 * 7))
+    assert sorted(tuple(r) for r in one.collect()) == sorted(tuple(r) for r in sliced.collect())
+
+
+def test_cosine_metric(spark):
+    vecs = spark.createDataFrame([(1, [2.0, 0.0]), (2, [1.0, 1.0])], "job_id long, embedding array<float>")
+    cvs = spark.createDataFrame([(10, "x", [3.0, 0.0])], "cv_id long, cv_text string, cv_embedding array<float>")
+    got = {r.job_id: r.embedding_score for r in search.vector_scores(vecs, cvs, search.SearchConfig(metric="cosine")).collect()}
+    assert got[1] == pytest.approx(1.0) and got[2] == pytest.approx(math.sqrt(0.5))
