@@ -173,36 +173,52 @@ def text_scores(index: DataFrame, queries: DataFrame, cfg: SearchConfig, key: st
 # vector scores
 
 
-def _vector_block_fn(cv_ids: np.ndarray, cv_mat: np.ndarray, key: str, metric: str, chunk: int = 32):
+def _score_matrix(mat: np.ndarray, cv_mat: np.ndarray, metric: str, chunk: int = 32) -> np.ndarray:
+    """(offers x CVs) scores: ``1 - L2`` from exact element-wise differences, or cosine."""
     if metric == "cosine":
-        norms = np.linalg.norm(cv_mat, axis=1, keepdims=True)
-        cv_unit = cv_mat / np.where(norms == 0, 1.0, norms)
+        n = np.linalg.norm(mat, axis=1, keepdims=True)
+        c = np.linalg.norm(cv_mat, axis=1, keepdims=True)
+        return (mat / np.where(n == 0, 1.0, n)) @ (cv_mat / np.where(c == 0, 1.0, c)).T
+    out = np.empty((mat.shape[0], cv_mat.shape[0]))
+    for s in range(0, cv_mat.shape[0], chunk):
+        diff = mat[:, None, :] - cv_mat[None, s:s + chunk, :]
+        out[:, s:s + chunk] = 1.0 - np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
+    return out
+
+
+def _batch_matrix(pdf: pd.DataFrame) -> np.ndarray:
+    return np.stack([np.asarray(v, dtype=np.float64) for v in pdf["embedding"].to_numpy()])
 
+
+def _vector_block_fn(cv_ids: np.ndarray, cv_mat: np.ndarray, key: str, metric: str):
     def score(batches):
         for pdf in batches:
             if pdf.empty:
                 continue
             ids = pdf[key].to_numpy()
-            mat = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["embedding"].to_numpy()])
-            outs = []
-            for s in range(0, len(cv_ids), chunk):
-                block = cv_mat[s:s + chunk]
-                if metric == "cosine":
-                    n = np.linalg.norm(mat, axis=1, keepdims=True)
-                    sc = (mat / np.where(n == 0, 1.0, n)) @ cv_unit[s:s + chunk].T
-                else:
-                    diff = mat[:, None, :] - block[None, :, :]
-                    sc = 1.0 - np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
-                outs.append(pd.DataFrame({
-                    "cv_id": np.repeat(cv_ids[s:s + chunk][None, :], len(ids), axis=0).ravel(),
-                    key: np.repeat(ids, block.shape[0]),
-                    "embedding_score": sc.ravel(),
-                }))
-            yield pd.concat(outs, ignore_index=True)
+            sc = _score_matrix(_batch_matrix(pdf), cv_mat, metric)
+            yield pd.DataFrame({"cv_id": np.tile(cv_ids, len(ids)), key: np.repeat(ids, len(cv_ids)),
+                                "embedding_score": sc.ravel()})
 
     return score
 
 
+def _cv_slices(cvs: DataFrame, cfg: SearchConfig, cv_vector_col: str):
+    """The CV matrix in slices of at most ``cfg.broadcast_rows`` values (size checked first)."""
+    stats = cvs.select(F.count("*").alias("n"), F.max(F.size(cv_vector_col)).alias("d")).first()
+    n_cv, dim = int(stats["n"] or 0), int(stats["d"] or 0)
+    per_slice = max(1, min(max(n_cv, 1), cfg.broadcast_rows // max(dim, 1)))
+    ordered = cvs.filter(F.col(cv_vector_col).isNotNull()).select(F.col("cv_id").cast("long"), cv_vector_col)
+    out = []
+    for start in range(0, n_cv, per_slice):
+        rows = ordered.orderBy("cv_id").offset(start).limit(per_slice).collect()  # bounded by the check
+        if not rows:
+            break
+        out.append((np.array([r[0] for r in rows], dtype=np.int64),
+                    np.array([list(r[1]) for r in rows], dtype=np.float64)))
+    return out
+
+
 def vector_scores(vectors: DataFrame, cvs: DataFrame, cfg: SearchConfig, key: str = "job_id",
                   cv_vector_col: str = "cv_embedding") -> DataFrame:
     """``(cv_id, key, embedding_score)`` for every CV and every offer: ``1 - L2`` (or cosine).
@@ -213,28 +229,80 @@ def vector_scores(vectors: DataFrame, cvs: DataFrame, cfg: SearchConfig, key: st
     key_type = vectors.schema[key].dataType
     schema = T.StructType([T.StructField("cv_id", T.LongType()), T.StructField(key, key_type),
                            T.StructField("embedding_score", T.DoubleType())])
-    stats = cvs.select(F.count("*").alias("n"), F.max(F.size(cv_vector_col)).alias("d")).first()
-    n_cv, dim = int(stats["n"] or 0), int(stats["d"] or 0)
     vecs = vectors.filter(F.col("embedding").isNotNull()).select(key, "embedding")
-    if n_cv == 0:
+    parts = [vecs.mapInPandas(_vector_block_fn(ids, mat, key, cfg.metric), schema)
+             for ids, mat in _cv_slices(cvs, cfg, cv_vector_col)]
+    if not parts:
         return vecs.sparkSession.createDataFrame([], schema)
-    per_slice = max(1, min(n_cv, cfg.broadcast_rows // max(dim, 1)))
-    ordered = cvs.filter(F.col(cv_vector_col).isNotNull()).select(F.col("cv_id").cast("long"), cv_vector_col)
-    parts = []
-    for start in range(0, n_cv, per_slice):
-        # bounded by per_slice * dim values (checked above)
-        rows = ordered.orderBy("cv_id").offset(start).limit(per_slice).collect()
-        if not rows:
-            break
-        ids = np.array([r[0] for r in rows], dtype=np.int64)
-        mat = np.array([list(r[1]) for r in rows], dtype=np.float64)
-        parts.append(vecs.mapInPandas(_vector_block_fn(ids, mat, key, cfg.metric), schema))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def round_half_up(x: np.ndarray, digits: int = SCORE_DIGITS) -> np.ndarray:
+    """Spark's ``round`` in NumPy: half-up on the shortest decimal text of each double. ``np.round`` is
+    half-even on the binary product, so values close to a half are redone with ``decimal``."""
+    from decimal import ROUND_HALF_UP, Decimal
+
+    scaled = x * (10.0 ** digits)
+    out = np.round(scaled) / (10.0 ** digits)
+    frac = np.abs(scaled - np.floor(scaled) - 0.5)
+    near = np.nonzero(np.isfinite(x) & (frac < 1e-6))[0]
+    q = Decimal(1).scaleb(-digits)
+    for i in near:
+        out[i] = float(Decimal(repr(float(x[i]))).quantize(q, rounding=ROUND_HALF_UP))
+    return out
+
+
+def _topk_block_fn(cv_ids: np.ndarray, cv_mat: np.ndarray, key: str, metric: str, k: int):
+    def topk(batches):
+        best_ids: list = [None] * len(cv_ids)
+        best_sc: list = [None] * len(cv_ids)
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            ids = pdf[key].to_numpy()
+            sc = _score_matrix(_batch_matrix(pdf), cv_mat, metric)
+            sc = round_half_up(sc.ravel()).reshape(sc.shape)
+            for j in range(len(cv_ids)):
+                cand_ids = ids if best_ids[j] is None else np.concatenate([best_ids[j], ids])
+                cand_sc = sc[:, j] if best_sc[j] is None else np.concatenate([best_sc[j], sc[:, j]])
+                keep = np.lexsort((cand_ids, -cand_sc))[:k]  # score descending, key ascending
+                best_ids[j], best_sc[j] = cand_ids[keep], cand_sc[keep]
+        if best_ids[0] is not None:
+            yield pd.DataFrame({"cv_id": np.concatenate([np.full(len(b), c) for c, b in zip(cv_ids, best_ids)]),
+                                key: np.concatenate(best_ids), "embedding_score": np.concatenate(best_sc)})
+
+    return topk
+
+
+def vector_topk(vectors: DataFrame, cvs: DataFrame, cfg: SearchConfig, key: str = "job_id",
+                cv_vector_col: str = "cv_embedding") -> DataFrame:
+    """Exact k nearest offers per CV (``cfg.top_k``) by ``1 - L2`` (or cosine), scores rounded to 9 places,
+    ties by key: ``(cv_id, key, score, rank)``.
+
+    Each partition keeps a running top k per CV while it scores its offers, so only partitions x CVs x k
+    rows leave the Python stage (not CVs x offers); a window over at most partitions x k rows per CV
+    then picks the global top k.
+    """
+    key_type = vectors.schema[key].dataType
+    schema = T.StructType([T.StructField("cv_id", T.LongType()), T.StructField(key, key_type),
+                           T.StructField("embedding_score", T.DoubleType())])
+    vecs = vectors.filter(F.col("embedding").isNotNull()).select(key, "embedding")
+    parts = [vecs.mapInPandas(_topk_block_fn(ids, mat, key, cfg.metric, cfg.top_k), schema)
+             for ids, mat in _cv_slices(cvs, cfg, cv_vector_col)]
+    if not parts:
+        return vecs.sparkSession.createDataFrame([], schema).select(
+            "cv_id", key, F.col("embedding_score").alias("score"), F.lit(0).cast("long").alias("rank"))
+    local = parts[0]
+    for p in parts[1:]:
+        local = local.unionByName(p)
+    w = Window.partitionBy("cv_id").orderBy(F.col("embedding_score").desc(), F.col(key).asc())
+    ranked = local.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= cfg.top_k)
+    return ranked.select("cv_id", key, F.col("embedding_score").alias("score"), "rank")
+
+
 # ----------------------------------------------------------------------------------------------
 # fusion
 

@@ -277,11 +277,7 @@ def vector_parse(spark, sf):
 @query
 def vector_topk(spark, sf):
     e = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("job_id"), "embedding")
-    cfg = search.SearchConfig()
-    s = search.vector_scores(e, cvs(spark, sf), cfg).withColumn("score", F.round("embedding_score", 9))
-    ranked = rank_within(s.select("cv_id", "job_id", "score"), ["cv_id"],
-                         [F.col("score").desc(), F.col("job_id").asc()], "rank", max_group_rows=e.count())
-    return ranked.filter(F.col("rank") <= cfg.top_k)
+    return search.vector_topk(e, cvs(spark, sf), search.SearchConfig())
 
 
 @query

@@ -182,3 +182,25 @@ def test_cosine_metric(spark):
     cvs = spark.createDataFrame([(10, "x", [3.0, 0.0])], "cv_id long, cv_text string, cv_embedding array<float>")
     got = {r.job_id: r.embedding_score for r in search.vector_scores(vecs, cvs, search.SearchConfig(metric="cosine")).collect()}
     assert got[1] == pytest.approx(1.0) and got[2] == pytest.approx(math.sqrt(0.5))
+
+
+def test_round_half_up_matches_spark(spark):
+    import numpy as np
+
+    vals = [0.1234567895, 0.0000000005, 2.675, -0.1234567895, 0.987654321123, 1.0, -0.5000000005]
+    got = search.round_half_up(np.array(vals))
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    want = [r[0] for r in df.select(F.round("x", 9)).collect()]
+    assert list(got) == want
+
+
+def test_vector_topk_equals_full_ranking(spark, sf_small):
+    e = spark.read.parquet(f"{sf_small}/embeddings.parquet").select(F.col("vec_id").alias("job_id"), "embedding")
+    cvs = catalog.cvs(spark, sf_small)
+    cfg = search.SearchConfig(top_k=7)
+    fast = {(r.cv_id, r.rank): (r.job_id, r.score) for r in search.vector_topk(e.repartition(5), cvs, cfg).collect()}
+    full = search.vector_scores(e, cvs, cfg).withColumn("score", F.round("embedding_score", 9))
+    w = Window.partitionBy("cv_id").orderBy(F.col("score").desc(), F.col("job_id").asc())
+    ref = {(r.cv_id, r.rank): (r.job_id, r.score)
+           for r in full.withColumn("rank", F.row_number().over(w)).filter("rank <= 7").collect()}
+    assert fast == ref and len(fast) == cvs.count() * 7
