@@ -1,0 +1,208 @@
+"""Exact RRF top K for large CV batches without one row per (CV, offer).
+
+``search.rrf_search`` materialises every (CV, offer) score and ranks the three lists in full. When
+CVs x offers is large, this module keeps the same answer while moving far less data:
+
+1. candidates: an offer can reach the top K only if it is within the first M of some list
+   (``SearchConfig.candidate_depth``). The first M of the vector list come from a running top M per
+   partition; the first M of the text and title lists are the positive hits ranked, followed, when a
+   CV has fewer than M hits, by the zero-score offers in key order (they all lie among the first 2M
+   offers of the corpus in key order);
+2. exact ranks for the candidates only:
+   * vector list: the candidates' own scores, then one counting pass over the corpus against the
+     broadcast candidate keys (partitions x CVs x candidates counts leave the Python stage);
+   * text and title lists: a positive hit's rank is its rank among the hits; a zero-score offer's rank
+     is (number of hits) + (its position among zero-score offers in key order), the latter being its
+     position in the corpus key order minus the hits before it;
+3. fusion and top K over at most 3M candidates per CV.
+"""
+
+from __future__ import annotations
+
+from dataclasses import replace
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from offerlake.operators.ranking import rank_within
+from offerlake.operators.search import (
+    SCORE_DIGITS, SearchConfig, _batch_matrix, _cv_slices, _score_matrix, cv_lexemes, round_half_up,
+    text_scores, vector_topk,
+)
+from offerlake.session import checkpoint_dir, ship_by_value
+
+ship_by_value(__name__)
+
+
+def _candidate_scores_fn(cv_ids, cv_mat, key, metric, wanted: dict):
+    """Scores of the (CV, offer) candidate pairs only."""
+    col_of = {int(c): j for j, c in enumerate(cv_ids)}
+
+    def run(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            ids = pdf[key].to_numpy()
+            sc = _score_matrix(_batch_matrix(pdf), cv_mat, metric)
+            sc = round_half_up(sc.ravel()).reshape(sc.shape)
+            out_cv, out_id, out_s = [], [], []
+            for i, job in enumerate(ids):
+                for cv in wanted.get(job, ()):
+                    j = col_of.get(cv)
+                    if j is not None:
+                        out_cv.append(cv)
+                        out_id.append(job)
+                        out_s.append(sc[i, j])
+            if out_cv:
+                yield pd.DataFrame({"cv_id": np.array(out_cv, dtype=np.int64), key: np.array(out_id),
+                                    "embedding_score": np.array(out_s, dtype=np.float64)})
+
+    return run
+
+
+def _count_before_fn(cv_ids, cv_mat, key, metric, cand: dict):
+    """Per candidate (CV, offer): number of offers of this partition ahead of it in the vector order
+    (score descending, key ascending)."""
+    cols = [(j, int(c)) for j, c in enumerate(cv_ids) if int(c) in cand]
+
+    def run(batches):
+        acc = {c: np.zeros(len(cand[c][0]), dtype=np.int64) for _, c in cols}
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            ids = pdf[key].to_numpy()
+            sc = _score_matrix(_batch_matrix(pdf), cv_mat, metric)
+            sc = round_half_up(sc.ravel()).reshape(sc.shape)
+            for j, c in cols:
+                keys, scores = cand[c]
+                col = sc[:, j]
+                order = np.sort(col)
+                hi = np.searchsorted(order, scores, side="right")
+                lo = np.searchsorted(order, scores, side="left")
+                acc[c] += len(col) - hi
+                for t in np.nonzero(hi > lo)[0]:  # equal scores: keys before the candidate's key
+                    acc[c][t] += int(np.sum((col == scores[t]) & (ids < keys[t])))
+        rows = [pd.DataFrame({"cv_id": np.full(len(cand[c][0]), c, dtype=np.int64), key: cand[c][0], "before": acc[c]})
+                for _, c in cols]
+        if rows:
+            yield pd.concat(rows, ignore_index=True)
+
+    return run
+
+
+def _list_candidates(pos: DataFrame, score: str, cvs_ids: DataFrame, first_keys: list, m: int, n_corpus: int,
+                     key: str) -> DataFrame:
+    """First M of a sparse list per CV: ``(cv_id, key, rank)``; positives by score, then zeros by key."""
+    ranked = rank_within(pos, ["cv_id"], [F.col(score).desc(), F.col(key).asc()], "r", max_group_rows=n_corpus)
+    top_pos = ranked.filter(F.col("r") <= m).select("cv_id", key, "r")
+    n_pos = pos.groupBy("cv_id").agg(F.count("*").alias("n_pos"))
+    short = cvs_ids.join(n_pos, "cv_id", "left").fillna(0, ["n_pos"]).filter(F.col("n_pos") < m)
+    if not first_keys:
+        return top_pos
+    # the zero-score offers among the first 2M of the key order (a bounded, literal list)
+    zeros = short.select("cv_id", "n_pos", F.explode(F.array(*[F.lit(k) for k in first_keys])).alias(key))
+    zeros = zeros.join(pos.select("cv_id", key), ["cv_id", key], "left_anti")
+    w = Window.partitionBy("cv_id").orderBy(F.col(key).asc())
+    zeros = zeros.withColumn("r", F.col("n_pos") + F.row_number().over(w)).filter(F.col("r") <= m)
+    return top_pos.unionByName(zeros.select("cv_id", key, "r"))
+
+
+def _zero_ranks(cands: DataFrame, pos: DataFrame, ordered: DataFrame, n_pos: DataFrame, n_corpus: int,
+                key: str) -> DataFrame:
+    """Rank of candidates with a zero score in a sparse list:
+    n_pos + 1 + (offers before it in key order) - (positive hits before it in key order)."""
+    zc = cands.join(pos.select("cv_id", key), ["cv_id", key], "left_anti")
+    both = (pos.select("cv_id", key, F.lit(0).alias("tag"))
+            .unionByName(zc.select("cv_id", key, F.lit(1).alias("tag"))))
+    placed = rank_within(both, ["cv_id"], [F.col(key).asc(), F.col("tag").asc()], "p", max_group_rows=n_corpus)
+    placed = placed.filter(F.col("tag") == 1)
+    w = Window.partitionBy("cv_id").orderBy(F.col(key).asc())
+    placed = placed.withColumn("zeros_before", F.row_number().over(w) - 1)
+    hits_before = F.col("p") - 1 - F.col("zeros_before")
+    return (placed.join(ordered, key).join(n_pos, "cv_id", "left").fillna(0, ["n_pos"])
+            .select("cv_id", key, (F.col("n_pos") + F.col("ord") - hits_before).alias("r")))
+
+
+def rrf_search_candidates(corpus: DataFrame, index: DataFrame, cvs: DataFrame, cfg: SearchConfig | None = None,
+                          key: str = "job_id") -> DataFrame:
+    """Same result as ``search.rrf_search`` (top K per CV with scores and the three ranks)."""
+    cfg = cfg or SearchConfig()
+    checkpoint_dir(corpus.sparkSession)
+    m = cfg.candidate_depth
+    corpus = corpus.filter(F.col("embedding").isNotNull()).select(key, "embedding")
+    n_corpus = corpus.count()
+    cv_ids = cvs.select(F.col("cv_id").cast("long").alias("cv_id"))
+
+    # text hits (sparse), scores rounded as in the dense path
+    queries = cv_lexemes(cvs, cfg)
+    hits = text_scores(index.join(corpus.select(key), key, "left_semi"), queries, cfg, key).select(
+        "cv_id", key, F.round("fts_score", SCORE_DIGITS).alias("fts_score"),
+        F.round("title_score", SCORE_DIGITS).alias("title_score")).checkpoint(eager=True)
+    pos_f = hits.filter(F.col("fts_score") > 0)
+    pos_t = hits.filter(F.col("title_score") > 0)
+
+    # corpus key order (1-based), and the first 2M keys as a bounded literal list
+    ordered = rank_within(corpus.select(key), [], [F.col(key).asc()], "ord")
+    first_keys = [r[0] for r in ordered.filter(F.col("ord") < 2 * m).orderBy("ord").select(key).collect()]
+
+    # candidates
+    e_top = vector_topk(corpus, cvs, replace(cfg, top_k=m), key).select(
+        "cv_id", key, F.col("score").alias("embedding_score"), F.col("rank").alias("embed_rank"))
+    f_top = _list_candidates(pos_f, "fts_score", cv_ids, first_keys, m, n_corpus, key)
+    t_top = _list_candidates(pos_t, "title_score", cv_ids, first_keys, m, n_corpus, key)
+    cands = (e_top.select("cv_id", key).unionByName(f_top.select("cv_id", key))
+             .unionByName(t_top.select("cv_id", key)).distinct()).checkpoint(eager=True)
+
+    # vector rank of every candidate: own score, then offers ahead of it over the whole corpus
+    pairs = cands.collect()  # at most 3M per CV (bounded by the candidate depth)
+    wanted: dict = {}
+    for r in pairs:
+        wanted.setdefault(r[key], []).append(int(r["cv_id"]))
+    cand_keys = corpus.join(cands.select(key).distinct(), key, "left_semi")
+    score_schema = T.StructType([T.StructField("cv_id", T.LongType()), T.StructField(key, corpus.schema[key].dataType),
+                                 T.StructField("embedding_score", T.DoubleType())])
+    slices = _cv_slices(cvs, cfg, "cv_embedding")
+    own = None
+    for ids, mat in slices:
+        part = cand_keys.mapInPandas(_candidate_scores_fn(ids, mat, key, cfg.metric, wanted), score_schema)
+        own = part if own is None else own.unionByName(part)
+    own = own.checkpoint(eager=True)
+    by_cv: dict = {}
+    for r in own.collect():  # one row per candidate pair (bounded as above)
+        by_cv.setdefault(int(r["cv_id"]), []).append((r[key], r["embedding_score"]))
+    cand_arr = {c: (np.array([k for k, _ in v]), np.array([s for _, s in v], dtype=np.float64)) for c, v in by_cv.items()}
+    count_schema = T.StructType([T.StructField("cv_id", T.LongType()), T.StructField(key, corpus.schema[key].dataType),
+                                 T.StructField("before", T.LongType())])
+    counts = None
+    for ids, mat in slices:
+        part = corpus.mapInPandas(_count_before_fn(ids, mat, key, cfg.metric, cand_arr), count_schema)
+        counts = part if counts is None else counts.unionByName(part)
+    r_e = counts.groupBy("cv_id", key).agg((F.sum("before") + 1).alias("embed_rank"))
+
+    # text and title ranks of every candidate
+    def list_ranks(pos: DataFrame, score: str, name: str) -> DataFrame:
+        ranked = rank_within(pos, ["cv_id"], [F.col(score).desc(), F.col(key).asc()], "r", max_group_rows=n_corpus)
+        pos_r = ranked.join(cands, ["cv_id", key], "left_semi").select("cv_id", key, "r")
+        n_pos = pos.groupBy("cv_id").agg(F.count("*").alias("n_pos"))
+        zero_r = _zero_ranks(cands, pos, ordered, n_pos, n_corpus, key)
+        return pos_r.unionByName(zero_r).withColumnRenamed("r", name)
+
+    r_f = list_ranks(pos_f, "fts_score", "fts_rank")
+    r_t = list_ranks(pos_t, "title_score", "title_rank")
+
+    full = (cands.join(own, ["cv_id", key]).join(r_e, ["cv_id", key]).join(r_f, ["cv_id", key])
+            .join(r_t, ["cv_id", key]).join(hits, ["cv_id", key], "left")
+            .fillna(0.0, ["fts_score", "title_score"]))
+    we, wf, wt = cfg.weights
+    k = float(cfg.rrf_k)
+    full = full.withColumn(
+        "combined_score",
+        F.lit(we) / (F.lit(k) + F.col("embed_rank")) + F.lit(wf) / (F.lit(k) + F.col("fts_rank"))
+        + F.lit(wt) / (F.lit(k) + F.col("title_rank")))
+    w = Window.partitionBy("cv_id").orderBy(F.col("combined_score").desc(), F.col(key).asc())
+    top = full.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= cfg.top_k)
+    return top.select("cv_id", key, "embedding_score", "fts_score", "title_score", "embed_rank", "fts_rank",
+                      "title_rank", "combined_score", "rank")

@@ -65,6 +65,7 @@ class SearchConfig:
     max_query_terms: int | None = None  # the reference keeps 1000
     broadcast_rows: int = 2_000_000  # size check for shipping CV lexemes / vectors
     window_group_rows: int = 5_000_000  # per-CV corpus size up to which ranks use a window
+    dense_pairs: int = 50_000_000  # CVs x offers above which only candidates are ranked (rrf_candidates)
     keep_symbols: bool = False
 
     @property
@@ -370,6 +371,10 @@ def rrf_search(corpus: DataFrame, index: DataFrame, cvs: DataFrame, cfg: SearchC
     cfg = cfg or SearchConfig()
     # The corpus size bounds every per-CV group; it decides how the three ranks are computed.
     corpus_rows = corpus.filter(F.col("embedding").isNotNull()).count()
+    if corpus_rows * cvs.count() > cfg.dense_pairs:
+        from offerlake.operators.rrf_candidates import rrf_search_candidates
+
+        return rrf_search_candidates(corpus, index, cvs, cfg, key)
     windowed = corpus_rows <= cfg.window_group_rows
     return fuse(score_pairs(corpus, index, cvs, cfg, key, cluster_by_cv=windowed), cfg, key, corpus_rows)
 

@@ -1,0 +1,28 @@
+import pytest
+
+from offerlake.operators import search
+from offerlake.operators.rrf_candidates import rrf_search_candidates
+from offerlake.plans import catalog
+
+COLS = ["cv_id", "rank", "job_id", "embedding_score", "fts_score", "title_score", "embed_rank", "fts_rank",
+        "title_rank", "combined_score"]
+
+
+def _rows(df):
+    return sorted(tuple(r[c] for c in COLS) for r in df.collect())
+
+
+@pytest.mark.parametrize("sf, top_k", [("/root/testdata/sf0.001", 5), ("/root/testdata/sf0.001", 100),
+                                       ("/root/testdata/sf0.01", 100)])
+def test_candidate_path_equals_dense_path(spark, sf, top_k):
+    cfg = search.SearchConfig(top_k=top_k)
+    corpus, idx, cvs = catalog.corpus(spark, sf), catalog.index(spark, sf), catalog.cvs(spark, sf)
+    dense = search.rrf_search(corpus, idx, cvs, cfg)
+    sparse = rrf_search_candidates(corpus, idx, cvs, cfg)
+    assert _rows(sparse) == _rows(dense)
+
+
+def test_threshold_selects_candidate_path(spark, sf_small):
+    cfg = search.SearchConfig(top_k=5, dense_pairs=0)
+    corpus, idx, cvs = catalog.corpus(spark, sf_small), catalog.index(spark, sf_small), catalog.cvs(spark, sf_small)
+    assert _rows(search.rrf_search(corpus, idx, cvs, cfg)) == _rows(search.rrf_search(corpus, idx, cvs, search.SearchConfig(top_k=5)))
