@@ -66,6 +66,7 @@ class SearchConfig:
     broadcast_rows: int = 2_000_000  # size check for shipping CV lexemes / vectors
     window_group_rows: int = 5_000_000  # per-CV corpus size up to which ranks use a window
     dense_pairs: int = 50_000_000  # CVs x offers above which only candidates are ranked (rrf_candidates)
+    index_buckets: int = 64  # lexeme hash buckets of an index stored with write_index
     keep_symbols: bool = False
 
     @property
@@ -115,6 +116,19 @@ def build_index(offers: DataFrame, key: str = "job_id", fields: Sequence[tuple[s
         title_weight(F.col("n_a"), DEFAULT_WEIGHT_D).alias("w_t"))
 
 
+def lexeme_bucket(lexeme: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(lexeme), F.lit(buckets)).cast("int")
+
+
+def write_index(index: DataFrame, path: str, buckets: int = SearchConfig.index_buckets) -> None:
+    """Store the posting index partitioned by a hash bucket of the lexeme and sorted by lexeme inside
+    each file, so a search reads only the buckets of its own lexemes (partition pruning) and Parquet
+    min/max statistics narrow the row groups further."""
+    (index.withColumn("bucket", lexeme_bucket(F.col("lexeme"), buckets))
+     .repartition(buckets, "bucket").sortWithinPartitions("lexeme")
+     .write.partitionBy("bucket").parquet(path))
+
+
 def _h2(n: Column) -> Column:
     """Σ_{j=1..n} 1/j² (0 for n = 0)."""
     return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0.0),
@@ -157,6 +171,11 @@ def text_scores(index: DataFrame, queries: DataFrame, cfg: SearchConfig, key: st
     """Sparse ``(cv_id, key, fts_score, title_score)`` for offers sharing at least one lexeme with the CV."""
     q_terms = queries.select("cv_id", "n_terms", F.explode("terms").alias("lexeme"))
     n_terms_rows = queries.select(F.sum("n_terms")).first()[0] or 0
+    if "bucket" in index.columns:
+        # A bucketed index: read only the buckets holding the CV lexemes (at most `buckets` values).
+        b = lexeme_bucket(F.col("lexeme"), cfg.index_buckets).alias("b")
+        wanted = [r[0] for r in q_terms.select(b).distinct().collect()]
+        index = index.filter(F.col("bucket").isin(wanted)).drop("bucket")
     q_terms = _maybe_broadcast(q_terms, n_terms_rows, cfg.broadcast_rows)
     hits = index.join(q_terms, "lexeme")
     stored = dict(cfg.field_weights) == FTS_WEIGHTS and cfg.title_weight_d == DEFAULT_WEIGHT_D and "w_f" in index.columns

@@ -77,7 +77,7 @@ def index(spark: SparkSession, sf: str) -> DataFrame:
     path = _INDEX_TABLES.get(tag)
     if path is None:
         path = scratch_path(spark, "postings")
-        search.build_index(offers(spark, sf)).write.parquet(path)
+        search.write_index(search.build_index(offers(spark, sf)), path, search.SearchConfig().index_buckets)
         _INDEX_TABLES[tag] = path
     return spark.read.parquet(path)
 

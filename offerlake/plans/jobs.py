@@ -139,3 +139,11 @@ def observe_run(df: DataFrame, key: str, name: str = "run") -> tuple[DataFrame,
     """Attach run counters (rows, null keys) that fill in when ``df`` is written - one pass, no extra job."""
     obs = Observation(name)
     return df.observe(obs, F.count(F.lit(1)).alias("rows"), F.count_if(F.col(key).isNull()).alias("null_keys")), obs
+
+
+def write_jdbc(df: DataFrame, url: str, table: str, properties: dict | None = None, mode: str = "append") -> None:
+    """Append rows to a served database table, only when a target is configured. Run it on the output of
+    ``insert_only_rows`` so that keys already served are never sent (no ``ON CONFLICT`` round trips)."""
+    if not url:
+        return
+    df.write.jdbc(url, table, mode=mode, properties=properties or {})

@@ -204,3 +204,22 @@ def test_vector_topk_equals_full_ranking(spark, sf_small):
     ref = {(r.cv_id, r.rank): (r.job_id, r.score)
            for r in full.withColumn("rank", F.row_number().over(w)).filter("rank <= 7").collect()}
     assert fast == ref and len(fast) == cvs.count() * 7
+
+
+def test_bucketed_index_prunes_and_matches(spark, sf_small):
+    from offerlake.session import scratch_path
+
+    cfg = search.SearchConfig()
+    idx = search.build_index(catalog.offers(spark, sf_small))
+    path = scratch_path(spark, "ix")
+    search.write_index(idx, path, cfg.index_buckets)
+    stored = spark.read.parquet(path)
+    one_cv = catalog.cvs(spark, sf_small).limit(1)
+    q = search.cv_lexemes(one_cv, cfg)
+    a = search.text_scores(stored, q, cfg)
+    b = search.text_scores(idx, q, cfg)
+    rounded = lambda df: sorted((r.cv_id, r.job_id, round(r.fts_score, 9), round(r.title_score, 9)) for r in df.collect())
+    assert rounded(a) == rounded(b)
+    plan = a._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.split("\n") if "FileScan" in line and "lexeme" in line]
+    assert scans and all("PartitionFilters: []" not in line for line in scans)
