@@ -34,8 +34,9 @@ def rank_within(df: DataFrame, by: Sequence[str], order: Sequence[Column], name:
     ``max_group_rows`` is a proven bound on the largest group (e.g. the corpus size when ranking the
     corpus per CV). When it is known and small, a window is used; otherwise the range-partitioned rank.
     """
-    if by and max_group_rows is not None and max_group_rows <= window_limit:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
+    if max_group_rows is not None and max_group_rows <= window_limit:
+        w = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
+        return df.withColumn(name, F.row_number().over(w).cast("long"))
     return _range_rank(df, by, order, name, partitions)
 
 

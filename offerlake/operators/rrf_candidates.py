@@ -145,7 +145,7 @@ def rrf_search_candidates(corpus: DataFrame, index: DataFrame, cvs: DataFrame, c
     pos_t = hits.filter(F.col("title_score") > 0)
 
     # corpus key order (1-based), and the first 2M keys as a bounded literal list
-    ordered = rank_within(corpus.select(key), [], [F.col(key).asc()], "ord")
+    ordered = rank_within(corpus.select(key), [], [F.col(key).asc()], "ord", max_group_rows=n_corpus).checkpoint(eager=True)
     first_keys = [r[0] for r in ordered.filter(F.col("ord") < 2 * m).orderBy("ord").select(key).collect()]
 
     # candidates

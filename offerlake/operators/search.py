@@ -67,7 +67,6 @@ class SearchConfig:
     window_group_rows: int = 5_000_000  # per-CV corpus size up to which ranks use a window
     dense_pairs: int = 50_000_000  # CVs x offers above which only candidates are ranked (rrf_candidates)
     index_buckets: int = 64  # lexeme hash buckets of an index stored with write_index
-    keep_symbols: bool = False
 
     @property
     def score_max(self) -> float:
@@ -129,6 +128,19 @@ def write_index(index: DataFrame, path: str, buckets: int = SearchConfig.index_b
      .write.partitionBy("bucket").parquet(path))
 
 
+def append_index(new_offers: DataFrame, path: str, key: str = "job_id", buckets: int = SearchConfig.index_buckets) -> None:
+    """Add the postings of offers not indexed yet to a stored index (insert-only, like silver)."""
+    from offerlake.streaming.ingest import path_exists
+
+    spark = new_offers.sparkSession
+    if path_exists(spark, path):
+        done = spark.read.parquet(path).select(key).distinct()
+        new_offers = new_offers.join(done, key, "left_anti")
+    (build_index(new_offers, key).withColumn("bucket", lexeme_bucket(F.col("lexeme"), buckets))
+     .repartition(buckets, "bucket").sortWithinPartitions("lexeme")
+     .write.mode("append").partitionBy("bucket").parquet(path))
+
+
 def _h2(n: Column) -> Column:
     """Σ_{j=1..n} 1/j² (0 for n = 0)."""
     return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0.0),

@@ -323,6 +323,17 @@ def rrf_search(spark, sf):
         F.round("combined_score", 9).alias("combined_score"), "embed_rank", "fts_rank", "title_rank")
 
 
+@query
+def rrf_candidates(spark, sf):
+    """The same search through the large-batch path (only offers that can reach the top K are ranked)."""
+    from offerlake.operators.rrf_candidates import rrf_search_candidates
+
+    top = rrf_search_candidates(corpus(spark, sf), index(spark, sf), cvs(spark, sf), search.SearchConfig())
+    return top.select(
+        "cv_id", F.col("rank").cast("long").alias("rank"), "job_id", "embedding_score", "fts_score", "title_score",
+        F.round("combined_score", 9).alias("combined_score"), "embed_rank", "fts_rank", "title_rank")
+
+
 @query
 def score_map(spark, sf):
     cfg = search.SearchConfig()

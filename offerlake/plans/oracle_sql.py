@@ -232,6 +232,8 @@ ORACLE["rrf_search"] = f"""{RRF_CTES}
     SELECT cv_id, rank, job_id, embedding_score, fts_score, title_score, round(combined_score, 9) AS combined_score,
         embed_rank, fts_rank, title_rank FROM top"""
 
+ORACLE["rrf_candidates"] = ORACLE["rrf_search"]
+
 ORACLE["score_map"] = f"""{RRF_CTES}
     SELECT cv_id, job_id, round(least(1.0::DOUBLE, greatest(0.0::DOUBLE,
         0.0::DOUBLE + (1.0::DOUBLE - 0.0::DOUBLE) * (combined_score - 0.0::DOUBLE) / ({SCORE_MAX!r}::DOUBLE - 0.0::DOUBLE))), 2)

@@ -44,6 +44,7 @@ def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     rows_only = set(entry.queries()) - set(entry.oracle_sql())
     assert rows_only == {"gold_build", "batch_end_to_end", "headline"}
+    assert entry.oracle_sql()["rrf_candidates"] == entry.oracle_sql()["rrf_search"]
 
 
 @pytest.mark.parametrize("key", ORACLE_KEYS)

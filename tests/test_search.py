@@ -223,3 +223,18 @@ def test_bucketed_index_prunes_and_matches(spark, sf_small):
     plan = a._jdf.queryExecution().executedPlan().toString()
     scans = [line for line in plan.split("\n") if "FileScan" in line and "lexeme" in line]
     assert scans and all("PartitionFilters: []" not in line for line in scans)
+
+
+def test_append_index_is_insert_only(spark, sf_small):
+    from offerlake.session import scratch_path
+
+    offers = catalog.offers(spark, sf_small)
+    path = scratch_path(spark, "ix-append")
+    first = offers.filter(F.col("job_id") < 100)
+    search.append_index(first, path)
+    search.append_index(offers, path)
+    search.append_index(offers, path)
+    stored = spark.read.parquet(path).drop("bucket")
+    full = search.build_index(offers)
+    key = lambda df: sorted((r.job_id, r.lexeme, r.n_a, r.n_b, r.n_c, r.title_len) for r in df.collect())
+    assert key(stored) == key(full)
