@@ -95,20 +95,20 @@ def build_index(offers: DataFrame, key: str = "job_id", fields: Sequence[tuple[s
     field weights (query-independent, so computed once here instead of once per query hit).
     Fields missing from ``offers`` are skipped."""
     present = [(c, lab) for c, lab in fields if c in offers.columns]
-    title_len = F.size(tx.tokens(F.col(title_col))) if title_col in offers.columns else F.lit(0)
-    # The title length rides along every exploded word (it depends on the offer only), so no join back.
     per_field = [
-        offers.select(F.col(key), title_len.alias("title_len"), F.explode(tx.tokens(F.col(c))).alias("lexeme"),
-                      F.lit(lab).alias("label"))
+        offers.select(F.col(key), F.explode(tx.tokens(F.col(c))).alias("lexeme"), F.lit(lab).alias("label"))
         for c, lab in present
     ]
     words = per_field[0]
     for part in per_field[1:]:
         words = words.unionByName(part)
     counts = words.groupBy(key, "lexeme").agg(
-        *[F.count_if(F.col("label") == lab).cast("int").alias(f"n_{lab.lower()}") for lab in "ABC"],
-        F.max("title_len").alias("title_len"),
-    )
+        *[F.count_if(F.col("label") == lab).cast("int").alias(f"n_{lab.lower()}") for lab in "ABC"])
+    # The title length is joined back per offer; computing it next to the explode would evaluate it
+    # once per exploded word (measured: 6x slower).
+    title_len = (offers.select(key, F.size(tx.tokens(F.col(title_col))).alias("title_len"))
+                 if title_col in offers.columns else offers.select(key, F.lit(0).alias("title_len")))
+    counts = counts.join(title_len, key)
     return counts.select(
         key, "lexeme", "n_a", "n_b", "n_c", "title_len",
         lexeme_weight(F.col("n_a"), F.col("n_b"), F.col("n_c"), FTS_WEIGHTS).alias("w_f"),
