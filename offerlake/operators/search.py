@@ -185,9 +185,12 @@ def text_scores(index: DataFrame, queries: DataFrame, cfg: SearchConfig, key: st
     n_terms_rows = queries.select(F.sum("n_terms")).first()[0] or 0
     if "bucket" in index.columns:
         # A bucketed index: read only the buckets holding the CV lexemes (at most `buckets` values).
-        b = lexeme_bucket(F.col("lexeme"), cfg.index_buckets).alias("b")
-        wanted = [r[0] for r in q_terms.select(b).distinct().collect()]
-        index = index.filter(F.col("bucket").isin(wanted)).drop("bucket")
+        # A batch with many lexemes touches every bucket, so the filter is skipped there.
+        if n_terms_rows < 2 * cfg.index_buckets:
+            b = lexeme_bucket(F.col("lexeme"), cfg.index_buckets).alias("b")
+            wanted = [r[0] for r in q_terms.select(b).distinct().collect()]
+            index = index.filter(F.col("bucket").isin(wanted))
+        index = index.drop("bucket")
     q_terms = _maybe_broadcast(q_terms, n_terms_rows, cfg.broadcast_rows)
     hits = index.join(q_terms, "lexeme")
     stored = dict(cfg.field_weights) == FTS_WEIGHTS and cfg.title_weight_d == DEFAULT_WEIGHT_D and "w_f" in index.columns

@@ -77,7 +77,9 @@ def index(spark: SparkSession, sf: str) -> DataFrame:
     path = _INDEX_TABLES.get(tag)
     if path is None:
         path = scratch_path(spark, "postings")
-        search.write_index(search.build_index(offers(spark, sf)), path, search.SearchConfig().index_buckets)
+        # Written flat: a batch of CVs touches every lexeme bucket, so bucketed storage (write_index)
+        # pays off only for small batches against a large index.
+        search.build_index(offers(spark, sf)).write.parquet(path)
         _INDEX_TABLES[tag] = path
     return spark.read.parquet(path)
 
