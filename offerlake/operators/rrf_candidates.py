@@ -127,9 +127,27 @@ def _zero_ranks(cands: DataFrame, pos: DataFrame, ordered: DataFrame, n_pos: Dat
 
 
 def rrf_search_candidates(corpus: DataFrame, index: DataFrame, cvs: DataFrame, cfg: SearchConfig | None = None,
-                          key: str = "job_id") -> DataFrame:
-    """Same result as ``search.rrf_search`` (top K per CV with scores and the three ranks)."""
+                          key: str = "job_id", cvs_per_slice: int | None = None) -> DataFrame:
+    """Same result as ``search.rrf_search`` (top K per CV with scores and the three ranks).
+
+    The CV batch is processed in slices of ``cvs_per_slice`` CVs (by default as many as fit the CV
+    broadcast bound), so the candidate keys handled on the driver stay within slice x 3M pairs.
+    """
     cfg = cfg or SearchConfig()
+    dim = cvs.select(F.max(F.size("cv_embedding"))).first()[0] or 1
+    per_slice = cvs_per_slice or max(1, cfg.broadcast_rows // dim)
+    ids = [r[0] for r in cvs.select(F.col("cv_id").cast("long")).orderBy("cv_id").collect()]  # CV ids only
+    if len(ids) <= per_slice:
+        return _rrf_slice(corpus, index, cvs, cfg, key)
+    parts = [_rrf_slice(corpus, index, cvs.filter(F.col("cv_id").isin(ids[i:i + per_slice])), cfg, key)
+             for i in range(0, len(ids), per_slice)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _rrf_slice(corpus: DataFrame, index: DataFrame, cvs: DataFrame, cfg: SearchConfig, key: str) -> DataFrame:
     checkpoint_dir(corpus.sparkSession)
     m = cfg.candidate_depth
     corpus = corpus.filter(F.col("embedding").isNotNull()).select(key, "embedding")

@@ -26,3 +26,11 @@ def test_threshold_selects_candidate_path(spark, sf_small):
     cfg = search.SearchConfig(top_k=5, dense_pairs=0)
     corpus, idx, cvs = catalog.corpus(spark, sf_small), catalog.index(spark, sf_small), catalog.cvs(spark, sf_small)
     assert _rows(search.rrf_search(corpus, idx, cvs, cfg)) == _rows(search.rrf_search(corpus, idx, cvs, search.SearchConfig(top_k=5)))
+
+
+def test_candidate_path_in_cv_slices(spark, sf_small):
+    cfg = search.SearchConfig(top_k=5)
+    corpus, idx, cvs = catalog.corpus(spark, sf_small), catalog.index(spark, sf_small), catalog.cvs(spark, sf_small)
+    whole = rrf_search_candidates(corpus, idx, cvs, cfg)
+    sliced = rrf_search_candidates(corpus, idx, cvs, cfg, cvs_per_slice=15)
+    assert _rows(sliced) == _rows(whole)
