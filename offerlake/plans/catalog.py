@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from offerlake.functions import nested as nx
 from offerlake.functions import text as tx
 from offerlake.operators import links, search, tables as tb
-from offerlake.operators.ranking import global_rank, rank_within
+from offerlake.operators.ranking import global_rank
 from offerlake.plans import jobs
 from offerlake.plans.oracle_sql import AS_OF, BASE_URL
 from offerlake.session import read_table, scratch_path
