@@ -238,3 +238,15 @@ def test_append_index_is_insert_only(spark, sf_small):
     full = search.build_index(offers)
     key = lambda df: sorted((r.job_id, r.lexeme, r.n_a, r.n_b, r.n_c, r.title_len) for r in df.collect())
     assert key(stored) == key(full)
+
+
+def test_range_rank_spreads_a_hot_group(spark):
+    # group 0 holds a third of all rows
+    df = spark.range(0, 30000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50 + 1).alias("g"),
+                                      ((F.col("id") * 7919) % 10007).alias("s"), "id")
+    order = [F.col("s").desc(), F.col("id").asc()]
+    ranked = _range_rank(df, ["g"], order, "r", 8)
+    hot = ranked.filter(F.col("g") == 0).select(F.spark_partition_id().alias("p"), "r")
+    assert hot.select("p").distinct().count() > 1  # the hot group is split over several tasks
+    ref = df.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(*order)))
+    assert sorted(tuple(r) for r in ranked.collect()) == sorted(tuple(r) for r in ref.collect())
