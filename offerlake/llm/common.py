@@ -95,6 +95,9 @@ def worker_memory(name: str, make):
     return getattr(kept, name)
 
 
+MARKS = ".,;:!?%&$#*|)"
+
+
 class SegmentIds:
     """Token ids of whole texts from the ids of their space-separated segments, which repeat a lot.
 
@@ -105,7 +108,7 @@ class SegmentIds:
     ``encode_segments``: list of segments -> list of id bytes; ``encode_text``: whole text -> id bytes.
     """
 
-    def __init__(self, encode_segments, encode_text, whole=None, keep: int = 600_000):
+    def __init__(self, encode_segments, encode_text, whole=None, keep: int = 1_200_000):
         self.encode_segments, self.encode_text, self.whole, self.keep = encode_segments, encode_text, whole, keep
         self.known: dict[str, bytes] = {}
 
@@ -129,8 +132,14 @@ class SegmentIds:
                 open_texts.append((i, parts, ids))
         touched = [p for p in new if self._touched(p)]
         known.update(dict.fromkeys(touched, False))
-        listed = list(new.difference(touched))
+        new.difference_update(touched)
+        # a word and the marks behind it are matched apart by the pattern, so each is encoded once
+        marked = [(p, core, p[len(core):]) for p in new if len(core := p.rstrip(MARKS)) < len(p) and core[-1:].isalpha()]
+        new.difference_update([p for p, _, _ in marked])
+        new.update([x for _, core, tail in marked for x in (core, tail) if x not in known])
+        listed = list(new)
         known.update(zip(listed, self.encode_segments(listed)))
+        known.update([(p, known[core] + known[tail]) for p, core, tail in marked])
         for i, parts, ids in open_texts:
             try:
                 out[i] = b"".join([get(p) if x is None else x for p, x in zip(parts, ids)])

@@ -34,7 +34,7 @@ class Config:
     capacity: int = 2048
     end_id: int = 1
     piece: int = 512
-    windows: int = 64
+    windows: int = 32
     slack: int = 4  # ids by which a window of a full group stays short of its capacity on average
 
 
@@ -111,11 +111,28 @@ def tokenizer(path: str) -> SegmentIds:
 
     whole = Tokenizer.from_file(path)
 
-    def ids(texts: list[str]) -> list[bytes]:
-        found = whole.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
-
-    return SegmentIds(ids, lambda t: ids([t])[0], whole="<|endoftext|>")
+    starts = np.zeros(whole.get_vocab_size(), dtype=bool)
+    for token, k in whole.get_vocab().items():
+        starts[k] = token[0] == "\u0120"  # the byte-level letter of a space
+
+    def ids(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, dtype="<u4") for x in whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def segments(parts: list[str]) -> list[bytes]:
+        """Many segments in one text: behind the first of them, only a segment's start is a space."""
+        inner = [p for p in parts if p[:1] == " "]
+        out: dict[str, bytes] = {}
+        for at in range(0, len(inner), 2000):
+            block = inner[at : at + 2000]
+            found = ids(["".join(block)])[0]
+            cuts = [4 * int(c) for c in np.flatnonzero(starts[found])] + [4 * len(found)]
+            data = found.tobytes()
+            out.update(zip(block, [data[i:j] for i, j in zip(cuts, cuts[1:])]))
+        lone = [p for p in parts if p[:1] != " "]
+        out.update(zip(lone, [x.tobytes() for x in ids(lone)]))
+        return [out[p] for p in parts]
+
+    return SegmentIds(segments, lambda t: ids([t])[0].tobytes(), whole="<|endoftext|>")
 
 
 def pack(docs: DataFrame, path: str, cfg: Config = Config(), id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -21,6 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from offerlake.llm.common import SegmentIds, slices, table, worker_memory
 
@@ -330,7 +331,7 @@ class TextEncoder:
 def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """``keep`` columns and ``ids`` (array of int) of every whole text. ``path`` is the rank file on the executors."""
     source = docs.select(*keep, F.col(text).alias("_text"))
-    schema = source.drop("_text").schema.add("ids", "array<int>", False)
+    schema = source.drop("_text").schema.add("ids", T.ArrayType(T.IntegerType()), False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = worker_memory(f"bpe:{path}:{pattern}", lambda: TextEncoder(Encoder(load_ranks(path)), pattern))
