@@ -245,3 +245,23 @@ def near_duplicates(docs: DataFrame, cfg: Config = Config(), id_col: str = "doc_
 
 def op5_minhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), Config(words=2))
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) < 2 THEN ws
+  ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS g FROM w),
+sets AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, '  ' ORDER BY g)) AS h FROM s GROUP BY doc_id),
+reps AS (SELECT h, min(doc_id) AS c, any_value(n) AS n FROM sets GROUP BY h),
+rs AS (SELECT s.doc_id AS c, r.n, s.g FROM s JOIN reps r ON r.c = s.doc_id),
+pairs AS (SELECT a.c AS u, b.c AS v FROM rs a JOIN rs b ON a.g = b.g AND a.c < b.c AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+links AS (SELECT u, v FROM pairs UNION ALL SELECT v, u FROM pairs),
+reach(u, v) AS (SELECT u, v FROM links UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u),
+comp AS (SELECT u, min(v) AS m FROM reach GROUP BY u)
+SELECT d.doc_id, coalesce(x.n, 0) AS n_shingles, coalesce(least(r.c, m.m), r.c, d.doc_id) AS component_id,
+  d.doc_id = coalesce(least(r.c, m.m), r.c, d.doc_id) AS kept
+FROM documents d LEFT JOIN sets x ON x.doc_id = d.doc_id LEFT JOIN reps r ON r.h = x.h LEFT JOIN comp m ON m.u = r.c
+"""

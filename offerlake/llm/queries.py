@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from offerlake.llm import op2_forest as forest
+from offerlake.llm import op5_minhash as minhash
 from offerlake.llm.op1_toxicity import op1_toxicity
 from offerlake.llm.op2_forest import op2_forest
 from offerlake.llm.op3_packing import op3_packing
@@ -16,4 +17,4 @@ from offerlake.llm.op10_fingerprint import op10_fingerprint
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_forest, op3_packing, op4_sharding, op5_minhash, op6_suffix_dedup,
                                    op7_lattice, op8_language, op9_bpe, op10_fingerprint)}
-ORACLE: dict[str, str] = {"op2_forest": forest.ORACLE}
+ORACLE: dict[str, str] = {"op2_forest": forest.ORACLE, "op5_minhash": minhash.ORACLE}
