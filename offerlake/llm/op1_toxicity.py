@@ -35,9 +35,9 @@ class Config:
     dim: int = 8
     min_n: int = 3
     max_n: int = 5
-    max_toxic: int = 2500  # labelled rows of the training sample, by class
-    max_clean: int = 5000
-    max_windows: int = 400  # windows of one text in the training sample, evenly spread over the text
+    max_toxic: int = 1500  # labelled rows of the training sample, by class
+    max_clean: int = 2500
+    max_windows: int = 100  # windows of one text in the training sample, evenly spread over the text
     epochs: int = 90
     rate: float = 0.05
     decay: float = 1e-5
@@ -61,7 +61,7 @@ def words(text: str | None) -> list[str]:
 
 
 def subwords(found: list[str], cfg: Config) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all subwords of the given words, and the index of the word each belongs to."""
+    """Buckets of all subwords of the given words, and the index of the word that each belongs to."""
     return char_grams(found, range(cfg.min_n, cfg.max_n + 1), range(0), cfg.buckets)
 
 
@@ -100,7 +100,7 @@ def fit(texts: list[str], marks: list[int], cfg: Config = Config()) -> Model:
                 if k is None:
                     k = index[w] = len(index)
                 ids.append(k)
-        word_ids.append(np.array(ids, dtype=np.int64))
+        word_ids.append(np.array(ids, dtype=np.int32))
         window_len.append(np.array([len(p) for p in parts], dtype=np.int64))
         per_text.append(len(parts))
     rng = np.random.default_rng(cfg.seed)
@@ -111,7 +111,10 @@ def fit(texts: list[str], marks: list[int], cfg: Config = Config()) -> Model:
     if not len(y) or len(set(y.tolist())) < 2:
         rate = float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3))
         return Model(cfg, vectors * 0, softmax, float(np.log(rate / (1 - rate))))
-    grams, gram_word = subwords(list(index), cfg)
+    listed = list(index)
+    parts = [(g.astype(np.int32), (w + at).astype(np.int32)) for at in range(0, len(listed), 20_000) for g, w in [subwords(listed[at : at + 20_000], cfg)]]
+    grams, gram_word = np.concatenate([g for g, _ in parts]), np.concatenate([w for _, w in parts])
+    del parts, listed
     sizes_a = np.bincount(gram_word, minlength=len(index)).astype(np.float64)
     tokens = np.concatenate(word_ids)
     lens = np.concatenate(window_len)
