@@ -13,6 +13,9 @@ from offerlake.session import scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # whole texts are long: smaller Arrow batches bound what a task and its Python worker hold at a time
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > 1000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -44,6 +47,20 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 8 <<
         step = max(1, int(batch.num_rows * max_bytes / size))
         for start in range(0, batch.num_rows, step):
             yield batch.slice(start, step)
+    give_back()
+
+
+def give_back() -> None:
+    """At the end of a task: free memory goes back to the system, since workers live on and share a node's."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
 
 
 _P = np.uint64(0x100000001B3)
@@ -108,7 +125,7 @@ class SegmentIds:
     ``encode_segments``: list of segments -> list of id bytes; ``encode_text``: whole text -> id bytes.
     """
 
-    def __init__(self, encode_segments, encode_text, whole=None, keep: int = 1_200_000):
+    def __init__(self, encode_segments, encode_text, whole=None, keep: int = 800_000):
         self.encode_segments, self.encode_text, self.whole, self.keep = encode_segments, encode_text, whole, keep
         self.known: dict[str, bytes] = {}
 

@@ -22,10 +22,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from offerlake.llm.common import char_grams, crc_mod, table
+from offerlake.llm.common import char_grams, crc_mod, give_back, table
 
 WORD = re.compile(r"[^\W_]+")
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 
 @dataclass(frozen=True)
@@ -183,7 +183,7 @@ class Scorer:
             if found:
                 block.append((i, found))
                 size += len(found)
-            if block and (size > 300_000 or i == len(texts) - 1):
+            if block and (size > 150_000 or i == len(texts) - 1):
                 self._score(block, out)
                 block, size = [], 0
         if block:
@@ -209,6 +209,7 @@ def toxicity(model: Model, text: str | Column = "text") -> Column:
         score = Scorer(shared["model"])
         for texts in batches:
             yield pd.Series(_sigmoid(score(list(texts))))
+        give_back()
 
     return probability(F.col(text) if isinstance(text, str) else text)
 

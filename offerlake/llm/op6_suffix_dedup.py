@@ -40,7 +40,7 @@ GRAM = 64
 class Config:
     length: int = 400
     widths: tuple[int, ...] = (42, 6, 1)  # strings in a node, each a divisor of the one before
-    block: int = 1 << 20  # strings of one text handled at a time
+    block: int = 1 << 19  # strings of one text handled at a time
 
 
 class Names:
@@ -160,7 +160,7 @@ def repeated_spans(docs: DataFrame, cfg: Config = Config(), text: str = "text")
     source = docs.select(row_key("doc_id", text).alias("k"), F.col(text).alias("_text")).where(F.octet_length("_text") >= cfg.length)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "_text", 2 << 20):
+        for b in slices(batches, "_text", 1 << 20):
             pieces, at = [], []
             size = 0
 
@@ -175,7 +175,7 @@ def repeated_spans(docs: DataFrame, cfg: Config = Config(), text: str = "text")
                 data = t.encode("utf-8")
                 for i in range(0, max(1, len(data) - cfg.length + 1), cfg.block):  # blocks of strings, not of bytes
                     piece = data[i : i + cfg.block + cfg.length - 1]
-                    if pieces and size + len(piece) > 3 << 20:
+                    if pieces and size + len(piece) > 1 << 20:
                         yield out()
                         pieces.clear()
                         at.clear()
@@ -230,7 +230,7 @@ def _split(contexts: DataFrame, nodes: DataFrame, width: int, cfg: Config) -> Da
     joined = contexts.join(lists, "rid").select("rid", "far", "data", F.col("open.a").alias("a"), F.col("open.b").alias("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "data", 2 << 20):
+        for b in slices(batches, "data", 1 << 20):
             rid, far = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64)
             lists_a, lists_b = b.column(3).to_pylist(), b.column(4).to_pylist()
             part = np.repeat(np.arange(len(rid)), [len(x) for x in lists_a])
@@ -254,7 +254,7 @@ def removed(docs: DataFrame, cfg: Config = Config(), keep: tuple[str, ...] = ("d
     out_schema = schema.add("n_bytes", "long").add("spans", T.ArrayType(T.ArrayType(T.LongType()))).add("kept", "binary")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "_text", 8 << 20):
+        for b in slices(batches, "_text", 4 << 20):
             m = len(keep)
             sizes, all_spans, kept = [], [], []
             for t, ps, ns in zip(*[b.column(m + i).to_pylist() for i in range(3)]):

@@ -25,11 +25,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from offerlake.llm.common import char_grams, crc_mod, table
+from offerlake.llm.common import char_grams, crc_mod, give_back, table
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 
 @dataclass(frozen=True)
@@ -292,11 +292,12 @@ def language(model: Model, text: str | Column = "text") -> Column:
                 at.append(i)
                 block.append(found)
                 size += len(found)
-                if size > 400_000:
+                if size > 150_000:
                     flush()
                     size = 0
             flush()
             yield pd.DataFrame({"lang_pred": langs, "score": scores})
+        give_back()
 
     return predicted(F.col(text) if isinstance(text, str) else text)
 
