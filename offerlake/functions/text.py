@@ -125,15 +125,20 @@ def nested_text_of_struct(col: Column | str, field: str) -> Column:
 
 
 def nested_text_from_json(col: Column | str, field: str) -> Column:
-    """Tolerant flavour for text input: a JSON list of objects, a JSON object, or a plain string."""
+    """Tolerant flavour for text input: a JSON list of objects or plain values, a JSON object, or any other
+    text, which stays as it is (also if it only looks like JSON)."""
     c = _c(col)
-    as_list = F.from_json(c, f"array<struct<`{field}`:string>>")
-    as_obj = F.from_json(c, f"struct<`{field}`:string>")
-    from_list = F.array_join(F.filter(F.transform(as_list, lambda x: x[field]), lambda v: v.isNotNull() & (v != "")), " ")
+    path = f"$['{field}']"
+    valid = F.get_json_object(c, "$").isNotNull()
+    # as text, an element of a list is its own JSON: an object gives its field, a plain value itself
+    values = F.transform(F.from_json(c, "array<string>"),
+                         lambda x: F.when(F.startswith(x, F.lit("{")), F.get_json_object(x, path)).otherwise(x))
+    from_list = F.array_join(F.filter(values, lambda v: v.isNotNull() & (v != "")), " ")
     looks_list = F.startswith(F.ltrim(c), F.lit("["))
     looks_obj = F.startswith(F.ltrim(c), F.lit("{"))
     return F.coalesce(
-        F.when(looks_list, from_list).when(looks_obj, as_obj[field]).otherwise(c),
+        F.when(looks_list & valid, F.coalesce(from_list, c))
+        .when(looks_obj & valid, F.coalesce(F.get_json_object(c, path), F.lit(""))).otherwise(c),
         F.lit(""),
     )
 
@@ -158,11 +163,13 @@ def offer_url(job_id: Column | str, base: str) -> Column:
 
 
 def display_date(col: Column | str) -> Column:
-    """ISO timestamp text (trailing 'Z' allowed) -> 'yyyy-MM-dd'; unparsable or missing -> 'N/A'."""
-    cleaned = F.replace(_c(col), F.lit("Z"), F.lit(""))
+    """ISO timestamp text (trailing 'Z' or offset allowed) -> its own 'yyyy-MM-dd'; unparsable or missing -> 'N/A'."""
+    cleaned = F.regexp_replace(F.replace(_c(col), F.lit("Z"), F.lit("")), r"(:\d{2}(?:\.\d+)?)[+-]\d{2}:?\d{2}$", "$1")
     parsed = F.coalesce(
         F.try_to_timestamp(cleaned, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]")),
         F.try_to_timestamp(cleaned, F.lit("yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSS]")),
+        F.try_to_timestamp(cleaned, F.lit("yyyy-MM-dd'T'HH:mm")),
+        F.try_to_timestamp(cleaned, F.lit("yyyy-MM-dd HH:mm")),
         F.try_to_timestamp(cleaned, F.lit("yyyy-MM-dd")),
     )
     return F.coalesce(F.date_format(parsed, "yyyy-MM-dd"), F.lit("N/A"))

@@ -3,7 +3,7 @@
 Live HTTP checks are not part of this library; whoever probes the links writes their outcome as rows.
 Status rule: '200' is alive; 'timeout' and 'error' count as alive (a slow site is not a dead offer);
 'exception' (the check itself failed) follows a policy: search drops the offer, cleanup keeps it;
-any other code is dead.
+a missing status was not checked and is alive; any other code is dead.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ EXCEPTION_STATUS = "exception"
 def link_alive(status: Column | str, on_exception: str = "keep") -> Column:
     s = (F.col(status) if isinstance(status, str) else status).cast("string")
     exc = F.lit(on_exception == "keep")
-    return (F.when(s.isin(*ALIVE_STATUSES), F.lit(True))
+    return (F.when(s.isNull() | s.isin(*ALIVE_STATUSES), F.lit(True))
             .when(s == F.lit(EXCEPTION_STATUS), exc)
             .otherwise(F.lit(False)))
 

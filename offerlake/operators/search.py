@@ -123,9 +123,9 @@ def write_index(index: DataFrame, path: str, buckets: int = SearchConfig.index_b
     """Store the posting index partitioned by a hash bucket of the lexeme and sorted by lexeme inside
     each file, so a search reads only the buckets of its own lexemes (partition pruning) and Parquet
     min/max statistics narrow the row groups further."""
-    (index.withColumn("bucket", lexeme_bucket(F.col("lexeme"), buckets))
+    (index.withColumn("bucket", lexeme_bucket(F.col("lexeme"), buckets)).withColumn("n_buckets", F.lit(buckets))
      .repartition(buckets, "bucket").sortWithinPartitions("lexeme")
-     .write.partitionBy("bucket").parquet(path))
+     .write.partitionBy("n_buckets", "bucket").parquet(path))
 
 
 def append_index(new_offers: DataFrame, path: str, key: str = "job_id", buckets: int = SearchConfig.index_buckets) -> None:
@@ -136,9 +136,9 @@ def append_index(new_offers: DataFrame, path: str, key: str = "job_id", buckets:
     if path_exists(spark, path):
         done = spark.read.parquet(path).select(key).distinct()
         new_offers = new_offers.join(done, key, "left_anti")
-    (build_index(new_offers, key).withColumn("bucket", lexeme_bucket(F.col("lexeme"), buckets))
+    (build_index(new_offers, key).withColumn("bucket", lexeme_bucket(F.col("lexeme"), buckets)).withColumn("n_buckets", F.lit(buckets))
      .repartition(buckets, "bucket").sortWithinPartitions("lexeme")
-     .write.mode("append").partitionBy("bucket").parquet(path))
+     .write.mode("append").partitionBy("n_buckets", "bucket").parquet(path))
 
 
 def _h2(n: Column) -> Column:
@@ -184,12 +184,15 @@ def text_scores(index: DataFrame, queries: DataFrame, cfg: SearchConfig, key: st
     q_terms = queries.select("cv_id", "n_terms", F.explode("terms").alias("lexeme"))
     n_terms_rows = queries.select(F.sum("n_terms")).first()[0] or 0
     if "bucket" in index.columns:
-        # A bucketed index: read only the buckets holding the CV lexemes (at most `buckets` values).
-        # A batch with many lexemes touches every bucket, so the filter is skipped there.
-        if n_terms_rows < 2 * cfg.index_buckets:
-            b = lexeme_bucket(F.col("lexeme"), cfg.index_buckets).alias("b")
-            wanted = [r[0] for r in q_terms.select(b).distinct().collect()]
-            index = index.filter(F.col("bucket").isin(wanted))
+        # A bucketed index: read only the buckets holding the CV lexemes. The count that each part of the index
+        # was written with is stored beside it, so parts with different counts are pruned alike.
+        if "n_buckets" in index.columns:
+            keep = F.lit(False)
+            for (n,) in index.select("n_buckets").distinct().collect():  # partition values only
+                b = lexeme_bucket(F.col("lexeme"), n).alias("b")
+                wanted = [r[0] for r in q_terms.select(b).distinct().collect()]  # at most n values
+                keep = keep | ((F.col("n_buckets") == n) & F.col("bucket").isin(wanted))
+            index = index.filter(keep).drop("n_buckets")
         index = index.drop("bucket")
     q_terms = _maybe_broadcast(q_terms, n_terms_rows, cfg.broadcast_rows)
     hits = index.join(q_terms, "lexeme")
@@ -324,7 +327,7 @@ def vector_topk(vectors: DataFrame, cvs: DataFrame, cfg: SearchConfig, key: str
     key_type = vectors.schema[key].dataType
     schema = T.StructType([T.StructField("cv_id", T.LongType()), T.StructField(key, key_type),
                            T.StructField("embedding_score", T.DoubleType())])
-    vecs = vectors.filter(F.col("embedding").isNotNull()).select(key, "embedding")
+    vecs = vectors.filter(searchable("embedding")).select(key, "embedding")
     parts = [vecs.mapInPandas(_topk_block_fn(ids, mat, key, cfg.metric, cfg.top_k), schema)
              for ids, mat in _cv_slices(cvs, cfg, cv_vector_col)]
     if not parts:
@@ -379,8 +382,8 @@ def score_pairs(corpus: DataFrame, index: DataFrame, cvs: DataFrame, cfg: Search
     known to be small enough for a window)."""
     queries = cv_lexemes(cvs, cfg)
     vec = vector_scores(corpus, cvs, cfg, key)
-    # Only offers of the corpus can be ranked: drop other postings before the term join.
-    txt = text_scores(index.join(corpus.select(key), key, "left_semi"), queries, cfg, key)
+    # The lexeme join and its aggregate come first: what is left of the postings is small, and only that meets the corpus.
+    txt = text_scores(index, queries, cfg, key).join(corpus.select(key), key, "left_semi")
     both = (vec.select("cv_id", key, "embedding_score", F.lit(None).cast("double").alias("fts_score"),
                        F.lit(None).cast("double").alias("title_score"))
             .unionByName(txt.select("cv_id", key, F.lit(None).cast("double").alias("embedding_score"),
@@ -397,14 +400,22 @@ def score_pairs(corpus: DataFrame, index: DataFrame, cvs: DataFrame, cfg: Search
         F.coalesce("title_score", F.lit(0.0)).alias("title_score"))
 
 
+def searchable(embedding: str) -> Column:
+    """Vectors that have a distance: present and without null or NaN elements. Offers with any other vector are
+    not part of a search, whichever way it runs."""
+    v = F.col(embedding)
+    return v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x))
+
+
 def rrf_search(corpus: DataFrame, index: DataFrame, cvs: DataFrame, cfg: SearchConfig | None = None,
                key: str = "job_id") -> DataFrame:
     """``(cv_id, rank, key, embedding_score, fts_score, title_score, combined_score, embed_rank, fts_rank,
     title_rank)`` - the top K offers per CV. ``corpus`` has ``key`` and ``embedding``; ``cvs`` has
     ``cv_id``, ``cv_text`` and ``cv_embedding``."""
     cfg = cfg or SearchConfig()
+    corpus = corpus.filter(searchable("embedding"))
     # The corpus size bounds every per-CV group; it decides how the three ranks are computed.
-    corpus_rows = corpus.filter(F.col("embedding").isNotNull()).count()
+    corpus_rows = corpus.count()
     if corpus_rows * cvs.count() > cfg.dense_pairs:
         from offerlake.operators.rrf_candidates import rrf_search_candidates
 

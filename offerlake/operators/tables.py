@@ -131,7 +131,12 @@ def _align_col(col: Column, src: T.DataType, dst: T.DataType) -> Column:
         return F.when(col.isNull(), F.lit(None).cast(dst)).otherwise(F.struct(*parts))
     if isinstance(src, T.ArrayType) and isinstance(dst, T.ArrayType):
         return F.transform(col, lambda x: _align_col(x, src.elementType, dst.elementType))
-    if isinstance(src, T.StructType) or isinstance(dst, T.StructType):
+    nested = (T.StructType, T.ArrayType, T.MapType)
+    if isinstance(src, nested) and isinstance(dst, T.StringType):
+        return F.to_json(col)
+    if isinstance(src, T.StringType) and isinstance(dst, nested):
+        return F.from_json(col, dst)
+    if isinstance(src, nested) or isinstance(dst, nested):
         return F.lit(None).cast(dst)
     return col.try_cast(dst)
 
@@ -167,7 +172,16 @@ def _supertype(a: T.DataType, b: T.DataType) -> T.DataType:
     ia = next((i for i, t in enumerate(_NUMERIC_ORDER) if isinstance(a, t)), None)
     ib = next((i for i, t in enumerate(_NUMERIC_ORDER) if isinstance(b, t)), None)
     if ia is not None and ib is not None:
-        return _NUMERIC_ORDER[max(ia, ib)]()
+        wide = _NUMERIC_ORDER[max(ia, ib)]
+        # a float holds integers of 24 bits only
+        exact = wide is not T.FloatType or _NUMERIC_ORDER[min(ia, ib)] in (T.ByteType, T.ShortType, T.FloatType)
+        return wide() if exact else T.DoubleType()
+    if isinstance(a, T.DecimalType) or isinstance(b, T.DecimalType):
+        other = b if isinstance(a, T.DecimalType) else a
+        if isinstance(other, (T.FloatType, T.DoubleType)):
+            return T.DoubleType()
+        if isinstance(other, (T.DecimalType, T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+            return T.DecimalType(38, max(t.scale for t in (a, b) if isinstance(t, T.DecimalType)))
     if isinstance(a, (T.DateType, T.TimestampType, T.TimestampNTZType)) and isinstance(b, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return T.TimestampType() if T.TimestampType() in (a, b) else T.TimestampNTZType()
     if isinstance(a, T.StructType) and isinstance(b, T.StructType):

@@ -65,7 +65,10 @@ def build_gold(silver: DataFrame, gold: DataFrame | None, as_of: str, dim: int =
     if limit is not None:
         todo = todo.orderBy("job_id").limit(limit)
     vecs = encode(todo, "job_id", "vector_text_input", dim=dim, encoder_factory=encoder_factory, max_chars=max_chars)
-    return vecs.withColumn("ingestion_date", F.to_date(F.lit(as_of)))
+    if "ingestion_date" not in todo.columns:
+        return vecs.withColumn("ingestion_date", F.to_date(F.lit(as_of)))
+    # an offer embedded later than it was ingested keeps the date of its silver row
+    return vecs.join(todo.select("job_id", "ingestion_date"), "job_id")
 
 
 def export_latest(silver: DataFrame, gold: DataFrame, date_col: str = "ingestion_date") -> tuple[DataFrame, DataFrame]:

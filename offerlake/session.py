@@ -51,8 +51,8 @@ def ship_by_value(module_name: str) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting points at shared storage and is used as it is. Only when it is unset
-    (tests, a laptop) do we pick a fresh local folder.
+    On a cluster this setting points at shared storage and is used as it is; without it the call fails there.
+    Only a local master (tests, a laptop) gets a fresh local folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -62,6 +62,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not conf_dir:
         conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="offerlake-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc.setCheckpointDir(conf_dir)

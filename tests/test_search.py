@@ -225,6 +225,28 @@ def test_bucketed_index_prunes_and_matches(spark, sf_small):
     assert scans and all("PartitionFilters: []" not in line for line in scans)
 
 
+def test_index_written_with_another_bucket_count(spark, sf_small):
+    from offerlake.session import scratch_path
+
+    cfg = search.SearchConfig()
+    idx = search.build_index(catalog.offers(spark, sf_small))
+    path = scratch_path(spark, "ix16")
+    search.write_index(idx, path, 16)
+    q = search.cv_lexemes(catalog.cvs(spark, sf_small).limit(1), cfg)
+    rounded = lambda df: sorted((r.cv_id, r.job_id, round(r.fts_score, 9)) for r in df.collect())
+    got = rounded(search.text_scores(spark.read.parquet(path), q, cfg))
+    assert got and got == rounded(search.text_scores(idx, q, cfg))
+
+
+def test_null_element_vectors_leave_both_paths(spark):
+    corpus = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.5, None]), (3, [0.0, 1.0])], "job_id long, embedding array<float>")
+    offers = spark.createDataFrame([(i, "python", "java", "") for i in (1, 2, 3)], "job_id long, title string, description string, skills string")
+    cvs = spark.createDataFrame([(1, "python", [1.0, 0.0])], "cv_id long, cv_text string, cv_embedding array<float>")
+    idx = search.build_index(offers)
+    ids = lambda cfg: sorted(r.job_id for r in search.rrf_search(corpus, idx, cvs, cfg).collect())
+    assert ids(search.SearchConfig(top_k=3)) == ids(search.SearchConfig(top_k=3, dense_pairs=0)) == [1, 3]
+
+
 def test_append_index_is_insert_only(spark, sf_small):
     from offerlake.session import scratch_path
 

@@ -98,3 +98,17 @@ def test_delete_dead_cascades(spark):
     s, g = links.delete_dead(silver, gold, st)
     assert sorted(r.job_id for r in s.collect()) == ["A", "C"]
     assert sorted(r.job_id for r in g.collect()) == ["A"]
+
+
+def test_union_relaxed_keeps_structs_as_json_and_integers_exact(spark):
+    a = spark.createDataFrame([("1", ("Acme",), 16777217)], "id string, e struct<nom:string>, n long")
+    b = spark.createDataFrame([("2", '{"nom":"B"}', 0.5)], "id string, e string, n float")
+    rows = {r.id: r for r in tb.union_relaxed([a, b]).collect()}
+    assert rows["1"].e == '{"nom":"Acme"}' and rows["1"].n == 16777217 and rows["2"].n == 0.5
+
+
+def test_missing_link_status_is_alive(spark):
+    from offerlake.operators import links
+
+    st = spark.createDataFrame([("a", None), ("b", "404")], "job_id string, status string")
+    assert [r.job_id for r in links.dead_keys(st).collect()] == ["b"]
