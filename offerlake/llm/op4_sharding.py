@@ -26,7 +26,7 @@ class Config:
     shards: int = 24
     cells: int = 16384
     fine: int = 256
-    sub_rows: int = 20_000  # rows ranked together, about
+    sub_rows: int = 2_000  # rows ranked together, about
 
 
 def least_loaded(jobs: list[tuple[int, int]], shards: int) -> dict[int, int]:
