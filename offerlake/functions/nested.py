@@ -16,11 +16,6 @@ def json_field(col: Column | str, path: str) -> Column:
     return F.get_json_object(_c(col), path)
 
 
-def struct_field(col: Column | str, field: str) -> Column:
-    """Text of a field of a struct column (``entreprise->>'nom'`` once the column is typed)."""
-    return _c(col)[field].cast("string")
-
-
 def json_parse(col: Column | str, schema: T.DataType | str) -> Column:
     """JSON text -> typed value; bad JSON gives null, not an error."""
     return F.from_json(_c(col), schema)
@@ -40,12 +35,6 @@ def json_serialize(df: DataFrame, name: str) -> Column:
     return col.cast("string")
 
 
-def empty_struct_to_null(col: Column | str) -> Column:
-    """A record that was an empty JSON object lands as all-null: turn the all-null struct into null."""
-    c = _c(col)
-    return F.when(F.to_json(c) == F.lit("{}"), F.lit(None)).otherwise(c)
-
-
 def vector_sanitize(col: Column | str) -> Column:
     """NaN elements -> null elements (the served table cannot store NaN)."""
     return F.transform(_c(col), lambda x: F.when(F.isnan(x), F.lit(None).cast("float")).otherwise(x))
@@ -62,15 +51,3 @@ def vector_parse(df: DataFrame, name: str) -> Column:
 def vector_to_json(col: Column | str) -> Column:
     return F.to_json(_c(col))
 
-
-def l2_distance(a: Column | str, b: Column | str) -> Column:
-    """Euclidean distance of two equal-length arrays, in double."""
-    sq = F.zip_with(_c(a), _c(b), lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
-    return F.sqrt(F.aggregate(sq, F.lit(0.0).cast("double"), lambda acc, x: acc + x))
-
-
-def cosine_similarity(a: Column | str, b: Column | str) -> Column:
-    dot = F.aggregate(F.zip_with(_c(a), _c(b), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    na = F.sqrt(F.aggregate(F.transform(_c(a), lambda x: x.cast("double") * x), F.lit(0.0), lambda s, x: s + x))
-    nb = F.sqrt(F.aggregate(F.transform(_c(b), lambda x: x.cast("double") * x), F.lit(0.0), lambda s, x: s + x))
-    return dot / (na * nb)

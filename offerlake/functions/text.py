@@ -53,9 +53,11 @@ def first_line(col: Column | str) -> Column:
     return F.substring_index(_c(col), "\n", 1)
 
 
-def tokens(col: Column | str) -> Column:
-    """Lexemes of the *simple* text configuration: lower-cased runs of word characters, in order."""
-    return F.coalesce(F.regexp_extract_all(F.lower(_c(col)), F.lit(f"[{WORD}]+"), 0), F.array().cast("array<string>"))
+def tokens(col: Column | str, keep_symbols: bool = False) -> Column:
+    """Lexemes of the *simple* text configuration: lower-cased runs of word characters, in order. With
+    ``keep_symbols`` the signs ``+`` and ``#`` behind a word belong to it (``c++``, ``c#``)."""
+    pattern = f"[{WORD}]+[+#]*" if keep_symbols else f"[{WORD}]+"
+    return F.coalesce(F.regexp_extract_all(F.lower(_c(col)), F.lit(pattern), 0), F.array().cast("array<string>"))
 
 
 def fts_terms(col: Column | str, stopwords: Iterable[str] = FRENCH_STOPWORDS) -> Column:
@@ -88,14 +90,9 @@ def fts_clean(col: Column | str, stopwords: Iterable[str] = FRENCH_STOPWORDS) ->
     return F.array_join(fts_terms(col, stopwords), " ")
 
 
-def query_lexemes(cleaned_terms: Column, max_terms: int | None = None) -> Column:
-    """Distinct query lexemes of a cleaned term list.
-
-    The reference keeps the first 1000 terms of a CV (a limit of its database); pass
-    ``max_terms=1000`` for that. By default every term is kept.
-    """
-    terms = cleaned_terms if max_terms is None else F.slice(cleaned_terms, 1, max_terms)
-    return F.array_distinct(F.flatten(F.transform(terms, lambda t: tokens(t))))
+def query_lexemes(cleaned_terms: Column, keep_symbols: bool = False) -> Column:
+    """Distinct query lexemes of a cleaned term list, every term kept."""
+    return F.array_distinct(F.flatten(F.transform(cleaned_terms, lambda t: tokens(t, keep_symbols))))
 
 
 def headline_keywords(col: Column | str, limit: int = 10) -> Column:
@@ -132,7 +129,8 @@ def nested_text_from_json(col: Column | str, field: str) -> Column:
     valid = F.get_json_object(c, "$").isNotNull()
     # as text, an element of a list is its own JSON: an object gives its field, a plain value itself
     values = F.transform(F.from_json(c, "array<string>"),
-                         lambda x: F.when(F.startswith(x, F.lit("{")), F.get_json_object(x, path)).otherwise(x))
+                         lambda x: F.when(F.startswith(x, F.lit("{")) & F.get_json_object(x, "$").isNotNull(),
+                                          F.get_json_object(x, path)).otherwise(x))
     from_list = F.array_join(F.filter(values, lambda v: v.isNotNull() & (v != "")), " ")
     looks_list = F.startswith(F.ltrim(c), F.lit("["))
     looks_obj = F.startswith(F.ltrim(c), F.lit("{"))
@@ -151,6 +149,13 @@ def vector_text(title, description, competences, formations, qualities) -> Colum
     return F.concat_ws(" ", *parts)
 
 
+def search_text(title, description, competences, qualities, quality_descriptions) -> Column:
+    """The text that snippets and keywords are taken from: title, description, skill names, quality names and quality
+    descriptions, joined by a space; null and empty parts are left out."""
+    parts = [F.nullif(_c(p), F.lit("")) for p in (title, description, competences, qualities, quality_descriptions)]
+    return F.concat_ws(" ", *parts)
+
+
 def linear_map(value, from_min, from_max, to_min, to_max) -> Column:
     """Map ``value`` linearly from [from_min, from_max] to [to_min, to_max]; a zero-width source
     range maps to ``to_min``."""

@@ -2,12 +2,15 @@
 
 The encoder is built once per Python worker and applied to Arrow batches, so encoding scales with the
 cluster instead of running on the driver. The default ``HashEncoder`` is a deterministic signed-hash
-bag of words (L2-normalised); a sentence-embedding model can be plugged in through ``encoder_factory``
-when one is installed (none is in this environment, so relevance quality is not claimed).
+bag of words (L2-normalised), stated by digits of the word's md5 so that SQL can state it too; a
+sentence-embedding model can be plugged in through ``encoder_factory`` when one is installed (none is
+in this environment, so relevance quality is not claimed).
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -25,24 +28,26 @@ _ENCODERS: dict = {}
 
 
 class HashEncoder:
-    """Signed feature hashing of lower-cased word tokens into ``dim`` buckets, then L2 normalisation."""
+    """Signed feature hashing of lower-cased words into ``dim`` buckets, then L2 normalisation.
+
+    The first eight hexadecimal digits of a word's md5, modulo ``dim``, name its bucket; the ninth gives its
+    sign (8 and above: minus). Sums are whole numbers, so neither order nor batching changes a vector."""
 
     def __init__(self, dim: int = 384):
         self.dim = dim
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim), dtype=np.float32)
-        words = pd.Series(texts, dtype=object).fillna("").str.lower().str.findall(r"\w+")
-        lengths = words.str.len().to_numpy()
-        flat = np.concatenate([np.asarray(w, dtype=object) for w in words]) if len(words) else np.array([], dtype=object)
-        if len(flat):
-            h = pd.util.hash_array(flat.astype(object))
-            rows = np.repeat(np.arange(len(texts)), lengths)
-            cols = (h % np.uint64(self.dim)).astype(np.int64)
-            sign = np.where((h >> np.uint64(63)) == 1, -1.0, 1.0).astype(np.float32)
-            np.add.at(out, (rows, cols), sign)
-        norms = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.where(norms == 0, 1.0, norms)
+        words = [re.findall(r"\w+", (t or "").lower()) for t in texts]
+        rows = np.repeat(np.arange(len(texts)), [len(w) for w in words])
+        of_word, distinct = pd.factorize(np.array([w for ws in words for w in ws], dtype=object))
+        digits = [hashlib.md5(w.encode("utf-8", "surrogatepass"), usedforsecurity=False).hexdigest()[:9] for w in distinct]
+        bucket = np.array([int(d[:8], 16) % self.dim for d in digits], dtype=np.int64)
+        sign = np.array([-1.0 if d[8] >= "8" else 1.0 for d in digits])
+        cells = np.bincount(rows * self.dim + bucket[of_word], weights=sign[of_word], minlength=len(texts) * self.dim) \
+            if len(of_word) else np.zeros(len(texts) * self.dim)
+        out = cells.reshape(len(texts), self.dim)
+        norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        return (out / np.where(norms == 0, 1.0, norms)).astype(np.float32)
 
 
 def _encoder(factory: Callable[[], object], key: str):
@@ -55,19 +60,13 @@ def _encoder(factory: Callable[[], object], key: str):
 
 def encode(df: DataFrame, key: str, text_col: str, dim: int = 384,
            encoder_factory: Callable[[], object] | None = None, batch_size: int = 256,
-           max_chars: int | None = None) -> DataFrame:
-    """``(key, embedding array<float>)`` for every row of ``df``.
-
-    ``max_chars`` cuts the text given to the encoder (the reference's model input limit is 5000);
-    the stored text is never cut. The hash encoder reads whole texts by default.
-    """
+           vector_col: str = "embedding") -> DataFrame:
+    """``(key, embedding array<float>)`` for every row of ``df``, from its whole text (null: empty)."""
     factory = encoder_factory or (lambda: HashEncoder(dim))
     cache_key = f"{id(factory)}:{dim}"
     key_type = df.schema[key].dataType
-    schema = T.StructType([T.StructField(key, key_type), T.StructField("embedding", T.ArrayType(T.FloatType()))])
+    schema = T.StructType([T.StructField(key, key_type), T.StructField(vector_col, T.ArrayType(T.FloatType()))])
     text = F.coalesce(F.col(text_col), F.lit(""))
-    if max_chars is not None:
-        text = F.substring(text, 1, max_chars)
     src = df.select(F.col(key), text.alias("_text"))
 
     def run(batches):
@@ -76,6 +75,6 @@ def encode(df: DataFrame, key: str, text_col: str, dim: int = 384,
             for s in range(0, len(pdf), batch_size):
                 part = pdf.iloc[s:s + batch_size]
                 vecs = enc.encode(part["_text"].tolist())
-                yield pd.DataFrame({key: part[key].to_numpy(), "embedding": list(vecs.astype(np.float32))})
+                yield pd.DataFrame({key: part[key].to_numpy(), vector_col: list(vecs.astype(np.float32))})
 
     return src.mapInPandas(run, schema)

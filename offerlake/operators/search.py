@@ -34,9 +34,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from offerlake.functions import text as tx
+from offerlake.functions.stemming import stem_vocabulary
+from offerlake.operators.encode import encode
 from offerlake.operators.ranking import rank_within
 
-from offerlake.session import ship_by_value
+from offerlake.session import scratch_path, ship_by_value
 
 # The functions of this module that run in Python workers travel with the task (no install on executors).
 ship_by_value(__name__)
@@ -62,11 +64,12 @@ class SearchConfig:
     field_weights: dict = field(default_factory=lambda: dict(FTS_WEIGHTS))
     title_weight_d: float = DEFAULT_WEIGHT_D
     metric: str = "l2"  # or "cosine"
-    max_query_terms: int | None = None  # the reference keeps 1000
     broadcast_rows: int = 2_000_000  # size check for shipping CV lexemes / vectors
     window_group_rows: int = 5_000_000  # per-CV corpus size up to which ranks use a window
     dense_pairs: int = 50_000_000  # CVs x offers above which only candidates are ranked (rrf_candidates)
     index_buckets: int = 64  # lexeme hash buckets of an index stored with write_index
+    stem: bool = False  # French stems, on both sides (build_index(stem=True))
+    keep_symbols: bool = False  # c++, c# as words, on both sides (build_index(keep_symbols=True))
 
     @property
     def score_max(self) -> float:
@@ -89,14 +92,16 @@ class SearchConfig:
 
 
 def build_index(offers: DataFrame, key: str = "job_id", fields: Sequence[tuple[str, str]] = (
-        ("title", "A"), ("description", "B"), ("skills", "C")), title_col: str = "title") -> DataFrame:
+        ("title", "A"), ("description", "B"), ("skills", "C")), title_col: str = "title", stem: bool = False,
+                keep_symbols: bool = False, stopwords: Sequence[str] = (), broadcast_rows: int = 2_000_000) -> DataFrame:
     """Posting rows ``(key, lexeme, n_a, n_b, n_c, title_len, w_f, w_t)``: occurrences of the lexeme per
     field label, the number of title words, and the lexeme's text and title weights under the default
     field weights (query-independent, so computed once here instead of once per query hit).
-    Fields missing from ``offers`` are skipped."""
+    Fields missing from ``offers`` are skipped. With ``stem`` the lexemes are French stems (looked up in the distinct
+    vocabulary); ``stopwords`` are left out of the postings; a CV is read with the same options."""
     present = [(c, lab) for c, lab in fields if c in offers.columns]
     per_field = [
-        offers.select(F.col(key), F.explode(tx.tokens(F.col(c))).alias("lexeme"), F.lit(lab).alias("label"))
+        offers.select(F.col(key), F.explode(tx.tokens(F.col(c), keep_symbols)).alias("lexeme"), F.lit(lab).alias("label"))
         for c, lab in present
     ]
     words = per_field[0]
@@ -104,9 +109,14 @@ def build_index(offers: DataFrame, key: str = "job_id", fields: Sequence[tuple[s
         words = words.unionByName(part)
     counts = words.groupBy(key, "lexeme").agg(
         *[F.count_if(F.col("label") == lab).cast("int").alias(f"n_{lab.lower()}") for lab in "ABC"])
+    if stopwords:
+        counts = counts.filter(~F.col("lexeme").isin(list(stopwords)))
+    if stem:
+        stemmed = _with_stems(counts, words.select("lexeme"), broadcast_rows)
+        counts = stemmed.groupBy(key, "lexeme").agg(*[F.sum(c).cast("int").alias(c) for c in ("n_a", "n_b", "n_c")])
     # The title length is joined back per offer; computing it next to the explode would evaluate it
     # once per exploded word (measured: 6x slower).
-    title_len = (offers.select(key, F.size(tx.tokens(F.col(title_col))).alias("title_len"))
+    title_len = (offers.select(key, F.size(tx.tokens(F.col(title_col), keep_symbols)).alias("title_len"))
                  if title_col in offers.columns else offers.select(key, F.lit(0).alias("title_len")))
     counts = counts.join(title_len, key)
     return counts.select(
@@ -115,6 +125,16 @@ def build_index(offers: DataFrame, key: str = "job_id", fields: Sequence[tuple[s
         title_weight(F.col("n_a"), DEFAULT_WEIGHT_D).alias("w_t"))
 
 
+def _with_stems(rows: DataFrame, words: DataFrame, broadcast_rows: int) -> DataFrame:
+    """``rows`` with ``lexeme`` replaced by its stem. The vocabulary is written once; it is broadcast only if it is small."""
+    spark = rows.sparkSession
+    path = scratch_path(spark, "stems")
+    stem_vocabulary(words).write.parquet(path)
+    stems = spark.read.schema("lexeme string, stem string").parquet(path)
+    stems = _maybe_broadcast(stems, stems.count(), broadcast_rows)
+    return rows.join(stems, "lexeme").drop("lexeme").withColumnRenamed("stem", "lexeme")
+
+
 def lexeme_bucket(lexeme: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(lexeme), F.lit(buckets)).cast("int")
 
@@ -171,8 +191,13 @@ def title_weight(n_a: Column, wd: float) -> Column:
 
 def cv_lexemes(cvs: DataFrame, cfg: SearchConfig, text_col: str = "cv_text") -> DataFrame:
     """``(cv_id, terms, n_terms)``: distinct lexemes of the cleaned CV text."""
-    terms = tx.query_lexemes(tx.fts_terms(F.col(text_col)), cfg.max_query_terms)
-    return cvs.select("cv_id", terms.alias("terms")).withColumn("n_terms", F.size("terms"))
+    terms = cvs.select("cv_id", tx.query_lexemes(tx.fts_terms(F.col(text_col)), cfg.keep_symbols).alias("terms"))
+    if cfg.stem:
+        words = terms.select("cv_id", F.explode("terms").alias("lexeme"))
+        stems = _with_stems(words, words, cfg.broadcast_rows).groupBy("cv_id").agg(F.array_sort(F.collect_set("lexeme")).alias("terms"))
+        terms = (terms.select("cv_id").join(stems, "cv_id", "left")
+                 .withColumn("terms", F.coalesce("terms", F.array().cast("array<string>"))))
+    return terms.withColumn("n_terms", F.size("terms"))
 
 
 def _maybe_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
@@ -211,17 +236,29 @@ def text_scores(index: DataFrame, queries: DataFrame, cfg: SearchConfig, key: st
 # vector scores
 
 
-def _score_matrix(mat: np.ndarray, cv_mat: np.ndarray, metric: str, chunk: int = 32) -> np.ndarray:
-    """(offers x CVs) scores: ``1 - L2`` from exact element-wise differences, or cosine."""
+def _score_matrix(mat: np.ndarray, cv_mat: np.ndarray, metric: str) -> np.ndarray:
+    """(offers x CVs) scores: ``1 - L2`` or cosine, by one matrix product. Where a squared distance is small
+    beside the norms its digits cancel in the product, so those pairs are taken from element-wise differences."""
     if metric == "cosine":
         n = np.linalg.norm(mat, axis=1, keepdims=True)
         c = np.linalg.norm(cv_mat, axis=1, keepdims=True)
         return (mat / np.where(n == 0, 1.0, n)) @ (cv_mat / np.where(c == 0, 1.0, c)).T
-    out = np.empty((mat.shape[0], cv_mat.shape[0]))
-    for s in range(0, cv_mat.shape[0], chunk):
-        diff = mat[:, None, :] - cv_mat[None, s:s + chunk, :]
-        out[:, s:s + chunk] = 1.0 - np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
-    return out
+    norms = np.einsum("ij,ij->i", mat, mat)[:, None] + np.einsum("ij,ij->i", cv_mat, cv_mat)[None, :]
+    squared = norms - 2.0 * (mat @ cv_mat.T)
+    close_o, close_c = np.nonzero(squared < 1e-4 * norms)
+    for s in range(0, len(close_o), 65536):
+        o, c = close_o[s:s + 65536], close_c[s:s + 65536]
+        diff = mat[o] - cv_mat[c]
+        squared[o, c] = np.einsum("ij,ij->i", diff, diff)
+    scores = 1.0 - np.sqrt(np.maximum(squared, 0.0))
+    # scores are rounded later: those next to a rounding edge get their last digits from differences as well
+    scaled = scores * 10.0 ** SCORE_DIGITS
+    edge_o, edge_c = np.nonzero(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-4)
+    for s in range(0, len(edge_o), 65536):
+        o, c = edge_o[s:s + 65536], edge_c[s:s + 65536]
+        diff = mat[o] - cv_mat[c]
+        scores[o, c] = 1.0 - np.sqrt(np.einsum("ij,ij->i", diff, diff))
+    return scores
 
 
 def _batch_matrix(pdf: pd.DataFrame) -> np.ndarray:
@@ -234,9 +271,9 @@ def _vector_block_fn(cv_ids: np.ndarray, cv_mat: np.ndarray, key: str, metric: s
             if pdf.empty:
                 continue
             ids = pdf[key].to_numpy()
-            sc = _score_matrix(_batch_matrix(pdf), cv_mat, metric)
+            sc = round_half_up(_score_matrix(_batch_matrix(pdf), cv_mat, metric).ravel())
             yield pd.DataFrame({"cv_id": np.tile(cv_ids, len(ids)), key: np.repeat(ids, len(cv_ids)),
-                                "embedding_score": sc.ravel()})
+                                "embedding_score": sc})
 
     return score
 
@@ -259,7 +296,7 @@ def _cv_slices(cvs: DataFrame, cfg: SearchConfig, cv_vector_col: str):
 
 def vector_scores(vectors: DataFrame, cvs: DataFrame, cfg: SearchConfig, key: str = "job_id",
                   cv_vector_col: str = "cv_embedding") -> DataFrame:
-    """``(cv_id, key, embedding_score)`` for every CV and every offer: ``1 - L2`` (or cosine).
+    """``(cv_id, key, embedding_score)`` for every CV and every offer: ``1 - L2`` (or cosine), rounded to 9 places.
 
     The CV batch is the only side shipped whole; its size is checked first and larger batches are
     scored in slices of CVs (each slice a separate broadcast), so nothing beyond the bound is shipped.
@@ -424,6 +461,137 @@ def rrf_search(corpus: DataFrame, index: DataFrame, cvs: DataFrame, cfg: SearchC
     return fuse(score_pairs(corpus, index, cvs, cfg, key, cluster_by_cv=windowed), cfg, key, corpus_rows)
 
 
+def encode_cvs(cvs: DataFrame, dim: int = 384, encoder_factory=None, text_col: str = "cv_text") -> DataFrame:
+    """The CVs with the vector of their whole text (``cv_embedding``), by the encoder that made the offers' vectors."""
+    vectors = encode(cvs, "cv_id", text_col, dim=dim, encoder_factory=encoder_factory, vector_col="cv_embedding")
+    return cvs.join(vectors, "cv_id")
+
+
+def hybrid_search(corpus: DataFrame, index: DataFrame, cvs: DataFrame, cfg: SearchConfig | None = None,
+                  key: str = "job_id", dim: int = 384, encoder_factory=None) -> DataFrame:
+    """Search from CV text alone: ``cvs(cv_id, cv_text)`` against ``corpus(key, embedding)``. The encoder and its
+    ``dim`` must be those of the corpus; rows as in ``rrf_search``."""
+    return rrf_search(corpus, index, encode_cvs(cvs.select("cv_id", "cv_text"), dim, encoder_factory), cfg, key)
+
+
+# ----------------------------------------------------------------------------------------------
+# result rows
+
+
+def matching_terms(doc_text: Column, terms: Column, limit: int = 10) -> Column:
+    """Query lexemes found in the offer text, in order of first appearance, longer than two letters,
+    first ``limit`` - computed over the whole text."""
+    found = F.array_intersect(tx.tokens(doc_text), terms)
+    return F.slice(F.filter(found, lambda t: F.length(t) > 2), 1, limit)
+
+
+def headline(df: DataFrame, text_col: str, terms_col: str, name: str = "headline", max_words: int = 100,
+             min_words: int = 50) -> DataFrame:
+    """Add a snippet with the matched lexemes marked ``<b>..</b>``: the words of the text (split on whitespace)
+    from the first one that holds a query lexeme on, at most ``max_words``; without a match the first
+    ``min_words``. Markers that the text itself holds are words like any other.
+
+    ``array_intersect`` keeps the order of the text and looks terms up by hash, so its first element leads to the
+    first matched word; marking then compares the words of the snippet with the lexemes found in the snippet.
+    The cost is linear in the text and in the number of terms.
+    """
+    flat, words, at = "_snippet_flat", "_snippet_words", "_snippet_at"
+
+    def bound(value: Column, use) -> Column:
+        """``use(value)`` with the value computed once for a row: inside a lambda, a column that the optimizer folds in
+        would be computed again for every word."""
+        return F.element_at(F.transform(F.array(value), use), 1)
+
+    def mark(word: Column, hits: Column) -> Column:
+        pieces = F.regexp_extract_all(word, F.lit(f"[{tx.WORD}]+|[^{tx.WORD}]+"), 0)
+        return F.array_join(F.transform(pieces, lambda p: F.when(
+            F.array_contains(hits, F.lower(p)), F.concat(F.lit(tx.START_SEL), p, F.lit(tx.STOP_SEL))).otherwise(p)), "")
+
+    out = df.withColumn(flat, F.trim(F.regexp_replace(F.col(text_col), f"[{tx.WS}]+", " ")))
+    first = F.try_element_at(F.array_intersect(tx.tokens(F.col(flat)), F.col(terms_col)), F.lit(1))
+    # a lexeme holds word characters only, so it is its own pattern
+    out = out.withColumn(at, bound(first, lambda f: F.regexp_instr(
+        F.lower(F.col(flat)), F.concat(F.lit(f"(?<![{tx.WORD}])"), f, F.lit(f"(?![{tx.WORD}])")))))
+    found = F.col(at) > 0
+    before = F.substring_index(F.substring(F.col(flat), F.lit(1), F.col(at) - 1), " ", -1)  # the part of the word before the lexeme
+    rest = F.when(found, F.concat(before, F.substring(F.col(flat), F.col(at), F.length(flat)))).otherwise(F.col(flat))
+    n = F.when(found, F.lit(max_words)).otherwise(F.lit(min_words))
+    out = out.withColumn(words, F.filter(F.slice(F.split(rest, " ", max(max_words, min_words) + 1), F.lit(1), n), lambda w: w != ""))
+    hits = F.array_intersect(tx.tokens(F.array_join(words, " ")), F.col(terms_col))
+    marked = bound(hits, lambda h: F.array_join(F.transform(words, lambda w: mark(w, h)), " "))
+    return out.withColumn(name, F.coalesce(marked, F.lit(""))).drop(flat, words, at)
+
+
+def encode_cvs(cvs: DataFrame, dim: int = 384, encoder_factory=None, text_col: str = "cv_text") -> DataFrame:
+    """The CVs with the vector of their whole text (``cv_embedding``), by the encoder that made the offers' vectors."""
+    vectors = encode(cvs, "cv_id", text_col, dim=dim, encoder_factory=encoder_factory, vector_col="cv_embedding")
+    return cvs.join(vectors, "cv_id")
+
+
+def hybrid_search(corpus: DataFrame, index: DataFrame, cvs: DataFrame, cfg: SearchConfig | None = None,
+                  key: str = "job_id", dim: int = 384, encoder_factory=None) -> DataFrame:
+    """Search from CV text alone: ``cvs(cv_id, cv_text)`` against ``corpus(key, embedding)``. The encoder and its
+    ``dim`` must be those of the corpus; rows as in ``rrf_search``."""
+    return rrf_search(corpus, index, encode_cvs(cvs.select("cv_id", "cv_text"), dim, encoder_factory), cfg, key)
+
+
+# ----------------------------------------------------------------------------------------------
+# result rows
+
+
+def matching_terms(doc_text: Column, terms: Column, limit: int = 10) -> Column:
+    """Query lexemes found in the offer text, in order of first appearance, longer than two letters,
+    first ``limit`` - computed over the whole text."""
+    found = F.array_intersect(tx.tokens(doc_text), terms)
+    return F.slice(F.filter(found, lambda t: F.length(t) > 2), 1, limit)
+
+
+def headline(df: DataFrame, text_col: str, terms_col: str, name: str = "headline", max_words: int = 100,
+             min_words: int = 50) -> DataFrame:
+    """Add a snippet with the matched lexemes marked ``<b>..</b>``: the words of the text (split on whitespace)
+    from the first one that holds a query lexeme on, at most ``max_words``; without a match the first
+    ``min_words``. Markers that the text itself holds are words like any other.
+
+    ``array_intersect`` keeps the order of the text and looks terms up by hash, so its first element leads to the
+    first matched word; marking then compares the words of the snippet with the lexemes found in the snippet.
+    The cost is linear in the text and in the number of terms.
+    """
+    words, at = "_snippet_words", "_snippet_at"
+
+    def bound(value: Column, use) -> Column:
+        """``use(value)`` with the value computed once for a row: inside a lambda, a column that the optimizer folds in
+        would be computed again for every word."""
+        return F.element_at(F.transform(F.array(value), use), 1)
+
+    def mark(word: Column, hits: Column) -> Column:
+        pieces = F.regexp_extract_all(word, F.lit(f"[{tx.WORD}]+|[^{tx.WORD}]+"), 0)
+        return F.array_join(F.transform(pieces, lambda p: F.when(
+            F.array_contains(hits, F.lower(p)), F.concat(F.lit(tx.START_SEL), p, F.lit(tx.STOP_SEL))).otherwise(p)), "")
+
+    first = F.try_element_at(F.array_intersect(tx.tokens(F.col(text_col)), F.col(terms_col)), F.lit(1))
+    out = df.withColumn(words, F.filter(F.split(F.col(text_col), f"[{tx.WS}]+"), lambda w: w != ""))
+    out = out.withColumn(at, bound(first, lambda f: F.when(f.isNotNull(), F.array_position(
+        F.transform(words, lambda w: F.array_contains(tx.tokens(w), f)), True))))
+    out = out.withColumn(words, F.when(F.col(at) > 0, F.slice(words, F.col(at).cast("int"), F.lit(max_words)))
+                         .otherwise(F.slice(words, 1, min_words)))
+    hits = F.array_intersect(tx.tokens(F.array_join(words, " ")), F.col(terms_col))
+    marked = bound(hits, lambda h: F.array_join(F.transform(words, lambda w: mark(w, h)), " "))
+    return out.withColumn(name, F.coalesce(marked, F.lit(""))).drop(words, at)
+
+
+def encode_cvs(cvs: DataFrame, dim: int = 384, encoder_factory=None, text_col: str = "cv_text") -> DataFrame:
+    """The CVs with the vector of their whole text (``cv_embedding``), by the encoder that made the offers' vectors."""
+    vectors = encode(cvs, "cv_id", text_col, dim=dim, encoder_factory=encoder_factory, vector_col="cv_embedding")
+    return cvs.join(vectors, "cv_id")
+
+
+def hybrid_search(corpus: DataFrame, index: DataFrame, cvs: DataFrame, cfg: SearchConfig | None = None,
+                  key: str = "job_id", dim: int = 384, encoder_factory=None) -> DataFrame:
+    """Search from CV text alone: ``cvs(cv_id, cv_text)`` against ``corpus(key, embedding)``. The encoder and its
+    ``dim`` must be those of the corpus; rows as in ``rrf_search``."""
+    return rrf_search(corpus, index, encode_cvs(cvs.select("cv_id", "cv_text"), dim, encoder_factory), cfg, key)
+
+
 # ----------------------------------------------------------------------------------------------
 # result rows
 
@@ -435,22 +603,32 @@ def matching_terms(doc_text: Column, terms: Column, limit: int = 10) -> Column:
     return F.slice(F.filter(found, lambda t: F.length(t) > 2), 1, limit)
 
 
-def headline(doc_text: Column, terms: Column, max_words: int = 100, min_words: int = 50) -> Column:
-    """Snippet with matched words marked ``<b>..</b>``: the text's words (split on whitespace) from the first
-    marked word on, at most ``max_words``; without a match the first ``min_words`` words.
+def headline(df: DataFrame, text_col: str, terms_col: str, name: str = "headline", max_words: int = 100,
+             min_words: int = 50) -> DataFrame:
+    """Add a snippet with the matched lexemes marked ``<b>..</b>``: the words of the text (split on whitespace)
+    from the first one that holds a query lexeme on, at most ``max_words``; without a match the first
+    ``min_words``. Markers that the text itself holds are words like any other.
 
-    Matches are marked by one regular-expression pass per row built from the CV's lexemes (whole words,
-    case-insensitive), so the cost is linear in the text rather than words x terms.
+    ``array_intersect`` keeps the order of the text and looks terms up by hash, so its first element leads to the
+    first matched word; marking then compares the words of the snippet with the lexemes found in the snippet.
+    The cost is linear in the text and in the number of terms.
     """
-    alternatives = F.array_join(terms, "|")
-    pattern = F.concat(F.lit(f"(?iu)(?<![{tx.WORD}])("), alternatives, F.lit(f")(?![{tx.WORD}])"))
-    marked = F.when(F.size(terms) > 0, F.regexp_replace(doc_text, pattern, F.lit(f"{tx.START_SEL}$1{tx.STOP_SEL}"))) \
-        .otherwise(doc_text)
-    words = F.split(F.regexp_replace(marked, f"[{tx.WS}]+", " "), " ")
-    pos = F.array_position(F.transform(words, lambda w: F.contains(w, F.lit(tx.START_SEL))), True)
-    start = F.when(pos > 0, pos).otherwise(F.lit(1))
-    n = F.when(pos > 0, F.lit(max_words)).otherwise(F.lit(min_words))
-    return F.array_join(F.slice(words, start.cast("int"), n), " ")
+    words, first, at = "_snippet_words", "_snippet_first", "_snippet_at"
+    hit = "_snippet_hits"
+    out = df.withColumns({
+        words: F.filter(F.split(F.col(text_col), f"[{tx.WS}]+"), lambda w: w != ""),
+        first: F.try_element_at(F.array_intersect(tx.tokens(F.col(text_col)), F.col(terms_col)), F.lit(1)),
+    })
+    out = out.withColumn(at, F.when(F.col(first).isNotNull(), F.array_position(
+        F.transform(words, lambda w: F.array_contains(tx.tokens(w), F.col(first))), True)))
+    out = out.withColumn(words, F.when(F.col(at) > 0, F.slice(words, F.col(at).cast("int"), F.lit(max_words)))
+                         .otherwise(F.slice(words, 1, min_words)))
+    out = out.withColumn(hit, F.array_intersect(tx.tokens(F.array_join(words, " ")), F.col(terms_col)))
+    marked = F.transform(words, lambda w: F.array_join(F.transform(
+        F.regexp_extract_all(w, F.lit(f"[{tx.WORD}]+|[^{tx.WORD}]+"), 0),
+        lambda p: F.when(F.array_contains(F.col(hit), F.lower(p)), F.concat(F.lit(tx.START_SEL), p, F.lit(tx.STOP_SEL)))
+        .otherwise(p)), ""))
+    return out.withColumn(name, F.coalesce(F.array_join(marked, " "), F.lit(""))).drop(words, first, at, hit)
 
 
 def result_rows(top: DataFrame, offers: DataFrame, queries: DataFrame, cfg: SearchConfig, key: str = "job_id",
@@ -460,7 +638,9 @@ def result_rows(top: DataFrame, offers: DataFrame, queries: DataFrame, cfg: Sear
     ``offers`` supplies ``intitule, entreprise, lieu, type_contrat, date_creation`` and ``text_col``;
     only the top K rows are joined to it (late materialisation).
     """
-    joined = top.join(offers, key).join(queries.select("cv_id", "terms"), "cv_id")
+    n_cvs = queries.count()
+    small = _maybe_broadcast(top.join(queries.select("cv_id", "terms"), "cv_id"), n_cvs * cfg.top_k, cfg.broadcast_rows)
+    joined = offers.join(small, key)
     sim = tx.linear_map(F.col("combined_score"), 0.0, cfg.score_max, 0.0, 1.0)
     return joined.select(
         "cv_id", "rank", F.col(key).cast("string").alias("job_id"),

@@ -49,14 +49,16 @@ def insert_only_rows(source: DataFrame, target: DataFrame, key: str, order: str
     """Rows of ``source`` to append to ``target`` under an insert-only merge.
 
     Null keys are rejected (they never match, so they would be inserted again on every run); the
-    source is first reduced to one row per key (first by ``order``); keys already in the target are
-    left alone. Only the target's key column is read.
+    source is first reduced to one row per key (first by ``order``; without one, by a hash of the row, so
+    that a repeated run keeps the same row); keys already in the target are left alone. Only the target's
+    key column is read.
     """
     src = source.filter(F.col(key).isNotNull())
     if order is not None:
         src = dedup_first(src, key, order)
     else:
-        src = src.dropDuplicates([key])
+        hashed = [f"`{f.name}`" for f in src.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+        src = dedup_first(src.withColumn("_row_hash", F.xxhash64(*hashed)), key, "_row_hash").drop("_row_hash")
     return src.join(target.select(key).filter(F.col(key).isNotNull()), key, "left_anti")
 
 
@@ -66,15 +68,9 @@ def merge_insert_only(source: DataFrame, target: DataFrame, key: str, order: str
     return target.unionByName(schema_align(new, target.schema), allowMissingColumns=False)
 
 
-def unprocessed(source: DataFrame, done: DataFrame, key: str, done_key: str | None = None,
-                limit: int | None = None) -> DataFrame:
-    """Rows whose key has no entry in ``done`` yet. ``limit`` (ordered by key) is the optional
-    per-run cap of the reference; what is left is picked up by the next run."""
-    done_keys = done.select(F.col(done_key or key).alias(key))
-    rest = source.join(done_keys, key, "left_anti")
-    if limit is not None:
-        rest = rest.orderBy(key).limit(limit)
-    return rest
+def unprocessed(source: DataFrame, done: DataFrame, key: str, done_key: str | None = None) -> DataFrame:
+    """Rows whose key has no entry in ``done`` yet."""
+    return source.join(done.select(F.col(done_key or key).alias(key)), key, "left_anti")
 
 
 def retention(df: DataFrame, date_col: str, as_of: str, days: int) -> DataFrame:
@@ -154,11 +150,6 @@ def schema_align(df: DataFrame, target: T.StructType) -> DataFrame:
     return df.select(*out)
 
 
-def dropped_columns(df: DataFrame, target: T.StructType) -> list[str]:
-    names = {f.name for f in target.fields}
-    return [c for c in df.columns if c not in names]
-
-
 _NUMERIC_ORDER = [T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType]
 
 

@@ -18,7 +18,9 @@ from pyspark.sql import types as T
 
 from offerlake.functions import nested as nx
 from offerlake.functions import text as tx
+from offerlake.functions.stemming import stem_vocabulary
 from offerlake.operators import links, search, tables as tb
+from offerlake.operators.encode import encode
 from offerlake.operators.ranking import global_rank
 from offerlake.plans import jobs
 from offerlake.plans.oracle_sql import AS_OF, BASE_URL
@@ -35,26 +37,28 @@ def query(fn: Query) -> Query:
     return fn
 
 
-# Tables whose rows carry long texts: per-row regex work on them is spread over all cores.
-TEXT_TABLES = {"documents", "pages", "embeddings"}
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return read_table(spark, sf, name)
 
 
-def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return read_table(spark, sf, name, spread_rows=name in TEXT_TABLES)
+def _work(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table for heavy work on each row (regular expressions over whole texts, vector products): a scan of fewer
+    partitions than cores is spread."""
+    return read_table(spark, sf, name, spread_rows=True)
 
 
 # ---------------------------------------------------------------------------------------------- stand-ins
 
 
 def offers(spark: SparkSession, sf: str) -> DataFrame:
-    d = _t(spark, sf, "documents")
+    d = _work(spark, sf, "documents")
     return d.select(F.col("doc_id").alias("job_id"), tx.first_line("text").alias("title"),
                     F.col("text").alias("description"), F.col("source").alias("skills"), "source", "lang", "text")
 
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
-    e = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("job_id"), "embedding")
-    return e.join(offers(spark, sf).select("job_id"), "job_id", "left_semi")
+    e = _work(spark, sf, "embeddings").select(F.col("vec_id").alias("job_id"), "embedding")
+    return e.join(_t(spark, sf, "documents").select(F.col("doc_id").alias("job_id")), "job_id", "left_semi")
 
 
 def cvs(spark: SparkSession, sf: str) -> DataFrame:
@@ -109,12 +113,12 @@ def _events_batches(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def html_clean(spark, sf):
-    return _t(spark, sf, "pages").select("page_id", tx.html_clean("html").alias("text"))
+    return _work(spark, sf, "pages").select("page_id", tx.html_clean("html").alias("text"))
 
 
 @query
 def vector_text(spark, sf):
-    d = _t(spark, sf, "documents")
+    d = _work(spark, sf, "documents")
     skills = F.array(F.struct(F.col("source").alias("libelle")))
     trainings = F.array(F.struct(F.col("lang").alias("domaineLibelle")))
     qualities = F.lit(None).cast("array<struct<libelle:string,description:string>>")
@@ -125,21 +129,26 @@ def vector_text(spark, sf):
 
 @query
 def nested_text(spark, sf):
-    d = _t(spark, sf, "documents")
-    items = F.transform(F.split("text", "\n"), lambda line: F.struct(line.alias("libelle")))
+    """Typed list, JSON list of objects, JSON list of strings, one JSON object, and plain text."""
+    d = _work(spark, sf, "documents")
+    lines = F.split("text", "\n")
+    items = F.transform(lines, lambda line: F.struct(line.alias("libelle")))
     return d.select("doc_id", tx.nested_text(items, "libelle").alias("skills_text"),
-                    tx.nested_text_from_json(F.to_json(items), "libelle").alias("skills_text_json"))
+                    tx.nested_text_from_json(F.to_json(items), "libelle").alias("skills_text_json"),
+                    tx.nested_text_from_json(F.to_json(lines), "libelle").alias("skills_strings"),
+                    tx.nested_text_from_json(F.to_json(F.struct(F.col("text").alias("libelle"))), "libelle").alias("skills_object"),
+                    tx.nested_text_from_json(F.concat(F.lit("[CDI] "), "text"), "libelle").alias("skills_plain"))
 
 
 @query
 def fts_clean(spark, sf):
-    return _t(spark, sf, "documents").select("doc_id", tx.fts_clean("text").alias("cleaned"))
+    return _work(spark, sf, "documents").select("doc_id", tx.fts_clean("text").alias("cleaned"))
 
 
 @query
 def matching_terms(spark, sf):
     """Keywords of a highlighted text (every sentence fragment of a document marked <b>..</b>)."""
-    d = _t(spark, sf, "documents")
+    d = _work(spark, sf, "documents")
     marked = F.regexp_replace("text", r"([^.\n<>]+)", "<b>$1</b>")
     return d.select("doc_id", tx.headline_keywords(marked).alias("keywords"))
 
@@ -176,14 +185,16 @@ def retention(spark, sf):
 
 @query
 def retention_report(spark, sf):
-    return tb.retention_report(_events_dated(spark, sf), "ingestion_date", AS_OF, 60)
+    return tb.retention_report(_events_dated(spark, sf), "ingestion_date", AS_OF, 14)
 
 
 @query
 def export_latest(spark, sf):
-    ev = _events_dated(spark, sf)
-    latest = tb.keep_latest_date(ev, "ingestion_date")
-    return latest.select("event_id", "ingestion_date", "event_type", nx.json_serialize(latest, "props").alias("props"))
+    silver = _events_dated(spark, sf).select("event_id", "ingestion_date", "event_type",
+                                             nx.json_parse("props", "struct<k:int,note:string>").alias("props"))
+    gold = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("job_id"), "embedding",
+                                              F.to_date(F.lit(AS_OF)).alias("ingestion_date"))
+    return jobs.export_latest(silver, gold)[0]
 
 
 def _orders_kept(spark, sf):
@@ -206,6 +217,8 @@ ALIGN_TARGET = T.StructType([
     T.StructField("key", T.StringType()), T.StructField("name", T.StringType()),
     T.StructField("nation", T.IntegerType()), T.StructField("balance", T.DoubleType()),
     T.StructField("segment", T.StringType()), T.StructField("comment", T.StringType()),
+    T.StructField("phone", T.IntegerType()), T.StructField("info", T.StringType()),
+    T.StructField("place", T.StructType([T.StructField("nation", T.LongType()), T.StructField("city", T.StringType())])),
 ])
 
 
@@ -213,18 +226,24 @@ ALIGN_TARGET = T.StructType([
 def schema_align(spark, sf):
     c = _t(spark, sf, "customer").select(
         F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"),
-        F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"), F.lit(1).alias("extra"))
-    return tb.schema_align(c, ALIGN_TARGET)
+        F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"), F.lit(1).alias("extra"),
+        F.when(F.col("c_acctbal") < 0, "none").otherwise(F.col("c_nationkey").cast("string")).alias("phone"),
+        F.struct(F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation")).alias("info"),
+        F.struct(F.col("c_nationkey").cast("string").alias("nation"), F.lit("x").alias("zip")).alias("place"))
+    out = tb.schema_align(c, ALIGN_TARGET)
+    return out.select("*", F.col("place.nation").alias("place_nation"), F.col("place.city").alias("place_city")).drop("place")
 
 
 @query
 def union_relaxed(spark, sf):
     c = _t(spark, sf, "customer").select(
         F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"),
-        F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
+        F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"),
+        F.struct(F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation")).alias("info"))
     s = _t(spark, sf, "supplier").select(
         F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), F.col("s_nationkey").cast("long").alias("nation"),
-        F.col("s_acctbal").cast("float").alias("balance"), F.lit("supplier").alias("kind"))
+        F.col("s_acctbal").cast("float").alias("balance"), F.lit("supplier").alias("kind"),
+        F.col("s_name").alias("info"))
     return tb.union_relaxed([c, s])
 
 
@@ -256,9 +275,14 @@ def json_serialize(spark, sf):
 @query
 def land_records(spark, sf):
     ev = _t(spark, sf, "events")
-    raw = ev.select("event_id", "user_id",
-                    F.when(F.col("event_type") == "error", F.lit("{}")).otherwise(F.col("props")).alias("record"))
-    return bt.land_records(raw, "record", T.StructType([T.StructField("k", T.IntegerType())]))
+    kind = F.col("event_type")
+    detail = (F.when(kind == "signup", F.lit("{}")).when(kind == "purchase", F.lit('{"z":1}'))
+              .otherwise(F.concat(F.lit('{"v":"'), kind, F.lit('"}'))))
+    record = F.concat(F.lit('{"k":'), F.get_json_object("props", "$.k"), F.lit(',"detail":'), detail, F.lit("}"))
+    raw = ev.select("event_id", "user_id", F.when(kind == "error", F.lit("{}")).otherwise(record).alias("record"))
+    landed = bt.land_records(raw, "record", T.StructType([
+        T.StructField("k", T.IntegerType()), T.StructField("detail", T.StructType([T.StructField("v", T.StringType())]))]))
+    return landed.select("event_id", "user_id", "k", F.col("detail").isNull().alias("no_detail"), F.col("detail.v").alias("v"))
 
 
 @query
@@ -278,7 +302,7 @@ def vector_parse(spark, sf):
 
 @query
 def vector_topk(spark, sf):
-    e = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("job_id"), "embedding")
+    e = _work(spark, sf, "embeddings").select(F.col("vec_id").alias("job_id"), "embedding")
     return search.vector_topk(e, cvs(spark, sf), search.SearchConfig())
 
 
@@ -366,7 +390,44 @@ def headline(spark, sf):
     q = search.cv_lexemes(cvs(spark, sf), cfg)
     top = _rrf(spark, sf).select("cv_id", "rank", "job_id")
     j = top.join(_result_offers(spark, sf), "job_id").join(q, "cv_id")
-    return j.select("cv_id", "rank", "job_id", search.headline(F.col("search_text"), F.col("terms")).alias("headline"))
+    return search.headline(j, "search_text", "terms").select("cv_id", F.col("rank").cast("long").alias("rank"), "job_id", "headline")
+
+
+@query
+def snippet_keywords(spark, sf):
+    """The chain of a result card: snippet with marks, then the keywords in its marks."""
+    return headline(spark, sf).select("cv_id", "rank", "job_id", tx.headline_keywords("headline").alias("keywords"))
+
+
+ENCODED_DIM = 64
+
+
+@query
+def hybrid_search_text(spark, sf):
+    """Search from CV text alone: every document and every CV is encoded by the same encoder."""
+    docs = _work(spark, sf, "documents").select(F.col("doc_id").alias("job_id"), "text")
+    cv = _t(spark, sf, "benchmark").select(F.col("item_id").alias("cv_id"), F.col("text").alias("cv_text"))
+    top = search.hybrid_search(encode(docs, "job_id", "text", dim=ENCODED_DIM), index(spark, sf), cv, dim=ENCODED_DIM)
+    return top.select("cv_id", F.col("rank").cast("long").alias("rank"), "job_id", "embedding_score", "fts_score",
+                      "title_score", F.round("combined_score", 9).alias("combined_score"))
+
+
+@query
+def fts_stem_vocab(spark, sf):
+    """French stems of the distinct words of all documents."""
+    words = _work(spark, sf, "documents").select(F.explode(tx.tokens("text")).alias("lexeme"))
+    return stem_vocabulary(words)
+
+
+@query
+def fts_rank_stored(spark, sf):
+    """Text scores read from an index stored in lexeme buckets; the same rows as ``fts_rank``."""
+    path = scratch_path(spark, "bucketed-postings")
+    search.write_index(index(spark, sf), path, buckets=16)
+    cfg = search.SearchConfig()
+    q = search.cv_lexemes(_t(spark, sf, "benchmark").select(F.col("item_id").alias("cv_id"), F.col("text").alias("cv_text")), cfg)
+    s = search.text_scores(spark.read.parquet(path), q, cfg)
+    return s.select("cv_id", "job_id", F.round("fts_score", 9).alias("fts_score"))
 
 
 # ---------------------------------------------------------------------------------------------- links
@@ -395,8 +456,11 @@ def dead_offer_delete(spark, sf):
 @query
 def result_card(spark, sf):
     ev = _t(spark, sf, "events")
-    created = F.when(F.col("event_type") == "error", F.lit("not a date")).otherwise(
-        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    kind = F.col("event_type")
+    created = (F.when(kind == "error", F.lit("not a date"))
+               .when(kind == "purchase", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'+02:00'"))
+               .when(kind == "click", F.date_format("ts", "yyyy-MM-dd'T'HH:mm"))
+               .otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")))
     return ev.select("event_id", tx.offer_url("event_id", BASE_URL).alias("url"),
                      tx.display_date(created).alias("date_display"),
                      tx.percent(F.least(F.col("value") / 500.0, F.lit(1.0))).alias("pct"))
@@ -423,8 +487,8 @@ def latest_day(spark, sf):
 @query
 def batch_complete(spark, sf):
     ev = _events_dated(spark, sf)
-    silver = ev.filter(F.col("event_type") == "click")
-    gold = ev.filter((F.col("event_type") == "purchase") & (F.col("value") > 400))
+    in_gold = F.coalesce((F.col("event_type") == "purchase") & (F.col("value") > 400), F.lit(False))
+    silver, gold = ev.filter(~in_gold), ev.filter(in_gold)
     return bt.batch_complete(silver, gold)
 
 
@@ -447,23 +511,14 @@ def backfill_union(spark, sf):
 
 @query
 def run_metrics(spark, sf):
-    d = _t(spark, sf, "documents")
-    lab = _t(spark, sf, "labels").select("doc_id").distinct().withColumn("_lab", F.lit(True))
-    j = d.join(lab, "doc_id", "left")
-    return j.agg(
-        F.count("*").alias("rows_in"),
-        (F.count("*") - F.count_distinct("text")).alias("duplicate_texts"),
-        F.count_if(F.col("doc_id").isNull()).cast("long").alias("null_keys"),
-        F.count_if(F.col("_lab").isNotNull()).cast("long").alias("already_processed"),
-        F.count_if(F.col("n_chars") < 100).cast("long").alias("short_texts"),
-    )
+    return jobs.run_metrics(_t(spark, sf, "documents"), _t(spark, sf, "labels"), "doc_id", "text", "n_chars")
 
 
 # ---------------------------------------------------------------------------------------------- jobs
 
 
 def _bronze_pages(spark, sf):
-    p = _t(spark, sf, "pages")
+    p = _work(spark, sf, "pages")
     return p.select(F.col("page_id").alias("id"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("intitule"),
                     F.col("html").alias("description"))
 
@@ -477,31 +532,58 @@ def silver_build(spark, sf):
 @query
 def gold_build(spark, sf):
     o = offers(spark, sf)
-    silver = o.select("job_id", F.concat_ws(" ", "title", "text").alias("vector_text_input"))
+    silver = o.select("job_id", F.concat_ws(" ", "title", "text").alias("vector_text_input"),
+                      F.date_sub(F.to_date(F.lit(AS_OF)), (F.col("job_id") % 5).cast("int")).alias("ingestion_date"))
     gold = _t(spark, sf, "labels").select(F.col("doc_id").alias("job_id"))
-    return jobs.build_gold(silver, gold, AS_OF, dim=64)
+    return jobs.build_gold(silver, gold, AS_OF, dim=ENCODED_DIM)
 
 
 @query
 def batch_end_to_end(spark, sf):
-    silver, gold, ex_s, ex_g = jobs.run_batch(_bronze_pages(spark, sf), None, None, AS_OF, dim=64)
-    return ex_g
+    """A run over stored tables: pages with a label are stored already, under other texts and dates (some past
+    retention), and those without a toxic label have vectors. Returns all four outputs of the run, written and
+    read as a pair."""
+    pages = _bronze_pages(spark, sf)
+    labels = _t(spark, sf, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    stored = pages.join(labels, pages.id == labels.doc_id).select(
+        F.col("id").cast("string").alias("job_id"), "intitule", F.lit("stored").alias("description"),
+        F.concat(F.lit("stored "), "intitule").alias("vector_text_input"),
+        F.date_sub(F.to_date(F.lit(AS_OF)), (F.col("id") % 90).cast("int")).alias("ingestion_date"), "toxic")
+    old = stored.filter("toxic = 0").withColumn("text", F.concat(F.lit("gold "), "intitule"))
+    gold = encode(old, "job_id", "text", dim=ENCODED_DIM).join(old.select("job_id", "ingestion_date"), "job_id")
+    silver, gold, ex_s, ex_g = jobs.run_batch(pages, stored.drop("toxic"), gold, AS_OF, dim=ENCODED_DIM)
+    path = scratch_path(spark, "pairs")
+    jobs.write_pair(silver, gold, path, "r1")
+    silver, gold = jobs.read_pairs(spark, path)
+    none = F.lit(None).cast("array<float>")
+    parts = [("silver", silver.withColumn("embedding", none)), ("export_silver", ex_s.withColumn("embedding", none)),
+             ("gold", gold.withColumn("vector_text_input", F.lit(None).cast("string"))),
+             ("export_gold", ex_g.withColumn("embedding", nx.vector_parse(ex_g, "embedding"))
+              .withColumn("vector_text_input", F.lit(None).cast("string")))]
+    out = [df.select(F.lit(tbl).alias("tbl"), "job_id", F.col("ingestion_date").cast("string").alias("ingestion_date"),
+                     "vector_text_input", "embedding") for tbl, df in parts]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
 @query
 def serving_load(spark, sf):
-    d = _t(spark, sf, "documents").withColumn("ingestion_date", F.to_date(F.lit(AS_OF)))
+    """Served rows hold other texts, vectors and dates than the batch: what is served stays as it is or expires."""
+    as_of = F.to_date(F.lit(AS_OF))
+    d = _t(spark, sf, "documents").withColumn("ingestion_date", as_of)
     served = d.join(_t(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi").select(
-        F.col("doc_id").alias("job_id"), "text", "ingestion_date")
+        F.col("doc_id").alias("job_id"), F.concat(F.lit("served "), "source").alias("text"),
+        F.date_sub(as_of, (F.col("doc_id") % 60).cast("int")).alias("ingestion_date"))
     batch = tb.dedup_first(d.select(F.col("doc_id").alias("job_id"), "text", "ingestion_date"), "job_id", "job_id")
     e = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("job_id"), nx.vector_to_json("embedding").alias("embedding"),
-                                            F.to_date(F.lit(AS_OF)).alias("ingestion_date"))
-    served_gold = (_t(spark, sf, "embeddings").select(F.col("vec_id").alias("job_id"), "embedding",
-                                                       F.to_date(F.lit(AS_OF)).alias("ingestion_date"))
-                   .join(served.select("job_id"), "job_id", "left_semi"))
+                                            as_of.alias("ingestion_date"))
+    served_gold = (_t(spark, sf, "embeddings").select(F.col("vec_id").alias("job_id"), F.reverse("embedding").alias("embedding"))
+                   .join(served.select("job_id", "ingestion_date"), "job_id"))
     s_after, g_after = jobs.load_serving(batch, e, served, served_gold, AS_OF, 30)
-    return (s_after.select(F.lit("silver").alias("tbl"), F.col("job_id").alias("id"))
-            .unionByName(g_after.select(F.lit("gold").alias("tbl"), F.col("job_id").alias("id"))))
+    none = F.lit(None)
+    return (s_after.select(F.lit("silver").alias("tbl"), F.col("job_id").alias("id"), "ingestion_date", "text",
+                           none.cast("array<float>").alias("embedding"))
+            .unionByName(g_after.select(F.lit("gold").alias("tbl"), F.col("job_id").alias("id"), "ingestion_date",
+                                        none.cast("string").alias("text"), "embedding")))
 
 
 @query
@@ -516,33 +598,51 @@ def stream_file_ingest(spark, sf):
     return spark.read.parquet(target).select("event_id")
 
 
+def _report(spark, sf, silver: DataFrame, group: str) -> dict[str, DataFrame]:
+    gold = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("job_id"))
+    return jobs.lake_report(silver, gold, AS_OF, contract_col=group, sector_col=group)
+
+
+def _documents_dated(spark, sf):
+    return _t(spark, sf, "documents").withColumn("ingestion_date", F.to_date(F.lit(AS_OF)))
+
+
 @query
 def top_groups(spark, sf):
-    d = _t(spark, sf, "documents")
-    return (d.groupBy("source").agg(F.count("*").alias("cnt"))
-            .orderBy(F.col("cnt").desc(), F.col("source").asc_nulls_last()).limit(10))
+    return _report(spark, sf, _documents_dated(spark, sf), "source")["contracts"]
 
 
 @query
 def top_groups_events(spark, sf):
-    ev = _t(spark, sf, "events")
-    return (ev.groupBy("event_type").agg(F.count("*").alias("cnt"))
-            .orderBy(F.col("cnt").desc(), F.col("event_type").asc_nulls_last()).limit(10))
+    return _report(spark, sf, _events_dated(spark, sf), "event_type")["sectors"]
 
 
 @query
 def total_count(spark, sf):
-    return _t(spark, sf, "documents").agg(F.count("*").alias("total"))
+    return _report(spark, sf, _documents_dated(spark, sf), "source")["total"]
 
 
 @query
 def distinct_count(spark, sf):
-    return _t(spark, sf, "embeddings").agg(F.count_distinct("vec_id").alias("jobs_with_embeddings"))
+    return _report(spark, sf, _documents_dated(spark, sf), "source")["gold_keys"]
 
 
 @query
 def count_per_day(spark, sf):
-    ev = _events_dated(spark, sf)
-    cutoff = F.date_sub(F.to_date(F.lit(AS_OF)), 14)
-    return (ev.filter(F.col("ingestion_date") >= cutoff).groupBy("ingestion_date")
-            .agg(F.count("*").alias("cnt")).orderBy(F.col("ingestion_date").desc()))
+    return _report(spark, sf, _events_dated(spark, sf), "event_type")["per_day"]
+
+
+@query
+def rebuild_days(spark, sf):
+    """Rebuild over many landed batches of differing columns: files read by a glob, relaxed union, silver with the first
+    row of each id in batch and row order."""
+    pages = _bronze_pages(spark, sf)
+    path = scratch_path(spark, "landed")
+    pages.select("id", "intitule").withColumn("description", F.lit("first <b>day</b>")).filter(F.col("id").isNotNull()) \
+        .join(_t(spark, sf, "labels").select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi") \
+        .write.parquet(f"{path}/jobs_raw_20240101_000000")
+    pages.withColumn("description", F.concat("description", F.lit("&amp;"))).withColumn("id", F.col("id").cast("string")) \
+        .withColumn("batch_no", F.lit(2)).write.parquet(f"{path}/jobs_raw_20240102_000000")
+    days = [bt.read_with_source(spark, f"{path}/jobs_raw_2024010{n}_*/*.parquet").withColumn("batch", F.lit(n)) for n in (1, 2)]
+    silver = jobs.build_silver(tb.union_relaxed(days), AS_OF, order=["batch", "_file", "_row"])
+    return silver.select("job_id", "intitule", "description", "vector_text_input", "batch_no")

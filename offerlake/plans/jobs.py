@@ -16,6 +16,7 @@ from offerlake.functions import nested as nx
 from offerlake.functions import text as tx
 from offerlake.operators import tables as tb
 from offerlake.operators.encode import encode
+from offerlake.session import scratch_path
 
 NESTED_TEXT_FIELDS = (
     ("competences", "libelle", "competences_text"),
@@ -38,7 +39,7 @@ def _nested(df: DataFrame, col: str, field: str):
 def build_silver(bronze: DataFrame, as_of: str, order: str | list[str] | None = None,
                  target: T.StructType | None = None) -> DataFrame:
     """Bronze offers -> silver rows: HTML cleaned, nested texts, embedding input text, one row per id
-    (first by ``order``; by id otherwise), ``id`` -> ``job_id`` (string), ingestion date stamped.
+    (first by ``order``; else by file and row where ``read_with_source`` noted them), ``id`` -> ``job_id`` (string), ingestion date stamped.
     Null ids are rejected. With ``target`` the result is aligned to that schema."""
     df = bronze
     parts = {name: _nested(df, col, field) for col, field, name in NESTED_TEXT_FIELDS}
@@ -50,21 +51,19 @@ def build_silver(bronze: DataFrame, as_of: str, order: str | list[str] | None =
                                             parts["qualites_text"]),
     })
     df = df.filter(F.col("id").isNotNull())
-    df = tb.dedup_first(df, "id", order or "id")
+    in_file_order = ["_file", "_row"] if {"_file", "_row"} <= set(df.columns) else "id"
+    df = tb.dedup_first(df, "id", order or in_file_order)
     df = df.withColumn("id", F.col("id").cast("string")).withColumnsRenamed({"id": "job_id"})
     df = df.withColumn("ingestion_date", F.to_date(F.lit(as_of)))
     return tb.schema_align(df, target) if target is not None else df
 
 
 def build_gold(silver: DataFrame, gold: DataFrame | None, as_of: str, dim: int = 384,
-               encoder_factory: Callable[[], object] | None = None, limit: int | None = None,
-               max_chars: int | None = None) -> DataFrame:
+               encoder_factory: Callable[[], object] | None = None) -> DataFrame:
     """Embeddings for silver offers not in gold yet (``job_id, embedding, ingestion_date``).
     ``gold=None`` stands for a gold table that does not exist yet."""
     todo = silver if gold is None else tb.unprocessed(silver, gold, "job_id")
-    if limit is not None:
-        todo = todo.orderBy("job_id").limit(limit)
-    vecs = encode(todo, "job_id", "vector_text_input", dim=dim, encoder_factory=encoder_factory, max_chars=max_chars)
+    vecs = encode(todo, "job_id", "vector_text_input", dim=dim, encoder_factory=encoder_factory)
     if "ingestion_date" not in todo.columns:
         return vecs.withColumn("ingestion_date", F.to_date(F.lit(as_of)))
     # an offer embedded later than it was ingested keeps the date of its silver row
@@ -83,22 +82,55 @@ def export_latest(silver: DataFrame, gold: DataFrame, date_col: str = "ingestion
 
 
 def run_batch(bronze: DataFrame, silver: DataFrame | None, gold: DataFrame | None, as_of: str,
-              retention_days: int = 60, dim: int = 384, encoder_factory=None):
-    """Retention -> silver -> gold -> export, as DataFrames: returns (silver, gold, export_silver, export_gold)."""
-    new_silver = build_silver(bronze, as_of)
+              retention_days: int = 60, dim: int = 384, encoder_factory=None, order: str | list[str] | None = None,
+              stage: str | None = None):
+    """Retention -> silver -> gold -> export, as DataFrames: returns (silver, gold, export_silver, export_gold).
+
+    Silver is cleaned once: it is written to ``stage`` (a fresh folder of the shared checkpoint folder by default)
+    and read back, gold is made from those rows and staged likewise, and both exports read the staged pair."""
+    spark = bronze.sparkSession
+    stage = stage or scratch_path(spark, "run")
+    new_silver = build_silver(bronze, as_of, order)
     if silver is not None:
         kept = tb.retention(silver, "ingestion_date", as_of, retention_days)
         silver_all = tb.merge_insert_only(new_silver, kept, "job_id")
     else:
         silver_all = new_silver
+    silver_all = _staged(silver_all, f"{stage}/silver")
     if gold is not None:
         gold = tb.retention(gold, "ingestion_date", as_of, retention_days)
     new_gold = build_gold(silver_all, gold, as_of, dim=dim, encoder_factory=encoder_factory)
-    gold_all = new_gold if gold is None else gold.unionByName(new_gold)
+    gold_all = _staged(new_gold if gold is None else gold.unionByName(new_gold), f"{stage}/gold")
     ex_s, ex_g = export_latest(silver_all, gold_all)
     return silver_all, gold_all, ex_s, ex_g
 
 
+def _staged(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+RUNS = "run_id string, n_silver long, n_gold long"
+
+
+def write_pair(silver: DataFrame, gold: DataFrame, path: str, run_id: str) -> None:
+    """Write silver and gold of one run as a pair below ``path``. The run is entered in ``path``/runs only after both
+    tables are complete, with their row counts, so readers of ``read_pairs`` never see half a run; a run that died
+    is written again under another id."""
+    spark = silver.sparkSession
+    counts = [_staged(df, f"{path}/{name}/run_id={run_id}").count() for name, df in (("silver", silver), ("gold", gold))]
+    spark.createDataFrame([(run_id, *counts)], RUNS).coalesce(1).write.mode("append").parquet(f"{path}/runs")
+
+
+def read_pairs(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """Silver and gold of every completed run (``run_id`` tells which)."""
+    runs = spark.read.schema(RUNS).parquet(f"{path}/runs").select("run_id").distinct()
+    tables = [spark.read.option("mergeSchema", "true").parquet(f"{path}/{name}")
+              .withColumn("run_id", F.col("run_id").cast("string")).join(runs, "run_id", "left_semi")
+              for name in ("silver", "gold")]
+    return tables[0], tables[1]
+
+
 def load_serving(silver_batch: DataFrame, gold_batch: DataFrame, served_silver: DataFrame,
                  served_gold: DataFrame, as_of: str, retention_days: int = 30,
                  silver_schema: T.StructType | None = None) -> tuple[DataFrame, DataFrame]:
@@ -119,7 +151,8 @@ def load_serving(silver_batch: DataFrame, gold_batch: DataFrame, served_silver:
 
 
 def lake_report(silver: DataFrame, gold: DataFrame, as_of: str, days: int = 14, top: int = 10,
-                approx_distinct: bool = False) -> dict[str, DataFrame]:
+                approx_distinct: bool = False, contract_col: str = "typeContratLibelle",
+                sector_col: str = "secteurActiviteLibelle") -> dict[str, DataFrame]:
     """The five lake queries: total, top contract types, top sectors, per day (last ``days``), gold keys
     (exact distinct count, or a HyperLogLog estimate with ``approx_distinct``)."""
     def top_groups(col: str) -> DataFrame:
@@ -129,8 +162,8 @@ def lake_report(silver: DataFrame, gold: DataFrame, as_of: str, days: int = 14,
     cutoff = F.date_sub(F.to_date(F.lit(as_of)), days)
     return {
         "total": silver.agg(F.count("*").cast("long").alias("total")),
-        "contracts": top_groups("typeContratLibelle"),
-        "sectors": top_groups("secteurActiviteLibelle"),
+        "contracts": top_groups(contract_col),
+        "sectors": top_groups(sector_col),
         "per_day": (silver.filter(F.col("ingestion_date") >= cutoff).groupBy("ingestion_date")
                     .agg(F.count("*").cast("long").alias("cnt")).orderBy(F.col("ingestion_date").desc())),
         "gold_keys": gold.agg((F.approx_count_distinct("job_id") if approx_distinct else F.count_distinct("job_id"))
@@ -144,9 +177,14 @@ def observe_run(df: DataFrame, key: str, name: str = "run") -> tuple[DataFrame,
     return df.observe(obs, F.count(F.lit(1)).alias("rows"), F.count_if(F.col(key).isNull()).alias("null_keys")), obs
 
 
-def write_jdbc(df: DataFrame, url: str, table: str, properties: dict | None = None, mode: str = "append") -> None:
-    """Append rows to a served database table, only when a target is configured. Run it on the output of
-    ``insert_only_rows`` so that keys already served are never sent (no ``ON CONFLICT`` round trips)."""
-    if not url:
-        return
-    df.write.jdbc(url, table, mode=mode, properties=properties or {})
+def run_metrics(source: DataFrame, done: DataFrame, key: str, text_col: str, length_col: str,
+                short: int = 100) -> DataFrame:
+    """One row of counters over a whole table: rows, repeated texts, null keys, keys done already, short texts."""
+    seen = done.select(F.col(key)).distinct().withColumn("_done", F.lit(True))
+    return source.join(seen, key, "left").agg(
+        F.count("*").alias("rows_in"),
+        (F.count("*") - F.count_distinct(text_col)).alias("duplicate_texts"),
+        F.count_if(F.col(key).isNull()).cast("long").alias("null_keys"),
+        F.count_if(F.col("_done").isNotNull()).cast("long").alias("already_processed"),
+        F.count_if(F.col(length_col) < short).cast("long").alias("short_texts"),
+    )

@@ -1,14 +1,21 @@
 """DuckDB statements that state, independently of Spark, what each query key must return.
 
-They are written from the same rules as the library (same regular expressions, same formulas) and run
-on the driver's pre-registered views of the test tables.
+They are written from the rules, with constants of their own, so that a wrong constant in the library shows; they
+run on the driver's pre-registered views of the test tables. Only the stop-word list is shared.
 """
 
 from __future__ import annotations
 
 from offerlake.functions.stopwords import FRENCH_STOPWORDS
-from offerlake.functions.text import HTML_TAG_OR_ENTITY, WORD, WS
-from offerlake.operators.search import FTS_WEIGHTS, RRF_K, TITLE_WEIGHT, TOP_K, ZETA2, DEFAULT_WEIGHT_D
+
+# Fixed values, stated a second time.
+TOP_K, RRF_K, TITLE_WEIGHT = 100, 60, 3.0
+ZETA2, DEFAULT_WEIGHT_D = 1.64493406685, 0.1
+FTS_WEIGHTS = {"A": 1.0, "B": 0.6, "C": 0.3}
+WORD = r"\p{L}\p{N}_"
+WS = r"\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+HTML_TAG_OR_ENTITY = r"<[^\n]*?>|&([a-zA-Z0-9]+|#[0-9]{1,6}|#x[0-9a-fA-F]{1,6});"
+ENCODED_DIM = 64
 
 AS_OF = "2024-01-30"
 BASE_URL = "https://offers.example.org/detail/"
@@ -99,8 +106,26 @@ ts AS (SELECT cv_id, job_id, sum(w_f) / any_value(n_terms) AS fts_score,
     FROM hits GROUP BY cv_id, job_id)"""
 
 
-RRF_CTES = f"""WITH {DOCS}, {INDEX}, {CVS}, {text_score_ctes('cvq', 'cv_id', 'cv_text')},
-corpus AS (SELECT d.job_id, e.embedding FROM docs d JOIN embeddings e ON e.vec_id = d.job_id WHERE e.embedding IS NOT NULL),
+def encoded_ctes(name: str, src: str, key: str, text: str, dim: int = ENCODED_DIM) -> str:
+    """CTEs ending in ``{name}(id, embedding)``: signed hashing of the words by digits of their md5, then unit length."""
+    return f"""
+{name}_w AS (SELECT {key} AS id, unnest({tokens(text)}) AS w FROM {src}),
+{name}_h AS (SELECT id, CAST(CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % {dim} AS INTEGER) AS b,
+    CAST(sum(CASE WHEN substr(md5(w), 9, 1) >= '8' THEN -1 ELSE 1 END) AS DOUBLE) AS v FROM {name}_w GROUP BY 1, 2),
+{name}_n AS (SELECT id, sqrt(sum(v * v)) AS n FROM {name}_h GROUP BY id),
+{name}_all AS (SELECT DISTINCT {key} AS id FROM {src}),
+{name} AS (SELECT a.id, list(CAST(coalesce(h.v / nullif(n.n, 0), 0) AS FLOAT) ORDER BY r.i) AS embedding
+    FROM {name}_all a CROSS JOIN (SELECT CAST(range AS INTEGER) AS i FROM range({dim})) r
+    LEFT JOIN {name}_h h ON h.id = a.id AND h.b = r.i LEFT JOIN {name}_n n ON n.id = a.id GROUP BY a.id)"""
+
+
+CORPUS = """corpus AS (SELECT d.job_id, e.embedding FROM docs d JOIN embeddings e ON e.vec_id = d.job_id
+    WHERE e.embedding IS NOT NULL)"""
+
+
+def rrf_ctes(cvs: str, corpus: str) -> str:
+    return f"""WITH {DOCS}, {INDEX}, {cvs}, {text_score_ctes('cvq', 'cv_id', 'cv_text')},
+{corpus},
 pairs AS (SELECT c.cv_id, k.job_id,
     round(1 - list_distance(k.embedding::DOUBLE[], c.q::DOUBLE[]), 9) AS embedding_score,
     round(coalesce(ts.fts_score, 0.0), 9) AS fts_score, round(coalesce(ts.title_score, 0.0), 9) AS title_score
@@ -118,6 +143,9 @@ last_event AS (SELECT user_id AS job_id, event_type FROM (SELECT user_id, event_
 status AS (SELECT job_id, CASE event_type WHEN 'error' THEN 'timeout' WHEN 'purchase' THEN '404'
     WHEN 'signup' THEN 'exception' ELSE '200' END AS status FROM last_event)"""
 
+
+RRF_CTES = rrf_ctes(CVS, CORPUS)
+
 STATUS_CTES = RRF_CTES  # the status CTEs ride along; DuckDB drops unused CTEs
 
 
@@ -137,7 +165,9 @@ ORACLE["vector_text"] = f"""SELECT doc_id AS job_id, concat_ws(' ', coalesce({fi
     coalesce(nullif(source, ''), ''), coalesce(nullif(lang, ''), ''), '') AS vector_text_input FROM documents"""
 
 ORACLE["nested_text"] = """SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: x <> ''), ' ') AS skills_text,
-    array_to_string(list_filter(string_split(text, chr(10)), lambda x: x <> ''), ' ') AS skills_text_json FROM documents"""
+    array_to_string(list_filter(string_split(text, chr(10)), lambda x: x <> ''), ' ') AS skills_text_json,
+    array_to_string(list_filter(string_split(text, chr(10)), lambda x: x <> ''), ' ') AS skills_strings,
+    coalesce(text, '') AS skills_object, coalesce('[CDI] ' || text, '') AS skills_plain FROM documents"""
 
 ORACLE["dedup_first"] = """SELECT doc_id, text, lang, source, n_chars FROM (
     SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1"""
@@ -169,11 +199,12 @@ ORACLE["retention"] = f"""SELECT event_id, CAST(ts AS DATE) AS ingestion_date FR
     WHERE ts IS NULL OR CAST(ts AS DATE) >= DATE '{AS_OF}' - INTERVAL 14 DAY"""
 
 ORACLE["retention_report"] = f"""SELECT
-    count(*) FILTER (WHERE ts IS NULL OR CAST(ts AS DATE) >= DATE '{AS_OF}' - INTERVAL 60 DAY) AS kept,
-    count(*) FILTER (WHERE CAST(ts AS DATE) < DATE '{AS_OF}' - INTERVAL 60 DAY) AS deleted,
+    count(*) FILTER (WHERE ts IS NULL OR CAST(ts AS DATE) >= DATE '{AS_OF}' - INTERVAL 14 DAY) AS kept,
+    count(*) FILTER (WHERE CAST(ts AS DATE) < DATE '{AS_OF}' - INTERVAL 14 DAY) AS deleted,
     count(*) FILTER (WHERE ts IS NULL) AS null_dates FROM events"""
 
-ORACLE["export_latest"] = """SELECT event_id, CAST(ts AS DATE) AS ingestion_date, event_type, props FROM events
+ORACLE["export_latest"] = """SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS ingestion_date, event_type,
+    '{"k":' || coalesce(json_extract_string(props, '$.k'), 'null') || ',"note":null}' AS props FROM events
     WHERE CAST(ts AS DATE) = (SELECT max(CAST(ts AS DATE)) FROM events)"""
 
 ORACLE["cascade_delete"] = """SELECT l_orderkey, l_linenumber FROM lineitem l
@@ -183,12 +214,17 @@ ORACLE["fk_orphans"] = """SELECT l_orderkey, l_linenumber FROM lineitem l
     WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey AND o.o_orderstatus <> 'F')"""
 
 ORACLE["schema_align"] = """SELECT CAST(c_custkey AS VARCHAR) AS key, c_name AS name, c_nationkey AS nation,
-    c_acctbal AS balance, c_mktsegment AS segment, CAST(NULL AS VARCHAR) AS comment FROM customer"""
+    c_acctbal AS balance, c_mktsegment AS segment, CAST(NULL AS VARCHAR) AS comment,
+    CASE WHEN c_acctbal < 0 THEN NULL ELSE CAST(c_nationkey AS INTEGER) END AS phone,
+    '{"segment":"' || c_mktsegment || '","nation":' || CAST(c_nationkey AS VARCHAR) || '}' AS info,
+    CAST(c_nationkey AS BIGINT) AS place_nation, CAST(NULL AS VARCHAR) AS place_city FROM customer"""
 
 ORACLE["union_relaxed"] = """SELECT c_custkey AS key, c_name AS name, CAST(c_nationkey AS BIGINT) AS nation,
-        c_acctbal AS balance, c_mktsegment AS segment, CAST(NULL AS VARCHAR) AS kind FROM customer
+        c_acctbal AS balance, c_mktsegment AS segment,
+        '{"segment":"' || c_mktsegment || '","nation":' || CAST(c_nationkey AS VARCHAR) || '}' AS info,
+        CAST(NULL AS VARCHAR) AS kind FROM customer
     UNION ALL SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT), CAST(CAST(s_acctbal AS FLOAT) AS DOUBLE), NULL,
-        'supplier' FROM supplier"""
+        s_name, 'supplier' FROM supplier"""
 
 ORACLE["json_field"] = "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events"
 
@@ -200,7 +236,8 @@ ORACLE["json_serialize"] = """SELECT n.n_nationkey,
     FROM nation n LEFT JOIN region r ON r.r_regionkey = n.n_regionkey"""
 
 ORACLE["land_records"] = """SELECT event_id, CASE WHEN event_type = 'error' THEN NULL
-    ELSE CAST(json_extract(props, '$.k') AS INTEGER) END AS k, user_id FROM events"""
+    ELSE CAST(json_extract(props, '$.k') AS INTEGER) END AS k, user_id, event_type IN ('error', 'signup') AS no_detail,
+    CASE WHEN event_type IN ('error', 'signup', 'purchase') THEN NULL ELSE event_type END AS v FROM events"""
 
 ORACLE["vector_sanitize"] = """SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x < -0.25 THEN NULL ELSE x END) AS embedding,
     len(list_filter(embedding, lambda x: x < -0.25)) AS n_null FROM embeddings"""
@@ -256,6 +293,28 @@ ORACLE["search_results"] = f"""{RRF_CTES},
         list_slice({ordered_distinct('matched')}, 1, 10) AS matching_terms
     FROM res"""
 
+_SNIPPETS = f"""snippet_text AS (SELECT t.cv_id, t.rank, t.job_id, q.terms, {split_ws(_SEARCH_TEXT)} AS words,
+        list_filter({tokens(_SEARCH_TEXT)}, lambda x: list_contains(q.terms, x))[1] AS first
+        FROM top t JOIN docs d ON d.job_id = t.job_id JOIN qn2 q ON q.cv_id = t.cv_id),
+    snippet_start AS (SELECT *, list_position(list_transform(words, lambda x: list_contains({tokens('x')}, first)), true) AS pos
+        FROM snippet_text),
+    snippet_words AS (SELECT cv_id, rank, job_id, terms,
+        CASE WHEN first IS NULL THEN list_slice(words, 1, 50) ELSE list_slice(words, pos, pos + 99) END AS words FROM snippet_start),
+    snippet AS (SELECT cv_id, rank, job_id, array_to_string(list_transform(words, lambda x: array_to_string(list_transform(
+        regexp_extract_all(x, '[{WORD}]+|[^{WORD}]+'), lambda p: CASE WHEN list_contains(terms, lower(p))
+            THEN '<b>' || p || '</b>' ELSE p END), '')), ' ') AS headline FROM snippet_words)"""
+
+ORACLE["headline"] = f"{RRF_CTES}, {_SNIPPETS} SELECT cv_id, rank, job_id, headline FROM snippet"
+
+_CV_TEXTS = "cv_texts AS (SELECT item_id AS cv_id, text AS cv_text FROM benchmark)"
+ORACLE["hybrid_search_text"] = rrf_ctes(
+    f"""{_CV_TEXTS}, {encoded_ctes('cv_vec', 'cv_texts', 'cv_id', 'cv_text')},
+    cvq AS (SELECT c.cv_id, c.cv_text, v.embedding AS q FROM cv_texts c JOIN cv_vec v ON v.id = c.cv_id)""",
+    f"{encoded_ctes('doc_vec', 'docs', 'job_id', 'text')}, corpus AS (SELECT id AS job_id, embedding FROM doc_vec)") + """
+    SELECT cv_id, rank, job_id, embedding_score, fts_score, title_score, round(combined_score, 9) AS combined_score FROM top"""
+
+ORACLE["fts_rank_stored"] = ORACLE["fts_rank"]
+
 _MARKED = "regexp_replace(text, '([^.\\n<>]+)', '<b>\\1</b>', 'g')"
 
 
@@ -269,6 +328,10 @@ _KW_TERMS = (f"list_filter(list_transform(regexp_extract_all({_MARKED}, '<b>([^<
 ORACLE["matching_terms"] = f"""WITH kw AS (SELECT doc_id, {_KW_TERMS} AS kw FROM documents)
     SELECT doc_id, list_slice({ordered_distinct('kw')}, 1, 10) AS keywords FROM kw"""
 
+ORACLE["snippet_keywords"] = f"""{RRF_CTES}, {_SNIPPETS},
+    kw AS (SELECT cv_id, rank, job_id, {_KW_TERMS.replace(_MARKED, 'headline')} AS kw FROM snippet)
+    SELECT cv_id, rank, job_id, list_slice({ordered_distinct('kw')}, 1, 10) AS keywords FROM kw"""
+
 ORACLE["link_classify"] = f"""{STATUS_CTES}
     SELECT job_id, status, status IN ('200', 'timeout', 'error', 'exception') AS alive FROM status"""
 
@@ -291,10 +354,43 @@ ORACLE["silver_build"] = f"""SELECT CAST(page_id AS VARCHAR) AS job_id, {_TITLE}
     concat_ws(' ', coalesce({_TITLE}, ''), {html_clean('html')}, '', '', '') AS vector_text_input,
     DATE '{AS_OF}' AS ingestion_date FROM pages WHERE page_id IS NOT NULL"""
 
-ORACLE["serving_load"] = """WITH served AS (SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)),
-    silver AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL),
-    gold AS (SELECT DISTINCT vec_id FROM embeddings e WHERE EXISTS (SELECT 1 FROM silver s WHERE s.doc_id = e.vec_id))
-    SELECT 'silver' AS tbl, doc_id AS id FROM silver UNION ALL SELECT 'gold', vec_id FROM gold"""
+ORACLE["gold_build"] = f"""WITH todo AS (SELECT doc_id AS job_id, concat_ws(' ', {first_line('text')}, text) AS t FROM documents d
+        WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)), {encoded_ctes('v', 'todo', 'job_id', 't')}
+    SELECT id AS job_id, embedding, DATE '{AS_OF}' - CAST(id % 5 AS INTEGER) AS ingestion_date FROM v"""
+
+ORACLE["batch_end_to_end"] = f"""WITH page AS (SELECT CAST(page_id AS VARCHAR) AS job_id, page_id, {_TITLE} AS title,
+        concat_ws(' ', coalesce({_TITLE}, ''), {html_clean('html')}, '', '', '') AS t FROM pages WHERE page_id IS NOT NULL),
+    stored AS (SELECT job_id, title, 'stored ' || title AS t, DATE '{AS_OF}' - CAST(page_id % 90 AS INTEGER) AS d, toxic
+        FROM page JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY doc_id) l ON l.doc_id = page_id),
+    alive AS (SELECT * FROM stored WHERE d >= DATE '{AS_OF}' - 60),
+    silver AS (SELECT job_id, t, d FROM alive UNION ALL SELECT job_id, t, DATE '{AS_OF}' FROM page p
+        WHERE NOT EXISTS (SELECT 1 FROM alive a WHERE a.job_id = p.job_id)),
+    encoded_text AS (SELECT s.job_id, coalesce(g.t, s.t) AS t FROM silver s
+        LEFT JOIN (SELECT job_id, 'gold ' || title AS t FROM alive WHERE toxic = 0) g ON g.job_id = s.job_id),
+    {encoded_ctes('v', 'encoded_text', 'job_id', 't')},
+    gold AS (SELECT s.job_id, s.d, v.embedding FROM silver s JOIN v ON v.id = s.job_id),
+    latest AS (SELECT max(d) AS d FROM silver)
+    SELECT 'silver' AS tbl, job_id, CAST(d AS VARCHAR) AS ingestion_date, t AS vector_text_input, CAST(NULL AS FLOAT[]) AS embedding FROM silver
+    UNION ALL SELECT 'export_silver', job_id, CAST(d AS VARCHAR), t, NULL FROM silver WHERE d = (SELECT d FROM latest)
+    UNION ALL SELECT 'gold', job_id, CAST(d AS VARCHAR), NULL, embedding FROM gold
+    UNION ALL SELECT 'export_gold', job_id, CAST(d AS VARCHAR), NULL, embedding FROM gold WHERE d = (SELECT d FROM latest)"""
+
+ORACLE["rebuild_days"] = f"""WITH landed AS (
+        SELECT CAST(page_id AS VARCHAR) AS job_id, {_TITLE} AS title, 'first day' AS d, CAST(NULL AS INTEGER) AS batch_no FROM pages
+        WHERE page_id IN (SELECT doc_id FROM labels)
+        UNION ALL SELECT CAST(page_id AS VARCHAR), {_TITLE}, {html_clean('html')}, 2 FROM pages
+        WHERE page_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL))
+    SELECT job_id, title AS intitule, d AS description, concat_ws(' ', coalesce(title, ''), d, '', '', '') AS vector_text_input, batch_no
+    FROM landed"""
+
+ORACLE["serving_load"] = f"""WITH served AS (SELECT doc_id AS id, 'served ' || source AS text, DATE '{AS_OF}' - CAST(doc_id % 60 AS INTEGER) AS d
+        FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)),
+    silver AS (SELECT id, text, d FROM served UNION ALL SELECT doc_id, text, DATE '{AS_OF}' FROM documents
+        WHERE doc_id IS NOT NULL AND doc_id NOT IN (SELECT id FROM served)),
+    kept AS (SELECT * FROM silver WHERE d >= DATE '{AS_OF}' - 30)
+    SELECT 'silver' AS tbl, id, d AS ingestion_date, text, CAST(NULL AS FLOAT[]) AS embedding FROM kept
+    UNION ALL SELECT 'gold', k.id, k.d, NULL, CASE WHEN k.id IN (SELECT id FROM served) THEN list_reverse(e.embedding)
+        ELSE e.embedding END FROM kept k JOIN embeddings e ON e.vec_id = k.id"""
 
 ORACLE["backfill_union"] = """SELECT user_id, event_id, ts, event_type, value FROM (
     SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM (
@@ -320,10 +416,9 @@ ORACLE["recent_batches"] = f"""WITH b AS (SELECT event_id, {_batch_name('ts')} A
 ORACLE["latest_day"] = f"""WITH b AS (SELECT event_id, {_batch_name('ts')} AS batch FROM events)
     SELECT event_id, batch FROM b WHERE CAST({_stamp('batch')} AS DATE) = (SELECT max(CAST({_stamp('batch')} AS DATE)) FROM b)"""
 
-ORACLE["batch_complete"] = """SELECT d AS ingestion_date, count(*) FILTER (WHERE s) AS n_silver, count(*) FILTER (WHERE NOT s) AS n_gold,
-    count(*) FILTER (WHERE s) > 0 AND count(*) FILTER (WHERE NOT s) > 0 AS complete FROM (
-        SELECT CAST(ts AS DATE) AS d, true AS s FROM events WHERE event_type = 'click'
-        UNION ALL SELECT CAST(ts AS DATE), false FROM events WHERE event_type = 'purchase' AND value > 400) GROUP BY d"""
+ORACLE["batch_complete"] = """SELECT d AS ingestion_date, count(*) - count(*) FILTER (WHERE g) AS n_silver, count(*) FILTER (WHERE g) AS n_gold,
+    count(*) FILTER (WHERE g) BETWEEN 1 AND count(*) - 1 AS complete FROM (
+        SELECT CAST(ts AS DATE) AS d, coalesce(event_type = 'purchase' AND value > 400, false) AS g FROM events) GROUP BY d"""
 
 ORACLE["run_metrics"] = """SELECT count(*) AS rows_in, count(*) - count(DISTINCT text) AS duplicate_texts,
     count(*) FILTER (WHERE doc_id IS NULL) AS null_keys,

@@ -11,8 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from offerlake.functions.nested import empty_struct_to_null
-
 # The batch stamp inside a file name (date_time) and its layout.
 STAMP_PATTERN = r"(\d{8}_\d{6})"
 STAMP_FORMAT = "yyyyMMdd_HHmmss"
@@ -20,13 +18,15 @@ _LOWEST = "0001-01-01 00:00:00"
 
 
 def read_with_source(spark: SparkSession, path: str, schema: T.StructType | None = None, **options) -> DataFrame:
-    """Read Parquet files and keep, on every row, the file name and its modification time."""
+    """Read Parquet files (a path or a glob; ``mergeSchema="true"`` for files with differing columns) and keep, on
+    every row, the file name, its modification time and the row's place in it, the order of first-wins rules."""
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
     df = reader.options(**options).parquet(path)
     return df.select("*", F.col("_metadata.file_name").alias("_file"),
-                     F.col("_metadata.file_modification_time").alias("_modified"))
+                     F.col("_metadata.file_modification_time").alias("_modified"),
+                     F.col("_metadata.row_index").alias("_row"))
 
 
 def batch_stamp(name: Column | str) -> Column:
@@ -73,10 +73,19 @@ def latest_day(df: DataFrame, name_col: str = "_file", time_col: str | None = No
 
 
 def land_records(df: DataFrame, json_col: str, schema: T.StructType) -> DataFrame:
-    """Land raw API records given as JSON text: typed columns, an empty object -> nulls in every column."""
-    parsed = empty_struct_to_null(F.from_json(F.col(json_col), schema)).alias("_rec")
+    """Land raw API records given as JSON text in typed columns; a column whose value is a literal ``{}`` is null
+    (an object that holds keys stays, also if none of them is in the schema)."""
     rest = [c for c in df.columns if c != json_col]
-    return df.select(*rest, parsed).select(*rest, *[F.col(f"_rec.`{f.name}`").alias(f.name) for f in schema.fields])
+
+    def column(f: T.StructField) -> Column:
+        value = F.col(f"_rec.`{f.name}`")
+        if isinstance(f.dataType, (T.StructType, T.MapType)):
+            raw = F.get_json_object(F.col(json_col), f"$['{f.name}']")
+            value = F.when(raw.isNull() | (raw != F.lit("{}")), value)
+        return value.alias(f.name)
+
+    parsed = df.select(*rest, json_col, F.from_json(F.col(json_col), schema).alias("_rec"))
+    return parsed.select(*rest, *[column(f) for f in schema.fields])
 
 
 def write_batch(df: DataFrame, path: str, batch_id: str, ingestion_date: str) -> None:

@@ -33,10 +33,22 @@ def test_duplicate_ids_encoded_once(spark):
     assert jobs.build_gold(silver, None, "2025-06-01", dim=16).count() == 2
 
 
-def test_gold_cap_and_incremental(spark):
+def test_write_pair_is_seen_only_when_complete(spark, tmp_path):
+    b = _bronze(spark, [("J1", "A", "x", None, None, None), ("J2", "B", "y", None, None, None)])
+    silver = jobs.build_silver(b, "2025-06-01")
+    gold = jobs.build_gold(silver, None, "2025-06-01", dim=8)
+    path = str(tmp_path / "pairs")
+    jobs.write_pair(silver, gold, path, "r1")
+    silver.write.parquet(f"{path}/silver/run_id=r2")  # a run that died before its gold was written
+    s, g = jobs.read_pairs(spark, path)
+    assert s.count() == 2 and g.count() == 2
+    assert {r.run_id for r in s.collect()} == {"r1"}
+
+
+def test_gold_incremental(spark):
     b = _bronze(spark, [(f"J{i:02d}", f"T{i}", "d", None, None, None) for i in range(10)])
     silver = jobs.build_silver(b, "2025-06-01")
-    first = jobs.build_gold(silver, None, "2025-06-01", dim=8, limit=3)
+    first = jobs.build_gold(silver.filter("job_id < 'J03'"), None, "2025-06-01", dim=8)
     assert first.count() == 3
     rest = jobs.build_gold(silver, first, "2025-06-02", dim=8)
     assert rest.count() == 7 and rest.join(first, "job_id").count() == 0

@@ -132,7 +132,7 @@ def test_matching_terms_and_headline(spark):
     df = spark.createDataFrame([("Développeur Python, expert python et FastAPI sur GCP", ["python", "fastapi", "gcp", "de"])],
                                "t string, terms array<string>")
     r = df.select(search.matching_terms(F.col("t"), F.col("terms")).alias("m"),
-                  search.headline(F.col("t"), F.col("terms")).alias("h")).first()
+                  "t", "terms").transform(lambda d: search.headline(d, "t", "terms", "h")).first()
     assert r.m == ["python", "fastapi", "gcp"]
     assert r.h.startswith("<b>Python</b>,") and "<b>FastAPI</b>" in r.h and "<b>Développeur" not in r.h
 
@@ -272,3 +272,44 @@ def test_range_rank_spreads_a_hot_group(spark):
     assert hot.select("p").distinct().count() > 1  # the hot group is split over several tasks
     ref = df.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(*order)))
     assert sorted(tuple(r) for r in ranked.collect()) == sorted(tuple(r) for r in ref.collect())
+
+
+def test_headline_marker_in_text_is_no_match(spark):
+    df = spark.createDataFrame([("a <b>b</b> c java d", ["java"]), ("x y", []), ("", ["java"]), (None, ["java"])], "t string, terms array<string>")
+    got = [r.h for r in search.headline(df, "t", "terms", "h", max_words=2, min_words=1).collect()]
+    assert got == ["<b>java</b> d", "x", "", ""]
+
+
+def test_matrix_scores_equal_differences():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(300, 48)), rng.normal(size=(20, 48))
+    b[0], b[1] = a[5], a[6] + 1e-7
+    exact = 1.0 - np.sqrt(((a[:, None, :] - b[None]) ** 2).sum(axis=2))
+    got = search._score_matrix(a, b, "l2")
+    assert np.abs(got - exact).max() < 1e-12 and got[5, 0] == 1.0
+    assert (search.round_half_up(got.ravel()) == search.round_half_up(exact.ravel())).all()
+
+
+def test_search_from_text_alone(spark):
+    from offerlake.operators.encode import encode
+
+    offers = spark.createDataFrame([(1, "Java", "spring java"), (2, "Data", "python c++ spark"), (3, "Vente", None)],
+                                   "job_id long, title string, description string")
+    corpus = encode(offers.withColumn("t", F.concat_ws(" ", "title", "description")), "job_id", "t", dim=16)
+    cvs = spark.createDataFrame([(7, "python spark"), (8, None)], "cv_id long, cv_text string")
+    top = search.hybrid_search(corpus, search.build_index(offers), cvs, dim=16).collect()
+    assert {(r.cv_id, r.job_id) for r in top} == {(c, j) for c in (7, 8) for j in (1, 2, 3)}
+    assert next(r.job_id for r in top if r.cv_id == 7 and r.rank == 1) == 2
+
+
+def test_stems_and_symbols_on_both_sides(spark):
+    offers = spark.createDataFrame([(1, "Développeur", "c++"), (2, "Vente", "c de")], "job_id long, title string, description string")
+    cfg = search.SearchConfig(stem=True, keep_symbols=True)
+    ix = search.build_index(offers, stem=True, keep_symbols=True, stopwords=["de"])
+    assert {r.lexeme for r in ix.collect()} == {"développeur", "c++", "vent", "c"}
+    cvs = spark.createDataFrame([(1, "développeurs C++"), (2, "")], "cv_id long, cv_text string")
+    q = search.cv_lexemes(cvs, cfg)
+    assert {r.cv_id: r.terms for r in q.collect()} == {1: ["c++", "développeur"], 2: []}
+    assert {(r.cv_id, r.job_id) for r in search.text_scores(ix, q, cfg).collect()} == {(1, 1)}

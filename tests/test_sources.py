@@ -40,3 +40,20 @@ def test_merge_into_path_creates_then_appends(spark):
     merge_into_path(b, path, "job_id")
     got = sorted(tuple(r) for r in spark.read.parquet(path).collect())
     assert got == [("1", "x"), ("2", "y"), ("3", "w")]
+
+
+def test_land_records_nulls_each_literal_empty_object(spark):
+    from pyspark.sql import types as T
+
+    schema = T.StructType().add("id", "string").add("salaire", T.StructType().add("min", "int"))
+    raw = spark.createDataFrame([(1, '{"id":"1","salaire":{}}'), (2, '{"id":"2","salaire":{"x":1}}'), (3, "{}"),
+                                 (4, '{"id":"4","salaire":{"min":7}}'), (5, None)], "n int, record string")
+    got = {r.n: (r.id, r.salaire) for r in bt.land_records(raw, "record", schema).collect()}
+    assert got[1] == ("1", None) and got[3] == (None, None) and got[5] == (None, None)
+    assert got[2][1] is not None and got[2][1].min is None and got[4][1].min == 7
+
+
+def test_rows_keep_their_place_in_the_file(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(i,) for i in (5, 3, 9)], "a int").coalesce(1).write.parquet(path)
+    assert [(r.a, r._row) for r in bt.read_with_source(spark, path + "/*.parquet").orderBy("_row").collect()] == [(5, 0), (3, 1), (9, 2)]
