@@ -45,7 +45,7 @@ def test_merge_into_path_creates_then_appends(spark):
 def test_land_records_nulls_each_literal_empty_object(spark):
     from pyspark.sql import types as T
 
-    schema = T.StructType().add("id", "string").add("salaire", T.StructType().add("min", "int"))
+    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("salaire", T.StructType([T.StructField("min", T.IntegerType())]))])
     raw = spark.createDataFrame([(1, '{"id":"1","salaire":{}}'), (2, '{"id":"2","salaire":{"x":1}}'), (3, "{}"),
                                  (4, '{"id":"4","salaire":{"min":7}}'), (5, None)], "n int, record string")
     got = {r.n: (r.id, r.salaire) for r in bt.land_records(raw, "record", schema).collect()}
