@@ -77,6 +77,26 @@ def test_forest_against_brute_force(spark, cfg):
     assert forest.near_vectors(df.limit(0), cfg).count() == 0
 
 
+def test_forest_keeps_a_dense_group_together(spark):
+    rng = np.random.default_rng(3)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    group = unit(np.sqrt(0.95) * unit(rng.normal(size=64)) + np.sqrt(0.05 / 64) * rng.normal(size=(2700, 64)))
+    x = np.concatenate([group, unit(rng.normal(size=(5400, 64)))])
+    x[-100:] = unit(x[-200:-100] + 0.03 * rng.normal(size=(100, 64)))
+    assert np.ceil(np.log2(len(x) / forest.Config().leaf)) >= 5
+    tree = forest.grow(x, 6, forest.Config(), 0)
+    assert tree.whole and sum(len(rows) for _, rows in tree.leaves(group)) < 4 * len(group)
+    links = x @ x.T >= 0.93
+    np.fill_diagonal(links, False)
+    top = np.arange(len(x))
+    while (low := np.minimum(top, np.where(links, top, len(x)).min(axis=1))).tolist() != top.tolist():
+        top = low
+    want = {(i, int(n), int(t), i == t) for i, (n, t) in enumerate(zip(links.sum(axis=1), top))}
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int").repartition(4)
+    got = {tuple(r) for r in forest.near_vectors(df).collect()}
+    assert links.sum() > 5_000_000 and got == want
+
+
 # ---- packing
 
 
