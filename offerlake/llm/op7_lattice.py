@@ -11,7 +11,8 @@ training tokens whose word occurs once. The mark for the end of a text is a toke
 Counts come from every token of every training text. Words are counted per task before they are shuffled; the
 ``Config.head`` most frequent words travel to the tasks that read the texts, a bounded table, and the occurrences
 of all other words are joined with the table of all words. Null and empty texts are a single end token.
-Rows with equal id and text share their result; bytes outside the vocabulary are spelled by its byte pieces.
+Rows with equal id and text share their result; bytes outside the vocabulary are spelled by its byte pieces. Only
+a word that no pieces spell, which takes a vocabulary without byte pieces, gets a fixed probability (``NO_PATH``).
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ MARK = "▁".encode()
 END = b""  # the end token; no word is empty
 COUNTED = 400_000  # words a task counts before it passes them on
 FLOOR = -1e30
+NO_PATH = -1e6  # natural log, of a word that no pieces spell
 
 
 @dataclass(frozen=True)
@@ -238,10 +240,12 @@ def score_texts(docs: DataFrame, pieces: Pieces, cfg: Config = Config(), id_col:
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "word", 1 << 20):
             words, c = b.column(0).to_pylist(), b.column(1).to_numpy().astype(np.float64)
-            spelled = np.where([len(w) > 0 for w in words], np.exp(np.maximum(pieces.score(words), -700)), 0.0)
+            lattice = pieces.score(words)
+            lattice = np.where(lattice > FLOOR / 2, lattice, NO_PATH)
+            spelled = np.where([len(w) > 0 for w in words], np.exp(np.maximum(lattice, -700)), 0.0)
             seen = c / n if n else np.zeros(len(c))
             p = (1 - spell) * seen + spell * spelled
-            tiny = np.maximum(pieces.score(words), -1e6) / np.log(10) + np.log10(spell) if (p < 1e-290).any() else p
+            tiny = lattice / np.log(10) + np.log10(spell)
             logp = np.where(p < 1e-290, np.where([len(w) > 0 for w in words], tiny, np.log10(1 / (n + 1))), np.log10(np.maximum(p, 1e-300)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c > 0), pa.array(np.log10(c + 1) - base_log), pa.array(logp), b.column(2)],
                                              ["word", "known", "base", "logp", "every"])

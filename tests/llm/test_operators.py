@@ -286,6 +286,15 @@ def test_lattice_base_and_recursion(spark, odd_docs, no_docs):
     assert lattice.score_texts(no_docs, pieces, cfg).count() == 0
 
 
+def test_lattice_scores_follow_the_length_of_a_run(spark):
+    pieces = lattice.vocabulary(public_tokenizers.path(lattice.VOCABULARY))
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    unit = "".join(chr(0x4E00 + 37 * i % 5000) for i in range(500))
+    texts = [(held[0], unit * 240), (held[1], unit * 480)] + [(i, "plain words") for i in range(20) if i not in held]
+    got = {r.doc_id: r.score for r in lattice.score_texts(spark.createDataFrame(texts, "doc_id long, text string"), pieces).collect()}
+    assert got[held[0]] < -1e6 / math.log(10) and 1.99 < got[held[1]] / got[held[0]] < 2.01
+
+
 # ---- language
 
 
