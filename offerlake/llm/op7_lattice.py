@@ -6,7 +6,8 @@ probabilities, computed by forward recursion in log space over the word's bytes.
 all training words then fit them (forward-backward over the same lattice). Only pieces with the word-start mark
 may begin a word and only pieces without it go on, so the spelling model sums to one over all words. A word's
 probability mixes its share of the training tokens with its spelling; the weight of the spelling is the share of
-training tokens whose word occurs once. The mark for the end of a text is a token of the first part alone.
+training tokens whose word occurs once, so the share of a known word carries most of its score and
+``lattice_score`` gives the lattice alone beside it. The mark for the end of a text is a token of the first part alone.
 
 Counts come from every token of every training text. Words are counted per task before they are shuffled; the
 ``Config.head`` most frequent words travel to the tasks that read the texts, a bounded table, and the occurrences
@@ -227,14 +228,16 @@ def fit(counts: DataFrame, pieces: Pieces, cfg: Config) -> Pieces:
 
 
 def score_texts(docs: DataFrame, pieces: Pieces, cfg: Config = Config(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row; scores are log10."""
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score) for every row; scores
+    are log10. ``lattice_score`` has no word shares: a word's lattice probability alone, beside that of the end token."""
     spark = docs.sparkSession
     counts = saved(count_words(docs, cfg, id_col, text), "lattice-counts")
     t = counts.agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v"), F.sum((F.col("c") == 1).cast("long")).alias("once"),
-                   F.count(F.lit(1)).alias("words")).first()
+                   F.count(F.lit(1)).alias("words"), F.sum(F.when(F.octet_length("word") == 0, F.col("c"))).alias("ends")).first()
     n, v, once = t["n"] or 0, t["v"] or 0, t["once"] or 0
     spell = min(0.5, max(1e-6, (once + 1) / (n + 2)))
     pieces = fit(counts, pieces, cfg)
+    ending = ((t["ends"] or 0) + 1) / (n + 2)
     base_log = float(np.log10(n + v + 1))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,43 +250,46 @@ def score_texts(docs: DataFrame, pieces: Pieces, cfg: Config = Config(), id_col:
             p = (1 - spell) * seen + spell * spelled
             tiny = lattice / np.log(10) + np.log10(spell)
             logp = np.where(p < 1e-290, np.where([len(w) > 0 for w in words], tiny, np.log10(1 / (n + 1))), np.log10(np.maximum(p, 1e-300)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c > 0), pa.array(np.log10(c + 1) - base_log), pa.array(logp), b.column(2)],
-                                             ["word", "known", "base", "logp", "every"])
+            alone = np.where([len(w) > 0 for w in words], lattice / np.log(10) + np.log10(1 - ending), np.log10(ending))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c > 0), pa.array(np.log10(c + 1) - base_log), pa.array(logp), pa.array(alone), b.column(2)],
+                                             ["word", "known", "base", "logp", "alone", "every"])
 
-    table_ = saved(counts.select("word", "c", "every").mapInArrow(weigh, "word binary, known boolean, base double, logp double, every long"), "lattice-words")
+    table_ = saved(counts.select("word", "c", "every").mapInArrow(weigh, "word binary, known boolean, base double, logp double, alone double, every long"), "lattice-words")
     # head: as many words as the most frequent ``cfg.head`` have, a bounded table for every task
-    head_rows = table_.orderBy(F.desc("every"), "word").limit(cfg.head).select("word", "known", "base", "logp").toArrow().combine_chunks()
+    head_rows = table_.orderBy(F.desc("every"), "word").limit(cfg.head).select("word", "known", "base", "logp", "alone").toArrow().combine_chunks()
     head_words = F.broadcast(spark.createDataFrame(head_rows.select(["word"]))) if head_rows.num_rows else None
-    shared = spark.sparkContext.broadcast([head_rows.column(i).to_numpy() for i in range(1, 4)] + [head_rows.column(0).to_pylist()])
+    shared = spark.sparkContext.broadcast([head_rows.column(i).to_numpy() for i in range(1, 5)] + [head_rows.column(0).to_pylist()])
     source = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text).alias("k"), (crc_mod(id_col, cfg.folds) == cfg.held).alias("held_out"), F.col(text).alias("_text"))
     schema = source.drop("_text").schema
-    for name, kind in (("n_tokens", "long"), ("n_known", "long"), ("base", "double"), ("logp", "double")):
+    for name, kind in (("n_tokens", "long"), ("n_known", "long"), ("base", "double"), ("logp", "double"), ("alone", "double")):
         schema = schema.add(name, kind)
     schema = schema.add("tail", T.ArrayType(T.StructType().add("word", "binary").add("n", "integer")))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, base, logp, words = shared.value
+        known, base, logp, alone, words = shared.value
         at = {w: i for i, w in enumerate(words)}
         miss = len(words)
         known_, base_, logp_ = np.r_[known.astype(np.int64), 0], np.r_[base.astype(np.float64), 0.0], np.r_[logp.astype(np.float64), 0.0]
+        alone_ = np.r_[alone.astype(np.float64), 0.0]
         for b in slices(batches, "_text"):
-            cols: list[list] = [[], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], []]
             for t in b.column(3).to_pylist():
                 found = words_of(t)
                 found.append(END)
                 row = np.fromiter((at.get(w, miss) for w in found), np.int64, len(found))
                 rest = Counter([found[i] for i in np.flatnonzero(row == miss).tolist()])
-                for col, x in zip(cols, (len(found), int(known_[row].sum()), float(base_[row].sum()), float(logp_[row].sum()), [{"word": w, "n": c} for w, c in rest.items()])):
+                for col, x in zip(cols, (len(found), int(known_[row].sum()), float(base_[row].sum()), float(logp_[row].sum()), float(alone_[row].sum()), [{"word": w, "n": c} for w, c in rest.items()])):
                     col.append(x)
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64()),
-                                              pa.array(cols[4], pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())])))],
-                                             ["doc_id", "k", "held_out", "n_tokens", "n_known", "base", "logp", "tail"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.float64()),
+                                              pa.array(cols[5], pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())])))],
+                                             ["doc_id", "k", "held_out", "n_tokens", "n_known", "base", "logp", "alone", "tail"])
 
     first = saved(source.mapInArrow(read, schema), "lattice-texts")
     tail = first.select("doc_id", "k", F.explode("tail").alias("w")).select("doc_id", "k", "w.word", "w.n")
     others = table_.join(head_words, "word", "left_anti") if head_words is not None else table_
     sums = (tail.join(others, "word").groupBy("k", "doc_id")
-            .agg(F.sum(F.col("known").cast("long") * F.col("n")).alias("more_known"), F.sum(F.col("base") * F.col("n")).alias("more_base"), F.sum(F.col("logp") * F.col("n")).alias("more_logp")))
+            .agg(F.sum(F.col("known").cast("long") * F.col("n")).alias("more_known"), F.sum(F.col("base") * F.col("n")).alias("more_base"), F.sum(F.col("logp") * F.col("n")).alias("more_logp"),
+                 F.sum(F.col("alone") * F.col("n")).alias("more_alone")))
     # rows with equal id and text were added up together
     copies = first.groupBy("k", "doc_id").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
     sums = sums.withColumnsRenamed({"k": "k2", "doc_id": "id2"})
@@ -292,7 +298,8 @@ def score_texts(docs: DataFrame, pieces: Pieces, cfg: Config = Config(), id_col:
               .join(copies, (F.col("k") == F.col("k3")) & F.col("doc_id").eqNullSafe(F.col("id3")), "left").withColumn("copies", F.coalesce("copies", F.lit(1))))
     more = lambda c: F.coalesce(F.col(c), F.lit(0)) / F.col("copies")
     return joined.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + more("more_known")).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-                         (F.col("base") + more("more_base")).alias("base_score"), (F.col("logp") + more("more_logp")).alias("score"))
+                         (F.col("base") + more("more_base")).alias("base_score"), (F.col("logp") + more("more_logp")).alias("score"),
+                         (F.col("alone") + more("more_alone")).alias("lattice_score"))
 
 
 def op7_lattice(spark, sf_dir: str) -> DataFrame:

@@ -286,6 +286,19 @@ def test_lattice_base_and_recursion(spark, odd_docs, no_docs):
     assert lattice.score_texts(no_docs, pieces, cfg).count() == 0
 
 
+def test_lattice_score_is_the_lattice_alone(spark):
+    pieces = lattice.vocabulary(public_tokenizers.path(lattice.VOCABULARY))
+    cfg = lattice.Config(rounds=0, head=2)
+    docs = spark.createDataFrame([(i, "the river the house" if i % 2 else "the") for i in range(12)], "doc_id long, text string")
+    train = [i for i in range(12) if zlib.crc32(str(i).encode()) % 7 != 2]
+    n = sum(5 if i % 2 else 2 for i in train)
+    end = (len(train) + 1) / (n + 2)
+    the, river, house = pieces.score([b"the", b"river", b"house"]) / math.log(10) + math.log10(1 - end)
+    for r in lattice.score_texts(docs, pieces, cfg).collect():
+        want = (2 * the + river + house if r.doc_id % 2 else the) + math.log10(end)
+        assert math.isclose(r.lattice_score, want, rel_tol=1e-9) and r.lattice_score < r.score
+
+
 def test_lattice_scores_follow_the_length_of_a_run(spark):
     pieces = lattice.vocabulary(public_tokenizers.path(lattice.VOCABULARY))
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
