@@ -10,6 +10,8 @@ twice as many at most) and one run of ``sample_words`` words of each. Runs of di
 so the transitions learn both staying and switching. The lexicon holds the most frequent words of each language
 in that sample. Whole texts are labelled; a chain covers ``chain`` words and a longer text is a series of chains.
 
+Every value of lang in the training texts is learned; more than ``Config.max_langs`` of them raise an error.
+
 A null text, or one without a letter, is ``und`` with score 0. With no labelled text at all, everything is ``und``.
 """
 
@@ -36,6 +38,7 @@ CACHE_WORDS = 250_000
 class Config:
     buckets: int = 1 << 15
     per_lang: int = 400
+    max_langs: int = 1000  # more values of lang than this are an error: the weights have a column for each
     sample_words: int = 80
     lexicon: int = 300
     chain: int = 256
@@ -105,7 +108,9 @@ def sample(docs: DataFrame, cfg: Config, folds: int = 4, held: int = 2) -> pd.Da
     """About ``per_lang`` training texts of each language (twice as many at most), cut to one run of words."""
     mine = docs.select(F.col("text").alias("_text"), F.col("lang").alias("_lang"), F.col("doc_id").alias("_id")).where(
         F.col("_lang").isNotNull() & F.col("_text").isNotNull() & (crc_mod("_id", folds) != held))
-    counts = {r["_lang"]: r["n"] for r in mine.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(1000).collect()}
+    counts = {r["_lang"]: r["n"] for r in mine.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).limit(cfg.max_langs + 1).collect()}
+    if len(counts) > cfg.max_langs:
+        raise ValueError(f"more than {cfg.max_langs} languages in lang (Config.max_langs)")
     if not counts:
         return pd.DataFrame({"_lang": [], "_run": []})
     draw = F.pmod(F.xxhash64("_id", F.lit(cfg.seed)), F.lit(1_000_000))

@@ -323,6 +323,12 @@ def test_language_words_and_edges(spark, odd_docs, no_docs):
     assert {r.p.lang_pred for r in odd_docs.select(language.language(empty).alias("p")).collect()} == {"und"}
 
 
+def test_language_bound_is_reported(spark):
+    docs = spark.createDataFrame([(i, "some words here", f"l{i}") for i in range(1500)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="max_langs"):
+        language.sample(docs, language.Config())
+
+
 def test_forward_backward_against_enumeration():
     import itertools
 
