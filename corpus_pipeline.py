@@ -9,11 +9,12 @@ extra columns are carried along. A stage before the last keeps every clean docum
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerlake.llm import op1_toxicity, op3_packing, op5_minhash, op6_suffix_dedup, op8_language
 from offerlake.llm.common import saved, table
+from offerlake.operators.ranking import global_rank
 
 LEAST_LANGUAGE_SCORE = 0.3  # below it no language stands out among the learned ones
 
@@ -33,16 +34,17 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id (of repeated ids one row)."""
-    kept = op5_minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    twice = joined.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1 and doc_id is not null").select("doc_id")
-    if twice.isEmpty():
-        return joined
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-    single = joined.join(twice, "doc_id", "left_anti")
-    first = joined.join(twice, "doc_id", "left_semi").withColumn("__rank", rank).where("__rank = 1").drop("__rank")
-    return single.unionByName(first)
+    """One row of each group of near duplicates: the one with the smallest doc_id. Where ids repeat, rows are numbered
+    by id and text, so that rows with one id are near duplicates only if their texts are; equal rows are one row."""
+    if docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        kept = op5_minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
+        return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    named = docs.where("doc_id is not null").withColumn("__h1", F.xxhash64("text")).withColumn("__h2", F.xxhash64(F.lit(1), "text"))
+    rows = saved(global_rank(named, [F.col("doc_id").asc(), F.col("__h1").asc(), F.col("__h2").asc()], "__row"), "numbered-rows")
+    kept = op5_minhash.near_duplicates(rows, id_col="__row").where("kept").select(F.col("doc_id").alias("__row"))
+    first = rows.groupBy("doc_id", "__h1", "__h2").agg(F.min("__row").alias("__row")).select("__row")
+    single = rows.join(kept, "__row", "left_semi").join(first, "__row", "left_semi")
+    return single.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

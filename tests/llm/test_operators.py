@@ -396,3 +396,13 @@ def test_pipeline_stages(spark, odd_docs):
     assert pipe.cut_repeats(spark, odd, sf).columns == odd.columns
     kept = [r.doc_id for r in pipe.drop_near_duplicates(spark, odd, sf).select("doc_id").collect()]
     assert 5 not in kept and 9 not in kept and kept.count(7) == 1 and kept.count(4) == 1
+
+
+def test_near_duplicates_are_decided_by_row(spark):
+    import corpus_pipeline as pipe
+
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(1, a), (2, a + " more"), (2, b), (3, c), (3, c), (3, a), (4, ""), (4, ""), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in pipe.drop_near_duplicates(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (2, b), (3, c), (4, ""), (None, a)], key=str)
