@@ -522,115 +522,6 @@ def headline(df: DataFrame, text_col: str, terms_col: str, name: str = "headline
     return out.withColumn(name, F.coalesce(marked, F.lit(""))).drop(flat, words, at)
 
 
-def encode_cvs(cvs: DataFrame, dim: int = 384, encoder_factory=None, text_col: str = "cv_text") -> DataFrame:
-    """The CVs with the vector of their whole text (``cv_embedding``), by the encoder that made the offers' vectors."""
-    vectors = encode(cvs, "cv_id", text_col, dim=dim, encoder_factory=encoder_factory, vector_col="cv_embedding")
-    return cvs.join(vectors, "cv_id")
-
-
-def hybrid_search(corpus: DataFrame, index: DataFrame, cvs: DataFrame, cfg: SearchConfig | None = None,
-                  key: str = "job_id", dim: int = 384, encoder_factory=None) -> DataFrame:
-    """Search from CV text alone: ``cvs(cv_id, cv_text)`` against ``corpus(key, embedding)``. The encoder and its
-    ``dim`` must be those of the corpus; rows as in ``rrf_search``."""
-    return rrf_search(corpus, index, encode_cvs(cvs.select("cv_id", "cv_text"), dim, encoder_factory), cfg, key)
-
-
-# ----------------------------------------------------------------------------------------------
-# result rows
-
-
-def matching_terms(doc_text: Column, terms: Column, limit: int = 10) -> Column:
-    """Query lexemes found in the offer text, in order of first appearance, longer than two letters,
-    first ``limit`` - computed over the whole text."""
-    found = F.array_intersect(tx.tokens(doc_text), terms)
-    return F.slice(F.filter(found, lambda t: F.length(t) > 2), 1, limit)
-
-
-def headline(df: DataFrame, text_col: str, terms_col: str, name: str = "headline", max_words: int = 100,
-             min_words: int = 50) -> DataFrame:
-    """Add a snippet with the matched lexemes marked ``<b>..</b>``: the words of the text (split on whitespace)
-    from the first one that holds a query lexeme on, at most ``max_words``; without a match the first
-    ``min_words``. Markers that the text itself holds are words like any other.
-
-    ``array_intersect`` keeps the order of the text and looks terms up by hash, so its first element leads to the
-    first matched word; marking then compares the words of the snippet with the lexemes found in the snippet.
-    The cost is linear in the text and in the number of terms.
-    """
-    words, at = "_snippet_words", "_snippet_at"
-
-    def bound(value: Column, use) -> Column:
-        """``use(value)`` with the value computed once for a row: inside a lambda, a column that the optimizer folds in
-        would be computed again for every word."""
-        return F.element_at(F.transform(F.array(value), use), 1)
-
-    def mark(word: Column, hits: Column) -> Column:
-        pieces = F.regexp_extract_all(word, F.lit(f"[{tx.WORD}]+|[^{tx.WORD}]+"), 0)
-        return F.array_join(F.transform(pieces, lambda p: F.when(
-            F.array_contains(hits, F.lower(p)), F.concat(F.lit(tx.START_SEL), p, F.lit(tx.STOP_SEL))).otherwise(p)), "")
-
-    first = F.try_element_at(F.array_intersect(tx.tokens(F.col(text_col)), F.col(terms_col)), F.lit(1))
-    out = df.withColumn(words, F.filter(F.split(F.col(text_col), f"[{tx.WS}]+"), lambda w: w != ""))
-    out = out.withColumn(at, bound(first, lambda f: F.when(f.isNotNull(), F.array_position(
-        F.transform(words, lambda w: F.array_contains(tx.tokens(w), f)), True))))
-    out = out.withColumn(words, F.when(F.col(at) > 0, F.slice(words, F.col(at).cast("int"), F.lit(max_words)))
-                         .otherwise(F.slice(words, 1, min_words)))
-    hits = F.array_intersect(tx.tokens(F.array_join(words, " ")), F.col(terms_col))
-    marked = bound(hits, lambda h: F.array_join(F.transform(words, lambda w: mark(w, h)), " "))
-    return out.withColumn(name, F.coalesce(marked, F.lit(""))).drop(words, at)
-
-
-def encode_cvs(cvs: DataFrame, dim: int = 384, encoder_factory=None, text_col: str = "cv_text") -> DataFrame:
-    """The CVs with the vector of their whole text (``cv_embedding``), by the encoder that made the offers' vectors."""
-    vectors = encode(cvs, "cv_id", text_col, dim=dim, encoder_factory=encoder_factory, vector_col="cv_embedding")
-    return cvs.join(vectors, "cv_id")
-
-
-def hybrid_search(corpus: DataFrame, index: DataFrame, cvs: DataFrame, cfg: SearchConfig | None = None,
-                  key: str = "job_id", dim: int = 384, encoder_factory=None) -> DataFrame:
-    """Search from CV text alone: ``cvs(cv_id, cv_text)`` against ``corpus(key, embedding)``. The encoder and its
-    ``dim`` must be those of the corpus; rows as in ``rrf_search``."""
-    return rrf_search(corpus, index, encode_cvs(cvs.select("cv_id", "cv_text"), dim, encoder_factory), cfg, key)
-
-
-# ----------------------------------------------------------------------------------------------
-# result rows
-
-
-def matching_terms(doc_text: Column, terms: Column, limit: int = 10) -> Column:
-    """Query lexemes found in the offer text, in order of first appearance, longer than two letters,
-    first ``limit`` - computed over the whole text."""
-    found = F.array_intersect(tx.tokens(doc_text), terms)
-    return F.slice(F.filter(found, lambda t: F.length(t) > 2), 1, limit)
-
-
-def headline(df: DataFrame, text_col: str, terms_col: str, name: str = "headline", max_words: int = 100,
-             min_words: int = 50) -> DataFrame:
-    """Add a snippet with the matched lexemes marked ``<b>..</b>``: the words of the text (split on whitespace)
-    from the first one that holds a query lexeme on, at most ``max_words``; without a match the first
-    ``min_words``. Markers that the text itself holds are words like any other.
-
-    ``array_intersect`` keeps the order of the text and looks terms up by hash, so its first element leads to the
-    first matched word; marking then compares the words of the snippet with the lexemes found in the snippet.
-    The cost is linear in the text and in the number of terms.
-    """
-    words, first, at = "_snippet_words", "_snippet_first", "_snippet_at"
-    hit = "_snippet_hits"
-    out = df.withColumns({
-        words: F.filter(F.split(F.col(text_col), f"[{tx.WS}]+"), lambda w: w != ""),
-        first: F.try_element_at(F.array_intersect(tx.tokens(F.col(text_col)), F.col(terms_col)), F.lit(1)),
-    })
-    out = out.withColumn(at, F.when(F.col(first).isNotNull(), F.array_position(
-        F.transform(words, lambda w: F.array_contains(tx.tokens(w), F.col(first))), True)))
-    out = out.withColumn(words, F.when(F.col(at) > 0, F.slice(words, F.col(at).cast("int"), F.lit(max_words)))
-                         .otherwise(F.slice(words, 1, min_words)))
-    out = out.withColumn(hit, F.array_intersect(tx.tokens(F.array_join(words, " ")), F.col(terms_col)))
-    marked = F.transform(words, lambda w: F.array_join(F.transform(
-        F.regexp_extract_all(w, F.lit(f"[{tx.WORD}]+|[^{tx.WORD}]+"), 0),
-        lambda p: F.when(F.array_contains(F.col(hit), F.lower(p)), F.concat(F.lit(tx.START_SEL), p, F.lit(tx.STOP_SEL)))
-        .otherwise(p)), ""))
-    return out.withColumn(name, F.coalesce(F.array_join(marked, " "), F.lit(""))).drop(words, first, at, hit)
-
-
 def result_rows(top: DataFrame, offers: DataFrame, queries: DataFrame, cfg: SearchConfig, key: str = "job_id",
                 text_col: str = "search_text") -> DataFrame:
     """Result contract: scores scaled and rounded, display fields never null, matched terms.

@@ -28,10 +28,3 @@ def spark():
 @pytest.fixture(scope="session")
 def sf_small():
     return SF_SMALL
-
-
-def one_col(spark, values, dtype="string", name="x"):
-    from pyspark.sql import types as T
-
-    t = {"string": T.StringType(), "double": T.DoubleType()}[dtype]
-    return spark.createDataFrame([(v,) for v in values], T.StructType([T.StructField(name, t)]))
