@@ -50,7 +50,7 @@ class Config:
     least: int = 10  # occurrences of a candidate
     cover: int = 50  # percent of a candidate's occurrences inside a longer candidate that drop it
     top: int = 2000  # rows for each language
-    chunk: int = 1 << 18  # tokens in a run (a longer text is one run)
+    chunk: int = 1 << 20  # tokens in a run (a longer text is one run)
     batch: int = 1 << 21  # occurrences that a task counts in one pass, about
     part: int = 1 << 19  # occurrences of a part of the value range
     groups: int = 64  # hash groups of a language before its last window
@@ -72,7 +72,10 @@ def _unpack(bits: np.ndarray) -> np.ndarray:
 
 class QuotientFilter:
     """Sorted distinct values of ``high_bits + low_bits`` bits with counts. The quotient is the first ``q`` bits of the high
-    part; what remains of it and the low part are the remainder, kept whole."""
+    part; what remains of it and the low part are the remainder, kept whole. As bytes only used slots are written: the run
+    ends tell which they are."""
+
+    DIGIT = 16  # bits of a count's digit, fewer where a remainder has fewer
 
     def __init__(self, q: int, high_bits: int, low_bits: int, occupied, runends, digits, slots):
         self.q, self.high_bits, self.low_bits = q, high_bits, low_bits
@@ -83,7 +86,7 @@ class QuotientFilter:
         """From values in ascending order of (high, low)."""
         width = high_bits + low_bits
         n_digits = np.zeros(len(high), dtype=np.int64)  # a count c above 1 is c in base 2**base
-        base = min(62, max(1, width - 1))
+        base = min(cls.DIGIT, low_bits)
         rest = np.where(counts > 1, counts, 0)
         while rest.any():
             n_digits += rest > 0
@@ -100,7 +103,7 @@ class QuotientFilter:
         runends[(at + n_digits)[last]] = True
         high_rest = high & np.uint64((1 << (high_bits - q)) - 1)
         rem_bits = width - q
-        slots = np.zeros((n_slots, max(rem_bits, base)), dtype=np.uint8)
+        slots = np.zeros((n_slots, rem_bits), dtype=np.uint8)
         if high_bits > q:
             slots[at, : high_bits - q] = _pack(high_rest, high_bits - q)
         slots[at, high_bits - q : rem_bits] = _pack(low, low_bits)
@@ -113,12 +116,17 @@ class QuotientFilter:
             rest = rest >> base
         return cls(q, high_bits, low_bits, occupied, runends, digits, slots)
 
-    def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(high, low, count), ascending."""
-        quotients, ends = np.flatnonzero(self.occupied), np.flatnonzero(self.runends)
+    @staticmethod
+    def _runs(occupied: np.ndarray, runends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(occupied quotients, lengths of their runs, used slots)."""
+        quotients, ends = np.flatnonzero(occupied), np.flatnonzero(runends)
         starts = np.maximum(quotients, np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends)
         lens = ends - starts + 1
-        slot = np.repeat(starts - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
+        return quotients, lens, np.repeat(starts - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
+
+    def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(high, low, count), ascending."""
+        quotients, lens, slot = self._runs(self.occupied, self.runends)
         quotient = np.repeat(quotients, lens)
         is_digit = self.digits[slot]
         head = np.flatnonzero(~is_digit)
@@ -128,7 +136,7 @@ class QuotientFilter:
         high = quotient[head].astype(np.uint64) << np.uint64(high_rest_bits)
         if high_rest_bits:
             high |= _unpack(rows[:, :high_rest_bits])
-        base = min(62, max(1, self.high_bits + self.low_bits - 1))
+        base = min(self.DIGIT, self.low_bits)
         counts = np.ones(len(head), dtype=np.int64)
         owner = np.cumsum(~is_digit) - 1
         tail = np.flatnonzero(is_digit)
@@ -140,18 +148,28 @@ class QuotientFilter:
         return high, low, counts
 
     def to_bytes(self) -> bytes:
-        head = struct.pack("<BBBII", self.q, self.high_bits, self.low_bits, len(self.runends), self.slots.shape[1])
-        return head + b"".join(np.packbits(x).tobytes() for x in (self.occupied, self.runends, self.digits, self.slots.ravel()))
+        used = self._runs(self.occupied, self.runends)[2]
+        head = struct.pack("<BBBI", self.q, self.high_bits, self.low_bits, len(self.runends))
+        return head + b"".join(np.packbits(x).tobytes() for x in (self.occupied, self.runends, self.digits[used], self.slots[used].ravel()))
 
     @classmethod
     def from_bytes(cls, data: bytes) -> QuotientFilter:
-        q, high_bits, low_bits, n, width = struct.unpack_from("<BBBII", data)
-        at, out = struct.calcsize("<BBBII"), []
-        for size in (1 << q, n, n, n * width):
-            out.append(np.unpackbits(np.frombuffer(data, np.uint8, -(-size // 8), at), count=size))
+        q, high_bits, low_bits, n = struct.unpack_from("<BBBI", data)
+        at = struct.calcsize("<BBBI")
+
+        def bits(size: int) -> np.ndarray:
+            nonlocal at
+            out = np.unpackbits(np.frombuffer(data, np.uint8, -(-size // 8), at), count=size)
             at += -(-size // 8)
-        occupied, runends, digits, slots = out
-        return cls(q, high_bits, low_bits, occupied.astype(bool), runends.astype(bool), digits.astype(bool), slots.reshape(n, width))
+            return out
+
+        occupied, runends = bits(1 << q).astype(bool), bits(n).astype(bool)
+        used = cls._runs(occupied, runends)[2]
+        width = high_bits + low_bits - q
+        digits, slots = np.zeros(n, dtype=bool), np.zeros((n, width), dtype=np.uint8)
+        digits[used] = bits(len(used))
+        slots[used] = bits(len(used) * width).reshape(len(used), width)
+        return cls(q, high_bits, low_bits, occupied, runends, digits, slots)
 
 
 def sum_sorted(high: np.ndarray, low: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
