@@ -8,10 +8,8 @@ Shape of the plan for a batch of CVs against the whole corpus:
   summed per (cv, offer) - sparse, only offers that share a word with the CV.
 * vector scores: every offer against every CV, computed in NumPy blocks inside ``mapInPandas`` with
   the CV matrix shipped once per executor (size-checked), no cross join.
-* ranks: three exact ranks per CV over the whole corpus with ``rank_within`` (range partitioned, no
-  single-task window).
-* fusion: a proven bound keeps only offers ranked within the first M of some list (M = 208 for
-  K = 100, k = 60, weights 1/1/3), then a window over at most 3M rows per CV picks the top K.
+* ranks and fusion: only offers within the first M of some list can reach the top K (M = 208 for K = 100,
+  k = 60, weights 1/1/3); ``operators/rrf.py`` ranks those, exactly, without a row for a pair of CV and offer.
 * late materialisation: only the top K rows are joined back to the wide offer table.
 
 Text score (``ts_rank`` of an OR query): per matched distinct query lexeme with occurrences of weights
@@ -36,7 +34,6 @@ from pyspark.sql import types as T
 from offerlake.functions import text as tx
 from offerlake.functions.stemming import stem_vocabulary
 from offerlake.operators.encode import encode
-from offerlake.operators.ranking import rank_within
 
 from offerlake.session import scratch_path, ship_by_value
 
@@ -65,8 +62,8 @@ class SearchConfig:
     title_weight_d: float = DEFAULT_WEIGHT_D
     metric: str = "l2"  # or "cosine"
     broadcast_rows: int = 2_000_000  # size check for shipping CV lexemes / vectors
-    window_group_rows: int = 5_000_000  # per-CV corpus size up to which ranks use a window
-    dense_pairs: int = 50_000_000  # CVs x offers above which only candidates are ranked (rrf_candidates)
+    hit_block: int = 65_536  # ordinals in a block of a CV's text hits
+    vector_block: int = 4_096  # offers scored in one matrix product
     index_buckets: int = 64  # lexeme hash buckets of an index stored with write_index
     stem: bool = False  # French stems, on both sides (build_index(stem=True))
     keep_symbols: bool = False  # c++, c# as words, on both sides (build_index(keep_symbols=True))
@@ -242,25 +239,31 @@ def _score_matrix(mat: np.ndarray, cv_mat: np.ndarray, metric: str) -> np.ndarra
     if metric == "cosine":
         n = np.linalg.norm(mat, axis=1, keepdims=True)
         c = np.linalg.norm(cv_mat, axis=1, keepdims=True)
-        return (mat / np.where(n == 0, 1.0, n)) @ (cv_mat / np.where(c == 0, 1.0, c)).T
+        mat, cv_mat = mat / np.where(n == 0, 1.0, n), cv_mat / np.where(c == 0, 1.0, c)
+        scores = mat @ cv_mat.T
+        scaled = scores * 10.0 ** SCORE_DIGITS
+        for o, c in _pieces(np.nonzero(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-4)):
+            scores[o, c] = np.einsum("ij,ij->i", mat[o], cv_mat[c])
+        return scores
     norms = np.einsum("ij,ij->i", mat, mat)[:, None] + np.einsum("ij,ij->i", cv_mat, cv_mat)[None, :]
     squared = norms - 2.0 * (mat @ cv_mat.T)
-    close_o, close_c = np.nonzero(squared < 1e-4 * norms)
-    for s in range(0, len(close_o), 65536):
-        o, c = close_o[s:s + 65536], close_c[s:s + 65536]
+    for o, c in _pieces(np.nonzero(squared < 1e-4 * norms)):
         diff = mat[o] - cv_mat[c]
         squared[o, c] = np.einsum("ij,ij->i", diff, diff)
     scores = 1.0 - np.sqrt(np.maximum(squared, 0.0))
     # scores are rounded later: those next to a rounding edge get their last digits from differences as well
     scaled = scores * 10.0 ** SCORE_DIGITS
-    edge_o, edge_c = np.nonzero(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-4)
-    for s in range(0, len(edge_o), 65536):
-        o, c = edge_o[s:s + 65536], edge_c[s:s + 65536]
+    for o, c in _pieces(np.nonzero(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-4)):
         diff = mat[o] - cv_mat[c]
         scores[o, c] = 1.0 - np.sqrt(np.einsum("ij,ij->i", diff, diff))
     return scores
 
 
+def _pieces(places: tuple[np.ndarray, np.ndarray], size: int = 65536):
+    for s in range(0, len(places[0]), size):
+        yield places[0][s:s + size], places[1][s:s + size]
+
+
 def _batch_matrix(pdf: pd.DataFrame) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in pdf["embedding"].to_numpy()])
 
@@ -382,61 +385,6 @@ def vector_topk(vectors: DataFrame, cvs: DataFrame, cfg: SearchConfig, key: str
 # fusion
 
 
-def _rounded(c: str) -> Column:
-    return F.round(F.col(c), SCORE_DIGITS)
-
-
-def fuse(pairs: DataFrame, cfg: SearchConfig, key: str = "job_id", corpus_rows: int | None = None) -> DataFrame:
-    """Top K per CV by Reciprocal Rank Fusion over ``pairs(cv_id, key, embedding_score, fts_score, title_score)``.
-
-    Scores are rounded to 9 places before ranking so last-bit differences cannot swap ranks; ties are
-    broken by the offer key (the reference leaves them arbitrary).
-    """
-    p = pairs.select("cv_id", key, _rounded("embedding_score").alias("embedding_score"),
-                     _rounded("fts_score").alias("fts_score"), _rounded("title_score").alias("title_score"))
-    for score, rank in (("embedding_score", "embed_rank"), ("fts_score", "fts_rank"), ("title_score", "title_rank")):
-        p = rank_within(p, ["cv_id"], [F.col(score).desc_nulls_last(), F.col(key).asc()], rank,
-                        max_group_rows=corpus_rows, window_limit=cfg.window_group_rows)
-    m = cfg.candidate_depth
-    cand = p.filter(F.least("embed_rank", "fts_rank", "title_rank") <= m)
-    we, wf, wt = cfg.weights
-    k = float(cfg.rrf_k)
-    cand = cand.withColumn(
-        "combined_score",
-        F.lit(we) / (F.lit(k) + F.col("embed_rank")) + F.lit(wf) / (F.lit(k) + F.col("fts_rank"))
-        + F.lit(wt) / (F.lit(k) + F.col("title_rank")),
-    )
-    w = Window.partitionBy("cv_id").orderBy(F.col("combined_score").desc(), F.col(key).asc())
-    return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= cfg.top_k)
-
-
-def score_pairs(corpus: DataFrame, index: DataFrame, cvs: DataFrame, cfg: SearchConfig, key: str = "job_id",
-                cluster_by_cv: bool = False) -> DataFrame:
-    """Every (cv, offer) pair with its three scores; offers without a text hit score 0.
-
-    ``cluster_by_cv`` hash-partitions the pairs on ``cv_id`` before they are combined, so that the
-    combine and the per-CV rank windows that follow share that one shuffle (used when a CV's group is
-    known to be small enough for a window)."""
-    queries = cv_lexemes(cvs, cfg)
-    vec = vector_scores(corpus, cvs, cfg, key)
-    # The lexeme join and its aggregate come first: what is left of the postings is small, and only that meets the corpus.
-    txt = text_scores(index, queries, cfg, key).join(corpus.select(key), key, "left_semi")
-    both = (vec.select("cv_id", key, "embedding_score", F.lit(None).cast("double").alias("fts_score"),
-                       F.lit(None).cast("double").alias("title_score"))
-            .unionByName(txt.select("cv_id", key, F.lit(None).cast("double").alias("embedding_score"),
-                                    "fts_score", "title_score")))
-    if cluster_by_cv:
-        both = both.repartition("cv_id")
-    # Offers reached only through the text index but lacking a vector are not in the corpus.
-    agg = both.groupBy("cv_id", key).agg(F.max("embedding_score").alias("embedding_score"),
-                                        F.max("fts_score").alias("fts_score"),
-                                        F.max("title_score").alias("title_score"))
-    return agg.filter(F.col("embedding_score").isNotNull()).select(
-        "cv_id", key, "embedding_score",
-        F.coalesce("fts_score", F.lit(0.0)).alias("fts_score"),
-        F.coalesce("title_score", F.lit(0.0)).alias("title_score"))
-
-
 def searchable(embedding: str) -> Column:
     """Vectors that have a distance: present and without null or NaN elements. Offers with any other vector are
     not part of a search, whichever way it runs."""
@@ -447,18 +395,11 @@ def searchable(embedding: str) -> Column:
 def rrf_search(corpus: DataFrame, index: DataFrame, cvs: DataFrame, cfg: SearchConfig | None = None,
                key: str = "job_id") -> DataFrame:
     """``(cv_id, rank, key, embedding_score, fts_score, title_score, combined_score, embed_rank, fts_rank,
-    title_rank)`` - the top K offers per CV. ``corpus`` has ``key`` and ``embedding``; ``cvs`` has
-    ``cv_id``, ``cv_text`` and ``cv_embedding``."""
-    cfg = cfg or SearchConfig()
-    corpus = corpus.filter(searchable("embedding"))
-    # The corpus size bounds every per-CV group; it decides how the three ranks are computed.
-    corpus_rows = corpus.count()
-    if corpus_rows * cvs.count() > cfg.dense_pairs:
-        from offerlake.operators.rrf_candidates import rrf_search_candidates
-
-        return rrf_search_candidates(corpus, index, cvs, cfg, key)
-    windowed = corpus_rows <= cfg.window_group_rows
-    return fuse(score_pairs(corpus, index, cvs, cfg, key, cluster_by_cv=windowed), cfg, key, corpus_rows)
+    title_rank)`` - the top K offers per CV (``operators/rrf.py``). ``corpus`` has ``key`` and ``embedding``; ``cvs``
+    has ``cv_id``, ``cv_text`` and ``cv_embedding``."""
+    from offerlake.operators import rrf
+
+    return rrf.rrf_search(corpus, index, cvs, cfg, key)
 
 
 def encode_cvs(cvs: DataFrame, dim: int = 384, encoder_factory=None, text_col: str = "cv_text") -> DataFrame:

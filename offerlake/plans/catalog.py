@@ -351,10 +351,10 @@ def rrf_search(spark, sf):
 
 @query
 def rrf_candidates(spark, sf):
-    """The same search through the large-batch path (only offers that can reach the top K are ranked)."""
-    from offerlake.operators.rrf_candidates import rrf_search_candidates
+    """The same search with the CV batch cut into slices, each scored against the vectors by itself."""
+    from offerlake.operators import rrf
 
-    top = rrf_search_candidates(corpus(spark, sf), index(spark, sf), cvs(spark, sf), search.SearchConfig())
+    top = rrf.rrf_search(corpus(spark, sf), index(spark, sf), cvs(spark, sf), search.SearchConfig(), cvs_per_slice=70)
     return top.select(
         "cv_id", F.col("rank").cast("long").alias("rank"), "job_id", "embedding_score", "fts_score", "title_score",
         F.round("combined_score", 9).alias("combined_score"), "embed_rank", "fts_rank", "title_rank")
