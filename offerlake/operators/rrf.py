@@ -9,7 +9,7 @@ lists, so no step after it moves keys. For a batch of CVs:
    zero-score offers in key order behind them (``select`` on the first block).
 3. One pass over the vectors, in matrix blocks: a running top M whose M-th score is the bound below which no offer is
    looked at, and for the text candidates, whose own scores are known by then, one array of counts a task: how many
-   offers come before each of them. Arrays of tasks are added in a tree.
+   offers come before each of them. What tasks return for a CV is merged as a stream, a bounded number of rows at a time.
 4. Text ranks of all candidates likewise: hits before a candidate by count arrays over the blocks; a zero-score offer's
    rank is (hits) + (its ordinal) - (hits before it), the latter by ``rank`` on its block and sums over a directory of blocks.
 5. Fusion and top K over at most 3M candidates a CV; the keys come back last.
@@ -33,7 +33,7 @@ from offerlake.session import scratch_path, ship_by_value
 
 ship_by_value(__name__)
 
-FAN = 16  # children of a node of the merge tree
+HELD = 64  # rows of a CV that a merge takes at a time
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
@@ -91,17 +91,34 @@ def _before(scores: np.ndarray, ords: np.ndarray, cand_scores: np.ndarray, cand_
     return left
 
 
-def _tree(df: DataFrame, merge: Callable, schema: str) -> DataFrame:
-    """Merge the rows of a CV, first within ``node``, then what the nodes gave. ``merge`` takes and gives a table of one CV."""
-    part = df.groupBy("cv_id", "node").applyInArrow(lambda t: merge(t), schema)
-    return part.groupBy("cv_id").applyInArrow(lambda t: merge(t), schema)
+def _merged(df: DataFrame, merge: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """One row for each CV from the rows that tasks gave for it, ``HELD`` at a time; ``merge`` takes and gives rows of one CV."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            ids = batch.column("cv_id").to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1, [len(ids)]]) if len(ids) else [0]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if ids[a] != now:
+                    if held:
+                        yield from merge(pa.Table.from_batches(held)).to_batches()
+                    now, held = ids[a], []
+                for k in range(a, b, HELD):
+                    held.append(batch.slice(k, min(HELD, b - k)))
+                    if sum(map(len, held)) > HELD:
+                        held = merge(pa.Table.from_batches(held)).combine_chunks().to_batches()
+        if held:
+            yield from merge(pa.Table.from_batches(held)).to_batches()
+
+    return df.repartition("cv_id").sortWithinPartitions("cv_id").mapInArrow(run, schema)
 
 
 # ----------------------------------------------------------------------------------------------
 # text lists
 
 
-HIT_TOPS = "cv_id long, node int, n_f long, n_t long, f_ords array<long>, f_scores array<double>, t_ords array<long>, t_scores array<double>, low_f array<long>, low_t array<long>"
+HIT_TOPS = "cv_id long, n_f long, n_t long, f_ords array<long>, f_scores array<double>, t_ords array<long>, t_scores array<double>, low_f array<long>, low_t array<long>"
 
 
 def hit_blocks(hits: DataFrame, block: int) -> DataFrame:
@@ -112,15 +129,11 @@ def hit_blocks(hits: DataFrame, block: int) -> DataFrame:
 
 
 def _hit_tops(batches: Iterator[pa.RecordBatch], m: int) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
-
-    node = TaskContext.get().partitionId() % FAN
     for batch in batches:
         out = {c.split()[0]: [] for c in HIT_TOPS.split(", ")}
         columns = [_lists(batch.column(c), t) for c, t in (("ords", np.int64), ("fts", np.float64), ("title", np.float64))]
         for cv, ords, fts, title in zip(batch.column("cv_id").to_pylist(), *columns):
             out["cv_id"].append(cv)
-            out["node"].append(node)
             for name, scores in (("f", fts), ("t", title)):
                 hit = np.flatnonzero(scores > 0)
                 top = hit[_first(scores[hit], ords[hit], m)]
@@ -131,12 +144,11 @@ def _hit_tops(batches: Iterator[pa.RecordBatch], m: int) -> Iterator[pa.RecordBa
         for c in ("f_ords", "t_ords", "low_f", "low_t"):
             out[c] = _longs(out[c])
         out["f_scores"], out["t_scores"] = _doubles(out["f_scores"]), _doubles(out["t_scores"])
-        out["node"] = pa.array(out["node"], pa.int32())
         yield _batch(out)
 
 
 def _merge_tops(table: pa.Table, m: int) -> pa.Table:
-    row = {"cv_id": [table.column("cv_id")[0].as_py()], "node": pa.array([0], pa.int32())}
+    row = {"cv_id": [table.column("cv_id")[0].as_py()]}
     for name in "ft":
         row[f"n_{name}"] = [int(np.sum(table.column(f"n_{name}").to_numpy()))]
     for name in "ft":
@@ -210,13 +222,11 @@ def _matrix_blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.
         yield flush()
 
 
-VECTOR_TOPS = "cv_id long, node int, ords array<long>, scores array<double>, counts array<long>"
+VECTOR_TOPS = "cv_id long, ords array<long>, scores array<double>, counts array<long>"
 
 
 def _scan_vectors(batches: Iterator[pa.RecordBatch], m: int, metric: str) -> Iterator[pa.RecordBatch]:
     """Running top M of each CV and, for its candidates, how many of this task's offers come before each."""
-    from pyspark import TaskContext
-
     ids = None
     for batch in batches:
         for row in range(batch.num_rows):
@@ -243,9 +253,7 @@ def _scan_vectors(batches: Iterator[pa.RecordBatch], m: int, metric: str) -> Ite
                     if len(top) == m:
                         floor[j] = s[top[-1]]
     if ids is not None:
-        node = TaskContext.get().partitionId() % FAN
-        yield _batch({"cv_id": pa.array(ids, pa.int64()), "node": pa.array([node] * len(ids), pa.int32()), "ords": _longs([b[0] for b in best]),
-                      "scores": _doubles([b[1] for b in best]), "counts": _longs(counts)})
+        yield _batch({"cv_id": pa.array(ids, pa.int64()), "ords": _longs([b[0] for b in best]), "scores": _doubles([b[1] for b in best]), "counts": _longs(counts)})
 
 
 def _merge_vector_tops(table: pa.Table, m: int) -> pa.Table:
@@ -253,86 +261,146 @@ def _merge_vector_tops(table: pa.Table, m: int) -> pa.Table:
     scores = np.concatenate(_lists(table.column("scores"), np.float64))
     top = _first(scores, ords, m)
     counts = np.sum(_lists(table.column("counts"), np.int64), axis=0)
-    return pa.Table.from_batches([_batch({"cv_id": [table.column("cv_id")[0].as_py()], "node": pa.array([0], pa.int32()), "ords": _longs([ords[top]]),
-                                          "scores": _doubles([scores[top]]), "counts": _longs([counts])})])
+    return pa.Table.from_batches([_batch({"cv_id": [table.column("cv_id")[0].as_py()], "ords": _longs([ords[top]]), "scores": _doubles([scores[top]]), "counts": _longs([counts])})])
+
+
+CANDIDATES = "cv_id long, cands array<long>, embed_scores array<double>, embed_ranks array<long>"
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All candidates of a CV with score and rank in the vector list."""
+    """All candidates of a CV, by ordinal, with score and rank in the vector list."""
     for batch in batches:
         lists = [_lists(batch.column(c), t) for c, t in (("ords", np.int64), ("scores", np.float64), ("counts", np.int64), ("cand_ords", np.int64), ("cand_scores", np.float64))]
-        for cv, ords, scores, counts, cand_ords, cand_scores in zip(batch.column("cv_id").to_pylist(), *lists):
+        out = [[], [], []]
+        for ords, scores, counts, cand_ords, cand_scores in zip(*lists):
             more = np.flatnonzero(~np.isin(cand_ords, ords))
-            ranks = np.cumsum(counts[:-1]) + 1
-            o = np.concatenate([ords, cand_ords[more]])
-            yield _batch({"cv_id": [cv] * len(o), "ord": pa.array(o), "embedding_score": pa.array(np.concatenate([scores, cand_scores[more]])),
-                          "embed_rank": pa.array(np.concatenate([np.arange(1, len(ords) + 1), ranks[more]]))})
+            ranks = np.concatenate([np.arange(1, len(ords) + 1), np.cumsum(counts[:-1])[more] + 1])
+            both, values = np.concatenate([ords, cand_ords[more]]), np.concatenate([scores, cand_scores[more]])
+            order = np.argsort(both)
+            for column, x in zip(out, (both, values, ranks)):
+                column.append(x[order])
+        yield _batch({"cv_id": batch.column("cv_id"), "cands": _longs(out[0]), "embed_scores": _doubles(out[1]), "embed_ranks": _longs(out[2])})
 
 
 # ----------------------------------------------------------------------------------------------
 # text ranks of candidates
 
+IN_BLOCK = "cv_id long, block array<long>, n_f array<long>, n_t array<long>, at array<long>, fts array<double>, title array<double>, before_f array<long>, before_t array<long>"
 
-OWN = "cv_id long, ord long, fts_score double, title_score double, before_f long, before_t long"
 
-
-def _own_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A candidate's own text scores and the hits before it in its block (a ``rank`` on the block)."""
+def _own_hits(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """For a block of hits and the candidates in it: their own text scores, and the hits before them (``rank`` on the block)."""
     for batch in batches:
-        cands = _lists(batch.column("cands"), np.int64)
-        columns = [_lists(batch.column(c), t) for c, t in (("ords", np.int64), ("fts", np.float64), ("title", np.float64))]
-        for cv, want, ords, fts, title in zip(batch.column("cv_id").to_pylist(), cands, *columns):
+        columns = [_lists(batch.column(c), t) for c, t in (("cands", np.int64), ("ords", np.int64), ("fts", np.float64), ("title", np.float64))]
+        out = {c.split()[0]: [] for c in IN_BLOCK.split(", ")}
+        for cv, block, cands, ords, fts, title in zip(batch.column("cv_id").to_pylist(), batch.column("block").to_pylist(), *columns):
+            here = np.arange(*np.searchsorted(cands, [block * size, (block + 1) * size]))
+            want = cands[here]
             at = np.searchsorted(ords, want)
-            held = np.zeros(len(want), dtype=bool)
-            inside = at < len(ords)
-            held[inside] = ords[at[inside]] == want[inside]
-            out = {"cv_id": [cv] * len(want), "ord": pa.array(want)}
-            for name, scores in (("fts_score", fts), ("title_score", title)):
+            held = np.flatnonzero(at < len(ords))
+            held = held[ords[at[held]] == want[held]]
+            out["cv_id"].append(cv)
+            out["block"].append([block])
+            out["at"].append(here)
+            for name, x, scores in (("fts", "f", fts), ("title", "t", title)):
                 own = np.zeros(len(want))
                 own[held] = scores[at[held]]
-                out[name] = pa.array(own)
-            for name, scores in (("before_f", fts), ("before_t", title)):
-                out[name] = pa.array(np.concatenate([[0], np.cumsum(scores > 0)])[at].astype(np.int64))
-            yield _batch(out)
+                past = np.concatenate([[0], np.cumsum(scores > 0)])
+                out[name].append(own)
+                out[f"n_{x}"].append(past[-1:])
+                out[f"before_{x}"].append(past[at])
+        yield _batch({c: out[c] if c == "cv_id" else (_doubles if c in ("fts", "title") else _longs)(out[c]) for c in out})
+
+
+def _join_lists(table: pa.Table) -> pa.Table:
+    """The lists of a CV's blocks behind each other."""
+    row = {"cv_id": [table.column("cv_id")[0].as_py()]}
+    for c in table.column_names[1:]:
+        real = c in ("fts", "title")
+        row[c] = (_doubles if real else _longs)([np.concatenate(_lists(table.column(c), np.float64 if real else np.int64))])
+    return pa.Table.from_batches([_batch(row)])
 
 
-HIT_COUNTS = "cv_id long, node int, counts_f array<long>, counts_t array<long>"
+TEXT = ("cv_id long, fts array<double>, title array<double>, zero_f array<long>, zero_t array<long>, f_ords array<long>, f_scores array<double>, t_ords array<long>, "
+        "t_scores array<double>")
+
+
+def _with_directory(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """A CV's candidates with their text scores, the ranks they have in each list if their score is zero (sums over the
+    directory of blocks), and those with a hit in list order."""
+    for batch in batches:
+        names = [c.split()[0] for c in IN_BLOCK.split(", ")[1:]]
+        cols = {c: _lists(batch.column(c), np.float64 if c in ("fts", "title") else np.int64) for c in [*names, "cands"]}
+        out = {c.split()[0]: [] for c in TEXT.split(", ")}
+        for i, cv in enumerate(batch.column("cv_id").to_pylist()):
+            row = {c: cols[c][i] for c in cols}
+            cands, order = row["cands"], np.argsort(row["block"])
+            out["cv_id"].append(cv)
+            for name, x in (("fts", "f"), ("title", "t")):
+                past = np.concatenate([[0], np.cumsum(row[f"n_{x}"][order])])
+                before = past[np.searchsorted(row["block"][order], cands // size)]
+                own = np.zeros(len(cands))
+                own[row["at"]] = row[name]
+                before[row["at"]] += row[f"before_{x}"]
+                hit = np.flatnonzero(own > 0)
+                hit = hit[np.lexsort((cands[hit], -own[hit]))]
+                out[name].append(own)
+                out[f"zero_{x}"].append(past[-1] + cands - before)
+                out[f"{x}_ords"].append(cands[hit])
+                out[f"{x}_scores"].append(own[hit])
+        yield _batch({c: out[c] if c == "cv_id" else (_doubles if c in ("fts", "title", "f_scores", "t_scores") else _longs)(out[c]) for c in out})
+
+
+HIT_COUNTS = "cv_id long, counts_f array<long>, counts_t array<long>"
 
 
 def _count_hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For a CV's candidates with a hit, how many hits of a block come before each, in both lists."""
-    from pyspark import TaskContext
-
-    node = TaskContext.get().partitionId() % FAN
     for batch in batches:
         columns = [_lists(batch.column(c), t) for c, t in (("ords", np.int64), ("fts", np.float64), ("title", np.float64), ("f_ords", np.int64),
                                                           ("f_scores", np.float64), ("t_ords", np.int64), ("t_scores", np.float64))]
-        cvs, out_f, out_t = batch.column("cv_id").to_pylist(), [], []
+        out_f, out_t = [], []
         for ords, fts, title, fo, fs, to, ts in zip(*columns):
             for scores, cand_ords, cand_scores, out in ((fts, fo, fs, out_f), (title, to, ts, out_t)):
                 hit = np.flatnonzero(scores > 0)
                 out.append(np.bincount(_before(scores[hit], ords[hit], cand_scores, cand_ords), minlength=len(cand_ords) + 1))
-        yield _batch({"cv_id": pa.array(cvs, pa.int64()), "node": pa.array([node] * len(cvs), pa.int32()), "counts_f": _longs(out_f), "counts_t": _longs(out_t)})
+        yield _batch({"cv_id": batch.column("cv_id"), "counts_f": _longs(out_f), "counts_t": _longs(out_t)})
 
 
 def _add_counts(table: pa.Table) -> pa.Table:
-    sums = [np.sum(_lists(table.column(c), np.int64), axis=0) for c in ("counts_f", "counts_t")]
-    return pa.Table.from_batches([_batch({"cv_id": [table.column("cv_id")[0].as_py()], "node": pa.array([0], pa.int32()), "counts_f": _longs([sums[0]]), "counts_t": _longs([sums[1]])})])
+    sums = {c: _longs([np.sum(_lists(table.column(c), np.int64), axis=0)]) for c in ("counts_f", "counts_t")}
+    return pa.Table.from_batches([_batch({"cv_id": [table.column("cv_id")[0].as_py()], **sums})])
 
 
-def _hit_ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(cv_id, list, ord, place)`` of the candidates with a hit."""
+RANKED = "cv_id long, ord long, embedding_score double, fts_score double, title_score double, embed_rank long, fts_rank long, title_rank long"
+
+
+def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The candidates of a CV with their scores and ranks in the three lists."""
+    longs = ("cands", "embed_ranks", "zero_f", "zero_t", "f_ords", "t_ords", "counts_f", "counts_t")
     for batch in batches:
-        for name, number in (("f", 0), ("t", 1)):
-            counts, ords = _lists(batch.column(f"counts_{name}"), np.int64), _lists(batch.column(f"{name}_ords"), np.int64)
-            for cv, n, o in zip(batch.column("cv_id").to_pylist(), counts, ords):
-                yield _batch({"cv_id": [cv] * len(o), "list": pa.array([number] * len(o), pa.int32()), "ord": pa.array(o), "place": pa.array(np.cumsum(n[:-1]) + 1)})
+        cols = {c: _lists(batch.column(c), np.int64 if c in longs else np.float64) for c in (*longs, "embed_scores", "fts", "title")}
+        for i, cv in enumerate(batch.column("cv_id").to_pylist()):
+            row = {c: cols[c][i] for c in cols}
+            cands, ranks = row["cands"], {}
+            for x in "ft":
+                rank = row[f"zero_{x}"].copy()
+                rank[np.searchsorted(cands, row[f"{x}_ords"])] = np.cumsum(row[f"counts_{x}"][:-1])[: len(row[f"{x}_ords"])] + 1
+                ranks[x] = pa.array(rank)
+            yield _batch({"cv_id": [cv] * len(cands), "ord": pa.array(cands), "embedding_score": pa.array(row["embed_scores"]), "fts_score": pa.array(row["fts"]),
+                          "title_score": pa.array(row["title"]), "embed_rank": pa.array(row["embed_ranks"]), "fts_rank": ranks["f"], "title_rank": ranks["t"]})
 
 
 # ----------------------------------------------------------------------------------------------
 # plan
 
 
+def _blank(cvs: DataFrame, schema: str) -> DataFrame:
+    """A row without content for each CV, for those that have no hit."""
+    empty = [F.lit(0).cast(t).alias(n) if t == "long" else F.array().cast(t).alias(n) for n, t in (c.split() for c in schema.split(", ")[1:])]
+    return cvs.select("cv_id", *empty)
+
+
 def rrf_search(corpus: DataFrame, index: DataFrame, cvs: DataFrame, cfg: SearchConfig | None = None, key: str = "job_id",
                cvs_per_slice: int | None = None) -> DataFrame:
     """The top K offers of every CV: ``(cv_id, rank, key, embedding_score, fts_score, title_score, combined_score, embed_rank,
@@ -341,8 +409,9 @@ def rrf_search(corpus: DataFrame, index: DataFrame, cvs: DataFrame, cfg: SearchC
     cfg = cfg or SearchConfig()
     m, dim = cfg.candidate_depth, F.max(F.size("cv_embedding"))
     cvs = cvs.filter(searchable("cv_embedding")).withColumn("cv_id", F.col("cv_id").cast("long"))
-    offers = ordinals(corpus, key)
+    offers = _stored(ordinals(corpus, key), "offers-by-key")  # read by column several times
     n_corpus = offers.count()
+    cvs = _stored(cvs.select("cv_id", "cv_text", F.col("cv_embedding").cast("array<double>").alias("cv_embedding")), "cvs")
     n_cvs, values = cvs.agg(F.count(F.lit(1)), dim).first()
     # what a task is sent for a CV: its vector, and at most 2M candidates with their scores
     per_slice = cvs_per_slice or max(1, cfg.broadcast_rows // ((values or 0) + 4 * m))
@@ -353,13 +422,11 @@ def rrf_search(corpus: DataFrame, index: DataFrame, cvs: DataFrame, cfg: SearchC
     blocks = _stored(hit_blocks(hits.where("fts_score > 0 or title_score > 0"), cfg.hit_block), "hit-blocks")
 
     tops = blocks.mapInArrow(lambda it: _hit_tops(it, m), HIT_TOPS)
-    none = cvs.select("cv_id", *[F.lit(0 if " array" not in c else None).cast(c.split()[1]).alias(c.split()[0]) for c in HIT_TOPS.split(", ")[1:]])
-    none = none.select("cv_id", "node", "n_f", "n_t", *[F.coalesce(c, F.array().cast(t)).alias(c) for c, t in none.dtypes[4:]])
-    tops = _tree(tops.unionByName(none), lambda t: _merge_tops(t, m), HIT_TOPS)
+    tops = _merged(tops.unionByName(_blank(cvs, HIT_TOPS)), lambda t: _merge_tops(t, m), HIT_TOPS)
     text_cands = tops.mapInArrow(lambda it: _with_zeros(it, m, n_corpus), "cv_id long, ord long")
 
     metric = cfg.metric
-    vectors = cvs.select("cv_id", F.col("cv_embedding").cast("array<double>").alias("cv_embedding"))
+    vectors = cvs.select("cv_id", "cv_embedding")
     own = (text_cands.join(offers.select("ord", "embedding"), "ord").join(vectors, "cv_id").select("cv_id", "ord", "embedding", "cv_embedding")
            .mapInArrow(lambda it: _own_scores(it, metric), "cv_id long, ord long, score double"))
     listed = own.groupBy("cv_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "ord"))).alias("c"))
@@ -376,42 +443,19 @@ def rrf_search(corpus: DataFrame, index: DataFrame, cvs: DataFrame, cfg: SearchC
         probe = probes.where(F.col("slice") == s).groupBy("slice").agg(F.collect_list(F.struct("cv_id", "cv_embedding", "cand_ords", "cand_scores")).alias("probe"))
         part = matrix.withColumn("slice", F.lit(s)).join(F.broadcast(probe), "slice").drop("slice").mapInArrow(lambda it: _scan_vectors(it, m, metric), VECTOR_TOPS)
         scanned = part if scanned is None else scanned.unionByName(part)
-    ranked = _tree(scanned, lambda t: _merge_vector_tops(t, m), VECTOR_TOPS)
-    cands = ranked.join(probes.select("cv_id", "cand_ords", "cand_scores"), "cv_id").mapInArrow(
-        _candidates, "cv_id long, ord long, embedding_score double, embed_rank long")
-    cands = _stored(cands, "candidates")
-
-    per_block = cands.groupBy("cv_id", F.floor(F.col("ord") / cfg.hit_block).cast("long").alias("block")).agg(F.sort_array(F.collect_list("ord")).alias("cands"))
-    sparse = per_block.join(blocks, ["cv_id", "block"], "left").select(
-        "cv_id", "cands", *[F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("ords", "array<long>"), ("fts", "array<double>"), ("title", "array<double>"))])
-    text_own = _stored(sparse.mapInArrow(_own_hits, OWN), "candidate-hits")
-
-    # the directory: hits of a CV in the blocks before each block
-    sizes = blocks.select("cv_id", "block", F.size(F.filter("fts", lambda x: x > 0)).cast("long").alias("n_f"), F.size(F.filter("title", lambda x: x > 0)).cast("long").alias("n_t"))
-    zero = F.lit(0).cast("long")
-    directory = sizes.unionByName(per_block.select("cv_id", "block", zero.alias("n_f"), zero.alias("n_t"))).groupBy("cv_id", "block").agg(F.sum("n_f").alias("n_f"), F.sum("n_t").alias("n_t"))
-    earlier = Window.partitionBy("cv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("cv_id")
-    directory = directory.select("cv_id", "block", *[F.coalesce(F.sum(f"n_{x}").over(earlier), zero).alias(f"past_{x}") for x in "ft"],
-                                 *[F.sum(f"n_{x}").over(whole).alias(f"all_{x}") for x in "ft"])
-
-    def positive(score: str, name: str):
-        ordered = F.sort_array(F.collect_list(F.when(F.col(score) > 0, F.struct((-F.col(score)).alias("s"), "ord"))))
-        return ordered.alias(name)
-
-    wanted = text_own.groupBy("cv_id").agg(positive("fts_score", "f"), positive("title_score", "t")).select(
-        "cv_id", F.col("f.ord").alias("f_ords"), F.transform("f.s", lambda s: -s).alias("f_scores"), F.col("t.ord").alias("t_ords"), F.transform("t.s", lambda s: -s).alias("t_scores"))
-    counted = _tree(blocks.select("cv_id", "ords", "fts", "title").join(wanted, "cv_id").mapInArrow(_count_hits, HIT_COUNTS), _add_counts, HIT_COUNTS)
-    places = counted.join(wanted, "cv_id").mapInArrow(_hit_ranks, "cv_id long, list int, ord long, place long")
-    places = places.groupBy("cv_id", "ord").agg(*[F.max(F.when(F.col("list") == i, F.col("place"))).alias(f"place_{x}") for i, x in enumerate("ft")])
-
-    full = (cands.withColumn("block", F.floor(F.col("ord") / cfg.hit_block).cast("long")).join(text_own, ["cv_id", "ord"])
-            .join(directory, ["cv_id", "block"]).join(places, ["cv_id", "ord"], "left"))
-
-    def text_rank(x: str):
-        return F.coalesce(F.col(f"place_{x}"), F.col(f"all_{x}") + F.col("ord") - F.col(f"past_{x}") - F.col(f"before_{x}"))
-
-    full = full.withColumns({"fts_rank": text_rank("f"), "title_rank": text_rank("t")})
+    ranked = _merged(scanned, lambda t: _merge_vector_tops(t, m), VECTOR_TOPS)
+    cands = _stored(ranked.join(probes.select("cv_id", "cand_ords", "cand_scores"), "cv_id").mapInArrow(_candidates, CANDIDATES), "candidates")
+
+    size = cfg.hit_block
+    inside = blocks.join(cands.select("cv_id", "cands"), "cv_id").mapInArrow(lambda it: _own_hits(it, size), IN_BLOCK)
+    inside = _merged(inside.unionByName(_blank(cvs, IN_BLOCK)), _join_lists, IN_BLOCK)
+    text = _stored(inside.join(cands.select("cv_id", "cands"), "cv_id").mapInArrow(lambda it: _with_directory(it, size), TEXT), "candidate-hits")
+
+    wanted = text.select("cv_id", "f_ords", "f_scores", "t_ords", "t_scores")
+    counted = blocks.select("cv_id", "ords", "fts", "title").join(wanted, "cv_id").mapInArrow(_count_hits, HIT_COUNTS)
+    counted = _merged(counted, _add_counts, HIT_COUNTS)
+    state = cands.join(text, "cv_id").join(counted, "cv_id", "left")  # no count for a CV without a hit
+    full = state.select(*cands.columns, *text.columns[1:], *[F.coalesce(c, F.array().cast("array<long>")).alias(c) for c in counted.columns[1:]]).mapInArrow(_ranked, RANKED)
     we, wf, wt = cfg.weights
     k = float(cfg.rrf_k)
     full = full.withColumn("combined_score", F.lit(we) / (F.lit(k) + F.col("embed_rank")) + F.lit(wf) / (F.lit(k) + F.col("fts_rank")) + F.lit(wt) / (F.lit(k) + F.col("title_rank")))

@@ -136,26 +136,28 @@ def lexeme_bucket(lexeme: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(lexeme), F.lit(buckets)).cast("int")
 
 
-def write_index(index: DataFrame, path: str, buckets: int = SearchConfig.index_buckets) -> None:
-    """Store the posting index partitioned by a hash bucket of the lexeme and sorted by lexeme inside
-    each file, so a search reads only the buckets of its own lexemes (partition pruning) and Parquet
-    min/max statistics narrow the row groups further."""
-    (index.withColumn("bucket", lexeme_bucket(F.col("lexeme"), buckets)).withColumn("n_buckets", F.lit(buckets))
-     .repartition(buckets, "bucket").sortWithinPartitions("lexeme")
-     .write.partitionBy("n_buckets", "bucket").parquet(path))
+def write_index(index: DataFrame, path: str, buckets: int = SearchConfig.index_buckets, key: str = "job_id") -> None:
+    """Store a posting index partitioned by a hash bucket of the lexeme and sorted by lexeme inside each file, so a search
+    reads only the buckets of its own lexemes (partition pruning) and Parquet statistics narrow the row groups further.
+    Tasks write ranges of (bucket, lexeme, key) of about equal size (``index_store``)."""
+    from offerlake.operators.index_store import by_lexeme_range
 
+    by_lexeme_range(index, buckets, key).write.partitionBy("n_buckets", "bucket").parquet(path)
 
-def append_index(new_offers: DataFrame, path: str, key: str = "job_id", buckets: int = SearchConfig.index_buckets) -> None:
-    """Add the postings of offers not indexed yet to a stored index (insert-only, like silver)."""
-    from offerlake.streaming.ingest import path_exists
+
+def append_index(new_offers: DataFrame, path: str, key: str = "job_id", buckets: int = SearchConfig.index_buckets, **options) -> None:
+    """Add the postings of offers not indexed yet to an index stored by ``write_index`` (insert-only, like silver). ``options``
+    are those of ``build_index``; ``index_store`` keeps them, the indexed offers and deletes as well."""
+    from offerlake.operators.index_store import by_lexeme_range
+    from offerlake.sources.folders import path_exists
 
     spark = new_offers.sparkSession
     if path_exists(spark, path):
         done = spark.read.parquet(path).select(key).distinct()
         new_offers = new_offers.join(done, key, "left_anti")
-    (build_index(new_offers, key).withColumn("bucket", lexeme_bucket(F.col("lexeme"), buckets)).withColumn("n_buckets", F.lit(buckets))
-     .repartition(buckets, "bucket").sortWithinPartitions("lexeme")
-     .write.mode("append").partitionBy("n_buckets", "bucket").parquet(path))
+    made = scratch_path(spark, "new-postings")
+    build_index(new_offers, key, **options).write.parquet(made)
+    by_lexeme_range(spark.read.parquet(made), buckets, key).write.mode("append").partitionBy("n_buckets", "bucket").parquet(path)
 
 
 def _h2(n: Column) -> Column:

@@ -90,6 +90,26 @@ def retention_report(df: DataFrame, date_col: str, as_of: str, days: int) -> Dat
     )
 
 
+def drop_expired(spark, path: str, as_of: str, days: int, date_col: str = "ingestion_date") -> DataFrame:
+    """Retention of a table stored by date: whole partitions older than ``as_of - days`` go, the others are neither read nor
+    written; a partition without a date stays. Returns ``(date_col, deleted)``, one row for each dropped partition, counted
+    before it went."""
+    import datetime
+
+    from offerlake.sources.folders import drop_folder, partition_values
+
+    cutoff = (datetime.date.fromisoformat(as_of) - datetime.timedelta(days=days)).isoformat()
+    expired = [v for v in partition_values(spark, path, date_col) if v[:1].isdigit() and v < cutoff]
+    schema = f"`{date_col}` date, deleted long"
+    if not expired:
+        return spark.createDataFrame([], schema)
+    stored = spark.read.option("basePath", path).parquet(*[f"{path}/{date_col}={v}" for v in expired])
+    gone = {str(r[0]): r[1] for r in stored.groupBy(date_col).count().collect()}  # one row a date
+    for v in expired:
+        drop_folder(spark, f"{path}/{date_col}={v}")
+    return spark.createDataFrame([(datetime.date.fromisoformat(v), gone.get(v, 0)) for v in expired], schema)
+
+
 def delete_keys(df: DataFrame, keys: DataFrame, key: str, keys_col: str | None = None) -> DataFrame:
     """``DELETE ... WHERE key IN (keys)`` as the rows that remain."""
     return df.join(keys.select(F.col(keys_col or key).alias(key)), key, "left_anti")
@@ -153,6 +173,9 @@ def schema_align(df: DataFrame, target: T.StructType) -> DataFrame:
 _NUMERIC_ORDER = [T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType]
 
 
+_INTEGER_DIGITS = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 19}
+
+
 def _supertype(a: T.DataType, b: T.DataType) -> T.DataType:
     if a == b:
         return a
@@ -171,8 +194,11 @@ def _supertype(a: T.DataType, b: T.DataType) -> T.DataType:
         other = b if isinstance(a, T.DecimalType) else a
         if isinstance(other, (T.FloatType, T.DoubleType)):
             return T.DoubleType()
-        if isinstance(other, (T.DecimalType, T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-            return T.DecimalType(38, max(t.scale for t in (a, b) if isinstance(t, T.DecimalType)))
+        if isinstance(other, (T.DecimalType, *_INTEGER_DIGITS)):
+            sizes = [(t.precision - t.scale, t.scale) if isinstance(t, T.DecimalType) else (_INTEGER_DIGITS[type(t)], 0) for t in (a, b)]
+            whole, scale = max(s[0] for s in sizes), max(s[1] for s in sizes)
+            # no decimal type holds the digits of both: their text does
+            return T.DecimalType(whole + scale, scale) if whole + scale <= 38 else T.StringType()
     if isinstance(a, (T.DateType, T.TimestampType, T.TimestampNTZType)) and isinstance(b, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return T.TimestampType() if T.TimestampType() in (a, b) else T.TimestampNTZType()
     if isinstance(a, T.StructType) and isinstance(b, T.StructType):

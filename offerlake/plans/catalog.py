@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from offerlake.functions import nested as nx
 from offerlake.functions import text as tx
 from offerlake.functions.stemming import stem_vocabulary
-from offerlake.operators import links, search, tables as tb
+from offerlake.operators import index_store, links, search, tables as tb
 from offerlake.operators.encode import encode
 from offerlake.operators.ranking import global_rank
 from offerlake.plans import jobs
@@ -183,6 +183,15 @@ def retention(spark, sf):
     return tb.retention(_events_dated(spark, sf), "ingestion_date", AS_OF, 14).select("event_id", "ingestion_date")
 
 
+@query
+def retention_partitions(spark, sf):
+    """Retention of a table stored by date: expired dates are dropped as folders."""
+    path = scratch_path(spark, "events-by-date")
+    _events_dated(spark, sf).select("event_id", "ingestion_date").repartition("ingestion_date").write.partitionBy("ingestion_date").parquet(path)
+    tb.drop_expired(spark, path, AS_OF, 14)
+    return spark.read.schema("event_id long, ingestion_date date").parquet(path)
+
+
 @query
 def retention_report(spark, sf):
     return tb.retention_report(_events_dated(spark, sf), "ingestion_date", AS_OF, 14)
@@ -247,6 +256,17 @@ def union_relaxed(spark, sf):
     return tb.union_relaxed([c, s])
 
 
+@query
+def union_files(spark, sf):
+    """Files of one folder that disagree on types and columns: a key as int, long and text, an amount as decimal and double."""
+    path = scratch_path(spark, "mixed-files")
+    ev = _t(spark, sf, "events")
+    ev.select(F.col("event_id").cast("int").alias("id"), F.col("value").cast("decimal(12,2)").alias("value")).where("id % 3 = 0").write.parquet(f"{path}/jobs_raw_20240101_000000")
+    ev.select(F.col("event_id").alias("id"), "value", "event_type").where("id % 3 = 1").write.parquet(f"{path}/jobs_raw_20240102_000000")
+    ev.where("event_id % 3 = 2").select(F.concat(F.lit("e"), F.col("event_id")).alias("id"), F.col("user_id").alias("user")).write.parquet(f"{path}/jobs_raw_20240103_000000")
+    return bt.read_relaxed(spark, f"{path}/*").select("id", "value", "event_type", "user")
+
+
 # ---------------------------------------------------------------------------------------------- JSON, vectors
 
 
@@ -430,6 +450,23 @@ def fts_rank_stored(spark, sf):
     return s.select("cv_id", "job_id", F.round("fts_score", 9).alias("fts_score"))
 
 
+@query
+def index_after_delete(spark, sf):
+    """Text scores from a stored index that was appended to twice (offers with a label first), lost its dead offers and was
+    then cut down to the offers that are left in silver."""
+    path = scratch_path(spark, "living-index")
+    o = offers(spark, sf)
+    index_store.create(spark, path, buckets=16)
+    index_store.append(o.join(_t(spark, sf, "labels").select(F.col("doc_id").alias("job_id")), "job_id", "left_semi"), path)
+    index_store.append(o, path)
+    index_store.delete(spark, path, links.dead_keys(link_status(spark, sf)))
+    index_store.keep_only(spark, path, o.filter(F.col("lang") != "de"))
+    cfg = search.SearchConfig()
+    q = search.cv_lexemes(_t(spark, sf, "benchmark").select(F.col("item_id").alias("cv_id"), F.col("text").alias("cv_text")), cfg)
+    s = search.text_scores(index_store.postings(spark, path), q, cfg)
+    return s.select("cv_id", "job_id", F.round("fts_score", 9).alias("fts_score"))
+
+
 # ---------------------------------------------------------------------------------------------- links
 
 

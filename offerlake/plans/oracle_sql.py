@@ -426,3 +426,15 @@ ORACLE["run_metrics"] = """SELECT count(*) AS rows_in, count(*) - count(DISTINCT
     count(*) FILTER (WHERE n_chars < 100) AS short_texts FROM documents d"""
 
 ORACLE["stream_file_ingest"] = "SELECT DISTINCT event_id FROM events"
+
+ORACLE["retention_partitions"] = ORACLE["retention"]
+
+ORACLE["index_after_delete"] = f"""{STATUS_CTES},
+    left_over AS (SELECT doc_id FROM documents d WHERE lang <> 'de' AND NOT EXISTS (
+        SELECT 1 FROM status s WHERE s.job_id = d.doc_id AND s.status NOT IN ('200', 'timeout', 'error', 'exception'))),
+    scores AS ({ORACLE["fts_rank"]})
+    SELECT * FROM scores WHERE job_id IN (SELECT doc_id FROM left_over)"""
+
+ORACLE["union_files"] = """SELECT CASE WHEN event_id % 3 = 2 THEN 'e' ELSE '' END || CAST(event_id AS VARCHAR) AS id,
+    CASE event_id % 3 WHEN 0 THEN CAST(CAST(value AS DECIMAL(12, 2)) AS DOUBLE) WHEN 1 THEN value END AS value,
+    CASE WHEN event_id % 3 = 1 THEN event_type END AS event_type, CASE WHEN event_id % 3 = 2 THEN user_id END AS "user" FROM events"""

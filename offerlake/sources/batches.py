@@ -7,28 +7,67 @@ subqueries, which the executors evaluate; nothing is listed or collected on the
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from offerlake.sources.folders import data_files
+
 # The batch stamp inside a file name (date_time) and its layout.
 STAMP_PATTERN = r"(\d{8}_\d{6})"
 STAMP_FORMAT = "yyyyMMdd_HHmmss"
 _LOWEST = "0001-01-01 00:00:00"
 
 
-def read_with_source(spark: SparkSession, path: str, schema: T.StructType | None = None, **options) -> DataFrame:
+def read_with_source(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None, **options) -> DataFrame:
     """Read Parquet files (a path or a glob; ``mergeSchema="true"`` for files with differing columns) and keep, on
     every row, the file name, its modification time and the row's place in it, the order of first-wins rules."""
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
-    df = reader.options(**options).parquet(path)
+    df = reader.options(**options).parquet(*([path] if isinstance(path, str) else path))
     return df.select("*", F.col("_metadata.file_name").alias("_file"),
                      F.col("_metadata.file_modification_time").alias("_modified"),
                      F.col("_metadata.row_index").alias("_row"))
 
 
+def schema_groups(spark: SparkSession, files: list[str], **options) -> list[list[str]]:
+    """Runs of files (in the given order) whose schemas merge. Spark reads the footers of a run in parallel on the executors;
+    a run that does not merge is halved, so a few changes of type among many files cost a few reads each."""
+    def merges(run: list[str]) -> bool:
+        try:
+            spark.read.options(**options).option("mergeSchema", "true").parquet(*run)
+            return True
+        except (PySparkException, Py4JJavaError) as e:  # a conflict surfaces as the one or the other
+            if "CANNOT_MERGE" not in str(e):
+                raise
+            return False
+
+    if not files:
+        return []
+    if len(files) == 1 or merges(files):
+        return [files]
+    half = len(files) // 2
+    left, right = schema_groups(spark, files[:half], **options), schema_groups(spark, files[half:], **options)
+    if merges([*left[-1], *right[0]]):  # the halves may cut a run
+        return [*left[:-1], [*left[-1], *right[0]], *right[1:]]
+    return [*left, *right]
+
+
+def read_relaxed(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Every file of a path or glob as one table, also where files disagree on a column's type: one scan for each run of
+    files whose schemas merge, then the relaxed union (missing -> null, types widened). Rows keep file, time and place as in
+    ``read_with_source``."""
+    from offerlake.operators.tables import union_relaxed
+
+    groups = schema_groups(spark, data_files(spark, path), **options)
+    if not groups:
+        raise FileNotFoundError(path)
+    return union_relaxed([read_with_source(spark, group, mergeSchema="true", **options) for group in groups])
+
+
 def batch_stamp(name: Column | str) -> Column:
     """Timestamp written in a batch name as ``yyyyMMdd_HHmmss``; null when there is none."""
     c = F.col(name) if isinstance(name, str) else name

@@ -1,36 +1,83 @@
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from offerlake.operators import search
-from offerlake.operators.rrf_candidates import rrf_search_candidates
+from offerlake.operators import rrf, search
 from offerlake.plans import catalog
 
-COLS = ["cv_id", "rank", "job_id", "embedding_score", "fts_score", "title_score", "embed_rank", "fts_rank",
-        "title_rank", "combined_score"]
+COLS = ["cv_id", "rank", "job_id", "embedding_score", "fts_score", "title_score", "embed_rank", "fts_rank", "title_rank"]
 
 
 def _rows(df):
     return sorted(tuple(r[c] for c in COLS) for r in df.collect())
 
 
-@pytest.mark.parametrize("sf, top_k", [("/root/testdata/sf0.001", 5), ("/root/testdata/sf0.001", 100),
-                                       ("/root/testdata/sf0.01", 100)])
-def test_candidate_path_equals_dense_path(spark, sf, top_k):
-    cfg = search.SearchConfig(top_k=top_k)
-    corpus, idx, cvs = catalog.corpus(spark, sf), catalog.index(spark, sf), catalog.cvs(spark, sf)
-    dense = search.rrf_search(corpus, idx, cvs, cfg)
-    sparse = rrf_search_candidates(corpus, idx, cvs, cfg)
-    assert _rows(sparse) == _rows(dense)
+def brute(spark, corpus, idx, cvs, cfg):
+    """All ranks of all offers, straight from the scores."""
+    cvs = cvs.filter(search.searchable("cv_embedding"))
+    vectors = search.vector_scores(corpus.filter(search.searchable("embedding")), cvs, cfg).toPandas()
+    text = search.text_scores(idx, search.cv_lexemes(cvs, cfg), cfg).select(
+        "cv_id", "job_id", F.round("fts_score", 9).alias("fts_score"), F.round("title_score", 9).alias("title_score")).toPandas()
+    pairs = vectors.merge(text, on=["cv_id", "job_id"], how="left").fillna(0.0)
+    out = []
+    for cv, g in pairs.groupby("cv_id"):
+        for c, r in (("embedding_score", "er"), ("fts_score", "fr"), ("title_score", "tr")):
+            g = g.sort_values([c, "job_id"], ascending=[False, True]).copy()
+            g[r] = np.arange(1, len(g) + 1)
+        w, k = cfg.weights, cfg.rrf_k
+        g["comb"] = w[0] / (k + g.er) + w[1] / (k + g.fr) + w[2] / (k + g.tr)
+        g = g.sort_values(["comb", "job_id"], ascending=[False, True]).head(cfg.top_k)
+        out += [(cv, i + 1, *x) for i, x in enumerate(zip(g.job_id, g.embedding_score, g.fts_score, g.title_score, g.er, g.fr, g.tr))]
+    return sorted(out)
 
 
-def test_threshold_selects_candidate_path(spark, sf_small):
-    cfg = search.SearchConfig(top_k=5, dense_pairs=0)
-    corpus, idx, cvs = catalog.corpus(spark, sf_small), catalog.index(spark, sf_small), catalog.cvs(spark, sf_small)
-    assert _rows(search.rrf_search(corpus, idx, cvs, cfg)) == _rows(search.rrf_search(corpus, idx, cvs, search.SearchConfig(top_k=5)))
+def fixture(spark):
+    rng = np.random.default_rng(6)
+    words = [f"mot{i}" for i in range(40)]
+    offers, corpus = [], []
+    for i in range(0, 900, 3):  # keys with gaps
+        offers.append((i, " ".join(rng.choice(words[: 10 + i % 20], 2)), " ".join(rng.choice(words, 6)) if i % 4 else "", ""))
+        v = rng.integers(-2, 3, 6) / 2 if i % 5 else np.zeros(6)  # many equal vectors: ties by key
+        corpus.append((i, [float(x) for x in v]))
+    corpus += [(1001, [None] * 6), (1002, None), (1003, [float("nan")] * 6)]
+    cvs = [(c, " ".join(rng.choice(words, n)), [float(x) for x in rng.integers(-2, 3, 6) / 2]) for c, n in enumerate([1, 2, 5, 30])]
+    cvs += [(10, "nothing known", [0.5] * 6), (11, "", [1.0] * 6), (12, None, [0.0] * 6), (13, "mot1", None)]
+    make = spark.createDataFrame
+    return (make(corpus, "job_id long, embedding array<float>").repartition(5),
+            search.build_index(make(offers, "job_id long, title string, description string, skills string")),
+            make(cvs, "cv_id int, cv_text string, cv_embedding array<float>"))
 
 
-def test_candidate_path_in_cv_slices(spark, sf_small):
-    cfg = search.SearchConfig(top_k=5)
+@pytest.mark.parametrize("cfg, per_slice", [
+    (search.SearchConfig(top_k=4, hit_block=32, vector_block=16), 3),
+    (search.SearchConfig(top_k=100), None),
+    (search.SearchConfig(top_k=7, rrf_k=5, weights=(1.0, 2.0, 0.5), metric="cosine", hit_block=100), None),
+])
+def test_pruned_search_against_brute_force(spark, cfg, per_slice):
+    corpus, idx, cvs = fixture(spark)
+    got = _rows(rrf.rrf_search(corpus, idx, cvs, cfg, cvs_per_slice=per_slice))
+    want = brute(spark, corpus, idx, cvs, cfg)
+    assert [r[:3] + r[6:] for r in got] == [r[:3] + r[6:] for r in want]
+    assert all(a[3:6] == pytest.approx(b[3:6], abs=2e-9) for a, b in zip(got, want))
+    assert {r[0] for r in got} == {0, 1, 2, 3, 10, 11, 12}
+
+
+def test_counting_before_candidates():
+    rng = np.random.default_rng(1)
+    scores, ords = rng.integers(0, 6, 300) / 2, rng.permutation(300)
+    pick = rng.choice(300, 40, replace=False)
+    pick = pick[np.lexsort((ords[pick], -scores[pick]))]
+    counts = np.bincount(rrf._before(scores, ords, scores[pick], ords[pick]), minlength=41)
+    place = np.argsort(np.lexsort((ords, -scores)))
+    assert (np.cumsum(counts[:-1]) == place[pick]).all()
+
+
+def test_real_tables_and_no_pairs_in_the_plan(spark, sf_small):
     corpus, idx, cvs = catalog.corpus(spark, sf_small), catalog.index(spark, sf_small), catalog.cvs(spark, sf_small)
-    whole = rrf_search_candidates(corpus, idx, cvs, cfg)
-    sliced = rrf_search_candidates(corpus, idx, cvs, cfg, cvs_per_slice=15)
-    assert _rows(sliced) == _rows(whole)
+    cfg = search.SearchConfig(top_k=5)
+    df = search.rrf_search(corpus, idx, cvs, cfg)
+    assert [r[:3] for r in _rows(df)] == [r[:3] for r in brute(spark, corpus, idx, cvs, cfg)]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    # the only window is the last one, over the candidates of a CV
+    assert plan.split("== Initial Plan ==")[0].count("Window [") == 1

@@ -3,7 +3,8 @@ from pyspark.sql import types as T
 
 from offerlake.session import scratch_path
 from offerlake.sources import batches as bt
-from offerlake.streaming.ingest import merge_into_path, path_exists
+from offerlake.sources.folders import path_exists
+from offerlake.streaming.ingest import merge_into_path
 
 SCHEMA = T.StructType([T.StructField("id", T.StringType()), T.StructField("k", T.IntegerType())])
 
