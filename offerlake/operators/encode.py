@@ -60,14 +60,14 @@ def _encoder(factory: Callable[[], object], key: str):
 
 def encode(df: DataFrame, key: str, text_col: str, dim: int = 384,
            encoder_factory: Callable[[], object] | None = None, batch_size: int = 256,
-           vector_col: str = "embedding") -> DataFrame:
-    """``(key, embedding array<float>)`` for every row of ``df``, from its whole text (null: empty)."""
+           vector_col: str = "embedding", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(key, embedding array<float>)`` and the columns ``keep`` for every row of ``df``, from its whole text (null: empty)."""
     factory = encoder_factory or (lambda: HashEncoder(dim))
     cache_key = f"{id(factory)}:{dim}"
     key_type = df.schema[key].dataType
-    schema = T.StructType([T.StructField(key, key_type), T.StructField(vector_col, T.ArrayType(T.FloatType()))])
+    schema = T.StructType([T.StructField(key, key_type), T.StructField(vector_col, T.ArrayType(T.FloatType())), *[df.schema[c] for c in keep]])
     text = F.coalesce(F.col(text_col), F.lit(""))
-    src = df.select(F.col(key), text.alias("_text"))
+    src = df.select(F.col(key), *keep, text.alias("_text"))
 
     def run(batches):
         enc = _encoder(factory, cache_key)
@@ -75,6 +75,6 @@ def encode(df: DataFrame, key: str, text_col: str, dim: int = 384,
             for s in range(0, len(pdf), batch_size):
                 part = pdf.iloc[s:s + batch_size]
                 vecs = enc.encode(part["_text"].tolist())
-                yield pd.DataFrame({key: part[key].to_numpy(), vector_col: list(vecs.astype(np.float32))})
+                yield pd.DataFrame({key: part[key].to_numpy(), vector_col: list(vecs.astype(np.float32)), **{c: part[c].to_numpy() for c in keep}})
 
     return src.mapInPandas(run, schema)

@@ -63,11 +63,10 @@ def build_gold(silver: DataFrame, gold: DataFrame | None, as_of: str, dim: int =
     """Embeddings for silver offers not in gold yet (``job_id, embedding, ingestion_date``).
     ``gold=None`` stands for a gold table that does not exist yet."""
     todo = silver if gold is None else tb.unprocessed(silver, gold, "job_id")
-    vecs = encode(todo, "job_id", "vector_text_input", dim=dim, encoder_factory=encoder_factory)
     if "ingestion_date" not in todo.columns:
-        return vecs.withColumn("ingestion_date", F.to_date(F.lit(as_of)))
-    # an offer embedded later than it was ingested keeps the date of its silver row
-    return vecs.join(todo.select("job_id", "ingestion_date"), "job_id")
+        todo = todo.withColumn("ingestion_date", F.to_date(F.lit(as_of)))
+    # an offer embedded later than it was ingested keeps the date of its silver row, which travels with the text
+    return encode(todo, "job_id", "vector_text_input", dim=dim, encoder_factory=encoder_factory, keep=("ingestion_date",))
 
 
 def export_latest(silver: DataFrame, gold: DataFrame, date_col: str = "ingestion_date") -> tuple[DataFrame, DataFrame]:
@@ -83,24 +82,32 @@ def export_latest(silver: DataFrame, gold: DataFrame, date_col: str = "ingestion
 
 def run_batch(bronze: DataFrame, silver: DataFrame | None, gold: DataFrame | None, as_of: str,
               retention_days: int = 60, dim: int = 384, encoder_factory=None, order: str | list[str] | None = None,
-              stage: str | None = None):
+              stage: str | None = None, counters: dict[str, int] | None = None):
     """Retention -> silver -> gold -> export, as DataFrames: returns (silver, gold, export_silver, export_gold).
 
-    Silver is cleaned once: it is written to ``stage`` (a fresh folder of the shared checkpoint folder by default)
+    ``counters`` receives what the run observed while it wrote (no extra job): rows in, null and repeated ids, rows inserted
+    into silver, offers embedded. Silver is cleaned once: it is written to ``stage`` (a fresh folder of the shared checkpoint folder by default)
     and read back, gold is made from those rows and staged likewise, and both exports read the staged pair."""
     spark = bronze.sparkSession
     stage = stage or scratch_path(spark, "run")
-    new_silver = build_silver(bronze, as_of, order)
+    seen, clean, merged, embedded = (Observation(n) for n in ("bronze", "silver", "merge", "gold"))
+    rows = F.count(F.lit(1)).alias("rows")
+    new_silver = build_silver(bronze.observe(seen, rows, F.count_if(F.col("id").isNull()).alias("null_ids")), as_of, order).observe(clean, rows)
     if silver is not None:
         kept = tb.retention(silver, "ingestion_date", as_of, retention_days)
-        silver_all = tb.merge_insert_only(new_silver, kept, "job_id")
+        new = tb.insert_only_rows(new_silver, kept, "job_id")
+        silver_all = kept.unionByName(tb.schema_align(new, kept.schema).observe(merged, rows))
     else:
-        silver_all = new_silver
+        silver_all = new_silver.observe(merged, rows)
     silver_all = _staged(silver_all, f"{stage}/silver")
     if gold is not None:
         gold = tb.retention(gold, "ingestion_date", as_of, retention_days)
-    new_gold = build_gold(silver_all, gold, as_of, dim=dim, encoder_factory=encoder_factory)
+    new_gold = build_gold(silver_all, gold, as_of, dim=dim, encoder_factory=encoder_factory).observe(embedded, rows)
     gold_all = _staged(new_gold if gold is None else gold.unionByName(new_gold), f"{stage}/gold")
+    if counters is not None:
+        n = {o._name: o.get for o in (seen, clean, merged, embedded)}
+        counters.update(rows_in=n["bronze"]["rows"], null_ids=n["bronze"]["null_ids"], repeated_ids=n["bronze"]["rows"] - n["bronze"]["null_ids"] - n["silver"]["rows"],
+                        inserted=n["merge"]["rows"], embedded=n["gold"]["rows"])
     ex_s, ex_g = export_latest(silver_all, gold_all)
     return silver_all, gold_all, ex_s, ex_g
 
@@ -113,12 +120,23 @@ def _staged(df: DataFrame, path: str) -> DataFrame:
 RUNS = "run_id string, n_silver long, n_gold long"
 
 
-def write_pair(silver: DataFrame, gold: DataFrame, path: str, run_id: str) -> None:
+COUNTERS = "run_id string, counter string, n long"
+
+
+def read_counters(spark, path: str) -> DataFrame:
+    """``(run_id, counter, n)`` of the completed runs."""
+    runs = spark.read.schema(RUNS).parquet(f"{path}/runs").select("run_id").distinct()
+    return spark.read.schema(COUNTERS).parquet(f"{path}/counters").join(runs, "run_id", "left_semi")
+
+
+def write_pair(silver: DataFrame, gold: DataFrame, path: str, run_id: str, counters: dict[str, int] | None = None) -> None:
     """Write silver and gold of one run as a pair below ``path``. The run is entered in ``path``/runs only after both
     tables are complete, with their row counts, so readers of ``read_pairs`` never see half a run; a run that died
-    is written again under another id."""
+    is written again under another id. The run's ``counters`` are written beside it."""
     spark = silver.sparkSession
     counts = [_staged(df, f"{path}/{name}/run_id={run_id}").count() for name, df in (("silver", silver), ("gold", gold))]
+    if counters:
+        spark.createDataFrame([(run_id, k, v) for k, v in counters.items()], COUNTERS).coalesce(1).write.mode("append").parquet(f"{path}/counters")
     spark.createDataFrame([(run_id, *counts)], RUNS).coalesce(1).write.mode("append").parquet(f"{path}/runs")
 
 
@@ -133,13 +151,17 @@ def read_pairs(spark, path: str) -> tuple[DataFrame, DataFrame]:
 
 def load_serving(silver_batch: DataFrame, gold_batch: DataFrame, served_silver: DataFrame,
                  served_gold: DataFrame, as_of: str, retention_days: int = 30,
-                 silver_schema: T.StructType | None = None) -> tuple[DataFrame, DataFrame]:
+                 silver_schema: T.StructType | None = None, order: str | list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Serving load: parse JSON text columns and vectors, insert new silver keys, insert gold rows
-    whose parent exists (orphans are kept out), then retention. Returns the served tables after."""
+    whose parent exists (orphans are kept out), then retention. Returns the served tables after.
+
+    Of a repeated key the first row in source order is inserted: by ``order``, else by file and row where
+    ``read_with_source`` noted them, else by a hash of the row."""
     target = silver_schema or served_silver.schema
-    batch = tb.schema_align(silver_batch, target)
+    batch = tb.schema_align(_first_in_source(silver_batch, order), target)
     new_silver = tb.insert_only_rows(batch, served_silver, "job_id")
     silver_after = served_silver.unionByName(new_silver)
+    gold_batch = _first_in_source(gold_batch, order)
     g = gold_batch.withColumn("embedding", nx.vector_sanitize(nx.vector_parse(gold_batch, "embedding")))
     g = tb.cascade_delete(g, silver_after, "job_id")
     new_gold = tb.insert_only_rows(g, served_gold, "job_id")
@@ -150,6 +172,11 @@ def load_serving(silver_batch: DataFrame, gold_batch: DataFrame, served_silver:
     return silver_after, gold_after
 
 
+def _first_in_source(df: DataFrame, order: str | list[str] | None) -> DataFrame:
+    order = order or (["_file", "_row"] if {"_file", "_row"} <= set(df.columns) else None)
+    return df if order is None else tb.dedup_first(df.filter(F.col("job_id").isNotNull()), "job_id", order)
+
+
 def lake_report(silver: DataFrame, gold: DataFrame, as_of: str, days: int = 14, top: int = 10,
                 approx_distinct: bool = False, contract_col: str = "typeContratLibelle",
                 sector_col: str = "secteurActiviteLibelle") -> dict[str, DataFrame]:

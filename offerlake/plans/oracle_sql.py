@@ -438,3 +438,14 @@ ORACLE["index_after_delete"] = f"""{STATUS_CTES},
 ORACLE["union_files"] = """SELECT CASE WHEN event_id % 3 = 2 THEN 'e' ELSE '' END || CAST(event_id AS VARCHAR) AS id,
     CASE event_id % 3 WHEN 0 THEN CAST(CAST(value AS DECIMAL(12, 2)) AS DOUBLE) WHEN 1 THEN value END AS value,
     CASE WHEN event_id % 3 = 1 THEN event_type END AS event_type, CASE WHEN event_id % 3 = 2 THEN user_id END AS "user" FROM events"""
+
+ORACLE["run_counters"] = f"""WITH p AS (SELECT page_id AS id FROM pages),
+    stored AS (SELECT id, toxic FROM p JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY doc_id) l ON l.doc_id = id
+        WHERE DATE '{AS_OF}' - CAST(id % 90 AS INTEGER) >= DATE '{AS_OF}' - 60),
+    n(counter, n) AS (
+        SELECT 'rows_in', (SELECT count(*) + count(*) FILTER (id % 5 = 0) + count(*) FILTER (id % 7 = 0) FROM p)
+        UNION ALL SELECT 'null_ids', (SELECT count(*) FILTER (id % 7 = 0) FROM p)
+        UNION ALL SELECT 'repeated_ids', (SELECT count(*) FILTER (id % 5 = 0) FROM p)
+        UNION ALL SELECT 'inserted', (SELECT count(*) FROM p WHERE id NOT IN (SELECT id FROM stored))
+        UNION ALL SELECT 'embedded', (SELECT count(*) FROM p WHERE id NOT IN (SELECT id FROM stored WHERE toxic = 0)))
+    SELECT 'r1' AS run_id, counter, n FROM n"""

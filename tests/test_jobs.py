@@ -77,3 +77,25 @@ def test_observed_run_counters(spark):
     observed, obs = jobs.observe_run(df, "job_id")
     observed.write.format("noop").mode("overwrite").save()
     assert obs.get == {"rows": 3, "null_keys": 1}
+
+
+def test_gold_keeps_one_row_for_each_silver_row(spark):
+    silver = spark.createDataFrame([("J1", "a"), ("J1", "b"), ("J2", None)], "job_id string, vector_text_input string").withColumn("ingestion_date", F.to_date(F.lit("2025-05-01")))
+    gold = jobs.build_gold(silver, None, "2025-06-01", dim=8)
+    assert gold.count() == 3 and {str(r.ingestion_date) for r in gold.collect()} == {"2025-05-01"}
+    plan = gold._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_serving_load_takes_the_first_row_in_source_order(spark):
+    schema = "job_id string, text string, _file string, _row long"
+    rows = [("A", "late", "f2", 0), ("A", "first", "f1", 3), ("A", "then", "f1", 4), ("B", "only", "f2", 1), (None, "none", "f1", 0)]
+    batch = spark.createDataFrame(rows, schema).withColumn("ingestion_date", F.to_date(F.lit("2025-06-01")))
+    gold = spark.createDataFrame([("A", "[2.0]", "f1", 9), ("A", "[1.0]", "f1", 1)], "job_id string, embedding string, _file string, _row long").withColumn("ingestion_date", F.to_date(F.lit("2025-06-01")))
+    served = batch.limit(0).select("job_id", "text", "ingestion_date")
+    served_gold = spark.createDataFrame([], "job_id string, embedding array<float>, ingestion_date date")
+    s, g = jobs.load_serving(batch, gold, served, served_gold, "2025-06-02")
+    assert {(r.job_id, r.text) for r in s.collect()} == {("A", "first"), ("B", "only")}
+    assert [r.embedding for r in g.collect()] == [[1.0]]
+    s, _ = jobs.load_serving(batch, gold, served, served_gold, "2025-06-02", order=["_row"])
+    assert {(r.job_id, r.text) for r in s.collect()} == {("A", "late"), ("B", "only")}
