@@ -22,6 +22,7 @@ divided by the number of words of the title.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -428,41 +429,60 @@ def matching_terms(doc_text: Column, terms: Column, limit: int = 10) -> Column:
     return F.slice(F.filter(found, lambda t: F.length(t) > 2), 1, limit)
 
 
+_PIECES = re.compile(r"\w+|\W+")
+
+
+def best_fragment(words: list[str], terms: set[str], max_words: int) -> int | None:
+    """Where to start: of the windows of ``max_words`` words that begin with a hit, the first that covers the most distinct
+    lexemes. One pass with two ends; None without a hit. ``words`` are lower-cased."""
+    found: dict[str, tuple] = {}
+    hits = []
+    for i, word in enumerate(words):
+        held = found.get(word)
+        if held is None:
+            held = found[word] = tuple(p for p in _PIECES.findall(word) if p in terms)
+        hits.extend([(i, p) for p in held])
+    inside: dict[str, int] = {}
+    best, at, end = 0, None, 0
+    for i, lexeme in hits:
+        while end < len(hits) and hits[end][0] < i + max_words:
+            inside[hits[end][1]] = inside.get(hits[end][1], 0) + 1
+            end += 1
+        if len(inside) > best:
+            best, at = len(inside), i
+        inside[lexeme] -= 1
+        if not inside[lexeme]:
+            del inside[lexeme]
+    return at
+
+
+def _fragments(batches, text_col: str, terms_col: str, name: str, max_words: int, min_words: int):
+    import pyarrow as pa
+
+    def mark(word: str, terms: set[str]) -> str:
+        return "".join([f"{tx.START_SEL}{p}{tx.STOP_SEL}" if p.lower() in terms else p for p in _PIECES.findall(word)])
+
+    for batch in batches:
+        out = []
+        for text, listed in zip(batch.column(text_col).to_pylist(), batch.column(terms_col).to_pylist()):
+            words, terms = (text or "").split(), set(listed or ())
+            at = best_fragment((text or "").lower().split(), terms, max_words)
+            out.append(" ".join(words[:min_words] if at is None else [mark(w, terms) for w in words[at:at + max_words]]))
+        names = [n for n in batch.schema.names if n not in (text_col, terms_col)]
+        yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(out, pa.string())], names=[*names, name])
+
+
 def headline(df: DataFrame, text_col: str, terms_col: str, name: str = "headline", max_words: int = 100,
              min_words: int = 50) -> DataFrame:
-    """Add a snippet with the matched lexemes marked ``<b>..</b>``: the words of the text (split on whitespace)
-    from the first one that holds a query lexeme on, at most ``max_words``; without a match the first
-    ``min_words``. Markers that the text itself holds are words like any other.
-
-    ``array_intersect`` keeps the order of the text and looks terms up by hash, so its first element leads to the
-    first matched word; marking then compares the words of the snippet with the lexemes found in the snippet.
-    The cost is linear in the text and in the number of terms.
-    """
-    flat, words, at = "_snippet_flat", "_snippet_words", "_snippet_at"
-
-    def bound(value: Column, use) -> Column:
-        """``use(value)`` with the value computed once for a row: inside a lambda, a column that the optimizer folds in
-        would be computed again for every word."""
-        return F.element_at(F.transform(F.array(value), use), 1)
-
-    def mark(word: Column, hits: Column) -> Column:
-        pieces = F.regexp_extract_all(word, F.lit(f"[{tx.WORD}]+|[^{tx.WORD}]+"), 0)
-        return F.array_join(F.transform(pieces, lambda p: F.when(
-            F.array_contains(hits, F.lower(p)), F.concat(F.lit(tx.START_SEL), p, F.lit(tx.STOP_SEL))).otherwise(p)), "")
-
-    out = df.withColumn(flat, F.trim(F.regexp_replace(F.col(text_col), f"[{tx.WS}]+", " ")))
-    first = F.try_element_at(F.array_intersect(tx.tokens(F.col(flat)), F.col(terms_col)), F.lit(1))
-    # a lexeme holds word characters only, so it is its own pattern
-    out = out.withColumn(at, bound(first, lambda f: F.regexp_instr(
-        F.lower(F.col(flat)), F.concat(F.lit(f"(?<![{tx.WORD}])"), f, F.lit(f"(?![{tx.WORD}])")))))
-    found = F.col(at) > 0
-    before = F.substring_index(F.substring(F.col(flat), F.lit(1), F.col(at) - 1), " ", -1)  # the part of the word before the lexeme
-    rest = F.when(found, F.concat(before, F.substring(F.col(flat), F.col(at), F.length(flat)))).otherwise(F.col(flat))
-    n = F.when(found, F.lit(max_words)).otherwise(F.lit(min_words))
-    out = out.withColumn(words, F.filter(F.slice(F.split(rest, " ", max(max_words, min_words) + 1), F.lit(1), n), lambda w: w != ""))
-    hits = F.array_intersect(tx.tokens(F.array_join(words, " ")), F.col(terms_col))
-    marked = bound(hits, lambda h: F.array_join(F.transform(words, lambda w: mark(w, h)), " "))
-    return out.withColumn(name, F.coalesce(marked, F.lit(""))).drop(flat, words, at)
+    """Replace the text and the terms by a snippet with the matched lexemes marked ``<b>..</b>``: the ``max_words`` words
+    (split on whitespace) that cover the most distinct lexemes, the first such window beginning with a hit; without a match
+    the first ``min_words`` words. Markers that the text itself holds are words like any other.
+
+    The best window needs two ends moving over the hits, which no column expression does in one pass; it is found in Arrow
+    batches in time linear in the text. Only the top rows come here."""
+    rest = [f for f in df.schema.fields if f.name not in (text_col, terms_col)]
+    schema = T.StructType([*rest, T.StructField(name, T.StringType())])
+    return df.mapInArrow(lambda it: _fragments(it, text_col, terms_col, name, max_words, min_words), schema)
 
 
 def result_rows(top: DataFrame, offers: DataFrame, queries: DataFrame, cfg: SearchConfig, key: str = "job_id",

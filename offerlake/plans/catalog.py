@@ -393,7 +393,7 @@ def _result_offers(spark, sf):
     return o.select("job_id", F.col("title").alias("intitule"), F.col("source").alias("entreprise"),
                     F.col("lang").alias("lieu"), F.lit(None).cast("string").alias("type_contrat"),
                     F.lit(None).cast("string").alias("date_creation"),
-                    F.concat_ws(" ", "title", "text", "source").alias("search_text"))
+                    tx.search_text("title", "text", "skills", F.lit(None).cast("string"), F.lit(None).cast("string")).alias("search_text"))
 
 
 @query
@@ -409,7 +409,8 @@ def headline(spark, sf):
     cfg = search.SearchConfig()
     q = search.cv_lexemes(cvs(spark, sf), cfg)
     top = _rrf(spark, sf).select("cv_id", "rank", "job_id")
-    j = top.join(_result_offers(spark, sf), "job_id").join(q, "cv_id")
+    j = (top.join(_result_offers(spark, sf).select("job_id", "search_text"), "job_id").join(q, "cv_id")
+         .select("cv_id", "rank", "job_id", "search_text", "terms"))
     return search.headline(j, "search_text", "terms").select("cv_id", F.col("rank").cast("long").alias("rank"), "job_id", "headline")
 
 

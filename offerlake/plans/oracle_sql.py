@@ -293,13 +293,19 @@ ORACLE["search_results"] = f"""{RRF_CTES},
         list_slice({ordered_distinct('matched')}, 1, 10) AS matching_terms
     FROM res"""
 
-_SNIPPETS = f"""snippet_text AS (SELECT t.cv_id, t.rank, t.job_id, q.terms, {split_ws(_SEARCH_TEXT)} AS words,
-        list_filter({tokens(_SEARCH_TEXT)}, lambda x: list_contains(q.terms, x))[1] AS first
+_SNIPPETS = f"""snippet_text AS (SELECT t.cv_id, t.rank, t.job_id, q.terms, {split_ws(_SEARCH_TEXT)} AS words
         FROM top t JOIN docs d ON d.job_id = t.job_id JOIN qn2 q ON q.cv_id = t.cv_id),
-    snippet_start AS (SELECT *, list_position(list_transform(words, lambda x: list_contains({tokens('x')}, first)), true) AS pos
-        FROM snippet_text),
-    snippet_words AS (SELECT cv_id, rank, job_id, terms,
-        CASE WHEN first IS NULL THEN list_slice(words, 1, 50) ELSE list_slice(words, pos, pos + 99) END AS words FROM snippet_start),
+    snippet_word AS (SELECT cv_id, job_id, terms, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM snippet_text),
+    hit AS (SELECT DISTINCT cv_id, job_id, pos, lexeme FROM (
+        SELECT cv_id, job_id, pos, unnest(list_filter({tokens('word')}, lambda x: list_contains(terms, x))) AS lexeme FROM snippet_word)),
+    hit_before AS (SELECT *, coalesce(lag(pos) OVER (PARTITION BY cv_id, job_id, lexeme ORDER BY pos), 0) AS past FROM hit),
+    covered AS (  -- a hit counts for the windows that begin behind the one before it, and hold it
+        SELECT a.cv_id, a.job_id, a.pos, count(*) AS n FROM (SELECT DISTINCT cv_id, job_id, pos FROM hit) a
+        JOIN hit_before b ON b.cv_id = a.cv_id AND b.job_id = a.job_id AND b.pos BETWEEN a.pos AND a.pos + 99 AND b.past < a.pos GROUP BY ALL),
+    snippet_start AS (SELECT cv_id, job_id, arg_max(pos, n * 1000000000 - pos) AS pos FROM covered GROUP BY ALL),
+    snippet_words AS (SELECT t.cv_id, t.rank, t.job_id, t.terms,
+        CASE WHEN s.pos IS NULL THEN list_slice(words, 1, 50) ELSE list_slice(words, s.pos, s.pos + 99) END AS words
+        FROM snippet_text t LEFT JOIN snippet_start s ON s.cv_id = t.cv_id AND s.job_id = t.job_id),
     snippet AS (SELECT cv_id, rank, job_id, array_to_string(list_transform(words, lambda x: array_to_string(list_transform(
         regexp_extract_all(x, '[{WORD}]+|[^{WORD}]+'), lambda p: CASE WHEN list_contains(terms, lower(p))
             THEN '<b>' || p || '</b>' ELSE p END), '')), ' ') AS headline FROM snippet_words)"""

@@ -283,3 +283,15 @@ def test_stems_and_symbols_on_both_sides(spark):
     q = search.cv_lexemes(cvs, cfg)
     assert {r.cv_id: r.terms for r in q.collect()} == {1: ["c++", "développeur"], 2: []}
     assert {(r.cv_id, r.job_id) for r in search.text_scores(ix, q, cfg).collect()} == {(1, 1)}
+
+
+def test_best_fragment_covers_most_lexemes():
+    import random
+
+    r = random.Random(4)
+    for _ in range(300):
+        words = [r.choice(["a", "b", "c", "d.e", "x", "x", "x"]) for _ in range(r.randint(0, 40))]
+        terms, size = set(r.sample(["a", "b", "c", "d", "e", "z"], r.randint(0, 5))), r.randint(1, 12)
+        cover = {i: len({p for w in words[i:i + size] for p in w.split(".")} & terms) for i, w in enumerate(words) if set(w.split(".")) & terms}
+        want = min(cover, key=lambda i: (-cover[i], i)) if cover else None
+        assert search.best_fragment(words, terms, size) == want
