@@ -17,19 +17,19 @@ A null text, or one without a letter, is ``und`` with score 0. With no labelled
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerlake.llm.common import char_grams, crc_mod, give_back, table
 
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")  # numbers that are no digits (½, Ⅷ, ①) are no letters
 UNKNOWN = "und"
 CACHE_WORDS = 250_000
 
@@ -141,20 +141,22 @@ def fit(runs: list[tuple[str, list[str]]], cfg: Config = Config()) -> Model:
     words_at: dict[str, int] = {}
     chains: list[list[tuple[int, int]]] = []
     chain: list[tuple[int, int]] = []
-    for j in order:  # cut every run into pieces and splice them with those of other texts
-        k, ws = runs[j]
+    waiting = deque([runs[j] for j in order])
+    while waiting:  # cut every run into pieces and splice them with those of other texts; what is left of a run waits its turn
+        k, ws = waiting.popleft()
         cut = 0
         while cut < len(ws):
             take = int(rng.integers(4, 33))
             chain += [(words_at.setdefault(w, len(words_at)), state[k]) for w in ws[cut : cut + take]]
             cut += take
             if rng.random() < 0.5 or len(chain) >= 48:
-                chains.append(chain[:64])
+                chains.append(chain)
                 chain = []
-            elif rng.random() < 0.7:
+            elif cut < len(ws) and waiting and rng.random() < 0.7:
+                waiting.append((k, ws[cut:]))
                 break
     if chain:
-        chains.append(chain[:64])
+        chains.append(chain)
     flat, owner = features(list(words_at), model)
     length = max(map(len, chains))
     ids = np.zeros((len(chains), length), dtype=np.int64)

@@ -323,6 +323,13 @@ def test_language_words_and_edges(spark, odd_docs, no_docs):
     assert {r.p.lang_pred for r in odd_docs.select(language.language(empty).alias("p")).collect()} == {"und"}
 
 
+def test_numbers_are_no_letters(spark):
+    assert [language.words(t) for t in ("½ ²", "Ⅷ", "①②", "12 3", "a½b Ⅷc")] == [[], [], [], [], ["a", "b", "c"]]
+    model = language.fit([("en", "the river".split()), ("de", "der fluss".split())], language.Config(epochs=5))
+    docs = spark.createDataFrame([(0, "½ ²"), (1, "Ⅷ"), (2, "①②"), (3, "fluss")], "doc_id long, text string")
+    assert [r.p.lang_pred for r in docs.orderBy("doc_id").select(language.language(model).alias("p")).collect()] == ["und"] * 3 + ["de"]
+
+
 def test_language_bound_is_reported(spark):
     docs = spark.createDataFrame([(i, "some words here", f"l{i}") for i in range(1500)], "doc_id long, text string, lang string")
     with pytest.raises(ValueError, match="max_langs"):
@@ -398,6 +405,18 @@ def test_pipeline_stages(spark, odd_docs):
     assert 5 not in kept and 9 not in kept and kept.count(7) == 1 and kept.count(4) == 1
 
 
+def test_passages_of_fifty_words_go_and_the_rest_stays(spark):
+    import corpus_pipeline as pipe
+
+    passage = " ".join(f"word{i:02d}" for i in range(52))  # 363 bytes, less than op6's own length
+    assert pipe.REPEATED_BYTES < len(passage) < suffix.Config().length
+    rows = [(i, " ".join(f"own{i}x{j}" for j in range(60)) + chr(97 + i) + (f" {passage} " if i % 3 == 0 else " ") + f"{i} is the end") for i in range(12)]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars int").repartition(3)
+    got = {r.doc_id: r for r in pipe.cut_repeats(spark, docs, "").collect()}
+    for i, t in rows:
+        assert got[i].text == (t.replace(f" {passage} ", "") if i % 3 == 0 else t) and got[i].n_chars == len(got[i].text)
+
+
 def test_near_duplicates_are_decided_by_row(spark):
     import corpus_pipeline as pipe
 
