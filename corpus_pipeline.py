@@ -16,6 +16,7 @@ from offerlake.llm import op1_toxicity, op3_packing, op5_minhash, op6_suffix_ded
 from offerlake.llm.common import saved, table
 from offerlake.operators.ranking import global_rank
 
+REPEATED_BYTES = 250  # a passage of some 50 words; shorter repeats are left alone
 LEAST_LANGUAGE_SCORE = 0.3  # below it no language stands out among the learned ones
 
 
@@ -48,10 +49,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the byte strings that occur elsewhere; n_chars follows. A character cut in two goes whole.
+    """Texts without the strings of ``REPEATED_BYTES`` bytes that occur elsewhere; n_chars follows. A character cut in two goes whole.
     A null text stays null."""
     rest = [c for c in docs.columns if c not in ("text", "n_chars")]
-    cut = op6_suffix_dedup.removed(docs.withColumn("__null", F.col("text").isNull()), keep=(*rest, "__null"))
+    cut = op6_suffix_dedup.removed(docs.withColumn("__null", F.col("text").isNull()), op6_suffix_dedup.Config(length=REPEATED_BYTES), keep=(*rest, "__null"))
     text = F.when(~F.col("__null"), _text(F.col("kept")))
     out = cut.withColumn("text", text)
     if "n_chars" in docs.columns:
