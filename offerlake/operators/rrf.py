@@ -417,7 +417,12 @@ def rrf_search(corpus: DataFrame, index: DataFrame, cvs: DataFrame, cfg: SearchC
     per_slice = cvs_per_slice or max(1, cfg.broadcast_rows // ((values or 0) + 4 * m))
     n_slices = max(1, -(-n_cvs // per_slice))
 
-    hits = text_scores(index, cv_lexemes(cvs, cfg), cfg, key).join(offers.select(key, "ord"), key).select(
+    near, queries = offers.select(key, "ord"), cv_lexemes(cvs, cfg)
+    if n_corpus <= cfg.broadcast_rows:  # postings of other offers go before they are added up
+        hits = text_scores(index.join(F.broadcast(near), key).drop(key), queries, cfg, "ord")
+    else:  # the lexeme join leaves few postings, and only their sums meet the corpus
+        hits = text_scores(index, queries, cfg, key).join(near, key)
+    hits = hits.select(
         F.col("cv_id").cast("long").alias("cv_id"), "ord", F.round("fts_score", SCORE_DIGITS).alias("fts_score"), F.round("title_score", SCORE_DIGITS).alias("title_score"))
     blocks = _stored(hit_blocks(hits.where("fts_score > 0 or title_score > 0"), cfg.hit_block), "hit-blocks")
 
