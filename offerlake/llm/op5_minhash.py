@@ -3,14 +3,19 @@ and connected components by alternating large-star and small-star.
 
 A text's set holds its distinct shingles of ``Config.words`` words (the whole sequence if it has fewer). Texts with
 equal sets form a class and only classes are compared. Classes that agree in a band share a bucket. Then
-  1. every class is paired with the smallest class of each of its buckets; pairs whose signatures agree well enough
-     are checked on their full sets and the links give components;
+  1. every class is paired with the two classes that are the smallest of most of its buckets; pairs whose signatures
+     agree well enough are checked on their full sets and the links give components;
   2. in buckets that still hold several components, all pairs of classes of different components are compared by
-     signature, in blocks of bounded size; those that agree well enough are checked on full sets as well.
+     set size and signature, in blocks of bounded size. No pair leaves the task: it returns each class that has a
+     likely partner once, with the smallest component that likely pairs of the task lead to;
+  3. components joined by likely pairs form a family. The full sets of its classes are compared within blocks of
+     bounded size, and a task returns only links that join components not joined yet.
 A pair inside one component needs no check, since only reachability is asked for; so a large group of near copies
-costs a star and not its square. No pair that shares a bucket is left out. With the default 26 bands of 4 minima a
-pair at similarity 0.8 shares no bucket with probability 1e-6, and its signature estimate falls below the bound
-(0.62) with probability 1e-5.
+costs a star and not its square, and a family of like texts that are no near copies returns a row for each text. No
+pair that shares a bucket is left out: a pair that step 1 does not check is in step 2, and a likely pair of step 2
+lies in one family. With the default 26 bands of 4 minima a pair at similarity 0.8 shares no bucket with probability
+1e-6, and its signature estimate (of each minimum, one byte is compared) falls below the bound (0.62) with
+probability 1e-5.
 
 Null texts and texts without words have the empty set and link with nothing. Rows that share an id are one node.
 A null id links with nothing and has no component.
@@ -38,7 +43,8 @@ class Config:
     bands: int = 26
     rows: int = 4
     estimate: float = 0.62  # least share of equal minima of a pair that is checked on full sets
-    block: int = 1500  # classes of a bucket compared in one task
+    block: int = 1500  # classes of a bucket or family in one block
+    block_shingles: int = 1 << 20  # shingles of a family's full sets in one block
     seed: int = 5
 
 
@@ -87,61 +93,59 @@ def band_keys(sigs: np.ndarray, cfg: Config) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, cfg: Config, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_shingles, s1, s2, sig) for every row; s1 and s2 name the set with 128 bits, sig is null if it is empty."""
+    """(id, n_shingles, s1, s2, bands, sig) for every row; s1 and s2 name the set with 128 bits, bands are its buckets,
+    sig is one byte of each minimum; both are null if the set is empty."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "_text", 4 << 20):
             sets = [shingles(t, cfg.words) for t in b.column(1).to_pylist()]
-            full = [s for s in sets if len(s)]
-            rows = iter(signatures(full, cfg))
+            found = signatures([s for s in sets if len(s)], cfg)
+            rows, keys = iter(found.astype(np.uint8)), iter(band_keys(found, cfg).view(np.int64))
             sums = [(int(s.sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(scramble(s)))) if len(s) else (0, 0) for s in sets]
             names = np.array(sums, dtype=np.uint64).reshape(-1, 2)
-            sig = [next(rows).tobytes() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(names[:, 0].copy().view(np.int64)),
-                                              pa.array(names[:, 1].copy().view(np.int64)), pa.array(sig, pa.binary())], ["id", "n_shingles", "s1", "s2", "sig"])
+                                              pa.array(names[:, 1].copy().view(np.int64)), pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64())),
+                                              pa.array([next(rows).tobytes() if len(s) else None for s in sets], pa.binary())],
+                                             ["id", "n_shingles", "s1", "s2", "bands", "sig"])
 
-    return source.mapInArrow(run, "id long, n_shingles long, s1 long, s2 long, sig binary")
+    return source.mapInArrow(run, "id long, n_shingles long, s1 long, s2 long, bands array<long>, sig binary")
 
 
-def buckets(classes: DataFrame, cfg: Config) -> DataFrame:
-    """(bucket, c): the buckets of every class."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "sig", 4 << 20):
-            sigs = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint32).reshape(b.num_rows, -1)
-            keys = band_keys(sigs, cfg)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), cfg.bands))], ["bucket", "c"])
-
-    return classes.select("c", "sig").mapInArrow(run, "bucket long, c long")
+def bytes_of(column: pa.Array | pa.ChunkedArray, rows: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(rows, -1)
 
 
 def similar(pairs: DataFrame, sigs: DataFrame, cfg: Config) -> DataFrame:
-    """The pairs (u, v) whose signatures agree in at least the configured share."""
-    rows = (pairs.join(sigs.select(F.col("c").alias("u"), F.col("sig").alias("su")), "u")
-            .join(sigs.select(F.col("c").alias("v"), F.col("sig").alias("sv")), "v").select("u", "v", "su", "sv"))
+    """The pairs (u, v) whose set sizes allow a link and whose signatures agree in at least the configured share."""
+    u, v = (sigs.select(F.col("c").alias(x), F.col("n_shingles").alias("n" + x), F.col("sig").alias("s" + x)) for x in "uv")
+    rows = pairs.join(u, "u").join(v, "v").where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * cfg.percent).select("u", "v", "su", "sv")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "su", 4 << 20):
-            a, z = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype=np.uint32).reshape(b.num_rows, -1) for i in (2, 3))
-            on = pa.array((a == z).mean(axis=1) >= cfg.estimate)
+            on = pa.array((bytes_of(b.column(2), b.num_rows) == bytes_of(b.column(3), b.num_rows)).mean(axis=1) >= cfg.estimate)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(on), b.column(1).filter(on)], ["u", "v"])
 
     return rows.mapInArrow(run, "u long, v long")
 
 
-def linked(pairs: DataFrame, docs: DataFrame, cfg: Config, id_col: str, text: str) -> DataFrame:
-    """The pairs whose full sets are similar enough, counted on the sets themselves."""
-    pairs = saved(pairs, "minhash-pairs")
-    ids = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("_text")).join(ids, "id", "left_semi")
+def full_sets(ids: DataFrame, docs: DataFrame, cfg: Config, id_col: str, text: str) -> DataFrame:
+    """(id, set) for the ids given, from their texts; equal rows once."""
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("_text")).join(ids, "id", "left_semi").distinct()
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "_text", 4 << 20):
             data = [shingles(t, cfg.words).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(data, pa.binary())], ["id", "set"])
 
-    sets = saved(texts.mapInArrow(sets_of, "id long, set binary"), "minhash-sets")
+    return texts.mapInArrow(run, "id long, set binary")
+
+
+def linked(pairs: DataFrame, docs: DataFrame, cfg: Config, id_col: str, text: str) -> DataFrame:
+    """The pairs whose full sets are similar enough, counted on the sets themselves."""
+    pairs = saved(pairs, "minhash-pairs")
+    ids = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
+    sets = saved(full_sets(ids, docs, cfg, id_col, text), "minhash-sets")
     rows = (pairs.join(sets.select(F.col("id").alias("v"), F.col("set").alias("sv")), "v")
             .join(sets.select(F.col("id").alias("u"), F.col("set").alias("su")), "u").select("u", "v", "su", "sv"))
 
@@ -158,87 +162,166 @@ def linked(pairs: DataFrame, docs: DataFrame, cfg: Config, id_col: str, text: st
     return rows.mapInArrow(check, "u long, v long").distinct()
 
 
-def across(members: DataFrame, cfg: Config) -> DataFrame:
-    """Pairs of classes in one bucket but in different components whose signatures agree well enough.
-
-    ``members``: (bucket, c, comp, sig, n), n the bucket's size. A bucket larger than a block is compared block by
-    block: each class goes to the block pairs of its own block, so a task holds two blocks at most."""
-    blocks = F.ceil(F.col("n") / F.lit(cfg.block))
-    own = F.pmod(F.xxhash64("c", F.lit(cfg.seed)), blocks)
-    spread = (members.withColumn("blocks", blocks).withColumn("own", own)
-              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-              .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "c", "comp", "sig"))
-    sorted_rows = spread.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "c")
+UNIT = 1 << 20  # weight of a full block
+
+
+def dealt(rows: DataFrame, group: str, cfg: Config) -> DataFrame:
+    """Rows of the groups that hold several components, once for each pair (i, j) of blocks their block ``own`` is in.
+
+    ``rows``: (group, c, comp, weight). A component that fills several blocks makes blocks of its own, which are not
+    compared with each other: its rows go out once for each block of the others only."""
+    per_comp = rows.groupBy(group, "comp").agg(F.sum("weight").alias("w"))
+    per_group = per_comp.groupBy(group).agg(F.sum("w").alias("w"), F.max(F.struct("w", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    settled = F.col("main.w") > UNIT
+    n_settled = F.when(settled, F.col("main.w")).otherwise(F.lit(0).cast("long"))
+    per_group = per_group.select(group, F.when(settled, F.col("main.comp")).alias("main"), F.ceil((F.col("w") - n_settled) / UNIT).alias("open_blocks"),
+                                 F.ceil(n_settled / UNIT).alias("settled_blocks"))
+    mine = F.coalesce(F.col("comp") == F.col("main"), F.lit(False))
+    draw = F.xxhash64("c", F.lit(cfg.seed))
+    own = F.when(mine, F.col("open_blocks") + F.pmod(draw, F.greatest("settled_blocks", F.lit(1)))).otherwise(F.pmod(draw, F.col("open_blocks")))
+    others = F.when(mine, F.col("open_blocks")).otherwise(F.col("open_blocks") + F.col("settled_blocks"))
+    spread = rows.join(per_group, group).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), others - 1)))
+    return spread.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("main", "open_blocks", "settled_blocks", "other", "weight")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Sorted rows cut into tables that hold whole groups only."""
+    held: pa.Table | None = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        held = t if held is None else pa.concat_tables([held, t])
+        if not held.num_rows:
+            continue
+        k = np.stack([held.column(n).to_numpy() for n in keys])
+        last = np.flatnonzero((k != k[:, -1:]).any(axis=0))
+        whole = int(last[-1]) + 1 if len(last) else 0  # rows of groups that surely ended
+        if whole:
+            yield held.slice(0, whole).combine_chunks()
+            held = held.slice(whole).combine_chunks()
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()
+
+
+def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the sets of a[k] and b[k]: ``label`` names the smallest member of each set, in place."""
+    while True:
+        x, y = label[a], label[b]
+        on = x != y
+        if not on.any():
+            return
+        np.minimum.at(label, np.maximum(x, y)[on], np.minimum(x, y)[on])
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
+def likely(members: DataFrame, cfg: Config) -> DataFrame:
+    """(c, comp, n_shingles, top) for each class with a likely partner of another component in one of its buckets; top is the
+    smallest component that likely pairs of the same task lead to. ``members``: (bucket, i, j, own, c, comp, n_shingles, sig)."""
+    keys = ("bucket", "i", "j")
+    sorted_rows = members.select(*keys, "own", "c", "comp", "n_shingles", "sig").repartition(*keys).sortWithinPartitions(*keys, "c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def pairs(t: pa.Table) -> pa.RecordBatch:
-            """All pairs of rows of one group, by their distance in the sorted rows."""
-            k = np.stack([t.column(n).to_numpy() for n in ("bucket", "i", "j")])
-            new = np.r_[True, (k[:, 1:] != k[:, :-1]).any(axis=0)]
-            group = np.cumsum(new)
-            size = np.bincount(group)[group] if len(group) else group
-            own, comp, c = (t.column(n).to_numpy() for n in ("own", "comp", "c"))
+        for t in whole_groups(batches, keys):
+            k = np.stack([t.column(n).to_numpy() for n in keys])
+            group = np.cumsum(np.r_[True, (k[:, 1:] != k[:, :-1]).any(axis=0)])
+            own, c, size = (t.column(n).to_numpy() for n in ("own", "c", "n_shingles"))
             cross = k[1] != k[2]
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint32).reshape(len(c), -1)
-            us, vs = [], []
-            rows = np.arange(len(c))
-            step = 1
-            while len(rows):
-                rows = rows[(rows + step < len(c))]
-                rows = rows[(group[rows] == group[np.minimum(rows + step, len(c) - 1)])]
+            sig = bytes_of(t.column("sig"), len(c))
+            comps, comp = np.unique(t.column("comp").to_numpy(), return_inverse=True)
+            label, active = np.arange(len(comps)), np.zeros(len(c), dtype=bool)
+            rows, step = np.arange(len(c)), 1
+            while len(rows):  # pairs of one group, by their distance in the sorted rows
+                rows = rows[rows + step < len(c)]
+                rows = rows[group[rows] == group[rows + step]]
                 at = rows[(comp[rows] != comp[rows + step]) & (~cross[rows] | (own[rows] != own[rows + step]))]
+                at = at[100 * np.minimum(size[at], size[at + step]) >= cfg.percent * np.maximum(size[at], size[at + step])]
                 for s in range(0, len(at), 20_000):
                     p = at[s : s + 20_000]
-                    good = p[(sig[p] == sig[p + step]).mean(axis=1) >= cfg.estimate]
-                    us.append(c[good + step])
-                    vs.append(c[good])
+                    p = p[(sig[p] == sig[p + step]).mean(axis=1) >= cfg.estimate]
+                    active[p] = active[p + step] = True
+                    join_labels(label, comp[p], comp[p + step])
                 step += 1
-            u = np.concatenate(us) if us else np.zeros(0, np.int64)
-            v = np.concatenate(vs) if vs else np.zeros(0, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v), pa.int64()), pa.array(np.minimum(u, v), pa.int64())], ["u", "v"])
+            at = np.flatnonzero(active)
+            at = at[np.unique(c[at], return_index=True)[1]]
+            yield pa.RecordBatch.from_arrays([pa.array(c[at]), pa.array(comps[comp[at]]), pa.array(size[at]), pa.array(comps[label[comp[at]]])], ["c", "comp", "n_shingles", "top"])
+
+    return sorted_rows.mapInArrow(run, "c long, comp long, n_shingles long, top long").distinct()
+
+
+def set_links(sizes: list[int], flat: np.ndarray, comp: np.ndarray, own: np.ndarray, cross: bool, percent: int) -> list[tuple[int, int]]:
+    """Pairs (row, row) of linked sets that join components not joined by the pairs before. ``flat`` holds the sets one after
+    the other; in a cross group only sets of different blocks are compared."""
+    size = np.array(sizes, dtype=np.int64)
+    start = np.cumsum(size) - size
+    order = np.argsort(size, kind="stable")
+    at = np.concatenate([np.arange(start[k], start[k] + size[k]) for k in order])
+    names, word = np.unique(flat[at], return_inverse=True)
+    size, comp, own = size[order], comp[order], own[order]
+    start = np.cumsum(size) - size
+    label = np.unique(comp, return_inverse=True)[1]
+    mark, out = np.zeros(len(names), dtype=bool), []
+    ends = np.searchsorted(size, size * 100 // percent, side="right")  # larger sets cannot be linked
+    for a in range(len(size) - 1):
+        z = int(ends[a])
+        rows = np.arange(a + 1, z)
+        rows = rows[(label[rows] != label[a]) & (own[rows] != own[a] if cross else True)]
+        if not len(rows):
+            continue
+        mark[word[start[a] : start[a] + size[a]]] = True
+        first, last = rows[0], rows[-1]
+        both = np.add.reduceat(mark[word[start[first] : start[last] + size[last]]], start[first : last + 1] - start[first], dtype=np.int64)[rows - first]
+        mark[word[start[a] : start[a] + size[a]]] = False
+        for k in rows[(100 * both >= percent * (size[a] + size[rows] - both)) & (both > 0)]:
+            if label[k] != label[a]:
+                out.append((int(order[a]), int(order[k])))
+                label[label == label[k]] = label[a]
+    return out
 
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            held = t if held is None else pa.concat_tables([held, t])
-            k = [held.column(n).to_numpy() for n in ("bucket", "i", "j")]
-            last = np.flatnonzero((k[0] != k[0][-1]) | (k[1] != k[1][-1]) | (k[2] != k[2][-1]))
-            whole = int(last[-1]) + 1 if len(last) else 0  # rows of groups that surely ended
-            if whole:
-                yield pairs(held.slice(0, whole).combine_chunks())
-                held = held.slice(whole).combine_chunks()
-        if held is not None and held.num_rows:
-            yield pairs(held.combine_chunks())
 
-    return sorted_rows.mapInArrow(run, "u long, v long").distinct()
+def family_links(members: DataFrame, cfg: Config) -> DataFrame:
+    """(u, v): components joined by a pair of full sets that are similar enough. ``members``: (family, i, j, own, c, comp, set)."""
+    keys = ("family", "i", "j")
+    sorted_rows = members.select(*keys, "own", "comp", "set").repartition(*keys).sortWithinPartitions(*keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, keys):
+            k = np.stack([t.column(n).to_numpy() for n in keys])
+            cuts = np.r_[np.flatnonzero(np.r_[True, (k[:, 1:] != k[:, :-1]).any(axis=0)]), t.num_rows]
+            own, comp = (t.column(n).to_numpy() for n in ("own", "comp"))
+            u, v = [], []
+            for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                data = t.column("set").slice(s, e - s).to_pylist()
+                found = set_links([len(x) // 8 for x in data], np.frombuffer(b"".join(data), dtype=np.uint64), comp[s:e], own[s:e], bool(k[1, s] != k[2, s]), cfg.percent)
+                u += [int(comp[s + a]) for a, _ in found]
+                v += [int(comp[s + b]) for _, b in found]
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return sorted_rows.mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, cfg: Config = Config(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row."""
     sk = saved(sketches(docs, cfg, id_col, text), "minhash-sketches")
     with_set = sk.where("n_shingles > 0 and id is not null")
-    classes = saved(with_set.groupBy("s1", "s2", "n_shingles").agg(F.min("id").alias("c"), F.first("sig").alias("sig")), "minhash-classes")
-    in_bucket = saved(buckets(classes, cfg), "minhash-buckets")
+    classes = saved(with_set.groupBy("s1", "s2", "n_shingles").agg(F.min("id").alias("c"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "minhash-classes")
+    in_bucket = classes.select("c", F.explode("bands").alias("bucket"))
     several = in_bucket.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("first")).where("n > 1")
     members = saved(in_bucket.join(several, "bucket"), "minhash-members")
-    stars = members.where("c != first").select(F.col("c").alias("u"), F.col("first").alias("v")).distinct()
-    links = saved(linked(similar(stars, classes, cfg), docs, cfg, id_col, text), "minhash-links")
-    comp = saved(components(links), "minhash-components")
-    placed = members.select("bucket", "c", "n").join(comp.withColumnRenamed("u", "c"), "c", "left").withColumn("comp", F.coalesce("component", "c"))
-    placed = saved(placed.select("bucket", "c", "n", "comp"), "minhash-placed")
-    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a != b").select("bucket")
-    rest = placed.join(mixed, "bucket", "left_semi").join(classes.select("c", "sig"), "c").select("bucket", "c", "comp", "sig", "n")
-    tested = stars.select("u", "v")
-    more = saved(linked(across(rest, cfg).join(tested, ["u", "v"], "left_anti"), docs, cfg, id_col, text), "minhash-links")
-    by_comp = comp.withColumnRenamed("u", "node")
-    lifted = (more.join(by_comp.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left")
-              .join(by_comp.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left")
-              .select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")))
-    upper = components(lifted).select(F.col("u").alias("component"), F.col("component").alias("top"))
-    whole = classes.select("s1", "s2", "n_shingles", "c").join(comp.withColumnRenamed("u", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+    shared = members.where("c != first").groupBy("c", "first").agg(F.count(F.lit(1)).alias("n"))
+    most = shared.groupBy("c").agg(F.slice(F.sort_array(F.collect_list(F.struct(-F.col("n"), "first"))), 1, 2).alias("best"))  # at most one entry a band
+    stars = most.select(F.col("c").alias("u"), F.explode("best.first").alias("v"))
+    comp = saved(components(linked(similar(stars, classes, cfg), docs, cfg, id_col, text)), "minhash-components").withColumnRenamed("u", "c")
+    placed = members.select("bucket", "c").join(comp, "c", "left").select("bucket", "c", F.coalesce("component", "c").alias("comp"), F.lit(-(-UNIT // cfg.block)).cast("long").alias("weight"))
+    rest = dealt(saved(placed, "minhash-placed"), "bucket", cfg).join(classes.select("c", "n_shingles", "sig"), "c")
+    open_classes = saved(likely(rest, cfg), "minhash-likely")
+    family = components(open_classes.select(F.col("comp").alias("u"), F.col("top").alias("v"))).select(F.col("u").alias("comp"), F.col("component").alias("family"))
+    weight = F.greatest(F.lit(-(-UNIT // cfg.block)), F.ceil(F.col("n_shingles") * (UNIT / cfg.block_shingles))).cast("long")
+    open_classes = saved(open_classes.select("c", "comp", "n_shingles").distinct().join(family, "comp").withColumn("weight", weight), "minhash-families")
+    sets = full_sets(open_classes.select(F.col("c").alias("id")), docs, cfg, id_col, text).withColumnRenamed("id", "c")
+    upper = components(family_links(dealt(open_classes, "family", cfg).join(sets, "c"), cfg)).select(F.col("u").alias("component"), F.col("component").alias("top"))
+    whole = classes.select("s1", "s2", "n_shingles", "c").join(comp, "c", "left").withColumn("component", F.coalesce("component", "c"))
     whole = whole.join(upper, "component", "left").select("s1", "s2", "n_shingles", F.coalesce("top", "component").alias("top"))
-    found = sk.drop("sig").join(whole, ["s1", "s2", "n_shingles"], "left")
+    found = sk.drop("sig", "bands").join(whole, ["s1", "s2", "n_shingles"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("top", "id"))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 

@@ -219,6 +219,48 @@ def test_minhash_against_brute_force(spark, odd_docs, no_docs, cfg):
     assert minhash.near_duplicates(no_docs, cfg).count() == 0
 
 
+@pytest.mark.parametrize("block", [1500, 40])
+def test_minhash_family_of_like_texts_returns_rows_not_pairs(spark, block):
+    """Texts at a similarity of about 0.7 share buckets without being near copies; one near copy hides among them."""
+    import random
+
+    r = random.Random(5)
+    base = [f"w{k}" for k in range(300)]
+
+    def like(i):
+        words = list(base)
+        for k in r.sample(range(300), 13):
+            words[k] = f"x{i}_{k}"
+        return words
+
+    texts = [like(i) for i in range(160)]
+    texts.append(texts[140][:-3])  # a near copy of one of them
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    cfg = minhash.Config(words=2, block=block)
+    got = minhash.near_duplicates(df, cfg).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == brute_components(rows_of(df), 2)
+    sk = minhash.sketches(df, cfg).withColumn("c", F.col("id")).withColumn("comp", F.col("id"))
+    rows = sk.select("c", "comp", "n_shingles", "sig", F.explode("bands").alias("bucket"), F.lit(minhash.UNIT // block).cast("long").alias("weight"))
+    found = minhash.likely(minhash.dealt(rows, "bucket", cfg), cfg)
+    assert found.select("c").distinct().count() > 150 and found.count() <= 26 * 161
+
+
+def test_set_links_against_all_pairs():
+    r = np.random.default_rng(3)
+    for trial in range(20):
+        sets = [np.unique(r.integers(0, 40, r.integers(1, 40)).astype(np.uint64)) for _ in range(25)]
+        comp, own = r.integers(0, 20, 25), r.integers(0, 2, 25)
+        cross = bool(trial % 2)
+        found = minhash.set_links([len(s) for s in sets], np.concatenate(sets), comp, own, cross, 60)
+        want, have = np.arange(20), np.arange(20)
+        pairs = [(a, b) for a in range(25) for b in range(a) if (not cross or own[a] != own[b])
+                 and 100 * len(np.intersect1d(sets[a], sets[b])) >= 60 * len(np.union1d(sets[a], sets[b]))]
+        assert all((max(p), min(p)) in pairs for p in found) and len(found) < 20
+        for label, links in ((want, pairs), (have, found)):
+            minhash.join_labels(label, np.array([comp[a] for a, _ in links], dtype=int), np.array([comp[b] for _, b in links], dtype=int))
+        assert (want == have).all()
+
+
 def test_components_of_a_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 130)]
     got = {r.u: r.component for r in components.components(spark.createDataFrame(links, "u long, v long")).collect()}
