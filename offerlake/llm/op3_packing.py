@@ -15,6 +15,7 @@ all tasks; they and the pieces are the same whenever the same files are read wit
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -135,11 +136,12 @@ def tokenizer(path: str) -> SegmentIds:
     return SegmentIds(segments, lambda t: ids([t])[0].tobytes(), whole="<|endoftext|>")
 
 
-def pack(docs: DataFrame, path: str, cfg: Config = Config(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Pieces: id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
+def pack(docs: DataFrame, path: str, cfg: Config = Config(), id_col: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
+    """Pieces: id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset. With ``digest`` the
+    column ids_crc32 (of these bytes, unsigned) stands for ids, which then do not leave the worker."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("_text"))
     schema = source.select("doc_id").schema
-    for name, kind in (("start", "long"), ("length", "long"), ("ids", "binary"), ("doc_tokens", "long"), ("sequence_id", "long"), ("offset", "long")):
+    for name, kind in (("start", "long"), ("length", "long"), ("ids_crc32", "long") if digest else ("ids", "binary"), ("doc_tokens", "long"), ("sequence_id", "long"), ("offset", "long")):
         schema = schema.add(name, kind, False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,12 +156,13 @@ def pack(docs: DataFrame, path: str, cfg: Config = Config(), id_col: str = "doc_
 
         def rows(found: list[tuple[int, int, int, int, int]]) -> pa.RecordBatch:
             docs_of = [kept[f[0]] for f in found]
+            ids = [d[1][4 * f[1] : 4 * (f[1] + f[2])] for d, f in zip(docs_of, found)]
             cols = [pa.array([d[0] for d in docs_of], schema_id), pa.array([f[1] for f in found], pa.int64()),
                     pa.array([f[2] for f in found], pa.int64()),
-                    pa.array([d[1][4 * f[1] : 4 * (f[1] + f[2])] for d, f in zip(docs_of, found)], pa.binary()),
+                    pa.array(list(map(zlib.crc32, ids)), pa.int64()) if digest else pa.array(ids, pa.binary()),
                     pa.array([len(d[1]) // 4 for d in docs_of], pa.int64()),
                     pa.array([first + f[3] for f in found], pa.int64()), pa.array([f[4] for f in found], pa.int64())]
-            return pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+            return pa.RecordBatch.from_arrays(cols, schema.names)
 
         schema_id = None
         for b in slices(batches, "_text"):
@@ -183,5 +186,4 @@ def pack(docs: DataFrame, path: str, cfg: Config = Config(), id_col: str = "doc_
 def op3_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), digest=True)
