@@ -344,16 +344,33 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("d
     return source.mapInArrow(run, schema)
 
 
+def token_bytes(ranks: dict[bytes, int]) -> pa.Array:
+    """The bytes of each id, null for a number that is none."""
+    out: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+    for data, token in ranks.items():
+        out[token] = data
+    return pa.array(out, pa.binary())
+
+
+def joined(tokens: pa.Array, ids: pa.ListArray) -> pa.Array:
+    """The bytes of each list of ids, one after the other."""
+    data = tokens.take(ids.flatten())
+    if data.null_count:
+        raise ValueError("an id that is not in the rank file")
+    ends = np.r_[0, np.cumsum(ids.value_lengths().fill_null(0).to_numpy())]
+    places = np.frombuffer(data.buffers()[1], dtype=np.int32)[data.offset :] if len(data) else np.zeros(1, np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(places[ends].astype(np.int32).tobytes()), data.buffers()[2] or pa.py_buffer(b"")])
+
+
 def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id", "ids")) -> DataFrame:
     """``keep`` columns and ``decoded`` (binary), the bytes of the ids. A null list decodes to no bytes."""
     source = encoded.select(*keep, F.col("ids").alias("_ids"))
     schema = source.drop("_ids").schema.add("decoded", "binary", False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = worker_memory(f"bpe-bytes:{path}", lambda: Encoder(load_ranks(path)))
+        tokens = worker_memory(f"bpe-bytes:{path}", lambda: token_bytes(load_ranks(path)))
         for b in slices(batches, "_ids"):
-            data = [coder.decode(x or []) for x in b.column(len(keep)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(data, pa.binary())], [*keep, "decoded"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], joined(tokens, b.column(len(keep)))], [*keep, "decoded"])
 
     return source.mapInArrow(run, schema)
 
