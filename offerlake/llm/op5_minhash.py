@@ -45,6 +45,7 @@ class Config:
     estimate: float = 0.62  # least share of equal minima of a pair that is checked on full sets
     block: int = 1500  # classes of a bucket or family in one block
     block_shingles: int = 1 << 20  # shingles of a family's full sets in one block
+    broadcast_ids: int = 1_000_000  # most ids that are sent to every executor: 8 bytes each
     seed: int = 5
 
 
@@ -130,7 +131,11 @@ def similar(pairs: DataFrame, sigs: DataFrame, cfg: Config) -> DataFrame:
 
 
 def full_sets(ids: DataFrame, docs: DataFrame, cfg: Config, id_col: str, text: str) -> DataFrame:
-    """(id, set) for the ids given, from their texts; equal rows once."""
+    """(id, set) for the ids given, from their texts; equal rows once. Up to ``Config.broadcast_ids`` ids, as counted, go to
+    the texts; with more of them both sides are shuffled."""
+    ids = saved(ids.distinct(), "minhash-ids")
+    if ids.limit(cfg.broadcast_ids + 1).count() <= cfg.broadcast_ids:
+        ids = F.broadcast(ids)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("_text")).join(ids, "id", "left_semi").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +149,7 @@ def full_sets(ids: DataFrame, docs: DataFrame, cfg: Config, id_col: str, text: s
 def linked(pairs: DataFrame, docs: DataFrame, cfg: Config, id_col: str, text: str) -> DataFrame:
     """The pairs whose full sets are similar enough, counted on the sets themselves."""
     pairs = saved(pairs, "minhash-pairs")
-    ids = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
+    ids = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id")))
     sets = saved(full_sets(ids, docs, cfg, id_col, text), "minhash-sets")
     rows = (pairs.join(sets.select(F.col("id").alias("v"), F.col("set").alias("sv")), "v")
             .join(sets.select(F.col("id").alias("u"), F.col("set").alias("su")), "u").select("u", "v", "su", "sv"))

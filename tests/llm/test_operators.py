@@ -201,7 +201,7 @@ def brute_components(docs, size, percent=80):
     return sorted((i if i is not None else -1, len(a), top[i] if i is not None else -1) for i, a in sets)
 
 
-@pytest.mark.parametrize("cfg", [minhash.Config(words=2), minhash.Config(words=5, block=3)])
+@pytest.mark.parametrize("cfg", [minhash.Config(words=2), minhash.Config(words=5, block=3, broadcast_ids=4)])
 def test_minhash_against_brute_force(spark, odd_docs, no_docs, cfg):
     import random
 
