@@ -4,10 +4,10 @@ A word's probability is the sum over all its segmentations into vocabulary piece
 probabilities, computed by forward recursion in log space over the word's bytes. The vocabulary's own scores
 (ranks) give the first piece probabilities by Zipf's law; rounds of expectation-maximisation over the counts of
 all training words then fit them (forward-backward over the same lattice). Only pieces with the word-start mark
-may begin a word and only pieces without it go on, so the spelling model sums to one over all words. A word's
-probability mixes its share of the training tokens with its spelling; the weight of the spelling is the share of
-training tokens whose word occurs once, so the share of a known word carries most of its score and
-``lattice_score`` gives the lattice alone beside it. The mark for the end of a text is a token of the first part alone.
+may begin a word and only pieces without it go on, so the spelling model sums to one over all words. ``score`` is
+this marginal over all words of the text; the mark for the end of a text, which has no spelling, is a token with
+its share of the training tokens. ``mixed_score`` is given beside it and is no part of it: it mixes a word's share of
+the training tokens with its spelling, whose weight is the share of training tokens whose word occurs once.
 
 Counts come from every token of every training text. Words are counted per task before they are shuffled; the
 ``Config.head`` most frequent words travel to the tasks that read the texts, a bounded table, and the occurrences
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from offerlake.llm.common import crc_mod, row_key, saved, slices, table
+from offerlake.llm.common import crc_mod, row_key, saved, scramble, slices, table
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁".encode()
@@ -42,7 +42,7 @@ NO_PATH = -1e6  # natural log, of a word that no pieces spell
 class Config:
     folds: int = 7
     held: int = 2
-    rounds: int = 1  # of expectation-maximisation
+    rounds: int = 3  # of expectation-maximisation
     head: int = 150_000
     smooth: float = 0.01  # added to each piece's expected count
 
@@ -51,13 +51,19 @@ class Pieces:
     """Vocabulary pieces by 64-bit hash of their bytes, with log probabilities."""
 
     BASE = np.uint64(0x9E3779B97F4A7C15)
+    SHIFT = np.uint64(44)
 
     def __init__(self, names: list[bytes], logp: np.ndarray):
         self.names, self.logp = names, logp
         self.longest = max(map(len, names))
         hashes = np.array([self.hash_of(x) for x in names], dtype=np.uint64)
-        order = np.argsort(hashes)
-        self.keys, self.at = hashes[order], order
+        # pieces sorted by their mixed hash, and for each value of its first bits where the pieces begin that have it
+        mixed = scramble(hashes)
+        order = np.argsort(mixed)
+        self.keys, self.at = mixed[order], order
+        heads = (self.keys >> self.SHIFT).astype(np.int64)
+        self.begin = np.searchsorted(heads, np.arange(2 ** (64 - int(self.SHIFT)))).astype(np.int32)
+        self.depth = int(np.bincount(heads).max())
 
     @classmethod
     def hash_of(cls, data: bytes) -> int:
@@ -67,8 +73,13 @@ class Pieces:
         return h
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        k = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where(self.keys[k] == h, self.at[k], -1)
+        h = scramble(h)
+        k = self.begin[(h >> self.SHIFT).astype(np.int64)]
+        out = np.full(len(h), -1, dtype=np.int64)
+        for step in range(self.depth):
+            at = np.minimum(k + step, len(self.keys) - 1)
+            out = np.where(self.keys[at] == h, self.at[at], out)
+        return out
 
     def arcs(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All pieces found in the marked words: (word, start, end, piece), and the words' lengths."""
@@ -107,34 +118,37 @@ class Pieces:
         top = int(lens.max())
         alpha = np.full((top + 1, len(words)), FLOOR)
         alpha[0] = 0.0
-        by_end = np.argsort(end, kind="stable")
-        cuts = np.searchsorted(end[by_end], np.arange(top + 2))
-        for e in range(1, top + 1):
-            on = by_end[cuts[e] : cuts[e + 1]]
-            if len(on):
-                self._add(alpha[e], word[on], alpha[start[on], word[on]] + lp[on])
+        self._recurse(alpha, end, start, word, lp, range(1, top + 1))
         out = alpha[lens, np.arange(len(words))]
         if expected is not None:
             beta = np.full((top + 1, len(words)), FLOOR)
             beta[lens, np.arange(len(words))] = 0.0
-            by_start = np.argsort(start, kind="stable")
-            cuts = np.searchsorted(start[by_start], np.arange(top + 2))
-            for s in range(top, -1, -1):
-                on = by_start[cuts[s] : cuts[s + 1]]
-                if len(on):
-                    self._add(beta[s], word[on], beta[end[on], word[on]] + lp[on])
+            self._recurse(beta, start, end, word, lp, range(top, -1, -1))
             share = np.exp(np.minimum(0.0, alpha[start, word] + lp + beta[end, word] - out[word]))
             expected += np.bincount(piece, share * weights[word], len(expected))
         return out
 
     @staticmethod
-    def _add(row: np.ndarray, word: np.ndarray, value: np.ndarray) -> None:
-        """row[word] = log-sum-exp of what it holds and all values of the word."""
-        best = row.copy()
-        np.maximum.at(best, word, value)
-        total = np.exp(row - best) + np.bincount(word, np.exp(value - best[word]), len(row))
-        hit = np.unique(word)
-        row[hit] = best[hit] + np.log(total[hit])
+    def _recurse(table: np.ndarray, to: np.ndarray, since: np.ndarray, word: np.ndarray, lp: np.ndarray, places: range) -> None:
+        """For each place in turn: table[place, word] = log-sum-exp over the word's arcs to it of table[since, word] + lp."""
+        width = table.shape[1]
+        target = to * width + word
+        order = np.argsort(target, kind="stable")
+        target, source, lp = target[order], (since * width + word)[order], lp[order]
+        heads = np.flatnonzero(np.r_[True, target[1:] != target[:-1]])  # arcs that share place and word lie together
+        sizes = np.diff(np.r_[heads, len(target)])
+        cuts = np.searchsorted(target[heads], np.arange(len(table) + 1) * width)
+        flat = table.reshape(-1)
+        for place in places:
+            a, b = cuts[place], cuts[place + 1]
+            if a == b:
+                continue
+            first = heads[a]
+            arcs = slice(first, heads[b - 1] + sizes[b - 1])
+            value = flat[source[arcs]] + lp[arcs]
+            best = np.maximum.reduceat(value, heads[a:b] - first)
+            total = np.add.reduceat(np.exp(value - np.repeat(best, sizes[a:b])), heads[a:b] - first)
+            flat[target[heads[a:b]]] = best + np.log(total)
 
     def score(self, words: list[bytes], weights=None, expected=None) -> np.ndarray:
         """``forward`` over blocks of words of like length."""
@@ -228,8 +242,8 @@ def fit(counts: DataFrame, pieces: Pieces, cfg: Config) -> Pieces:
 
 
 def score_texts(docs: DataFrame, pieces: Pieces, cfg: Config = Config(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score) for every row; scores
-    are log10. ``lattice_score`` has no word shares: a word's lattice probability alone, beside that of the end token."""
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, mixed_score) for every row; scores
+    are log10. ``score`` is the lattice's: no word shares, but for the end token's."""
     spark = docs.sparkSession
     counts = saved(count_words(docs, cfg, id_col, text), "lattice-counts")
     t = counts.agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v"), F.sum((F.col("c") == 1).cast("long")).alias("once"),
@@ -298,8 +312,8 @@ def score_texts(docs: DataFrame, pieces: Pieces, cfg: Config = Config(), id_col:
               .join(copies, (F.col("k") == F.col("k3")) & F.col("doc_id").eqNullSafe(F.col("id3")), "left").withColumn("copies", F.coalesce("copies", F.lit(1))))
     more = lambda c: F.coalesce(F.col(c), F.lit(0)) / F.col("copies")
     return joined.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + more("more_known")).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-                         (F.col("base") + more("more_base")).alias("base_score"), (F.col("logp") + more("more_logp")).alias("score"),
-                         (F.col("alone") + more("more_alone")).alias("lattice_score"))
+                         (F.col("base") + more("more_base")).alias("base_score"), (F.col("alone") + more("more_alone")).alias("score"),
+                         (F.col("logp") + more("more_logp")).alias("mixed_score"))
 
 
 def op7_lattice(spark, sf_dir: str) -> DataFrame:
