@@ -31,8 +31,9 @@ from offerlake.llm.common import saved, scramble, slices, table, worker_memory
 @dataclass(frozen=True)
 class Config:
     samples: int = 64
-    keep: int = 150_000  # terms whose draws a task keeps
+    keep: int = 100_000  # terms whose draws a task keeps, and as many (term, count > 1)
     rows: int = 4000  # rows of a range of ids, about
+    ranges: int = 20_000  # ranges at most: beyond, each holds more rows, which are streamed
     seed: int = 3
 
 
@@ -42,6 +43,9 @@ class Sampler:
         self.at: dict[str, int] = {}
         self.names = np.zeros(0, dtype=np.uint64)
         self.once = np.zeros((0, cfg.samples), dtype=np.float32)  # log arrival of weight 1
+        self.often: dict[tuple[str, int], int] = {}  # the same for a term with its count, where that is above 1
+        self.arrivals = np.zeros((0, cfg.samples), dtype=np.float32)
+        self.steps = np.zeros((0, cfg.samples), dtype=np.int32)
 
     def _uniform(self, names: np.ndarray, draw: int) -> np.ndarray:
         """Uniform variates in (0, 1): one row for each term, one column for each sample."""
@@ -75,6 +79,26 @@ class Sampler:
             self.once[have + i : have + i + len(r)] = log_c + r * b - r
         self.at.update(zip(new, range(have, need)))
 
+    def learn_often(self, found: set[tuple[str, int]]) -> None:
+        if len(self.often) > self.cfg.keep:
+            self.often, self.arrivals, self.steps = {}, self.arrivals[:0], self.steps[:0]
+        new = [p for p in found if p not in self.often]
+        if not new:
+            return
+        have, need = len(self.often), len(self.often) + len(new)
+        if need > len(self.arrivals):
+            room = have // 2 + len(new)
+            self.arrivals = np.concatenate([self.arrivals[:have], np.zeros((room, self.cfg.samples), np.float32)])
+            self.steps = np.concatenate([self.steps[:have], np.zeros((room, self.cfg.samples), np.int32)])
+        names = self.names[np.fromiter((self.at[w] for w, _ in new), np.int64, len(new))]
+        n = np.fromiter((c for _, c in new), np.float32, len(new))
+        for i in range(0, len(new), 4096):
+            r, log_c, b = self._draws(names[i : i + 4096])
+            t = np.floor(np.log(n[i : i + 4096])[:, None] / r + b)
+            self.arrivals[have + i : have + i + len(r)] = log_c - r * (t - b) - r
+            self.steps[have + i : have + i + len(r)] = t.astype(np.int32)
+        self.often.update(zip(new, range(have, need)))
+
     def _sample(self, counts: Counter) -> bytes:
         if not counts:
             return b""
@@ -84,10 +108,9 @@ class Sampler:
         step = np.zeros_like(arrival, dtype=np.int32) if (n > 1).any() else None
         if step is not None:
             more = np.flatnonzero(n > 1)
-            r, log_c, b = self._draws(self.names[at[more]])
-            t = np.floor(np.log(n[more])[:, None] / r + b)
-            arrival[more] = log_c - r * (t - b) - r
-            step[more] = t.astype(np.int32)
+            kept = np.fromiter((self.often[p] for p in counts.items() if p[1] > 1), np.int64, len(more))
+            arrival[more] = self.arrivals[kept]
+            step[more] = self.steps[kept]
         first = arrival.argmin(axis=0)
         names = self.names[at[first]]
         if step is not None:
@@ -100,6 +123,7 @@ class Sampler:
         """Fingerprints of whole texts, together of bounded size."""
         counted = [Counter(t.split()) if t else Counter() for t in texts]
         self.learn(set().union(*counted))
+        self.learn_often({p for c in counted for p in c.items() if p[1] > 1})
         return [self._sample(c) for c in counted]
 
 
@@ -125,11 +149,12 @@ def fingerprints(docs: DataFrame, cfg: Config = Config(), id_col: str = "doc_id"
 def ordered(docs: DataFrame, cfg: Config, id_col: str, text: str) -> DataFrame:
     """Every row under the number of its range of ids, and the first row of each range once more at the end of
     the range before it (``extra``; that of the first range at the end of the last). Columns: part, extra, id,
-    tie, _text. Ranges hold about ``cfg.rows`` rows each; their bounds come from the ids alone."""
+    tie, _text. Ranges hold about ``cfg.rows`` rows each, more where ``cfg.ranges`` would be exceeded, which bounds
+    what the driver lists; their bounds come from the ids alone, so all rows of one id are one range."""
     spark: SparkSession = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tie"), F.col(text).alias("_text"))
     n = rows.count()
-    parts = max(1, -(-n // cfg.rows))
+    parts = max(1, min(cfg.ranges, -(-n // cfg.rows)))
     # bounds are positions in the sorted ids at even steps, approximately; a row's part follows from its id alone
     accuracy = max(10_000, 4 * parts)
     cuts = rows.select(F.percentile_approx("id", [i / parts for i in range(1, parts)], accuracy)).first()[0] if parts > 1 else []
@@ -159,7 +184,7 @@ def compare(docs: DataFrame, cfg: Config = Config(), id_col: str = "doc_id", tex
     key = F.struct(F.col("id").isNotNull().alias("has"), F.coalesce("id", F.lit(0)).alias("id"), "tie")
     first = rows.groupBy("part").agg(F.min(key).alias("first"))
     heads = saved(first, "fingerprint-heads")
-    listed = heads.orderBy("part").collect()  # one row for each range of ids
+    listed = heads.orderBy("part").collect()  # one row for each range of ids, ``cfg.ranges`` at most
     if not listed:
         return rows.select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("n_chars"), F.lit("").alias("edited_sha256"), F.lit("").alias("fingerprint"),
                            F.lit("").alias("edited_fingerprint"), F.lit(1.0).alias("near_edited"), F.lit(1.0).alias("near_next"))
