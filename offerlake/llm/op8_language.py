@@ -8,7 +8,7 @@ its words that hold a letter, and that mean is its score.
 Training uses a bounded sample: about ``Config.per_lang`` texts of each language (chosen by a hash of the row,
 twice as many at most) and one run of ``sample_words`` words of each. Runs of different languages are spliced,
 so the transitions learn both staying and switching. The lexicon holds the most frequent words of each language
-in that sample. Whole texts are labelled; a chain covers ``chain`` words and a longer text is a series of chains.
+in that sample. Whole texts are labelled, each as one chain of all its words.
 
 Every value of lang in the training texts is learned; more than ``Config.max_langs`` of them raise an error.
 
@@ -41,7 +41,7 @@ class Config:
     max_langs: int = 1000  # more values of lang than this are an error: the weights have a column for each
     sample_words: int = 80
     lexicon: int = 300
-    chain: int = 256
+    chain: int = 256  # words of a chain that are gone through at a time; changes no result
     epochs: int = 60
     rate: float = 0.1
     decay: float = 1e-4
@@ -212,25 +212,46 @@ class Labeller:
         self.rows.update(zip(new, range(have, need)))
 
     def posteriors(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """One words x langs matrix per text; all chains of the given texts run side by side."""
+        """One words x langs matrix per text: a text is one chain. Its blocks of ``chain`` words run side by side:
+        first each block's product of moves and emissions, which carries the forward messages over the blocks before
+        and the backward ones over those behind, then the words inside with the messages that enter their block."""
+        if not any(texts):
+            return [np.zeros((0, len(self.model.langs))) for _ in texts]
         self.learn({w for t in texts for w in t})
         size = self.model.config.chain
         ids = [np.fromiter(map(self.rows.__getitem__, t), np.int64, len(t)) for t in texts]
         pieces = [x[i : i + size] for x in ids for i in range(0, len(x), size)]
+        moves = self.model.moves.astype(np.float32)
+        entry, leave = np.ones((2, len(pieces), self.emit.shape[1]), dtype=np.float32)
+        first = 0
+        spans = []  # pieces of each text of several blocks
+        for x in ids:
+            n = -(-len(x) // size)
+            if n > 1:
+                spans.append(range(first, first + n))
+            first += n
+        at_once = max(1, min(2048, 4_000_000 // self.emit.shape[1] ** 2))
+        longer = [i for span in spans for i in span]
+        t = _moves(moves)
+        through = np.concatenate([_products(*self._grid([pieces[i] for i in longer[at : at + at_once]]), moves) for at in range(0, len(longer), at_once)]) if longer else None
+        at = 0
+        for span in spans:
+            mine = through[at : at + len(span)]
+            at += len(span)
+            message = mine[0].sum(0)
+            for k in range(1, len(span)):
+                entry[span[k]] = message = _scaled(message @ t)
+                message = _scaled(message @ mine[k])
+            message = np.ones(len(t), dtype=np.float32)
+            for k in range(len(span) - 1, 0, -1):
+                leave[span[k - 1]] = message = _scaled(t @ (mine[k] @ message))
         found: list[np.ndarray | None] = [None] * len(pieces)
         order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
-        for at in range(0, len(order), 2048):  # chains of like length share a block
+        for at in range(0, len(order), 2048):  # blocks of like length go together
             block = order[at : at + 2048]
-            lens = np.array([len(pieces[i]) for i in block])
-            grid = np.zeros((len(block), int(lens.max())), dtype=np.int64)
+            post = _posteriors(*self._grid([pieces[i] for i in block]), moves, entry[block], leave[block])
             for r, i in enumerate(block):
-                grid[r, : lens[r]] = pieces[i]
-            mask = np.arange(grid.shape[1])[None, :] < lens[:, None]
-            emit = self.emit[grid]
-            emit[~mask] = 0
-            post = _posteriors(emit, mask, self.model.moves.astype(np.float32))
-            for r, i in enumerate(block):
-                found[i] = post[r, : lens[r]]
+                found[i] = post[r, : len(pieces[i])]
         out, at = [], 0
         for x in ids:
             n = -(-len(x) // size)
@@ -239,20 +260,55 @@ class Labeller:
         return out
 
 
-def _posteriors(emit: np.ndarray, mask: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """State posteriors alone, time-major for speed."""
+    def _grid(self, pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Emissions of the pieces, padded to one length, and the mask of their words."""
+        lens = np.array([len(x) for x in pieces])
+        grid = np.zeros((len(pieces), int(lens.max())), dtype=np.int64)
+        for r, x in enumerate(pieces):
+            grid[r, : lens[r]] = x
+        mask = np.arange(grid.shape[1])[None, :] < lens[:, None]
+        emit = self.emit[grid]
+        emit[~mask] = 0
+        return emit, mask
+
+
+def _moves(moves: np.ndarray) -> np.ndarray:
+    return np.exp(moves - moves.max())
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    return x / (x.sum() + 1e-30)
+
+
+def _products(emit: np.ndarray, mask: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Of every block the states x states product of its words' emissions and the moves between them, scaled."""
+    e = np.ascontiguousarray(np.exp(emit - emit.max(axis=2, keepdims=True)).transpose(1, 0, 2))
+    on = np.ascontiguousarray(mask.T)[:, :, None, None]
+    t = _moves(moves)
+    states = len(t)
+    out = np.eye(states, dtype=e.dtype)[None] * e[0][:, None, :]
+    for i in range(1, len(e)):
+        nxt = (out.reshape(-1, states) @ t).reshape(out.shape) * e[i][:, None, :]
+        nxt /= nxt.sum((1, 2), keepdims=True) + 1e-30
+        out = np.where(on[i], nxt, out)
+    return out
+
+
+def _posteriors(emit: np.ndarray, mask: np.ndarray, moves: np.ndarray, entry: np.ndarray, leave: np.ndarray) -> np.ndarray:
+    """State posteriors alone, time-major for speed, given the messages that enter each block from before and behind."""
     e = np.ascontiguousarray(np.exp(emit - emit.max(axis=2, keepdims=True)).transpose(1, 0, 2))
     on = np.ascontiguousarray(mask.T)[:, :, None]
-    t = np.exp(moves - moves.max())
+    t = _moves(moves)
     alpha = np.empty_like(e)
-    a = e[0] / e[0].sum(1, keepdims=True)
+    a = entry * e[0]
+    a /= a.sum(1, keepdims=True) + 1e-30
     alpha[0] = a
     for i in range(1, len(e)):
         nxt = (a @ t) * e[i]
         nxt /= nxt.sum(1, keepdims=True) + 1e-30
         a = np.where(on[i], nxt, a)
         alpha[i] = a
-    beta = np.ones_like(a)
+    beta = leave
     for i in range(len(e) - 1, 0, -1):
         back = (e[i] * beta) @ t.T
         alpha[i] *= beta
