@@ -6,9 +6,10 @@ the average of its words' vectors and the softmax scores it. The text takes the
 one abusive line in a long text counts as much as in a short one. Training follows the same rule: a text's loss
 falls on its windows, weighted towards the worst.
 
-The classifier is fitted on a bounded sample of labelled rows (``Config.max_toxic``, ``max_clean``,
-``max_windows``); every whole text is scored. Null or empty texts (no word) score the bias alone, as a text
-of unknown words does. Rows with a null id belong to the training side only if their id's crc says so.
+The classifier is fitted on the whole texts of a bounded sample of labelled rows (``Config.max_toxic``,
+``max_clean``); every whole text is scored. Null or empty texts (no word) score the bias alone, as a text
+of unknown words does. Rows with a null id or a null label are not learned from; an id with several labels is
+toxic if one of them says so.
 """
 
 from __future__ import annotations
@@ -30,14 +31,13 @@ CACHE_WORDS = 250_000
 
 @dataclass(frozen=True)
 class Config:
-    window: int = 8
+    window: int = 2
     buckets: int = 1 << 16
     dim: int = 8
     min_n: int = 3
     max_n: int = 5
     max_toxic: int = 1500  # labelled rows of the training sample, by class
     max_clean: int = 2500
-    max_windows: int = 100  # windows of one text in the training sample, evenly spread over the text
     epochs: int = 90
     rate: float = 0.05
     decay: float = 1e-5
@@ -91,8 +91,6 @@ def fit(texts: list[str], marks: list[int], cfg: Config = Config()) -> Model:
     for text in texts:
         found = words(text)
         parts = [found[i : i + cfg.window] for i in range(0, len(found), cfg.window)]
-        if len(parts) > cfg.max_windows:
-            parts = [parts[int(j)] for j in np.linspace(0, len(parts) - 1, cfg.max_windows)]
         ids = []
         for part in parts:
             for w in part:
@@ -119,7 +117,8 @@ def fit(texts: list[str], marks: list[int], cfg: Config = Config()) -> Model:
     tokens = np.concatenate(word_ids)
     lens = np.concatenate(window_len)
     win_start = np.r_[0, np.cumsum(lens)[:-1]]
-    token_win = np.repeat(np.arange(len(lens)), lens)
+    blocks = [slice(i, i + 100_000) for i in range(0, len(lens), 100_000)]  # windows at a time, to bound the arrays with an entry for each word
+    words_of = [slice(int(win_start[b.start]), int(win_start[b.stop]) if b.stop < len(lens) else len(tokens)) for b in blocks]
     text_start = np.r_[0, np.cumsum(n_win)[:-1]]
     win_text = np.repeat(np.arange(len(n_win)), n_win)
 
@@ -130,7 +129,7 @@ def fit(texts: list[str], marks: list[int], cfg: Config = Config()) -> Model:
         direction = softmax[1] - softmax[0]
         gram_score = vectors @ direction
         word_score = np.bincount(gram_word, gram_score[grams], len(index)) / sizes_a
-        logit = np.add.reduceat(word_score[tokens], win_start) / lens + bias
+        logit = np.concatenate([np.add.reduceat(word_score[tokens[t]], win_start[b] - t.start) for b, t in zip(blocks, words_of)]) / lens + bias
         sharp = min(1.0, epoch / (0.3 * cfg.epochs)) * 4.0  # from the mean of all windows to the worst one
         top = np.maximum.reduceat(logit, text_start)
         weight = np.exp(sharp * (logit - top[win_text]))
@@ -138,7 +137,7 @@ def fit(texts: list[str], marks: list[int], cfg: Config = Config()) -> Model:
         pooled = np.add.reduceat(weight * logit, text_start)
         error = (_sigmoid(pooled) - y) / len(y)
         on_win = error[win_text] * weight
-        on_word = np.bincount(tokens, on_win[token_win] / lens[token_win], len(sizes_a))
+        on_word = sum(np.bincount(tokens[t], np.repeat(on_win[b] / lens[b], lens[b]), len(sizes_a)) for b, t in zip(blocks, words_of))
         on_gram = np.bincount(grams, (on_word / sizes_a)[gram_word], cfg.buckets)
         d_dir = vectors.T @ on_gram
         grads = [on_gram[:, None] * direction[None, :] + cfg.decay * vectors,

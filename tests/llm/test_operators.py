@@ -43,6 +43,20 @@ def test_toxicity_unseen_misspelling_and_edge_texts(spark, odd_docs, no_docs):
     assert 0 < tox._sigmoid(np.array([tox.train(odd_docs, labels).bias]))[0] < 0.5
 
 
+def test_toxicity_labels_and_whole_texts_of_the_sample(spark):
+    learned = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(60)] + [(None, "nobody"), (learned[0], None)], "doc_id long, text string")
+    marks = [(i, 0) for i in range(60)] + [(learned[1], 1), (learned[2], None), (learned[3], 7), (None, 1), (999, 1)]
+    found = tox.sample(docs, spark.createDataFrame(marks, "doc_id long, toxic int"), tox.Config())
+    assert dict(zip(found["_id"], found["_y"])) == {i: int(i == learned[1]) for i in learned}
+    # the only bad word of a long text is learned from wherever it stands
+    rng = np.random.default_rng(1)
+    plain = [" ".join(rng.choice(["tree", "house", "river", "green", "walk", "stone"], 3000)) for _ in range(60)]
+    bad = [" ".join([*t.split()[: 97 * (i + 1) % 3000], "horrible", *t.split()[97 * (i + 1) % 3000 :]]) for i, t in enumerate(plain[:30])]
+    score = tox.Scorer(tox.fit(plain[30:] + bad, [0] * 30 + [1] * 30, tox.Config(epochs=60)))(["a green horrible stone", "a green stone"])
+    assert score[0] > 0 > score[1]
+
+
 def test_toxicity_held_out(spark):
     got = tox.op1_toxicity(spark, "/root/testdata/sf0.01")
     y = common.table(spark, "/root/testdata/sf0.01", "labels").select("doc_id", "toxic")
@@ -184,6 +198,23 @@ def test_sharding(spark, odd_docs, no_docs, cfg):
     assert sharding.shard(no_docs, cfg).count() == 0
 
 
+def test_sharding_against_plain_scheduling(spark):
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents")
+    sizes = collections.Counter()
+    for _, t in rows_of(docs):
+        sizes[t] += len((t or "").encode()) + 8
+    loads = [0] * 24
+    for size in sorted(sizes.values(), reverse=True):
+        loads[loads.index(min(loads))] += size
+    got = collections.Counter()
+    where = collections.defaultdict(set)
+    for r in sharding.shard(docs).select("shard", "size", "text_crc32").collect():
+        got[r["shard"]] += r["size"]
+        where[r["text_crc32"], r["size"]].add(r["shard"])
+    assert len(got) == 24 and sum(got.values()) == sum(loads) and max(map(len, where.values())) == 1
+    assert max(got.values()) <= 1.01 * max(loads) and min(got.values()) >= 0.99 * min(loads)
+
+
 # ---- near duplicates
 
 
@@ -312,6 +343,14 @@ def test_lattice_base_and_recursion(spark, odd_docs, no_docs):
 
     words = [b"the", b"hello", b"x", "été".encode(), b"\xff\x00a"]
     assert np.allclose(pieces.score(words), [slow(w) for w in words])
+    # expected counts of pieces: the slope of the log-probability in a piece's own
+    expected, weights = np.zeros(len(pieces.names)), np.array([2.0, 1.0, 3.0, 1.0, 1.0])
+    pieces.score(words, weights, expected)
+    for piece in np.flatnonzero(expected)[:12]:
+        logp = pieces.logp.copy()
+        logp[piece] += 1e-6
+        more = lattice.Pieces(pieces.names, logp).score(words) - pieces.score(words)
+        assert math.isclose((more * weights).sum() / 1e-6, expected[piece], rel_tol=1e-3, abs_tol=1e-6)
     cfg = lattice.Config(head=5)
     got = lattice.score_texts(odd_docs, pieces, cfg).collect()
     train = collections.Counter()
@@ -338,7 +377,7 @@ def test_lattice_score_is_the_lattice_alone(spark):
     the, river, house = pieces.score([b"the", b"river", b"house"]) / math.log(10) + math.log10(1 - end)
     for r in lattice.score_texts(docs, pieces, cfg).collect():
         want = (2 * the + river + house if r.doc_id % 2 else the) + math.log10(end)
-        assert math.isclose(r.lattice_score, want, rel_tol=1e-9) and r.lattice_score < r.score
+        assert math.isclose(r.score, want, rel_tol=1e-9) and r.score < r.mixed_score
 
 
 def test_lattice_scores_follow_the_length_of_a_run(spark):
@@ -391,7 +430,21 @@ def test_forward_backward_against_enumeration():
             post[i, s] += p
     mask = np.ones((1, 4), bool)
     assert np.allclose(language.forward_backward(emit, mask, moves)[0][0], post / total)
-    assert np.allclose(language._posteriors(emit.copy(), mask, moves)[0], post / total)
+    ones = np.ones((1, 3))
+    assert np.allclose(language._posteriors(emit.copy(), mask, moves, ones, ones)[0], post / total)
+
+
+@pytest.mark.parametrize("chain", [1, 3, 7, 256])
+def test_language_text_is_one_chain(chain):
+    runs = [("en", "the house and the river that was with them on this day".split()), ("de", "das haus und der fluss die wir nicht mit ihnen sehen".split())] * 12
+    model = language.fit(runs, language.Config(epochs=20, chain=chain))
+    rng = np.random.default_rng(3)
+    texts = [list(rng.choice(["the", "house", "haus", "und", "was", "mit", "unseen", "x"], n)) for n in (1, 3, 7, 8, 50, 701)]
+    labeller = language.Labeller(model)
+    for found, post in zip(texts, labeller.posteriors(texts)):
+        emit = labeller.emit[[labeller.rows[w] for w in found]][None].astype(np.float64)
+        want = language.forward_backward(emit, np.ones(emit.shape[:2], bool), model.moves)[0][0]
+        assert post.shape == want.shape and np.allclose(post, want, atol=1e-4)
 
 
 def test_language_held_out(spark):
