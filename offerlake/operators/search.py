@@ -25,6 +25,7 @@ import math
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -52,6 +53,9 @@ FTS_WEIGHTS = {"A": 1.0, "B": 0.6, "C": 0.3}
 # The default weight of unlabelled words, used by the title score.
 DEFAULT_WEIGHT_D = 0.1
 SCORE_DIGITS = 9
+# Characters of offer text that a task indexes at most, beyond the shuffle partitions of the session.
+CHARS_PER_TASK = 32_000_000
+_H2_FIRST = list(accumulate((1.0 / (float(j) * float(j)) for j in range(1, 256)), initial=0.0))
 
 
 @dataclass(frozen=True)
@@ -98,13 +102,13 @@ def build_index(offers: DataFrame, key: str = "job_id", fields: Sequence[tuple[s
     Fields missing from ``offers`` are skipped. With ``stem`` the lexemes are French stems (looked up in the distinct
     vocabulary); ``stopwords`` are left out of the postings; a CV is read with the same options."""
     present = [(c, lab) for c, lab in fields if c in offers.columns]
-    per_field = [
-        offers.select(F.col(key), F.explode(tx.tokens(F.col(c), keep_symbols)).alias("lexeme"), F.lit(lab).alias("label"))
-        for c, lab in present
-    ]
-    words = per_field[0]
-    for part in per_field[1:]:
-        words = words.unionByName(part)
+    offers = offers.filter(F.col(key).isNotNull())  # no search finds an offer without a key
+    # All words of an offer are counted in one task: its texts are shuffled once, its words and postings are not.
+    chars = offers.select(F.sum(sum((F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)).cast("long") for c, _ in present), F.lit(0).cast("long")))).first()[0] or 0
+    tasks = max(int(offers.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // CHARS_PER_TASK))
+    texts = offers.select(key, *dict.fromkeys(c for c, _ in present)).repartition(tasks, key)
+    per_field = texts.select(key, F.explode(F.array(*[F.struct(F.lit(lab).alias("label"), F.col(c).cast("string").alias("text")) for c, lab in present])).alias("f"))
+    words = per_field.select(key, "f.label", F.explode(tx.tokens("f.text", keep_symbols)).alias("lexeme"))
     counts = words.groupBy(key, "lexeme").agg(
         *[F.count_if(F.col("label") == lab).cast("int").alias(f"n_{lab.lower()}") for lab in "ABC"])
     if stopwords:
@@ -116,7 +120,8 @@ def build_index(offers: DataFrame, key: str = "job_id", fields: Sequence[tuple[s
     # once per exploded word (measured: 6x slower).
     title_len = (offers.select(key, F.size(tx.tokens(F.col(title_col), keep_symbols)).alias("title_len"))
                  if title_col in offers.columns else offers.select(key, F.lit(0).alias("title_len")))
-    counts = counts.join(title_len, key)
+    # One number for each offer: its side is hashed, the postings are not sorted.
+    counts = counts.join(title_len.hint("shuffle_hash"), key)
     return counts.select(
         key, "lexeme", "n_a", "n_b", "n_c", "title_len",
         lexeme_weight(F.col("n_a"), F.col("n_b"), F.col("n_c"), FTS_WEIGHTS).alias("w_f"),
@@ -162,9 +167,10 @@ def append_index(new_offers: DataFrame, path: str, key: str = "job_id", buckets:
 
 
 def _h2(n: Column) -> Column:
-    """Σ_{j=1..n} 1/j² (0 for n = 0)."""
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0.0),
-                       lambda acc, j: acc + F.lit(1.0) / (j.cast("double") * j.cast("double"))) * (n > 0).cast("double")
+    """Σ_{j=1..n} 1/j² (0 for n = 0). The first sums are looked up; they are added up in the same order."""
+    summed = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0.0),
+                         lambda acc, j: acc + F.lit(1.0) / (j.cast("double") * j.cast("double"))) * (n > 0).cast("double")
+    return F.when((n >= 0) & (n < len(_H2_FIRST)), F.get(F.lit(_H2_FIRST), n)).otherwise(summed)
 
 
 def lexeme_weight(n_a: Column, n_b: Column, n_c: Column, w: dict) -> Column:

@@ -50,8 +50,8 @@ def _work(spark: SparkSession, sf: str, name: str) -> DataFrame:
 # ---------------------------------------------------------------------------------------------- stand-ins
 
 
-def offers(spark: SparkSession, sf: str) -> DataFrame:
-    d = _work(spark, sf, "documents")
+def offers(spark: SparkSession, sf: str, spread_rows: bool = True) -> DataFrame:
+    d = read_table(spark, sf, "documents", spread_rows)
     return d.select(F.col("doc_id").alias("job_id"), tx.first_line("text").alias("title"),
                     F.col("text").alias("description"), F.col("source").alias("skills"), "source", "lang", "text")
 
@@ -83,7 +83,7 @@ def index(spark: SparkSession, sf: str) -> DataFrame:
         path = scratch_path(spark, "postings")
         # Written flat: a batch of CVs touches every lexeme bucket, so bucketed storage (write_index)
         # pays off only for small batches against a large index.
-        search.build_index(offers(spark, sf)).write.parquet(path)
+        search.build_index(offers(spark, sf, spread_rows=False)).write.parquet(path)
         _INDEX_TABLES[tag] = path
     return spark.read.parquet(path)
 
@@ -341,7 +341,7 @@ QUERIES["global_rank"] = QUERIES.pop("global_rank_q")
 
 @query
 def fts_index(spark, sf):
-    ix = search.build_index(offers(spark, sf))
+    ix = search.build_index(offers(spark, sf, spread_rows=False))  # spreads the texts itself
     return ix.select("job_id", "lexeme", "n_a", "n_b", "n_c", "title_len",
                      F.round("w_f", 9).alias("w_f"), F.round("w_t", 9).alias("w_t"))
 

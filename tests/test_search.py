@@ -295,3 +295,25 @@ def test_best_fragment_covers_most_lexemes():
         cover = {i: len({p for w in words[i:i + size] for p in w.split(".")} & terms) for i, w in enumerate(words) if set(w.split(".")) & terms}
         want = min(cover, key=lambda i: (-cover[i], i)) if cover else None
         assert search.best_fragment(words, terms, size) == want
+
+
+def test_index_shuffles_texts_and_no_postings(spark):
+    import re
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # title lengths of many offers are not broadcast
+    try:
+        offers = spark.createDataFrame([(1, "a b", "b b", "c"), (2, "", "x " * 300 + "B", None), (None, "a", "a", "a")],
+                                       "job_id long, title string, description string, skills string")
+        df = search.build_index(offers)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan.split("== Initial Plan ==")[0])
+        assert dealt and not [x for x in dealt if "lexeme" in x]
+        assert "Sort [" not in plan.split("== Initial Plan ==")[0]
+        got = {(r.job_id, r.lexeme): r for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert set(got) == {(1, "a"), (1, "b"), (1, "c"), (2, "x"), (2, "b")}
+    assert (got[1, "b"].n_a, got[1, "b"].n_b, got[1, "b"].title_len) == (1, 2, 2)
+    # 300 occurrences are beyond the sums that are looked up
+    assert got[2, "x"].w_f == pytest.approx((0.6 * _h2(300)) / 1.64493406685, abs=1e-15)
