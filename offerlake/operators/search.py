@@ -4,8 +4,8 @@ Shape of the plan for a batch of CVs against the whole corpus:
 
 * text index: one row per (offer, lexeme) with the number of occurrences per field. The text score of
   a lexeme depends only on those counts, so the index is a plain aggregate (map-side combined).
-* text scores: the CV lexemes (small, size-checked broadcast) join the index on ``lexeme`` and are
-  summed per (cv, offer) - sparse, only offers that share a word with the CV.
+* text scores: the CV lexemes (small, size-checked broadcast) join the index on ``lexeme``; the postings
+  that match are dealt by offer and summed there for every CV - sparse, only offers that share a word with the CV.
 * vector scores: every offer against every CV, computed in NumPy blocks inside ``mapInPandas`` with
   the CV matrix shipped once per executor (size-checked), no cross join.
 * ranks and fusion: only offers within the first M of some list can reach the top K (M = 208 for K = 100,
@@ -29,6 +29,8 @@ from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -210,32 +212,137 @@ def _maybe_broadcast(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
-def text_scores(index: DataFrame, queries: DataFrame, cfg: SearchConfig, key: str = "job_id") -> DataFrame:
-    """Sparse ``(cv_id, key, fts_score, title_score)`` for offers sharing at least one lexeme with the CV."""
-    q_terms = queries.select("cv_id", "n_terms", F.explode("terms").alias("lexeme"))
-    n_terms_rows = queries.select(F.sum("n_terms")).first()[0] or 0
+def matched_postings(index: DataFrame, queries: DataFrame, cfg: SearchConfig, key: str = "job_id") -> DataFrame:
+    """``index`` with the weights ``w_f`` and ``w_t`` of ``cfg``; of a bucketed index only the buckets of the CV lexemes."""
     if "bucket" in index.columns:
-        # A bucketed index: read only the buckets holding the CV lexemes. The count that each part of the index
-        # was written with is stored beside it, so parts with different counts are pruned alike.
+        # The count that each part of the index was written with is stored beside it, so parts with different counts
+        # are pruned alike.
         if "n_buckets" in index.columns:
+            lexemes = queries.select(F.explode("terms").alias("lexeme"))
             keep = F.lit(False)
             for (n,) in index.select("n_buckets").distinct().collect():  # partition values only
-                b = lexeme_bucket(F.col("lexeme"), n).alias("b")
-                wanted = [r[0] for r in q_terms.select(b).distinct().collect()]  # at most n values
+                wanted = [r[0] for r in lexemes.select(lexeme_bucket(F.col("lexeme"), n)).distinct().collect()]  # at most n values
                 keep = keep | ((F.col("n_buckets") == n) & F.col("bucket").isin(wanted))
             index = index.filter(keep).drop("n_buckets")
         index = index.drop("bucket")
-    q_terms = _maybe_broadcast(q_terms, n_terms_rows, cfg.broadcast_rows)
-    hits = index.join(q_terms, "lexeme")
     stored = dict(cfg.field_weights) == FTS_WEIGHTS and cfg.title_weight_d == DEFAULT_WEIGHT_D and "w_f" in index.columns
     w_f = F.col("w_f") if stored else lexeme_weight(F.col("n_a"), F.col("n_b"), F.col("n_c"), cfg.field_weights)
     w_t = F.col("w_t") if stored else title_weight(F.col("n_a"), cfg.title_weight_d)
-    per = hits.select("cv_id", key, "n_terms", "title_len", w_f.alias("w_f"), w_t.alias("w_t"))
-    return per.groupBy("cv_id", key).agg(
-        (F.sum("w_f") / F.first("n_terms")).alias("fts_score"),
-        F.when(F.first("title_len") > 0, F.sum("w_t") / F.first("n_terms") / F.first("title_len"))
-        .otherwise(F.lit(0.0)).alias("title_score"),
-    )
+    return index.select(key, "lexeme", "title_len", w_f.alias("w_f"), w_t.alias("w_t"))
+
+
+@dataclass(frozen=True)
+class Terms:
+    """The lexemes of a CV batch: ``of`` names each lexeme's number; ``cvs[starts[t]:starts[t + 1]]`` are the places of the CVs
+    that have lexeme ``t``, ``cv_ids`` and ``n_terms`` the CVs."""
+    of: DataFrame
+    starts: np.ndarray
+    cvs: np.ndarray
+    cv_ids: pa.Array
+    n_terms: np.ndarray
+
+
+def batch_terms(queries: DataFrame, cfg: SearchConfig) -> Terms | None:
+    """The lexemes of the CVs, shipped like their vectors after a size check; None for a larger batch."""
+    if (queries.select(F.sum("n_terms")).first()[0] or 0) > cfg.broadcast_rows:
+        return None
+    rows = queries.select("cv_id", "n_terms", F.explode("terms").alias("lexeme")).toArrow()  # bounded by the check
+    lexeme, cv = rows.column("lexeme").combine_chunks().dictionary_encode(), rows.column("cv_id").combine_chunks().dictionary_encode("encode")
+    term, place = lexeme.indices.to_numpy(), cv.indices.to_numpy()
+    order = np.lexsort((place, term))
+    n_terms = np.ones(len(cv.dictionary), dtype=np.int64)
+    n_terms[place] = rows.column("n_terms").to_numpy()
+    starts = np.searchsorted(term[order], np.arange(len(lexeme.dictionary) + 1))
+    names = queries.sparkSession.createDataFrame(
+        pa.table({"lexeme": lexeme.dictionary.cast(pa.string()), "term": pa.array(np.arange(len(lexeme.dictionary), dtype=np.int32))}))
+    return Terms(names, starts, place[order].astype(np.int64), cv.dictionary, n_terms)
+
+
+# (CV, posting) pairs that a task adds up at a time
+PAIRS_AT_ONCE = 2_000_000
+
+
+def _offer_starts(keys: pa.Array) -> np.ndarray:
+    """Where the rows of each offer begin; the rows of an offer lie together."""
+    if len(keys) < 2:
+        return np.zeros(len(keys), dtype=np.int64)
+    change = pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.flatnonzero(change) + 1])
+
+
+def _add_up(rows: pa.Table, key: str, starts: np.ndarray, cvs: np.ndarray, n_terms: np.ndarray):
+    """``(row of the offer, CV, text score, title score)`` of whole offers, by offer and CV, some offers at a time."""
+    term, w_f, w_t, title_len = (rows.column(c).to_numpy() for c in ("term", "w_f", "w_t", "title_len"))
+    first = _offer_starts(rows.column(key).combine_chunks())
+    n_cvs, fan = len(n_terms), starts[term + 1] - starts[term]
+    upto = np.concatenate([[0], np.cumsum(fan)])
+    bounds = np.append(first, len(term))
+    at = 0
+    while at < len(first):
+        to = max(at + 1, int(np.searchsorted(upto[bounds], upto[bounds[at]] + PAIRS_AT_ONCE, side="right")) - 1)
+        a, b = bounds[at], bounds[to]
+        of = np.repeat(np.arange(a, b), fan[a:b])
+        cv = cvs[np.arange(upto[b] - upto[a]) - (upto[of] - upto[a]) + starts[term[of]]]
+        offer = np.repeat(np.arange(to - at), np.diff(bounds[at:to + 1]))
+        cell = offer[of - a] * n_cvs + cv
+        size = (to - at) * n_cvs
+        if size > 4 * len(cell) + 65_536:  # few of the cells are met
+            met, cell = np.unique(cell, return_inverse=True)
+            size = len(met)
+        else:
+            met = None
+        hit = np.flatnonzero(np.bincount(cell, minlength=size))
+        f, t = (np.bincount(cell, weights=w[of], minlength=size)[hit] for w in (w_f, w_t))
+        where = hit if met is None else met[hit]
+        row, cv = first[at + where // n_cvs], where % n_cvs
+        length = title_len[row]
+        yield row, cv, f / n_terms[cv], np.where(length > 0, t / n_terms[cv] / np.maximum(length, 1), 0.0)
+        at = to
+
+
+def _whole_offers(batches, key: str):
+    """The batches cut where an offer ends."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        if held is not None:
+            rows = pa.concat_tables([held, rows]).combine_chunks()
+        last = int(_offer_starts(rows.column(key).combine_chunks())[-1])
+        if last:
+            yield rows.slice(0, last)
+        held = rows.slice(last)
+    if held is not None:
+        yield held
+
+
+def text_scores(index: DataFrame, queries: DataFrame, cfg: SearchConfig, key: str = "job_id") -> DataFrame:
+    """Sparse ``(cv_id, key, fts_score, title_score)`` for offers sharing at least one lexeme with the CV.
+
+    The postings with a lexeme of the batch are dealt by offer, and the scores of an offer for all CVs are added up in the
+    task that has it: a posting is shuffled once, not once for each CV that has its lexeme."""
+    hits, terms = matched_postings(index, queries, cfg, key), batch_terms(queries, cfg)
+    if terms is None:  # a large batch is joined row by row
+        per = hits.join(queries.select("cv_id", "n_terms", F.explode("terms").alias("lexeme")), "lexeme")
+        return per.groupBy("cv_id", key).agg(
+            (F.sum("w_f") / F.first("n_terms")).alias("fts_score"),
+            F.when(F.first("title_len") > 0, F.sum("w_t") / F.first("n_terms") / F.first("title_len"))
+            .otherwise(F.lit(0.0)).alias("title_score"),
+        )
+    starts, cvs, cv_ids, n_terms = terms.starts, terms.cvs, terms.cv_ids, terms.n_terms
+
+    def run(batches):
+        for rows in _whole_offers(batches, key):
+            keys = rows.column(key).combine_chunks()
+            for row, cv, fts, title in _add_up(rows, key, starts, cvs, n_terms):
+                yield pa.RecordBatch.from_arrays([cv_ids.take(pa.array(cv)), keys.take(pa.array(row)), pa.array(fts), pa.array(title)],
+                                                 names=["cv_id", key, "fts_score", "title_score"])
+
+    schema = T.StructType([T.StructField("cv_id", queries.schema["cv_id"].dataType), T.StructField(key, index.schema[key].dataType),
+                           T.StructField("fts_score", T.DoubleType()), T.StructField("title_score", T.DoubleType())])
+    mine = hits.join(F.broadcast(terms.of), "lexeme").select(key, "term", "title_len", "w_f", "w_t")
+    return mine.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
 
 
 # ----------------------------------------------------------------------------------------------

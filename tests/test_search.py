@@ -317,3 +317,26 @@ def test_index_shuffles_texts_and_no_postings(spark):
     assert (got[1, "b"].n_a, got[1, "b"].n_b, got[1, "b"].title_len) == (1, 2, 2)
     # 300 occurrences are beyond the sums that are looked up
     assert got[2, "x"].w_f == pytest.approx((0.6 * _h2(300)) / 1.64493406685, abs=1e-15)
+
+
+@pytest.mark.parametrize("pairs", [2_000_000, 50])
+def test_scores_shuffle_postings_not_pairs(spark, sf_small, monkeypatch, pairs):
+    monkeypatch.setattr(search, "PAIRS_AT_ONCE", pairs)
+    idx = catalog.index(spark, sf_small)
+    words = idx.groupBy("lexeme").count().orderBy(F.desc("count"), "lexeme").limit(30).agg(F.collect_list("lexeme")).first()[0]
+    cvs = spark.createDataFrame([(i, words[i:i + 1 + i % 7] + [f"none{i}"]) for i in range(25)], "cv_id long, terms array<string>")
+    q = cvs.withColumn("n_terms", F.size("terms"))
+    fast, rows = search.text_scores(idx, q, search.SearchConfig()), search.text_scores(idx, q, search.SearchConfig(broadcast_rows=10))
+    plan = fast._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(cv_id" not in plan and "HashAggregate" not in plan
+    assert "hashpartitioning(cv_id" in rows._jdf.queryExecution().executedPlan().toString()
+    rounded = lambda df: sorted((r.cv_id, r.job_id, round(r.fts_score, 9), round(r.title_score, 9)) for r in df.collect())
+    assert rounded(fast) == rounded(rows) and rounded(fast)
+
+
+def test_scores_of_no_lexeme_and_of_a_text_key(spark):
+    offers = spark.createDataFrame([("a", "python", "java", ""), ("b", None, "java", "")], "job_id string, title string, description string, skills string")
+    idx = search.build_index(offers)
+    q = spark.createDataFrame([(1, ["java"], 1), (2, [], 0)], "cv_id long, terms array<string>, n_terms int")
+    assert sorted((r.cv_id, r.job_id, r.title_score) for r in search.text_scores(idx, q, search.SearchConfig()).collect()) == [(1, "a", 0.0), (1, "b", 0.0)]
+    assert search.text_scores(idx, q.where("cv_id = 2"), search.SearchConfig()).collect() == []
