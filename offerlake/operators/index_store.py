@@ -8,7 +8,8 @@ Below ``path`` lie
 * ``options``, how texts were read (stems, symbols, stop words, bucket count), so that an append reads them alike.
 
 A delete looks the offers up in ``offers``, reads the buckets named there and writes these, and no others, anew (dynamic
-partition overwrite). It removes postings first and the offers' rows last, so one that was broken off is repeated whole.
+partition overwrite). Postings that stay are written by the task that read them, sorted again and not dealt anew, unless more
+offers go than can be broadcast. It removes postings first and the offers' rows last, so one that was broken off is repeated whole.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from offerlake.sources.folders import drop_folder, path_exists
 
 ROWS_PER_TASK = 1_000_000
 OFFER_PARTS = 64
+BROADCAST_KEYS = 2_000_000  # keys of offers shipped to every task
 OPTIONS = "key string, buckets int, stem boolean, keep_symbols boolean, stopwords array<string>"
 
 
@@ -39,6 +41,25 @@ def _write(df: DataFrame, path: str, parts: Sequence[str], mode: str) -> None:
     df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
 
 
+def _without(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` of other offers than ``keys``, whose number is counted before they are broadcast."""
+    keys = keys.select(key)
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, key, "left_anti").select(*rows.columns)
+
+
+def _buckets_of(made: DataFrame, key: str, buckets: int) -> DataFrame:
+    """``(key, buckets)``: the buckets that the postings of each offer lie in, collected as bits of longs."""
+    bucket, words = lexeme_bucket(F.col("lexeme"), buckets), range(0, buckets, 63)
+    marked = made.select(key, bucket.alias("b")).groupBy(key).agg(*[
+        F.bit_or(F.when(F.col("b").between(w, w + 62), F.expr(f"shiftleft(1L, b - {w})")).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in words])
+
+    def named(w: int):
+        bits = F.sequence(F.lit(0), F.lit(min(62, buckets - 1 - w)))
+        return F.transform(F.filter(bits, lambda i: F.getbit(F.col(f"w{w}"), i) == 1), lambda i: i + F.lit(w))
+
+    return marked.select(key, F.concat(*[named(w) for w in words]).alias("buckets"))
+
+
 def create(spark: SparkSession, path: str, key: str = "job_id", buckets: int = SearchConfig.index_buckets, stem: bool = False,
            keep_symbols: bool = False, stopwords: Sequence[str] = ()) -> None:
     """An index without offers; the options hold for every append to it."""
@@ -66,13 +87,13 @@ def append(offers: DataFrame, path: str, rows_per_task: int = ROWS_PER_TASK) ->
     known = offers_in(spark, path)
     new = offers.filter(F.col(o.key).isNotNull())
     if known is not None:
-        new = new.join(known.select(o.key), o.key, "left_anti")
+        new = _without(new, known, o.key)
     # made once: the ranges are sampled from it, and the table of offers is made of it
     stage = scratch_path(spark, "new-postings")
     build_index(new, o.key, stem=o.stem, keep_symbols=o.keep_symbols, stopwords=o.stopwords).write.parquet(stage)
     made = spark.read.parquet(stage)
     _write(by_lexeme_range(made, o.buckets, o.key, rows_per_task), f"{path}/postings", ["n_buckets", "bucket"], "append")
-    held = made.groupBy(o.key).agg(F.sort_array(F.collect_set(lexeme_bucket(F.col("lexeme"), o.buckets))).alias("buckets"))
+    held = _buckets_of(made, o.key, o.buckets)
     # an offer without a word is indexed as well
     held = new.select(o.key).distinct().join(held, o.key, "left").withColumn("buckets", F.coalesce("buckets", F.array().cast("array<int>")))
     held = held.withColumn("part", F.pmod(F.xxhash64(o.key), F.lit(OFFER_PARTS)).cast("int")).repartition("part")
@@ -91,9 +112,14 @@ def delete(spark: SparkSession, path: str, keys: DataFrame, rows_per_task: int =
     buckets = sorted(r[0] for r in dead.select(F.explode("buckets")).distinct().collect())  # at most the bucket count
     if buckets:
         touched = postings(spark, path).filter((F.col("n_buckets") == o.buckets) & F.col("bucket").isin(buckets))
-        kept = touched.join(dead.select(o.key), o.key, "left_anti").drop("n_buckets", "bucket")
-        sizes = kept.groupBy(lexeme_bucket(F.col("lexeme"), o.buckets).alias("bucket")).count().collect()  # at most the bucket count
-        _write(by_lexeme_range(kept, o.buckets, o.key, rows_per_task, sum(r["count"] for r in sizes)), f"{path}/postings", ["n_buckets", "bucket"], "overwrite")
+        few = dead.count() <= BROADCAST_KEYS
+        kept = _without(touched, dead, o.key)
+        sizes = kept.groupBy("bucket").count().collect()  # at most the bucket count
+        if few:
+            _write(kept.sortWithinPartitions("bucket", "lexeme", o.key), f"{path}/postings", ["n_buckets", "bucket"], "overwrite")
+        else:  # the join deals by key
+            _write(by_lexeme_range(kept.drop("n_buckets", "bucket"), o.buckets, o.key, rows_per_task, sum(r["count"] for r in sizes)),
+                   f"{path}/postings", ["n_buckets", "bucket"], "overwrite")
         for bucket in set(buckets) - {r["bucket"] for r in sizes}:  # nothing is left to overwrite these with
             drop_folder(spark, f"{path}/postings/n_buckets={o.buckets}/bucket={bucket}")
     parts = sorted(r[0] for r in dead.select("part").distinct().collect())

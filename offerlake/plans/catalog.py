@@ -456,7 +456,7 @@ def index_after_delete(spark, sf):
     """Text scores from a stored index that was appended to twice (offers with a label first), lost its dead offers and was
     then cut down to the offers that are left in silver."""
     path = scratch_path(spark, "living-index")
-    o = offers(spark, sf)
+    o = offers(spark, sf, spread_rows=False)  # the index spreads the texts itself
     index_store.create(spark, path, buckets=16)
     index_store.append(o.join(_t(spark, sf, "labels").select(F.col("doc_id").alias("job_id")), "job_id", "left_semi"), path)
     index_store.append(o, path)

@@ -117,3 +117,22 @@ def test_a_batch_killed_before_its_record_is_merged_once(spark, monkeypatch):
     monkeypatch.undo()
     assert spark.read.parquet(path).count() == 5
     assert merge_into_path(df, path, "id", batch_id="b0") == 0 and spark.read.parquet(path).count() == 5
+
+
+@pytest.mark.parametrize("few", [2_000_000, 3])
+def test_delete_keeps_postings_in_their_tasks(spark, monkeypatch, few):
+    """With few dead offers nothing is dealt anew; with more than can be broadcast the rows are the same."""
+    dealt, by_range = [], index_store.by_lexeme_range
+    monkeypatch.setattr(index_store, "BROADCAST_KEYS", few)
+    rows = [(i, f"poste {i % 7}", f"mot{i % 11} commun rare{i}", "") for i in range(120)]
+    path = scratch_path(spark, "in-place")
+    index_store.create(spark, path, buckets=100)
+    index_store.append(_offers(spark, rows[:50]), path)
+    index_store.append(_offers(spark, rows), path)
+    held = {r.job_id: r.buckets for r in index_store.offers_in(spark, path).collect()}
+    stored = index_store.postings(spark, path).groupBy("job_id").agg(F.sort_array(F.collect_set("bucket")).alias("b")).collect()
+    assert held == {r.job_id: r.b for r in stored} and max(max(b) for b in held.values()) > 63
+    monkeypatch.setattr(index_store, "by_lexeme_range", lambda *a, **k: dealt.append(1) or by_range(*a, **k))
+    index_store.delete(spark, path, _offers(spark, rows[20:40]))
+    assert len(dealt) == (few == 3)
+    assert _postings(index_store.postings(spark, path)) == _postings(search.build_index(_offers(spark, rows[:20] + rows[40:])))
