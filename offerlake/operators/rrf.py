@@ -4,8 +4,8 @@ One path for every size. Offers are known by their ordinal in key order (``ordin
 lists, so no step after it moves keys. For a batch of CVs:
 
 1. An offer can reach the top K only within the first M of some list (``SearchConfig.candidate_depth``); lists are cut there.
-2. Text hits are gathered in blocks of ``hit_block`` ordinals for each CV: sorted ordinals with both scores, a compressed
-   bitmap with payload. The first M of the text and title lists come from a running top M over a CV's blocks, with
+2. Postings with a lexeme of the batch are dealt by blocks of at most ``hit_block`` ordinals, added up there, and leave the task
+   as a row for each CV and block: sorted ordinals with both scores, a compressed bitmap with payload. The first M of the text and title lists come from a running top M over a CV's blocks, with
    zero-score offers in key order behind them (``select`` on the first block).
 3. One pass over the vectors, in matrix blocks: a running top M whose M-th score is the bound below which no offer is
    looked at, and for the text candidates, whose own scores are known by then, one array of counts a task: how many
@@ -28,12 +28,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from offerlake.operators.ranking import global_rank
-from offerlake.operators.search import SCORE_DIGITS, SearchConfig, _score_matrix, cv_lexemes, round_half_up, searchable, text_scores
+from offerlake.operators.search import (SCORE_DIGITS, SearchConfig, Terms, _add_up, _score_matrix, _whole_offers, batch_terms, cv_lexemes, matched_postings,
+                                        round_half_up, searchable, text_scores)
 from offerlake.session import scratch_path, ship_by_value
 
 ship_by_value(__name__)
 
 HELD = 64  # rows of a CV that a merge takes at a time
+PAIRS_A_BLOCK = 500_000  # (CV, offer) pairs that a block can have: its task holds them as arrays
+LEAST_BLOCK = 256  # ordinals
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
@@ -128,6 +131,47 @@ def hit_blocks(hits: DataFrame, block: int) -> DataFrame:
     return rows.select("cv_id", "block", F.col("h.ord").alias("ords"), F.col("h.fts_score").alias("fts"), F.col("h.title_score").alias("title"))
 
 
+HIT_BLOCKS = "cv_id long, block long, ords array<long>, fts array<double>, title array<double>"
+
+
+def _score_blocks(batches: Iterator[pa.RecordBatch], starts: np.ndarray, cvs: np.ndarray, cv_ids: np.ndarray, n_terms: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
+    """Postings by ordinal -> the rows of ``hit_blocks``, one block at a time."""
+    now, held = None, []
+
+    def flush() -> pa.RecordBatch:
+        cv, ords, fts, title = (np.concatenate(c) for c in zip(*held))
+        order = np.argsort(cv, kind="stable")  # ordinals rise already
+        cv = cv[order]
+        first = np.concatenate([[0], np.flatnonzero(cv[1:] != cv[:-1]) + 1])
+        ends = pa.array(np.append(first, len(cv)).astype(np.int32))
+        return _batch({"cv_id": pa.array(cv_ids[cv[first]]), "block": pa.array(np.full(len(first), now, dtype=np.int64)),
+                       **{n: pa.ListArray.from_arrays(ends, pa.array(x[order])) for n, x in (("ords", ords), ("fts", fts), ("title", title))}})
+
+    for rows in _whole_offers(batches, "ord"):
+        places = rows.column("ord").to_numpy()
+        for row, cv, fts, title in _add_up(rows, "ord", starts, cvs, n_terms):
+            fts, title = round_half_up(fts), round_half_up(title)
+            hit = np.flatnonzero((fts > 0) | (title > 0))
+            found = (cv[hit], places[row[hit]], fts[hit], title[hit])
+            block = found[1] // size
+            cuts = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]]) if len(block) else [0]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if block[a] != now:
+                    if held:
+                        yield flush()
+                    now, held = int(block[a]), []
+                held.append(tuple(c[a:b] for c in found))
+    if held:
+        yield flush()
+
+
+def scored_blocks(postings: DataFrame, terms: Terms, size: int) -> DataFrame:
+    """``hit_blocks`` from ``(ord, term, title_len, w_f, w_t)``: a block's postings meet in one task, its pairs are never rows."""
+    starts, cvs, cv_ids, n_terms = terms.starts, terms.cvs, terms.cv_ids.to_numpy(zero_copy_only=False), terms.n_terms
+    dealt = postings.withColumn("block", F.floor(F.col("ord") / size)).repartition("block").sortWithinPartitions("ord").drop("block")
+    return dealt.mapInArrow(lambda it: _score_blocks(it, starts, cvs, cv_ids, n_terms, size), HIT_BLOCKS)
+
+
 def _hit_tops(batches: Iterator[pa.RecordBatch], m: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = {c.split()[0]: [] for c in HIT_TOPS.split(", ")}
@@ -418,13 +462,20 @@ def rrf_search(corpus: DataFrame, index: DataFrame, cvs: DataFrame, cfg: SearchC
     n_slices = max(1, -(-n_cvs // per_slice))
 
     near, queries = offers.select(key, "ord"), cv_lexemes(cvs, cfg)
-    if n_corpus <= cfg.broadcast_rows:  # postings of other offers go before they are added up
-        hits = text_scores(index.join(F.broadcast(near), key).drop(key), queries, cfg, "ord")
-    else:  # the lexeme join leaves few postings, and only their sums meet the corpus
-        hits = text_scores(index, queries, cfg, key).join(near, key)
-    hits = hits.select(
-        F.col("cv_id").cast("long").alias("cv_id"), "ord", F.round("fts_score", SCORE_DIGITS).alias("fts_score"), F.round("title_score", SCORE_DIGITS).alias("title_score"))
-    blocks = _stored(hit_blocks(hits.where("fts_score > 0 or title_score > 0"), cfg.hit_block), "hit-blocks")
+    size = min(cfg.hit_block, max(LEAST_BLOCK, PAIRS_A_BLOCK // max(n_cvs, 1)))
+    terms = batch_terms(queries, cfg)
+    if terms is not None:
+        found = matched_postings(index, queries, cfg, key).join(F.broadcast(terms.of), "lexeme").drop("lexeme")
+        found = found.join(F.broadcast(near) if n_corpus <= cfg.broadcast_rows else near, key)
+        blocks = _stored(scored_blocks(found.select("ord", "term", "title_len", "w_f", "w_t"), terms, size), "hit-blocks")
+    else:  # many CVs: their lexemes are joined row by row
+        if n_corpus <= cfg.broadcast_rows:  # postings of other offers go before they are added up
+            hits = text_scores(index.join(F.broadcast(near), key).drop(key), queries, cfg, "ord")
+        else:  # the lexeme join leaves few postings, and only their sums meet the corpus
+            hits = text_scores(index, queries, cfg, key).join(near, key)
+        hits = hits.select(
+            F.col("cv_id").cast("long").alias("cv_id"), "ord", F.round("fts_score", SCORE_DIGITS).alias("fts_score"), F.round("title_score", SCORE_DIGITS).alias("title_score"))
+        blocks = _stored(hit_blocks(hits.where("fts_score > 0 or title_score > 0"), size), "hit-blocks")
 
     tops = blocks.mapInArrow(lambda it: _hit_tops(it, m), HIT_TOPS)
     tops = _merged(tops.unionByName(_blank(cvs, HIT_TOPS)), lambda t: _merge_tops(t, m), HIT_TOPS)
@@ -451,7 +502,6 @@ def rrf_search(corpus: DataFrame, index: DataFrame, cvs: DataFrame, cfg: SearchC
     ranked = _merged(scanned, lambda t: _merge_vector_tops(t, m), VECTOR_TOPS)
     cands = _stored(ranked.join(probes.select("cv_id", "cand_ords", "cand_scores"), "cv_id").mapInArrow(_candidates, CANDIDATES), "candidates")
 
-    size = cfg.hit_block
     inside = blocks.join(cands.select("cv_id", "cands"), "cv_id").mapInArrow(lambda it: _own_hits(it, size), IN_BLOCK)
     inside = _merged(inside.unionByName(_blank(cvs, IN_BLOCK)), _join_lists, IN_BLOCK)
     text = _stored(inside.join(cands.select("cv_id", "cands"), "cv_id").mapInArrow(lambda it: _with_directory(it, size), TEXT), "candidate-hits")

@@ -81,3 +81,22 @@ def test_real_tables_and_no_pairs_in_the_plan(spark, sf_small):
     assert "SinglePartition" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     # the only window is the last one, over the candidates of a CV
     assert plan.split("== Initial Plan ==")[0].count("Window [") == 1
+
+
+@pytest.mark.parametrize("size", [7, 64, 100_000])
+def test_blocks_of_hits_are_dealt_as_postings(spark, sf_small, size):
+    import re
+
+    cfg = search.SearchConfig()
+    near = rrf.ordinals(catalog.corpus(spark, sf_small)).select("job_id", "ord")
+    idx, queries = catalog.index(spark, sf_small), search.cv_lexemes(catalog.cvs(spark, sf_small), cfg)
+    hits = search.text_scores(idx.join(near, "job_id").drop("job_id"), queries, cfg, "ord")
+    hits = hits.select("cv_id", "ord", F.round("fts_score", 9).alias("fts_score"), F.round("title_score", 9).alias("title_score"))
+    want = rrf.hit_blocks(hits.where("fts_score > 0 or title_score > 0"), size)
+    terms = search.batch_terms(queries, cfg)
+    found = search.matched_postings(idx, queries, cfg).join(terms.of, "lexeme").join(near, "job_id").select("ord", "term", "title_len", "w_f", "w_t")
+    got = rrf.scored_blocks(found, terms, size)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(block" in plan and not re.search(r"hashpartitioning\(cv_id", plan)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(got) == rows(want) and got.select(F.sum(F.size("ords"))).first()[0] == hits.where("fts_score > 0 or title_score > 0").count()
