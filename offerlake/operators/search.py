@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from offerlake.functions import text as tx
+from offerlake.functions.text import START_SEL, STOP_SEL  # by value: a worker has no module of this package
 from offerlake.functions.stemming import stem_vocabulary
 from offerlake.operators.encode import encode
 
@@ -573,7 +574,7 @@ def _fragments(batches, text_col: str, terms_col: str, name: str, max_words: int
     import pyarrow as pa
 
     def mark(word: str, terms: set[str]) -> str:
-        return "".join([f"{tx.START_SEL}{p}{tx.STOP_SEL}" if p.lower() in terms else p for p in _PIECES.findall(word)])
+        return "".join([f"{START_SEL}{p}{STOP_SEL}" if p.lower() in terms else p for p in _PIECES.findall(word)])
 
     for batch in batches:
         out = []
@@ -598,6 +599,11 @@ def headline(df: DataFrame, text_col: str, terms_col: str, name: str = "headline
     return df.mapInArrow(lambda it: _fragments(it, text_col, terms_col, name, max_words, min_words), schema)
 
 
+def shipped(top: DataFrame, queries: DataFrame, cfg: SearchConfig) -> DataFrame:
+    """The top rows with the terms of their CV, broadcast if they are few: the offers' texts stay where they are."""
+    return _maybe_broadcast(top.join(queries.select("cv_id", "terms"), "cv_id"), queries.count() * cfg.top_k, cfg.broadcast_rows)
+
+
 def result_rows(top: DataFrame, offers: DataFrame, queries: DataFrame, cfg: SearchConfig, key: str = "job_id",
                 text_col: str = "search_text") -> DataFrame:
     """Result contract: scores scaled and rounded, display fields never null, matched terms.
@@ -605,9 +611,7 @@ def result_rows(top: DataFrame, offers: DataFrame, queries: DataFrame, cfg: Sear
     ``offers`` supplies ``intitule, entreprise, lieu, type_contrat, date_creation`` and ``text_col``;
     only the top K rows are joined to it (late materialisation).
     """
-    n_cvs = queries.count()
-    small = _maybe_broadcast(top.join(queries.select("cv_id", "terms"), "cv_id"), n_cvs * cfg.top_k, cfg.broadcast_rows)
-    joined = offers.join(small, key)
+    joined = offers.join(shipped(top, queries, cfg), key)
     sim = tx.linear_map(F.col("combined_score"), 0.0, cfg.score_max, 0.0, 1.0)
     return joined.select(
         "cv_id", "rank", F.col(key).cast("string").alias("job_id"),

@@ -408,8 +408,8 @@ def search_results(spark, sf):
 def headline(spark, sf):
     cfg = search.SearchConfig()
     q = search.cv_lexemes(cvs(spark, sf), cfg)
-    top = _rrf(spark, sf).select("cv_id", "rank", "job_id")
-    j = (top.join(_result_offers(spark, sf).select("job_id", "search_text"), "job_id").join(q, "cv_id")
+    top = search.shipped(_rrf(spark, sf).select("cv_id", "rank", "job_id"), q, cfg)
+    j = (_result_offers(spark, sf).select("job_id", "search_text").join(top, "job_id")
          .select("cv_id", "rank", "job_id", "search_text", "terms").repartition("cv_id", "job_id"))  # the joins may leave few tasks
     return search.headline(j, "search_text", "terms").select("cv_id", F.col("rank").cast("long").alias("rank"), "job_id", "headline")
 

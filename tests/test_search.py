@@ -340,3 +340,19 @@ def test_scores_of_no_lexeme_and_of_a_text_key(spark):
     q = spark.createDataFrame([(1, ["java"], 1), (2, [], 0)], "cv_id long, terms array<string>, n_terms int")
     assert sorted((r.cv_id, r.job_id, r.title_score) for r in search.text_scores(idx, q, search.SearchConfig()).collect()) == [(1, "a", 0.0), (1, "b", 0.0)]
     assert search.text_scores(idx, q.where("cv_id = 2"), search.SearchConfig()).collect() == []
+
+
+def test_snippets_run_where_the_package_is_not_installed():
+    from pyspark import cloudpickle
+
+    assert b"offerlake.functions" not in cloudpickle.dumps(search._fragments)
+
+
+def test_snippet_texts_stay_where_they_are(spark, sf_small):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalog.headline(spark, sf_small)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "BroadcastHashJoin [job_id" in plan and "SortMergeJoin [job_id" not in plan
