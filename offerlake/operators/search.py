@@ -529,6 +529,10 @@ def hybrid_search(corpus: DataFrame, index: DataFrame, cvs: DataFrame, cfg: Sear
                   key: str = "job_id", dim: int = 384, encoder_factory=None) -> DataFrame:
     """Search from CV text alone: ``cvs(cv_id, cv_text)`` against ``corpus(key, embedding)``. The encoder and its
     ``dim`` must be those of the corpus; rows as in ``rrf_search``."""
+    from offerlake.operators import rrf
+
+    # written once: the corpus is read several times, and is often encoded on the way
+    corpus = rrf._stored(corpus.select(key, "embedding"), "encoded")
     return rrf_search(corpus, index, encode_cvs(cvs.select("cv_id", "cv_text"), dim, encoder_factory), cfg, key)
 
 

@@ -356,3 +356,21 @@ def test_snippet_texts_stay_where_they_are(spark, sf_small):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert "BroadcastHashJoin [job_id" in plan and "SortMergeJoin [job_id" not in plan
+
+
+def test_each_offer_is_encoded_once(spark):
+    from pyspark.sql import types as T
+
+    seen = spark.sparkContext.accumulator(0)
+    texts = spark.range(40).select(F.col("id").alias("job_id"), F.concat(F.lit("python java "), F.col("id")).alias("title"))
+
+    def run(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf[["job_id"]].assign(embedding=[[1.0, float(i)] for i in pdf["job_id"]])
+
+    corpus = texts.mapInPandas(run, T.StructType([T.StructField("job_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType()))]))
+    cvs = spark.createDataFrame([(1, "python 7")], "cv_id long, cv_text string")
+    top = search.hybrid_search(corpus, search.build_index(texts), cvs, search.SearchConfig(top_k=5), dim=2).collect()
+    assert len(top) == 5 and top[0].fts_score > 0
+    assert seen.value == 40
