@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from offerlake.functions.memory import give_back
 from offerlake.operators.ranking import global_rank
 from offerlake.operators.search import (SCORE_DIGITS, SearchConfig, Terms, _add_up, _score_matrix, _whole_offers, batch_terms, cv_lexemes, matched_postings,
                                         round_half_up, searchable, text_scores)
@@ -37,6 +38,8 @@ ship_by_value(__name__)
 HELD = 64  # rows of a CV that a merge takes at a time
 PAIRS_A_BLOCK = 500_000  # (CV, offer) pairs that a block can have: its task holds them as arrays
 LEAST_BLOCK = 256  # ordinals
+BATCH_BYTES = 4 << 20  # of wide rows that a worker is given at a time
+SPARK_BYTES = "67108864b"  # what Spark gives it if nothing is set
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
@@ -55,6 +58,20 @@ def ordinals(corpus: DataFrame, key: str = "job_id") -> DataFrame:
 # arrays in tasks
 
 
+def _in_tasks(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``run`` over the batches of each partition. Rows hold blocks and lists, and a CV has more of them in a larger corpus: a
+    batch ends at ``BATCH_BYTES`` too, since rows alone would let it hold as much as Spark's 64 MB in every worker of a task."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(limit, SPARK_BYTES) == SPARK_BYTES:  # a session's own limit stays
+        df.sparkSession.conf.set(limit, str(BATCH_BYTES))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(task, schema)
+
+
 def _lists(column: pa.Array, dtype) -> list[np.ndarray]:
     """The rows of a list column as arrays."""
     if isinstance(column, pa.ChunkedArray):
@@ -114,7 +131,7 @@ def _merged(df: DataFrame, merge: Callable[[pa.Table], pa.Table], schema: str) -
         if held:
             yield from merge(pa.Table.from_batches(held)).to_batches()
 
-    return df.repartition("cv_id").sortWithinPartitions("cv_id").mapInArrow(run, schema)
+    return _in_tasks(df.repartition("cv_id").sortWithinPartitions("cv_id"), run, schema)
 
 
 # ----------------------------------------------------------------------------------------------
@@ -169,7 +186,7 @@ def scored_blocks(postings: DataFrame, terms: Terms, size: int) -> DataFrame:
     """``hit_blocks`` from ``(ord, term, title_len, w_f, w_t)``: a block's postings meet in one task, its pairs are never rows."""
     starts, cvs, cv_ids, n_terms = terms.starts, terms.cvs, terms.cv_ids.to_numpy(zero_copy_only=False), terms.n_terms
     dealt = postings.withColumn("block", F.floor(F.col("ord") / size)).repartition("block").sortWithinPartitions("ord").drop("block")
-    return dealt.mapInArrow(lambda it: _score_blocks(it, starts, cvs, cv_ids, n_terms, size), HIT_BLOCKS)
+    return _in_tasks(dealt, lambda it: _score_blocks(it, starts, cvs, cv_ids, n_terms, size), HIT_BLOCKS)
 
 
 def _hit_tops(batches: Iterator[pa.RecordBatch], m: int) -> Iterator[pa.RecordBatch]:
@@ -246,7 +263,7 @@ BLOCKS = "ords binary, vectors binary, dim int"
 
 
 def _matrix_blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """Offers as few wide rows: what joins the scored CVs is one row for ``rows`` offers."""
+    """Offers as few wide rows: what joins the scored CVs is one row for ``rows`` offers, and no more."""
     ords, vectors, held = [], [], 0
 
     def flush() -> pa.RecordBatch:
@@ -254,14 +271,15 @@ def _matrix_blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.
         return _batch({"ords": pa.array([o.tobytes()], pa.binary()), "vectors": pa.array([v.tobytes()], pa.binary()), "dim": pa.array([v.shape[1]], pa.int32())})
 
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        ords.append(batch.column("ord").to_numpy().astype("<i8"))
-        vectors.append(np.stack(_lists(batch.column("embedding"), "<f8")))
-        held += batch.num_rows
-        if held >= rows:
-            yield flush()
-            ords, vectors, held = [], [], 0
+        at = 0
+        while at < batch.num_rows:  # a block is as large as it may be, whatever the batch
+            part = batch.slice(at, rows - held)
+            ords.append(part.column("ord").to_numpy().astype("<i8"))
+            vectors.append(np.stack(_lists(part.column("embedding"), "<f8")))
+            at, held = at + part.num_rows, held + part.num_rows
+            if held == rows:
+                yield flush()
+                ords, vectors, held = [], [], 0
     if held:
         yield flush()
 
@@ -477,14 +495,14 @@ def rrf_search(corpus: DataFrame, index: DataFrame, cvs: DataFrame, cfg: SearchC
             F.col("cv_id").cast("long").alias("cv_id"), "ord", F.round("fts_score", SCORE_DIGITS).alias("fts_score"), F.round("title_score", SCORE_DIGITS).alias("title_score"))
         blocks = _stored(hit_blocks(hits.where("fts_score > 0 or title_score > 0"), size), "hit-blocks")
 
-    tops = blocks.mapInArrow(lambda it: _hit_tops(it, m), HIT_TOPS)
+    tops = _in_tasks(blocks, lambda it: _hit_tops(it, m), HIT_TOPS)
     tops = _merged(tops.unionByName(_blank(cvs, HIT_TOPS)), lambda t: _merge_tops(t, m), HIT_TOPS)
-    text_cands = tops.mapInArrow(lambda it: _with_zeros(it, m, n_corpus), "cv_id long, ord long")
+    text_cands = _in_tasks(tops, lambda it: _with_zeros(it, m, n_corpus), "cv_id long, ord long")
 
     metric = cfg.metric
     vectors = cvs.select("cv_id", "cv_embedding")
-    own = (text_cands.join(offers.select("ord", "embedding"), "ord").join(vectors, "cv_id").select("cv_id", "ord", "embedding", "cv_embedding")
-           .mapInArrow(lambda it: _own_scores(it, metric), "cv_id long, ord long, score double"))
+    own = _in_tasks(text_cands.join(offers.select("ord", "embedding"), "ord").join(vectors, "cv_id").select("cv_id", "ord", "embedding", "cv_embedding"),
+                    lambda it: _own_scores(it, metric), "cv_id long, ord long, score double")
     listed = own.groupBy("cv_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "ord"))).alias("c"))
     empty = F.array().cast("array<long>")
     probes = vectors.join(listed, "cv_id", "left").select(
@@ -493,24 +511,24 @@ def rrf_search(corpus: DataFrame, index: DataFrame, cvs: DataFrame, cfg: SearchC
     probes = _stored(probes, "cv-probes")
 
     rows = cfg.vector_block
-    matrix = offers.select("ord", "embedding").mapInArrow(lambda it: _matrix_blocks(it, rows), BLOCKS)
+    matrix = _in_tasks(offers.select("ord", "embedding"), lambda it: _matrix_blocks(it, rows), BLOCKS)
     scanned = None
     for s in range(n_slices):
         probe = probes.where(F.col("slice") == s).groupBy("slice").agg(F.collect_list(F.struct("cv_id", "cv_embedding", "cand_ords", "cand_scores")).alias("probe"))
-        part = matrix.withColumn("slice", F.lit(s)).join(F.broadcast(probe), "slice").drop("slice").mapInArrow(lambda it: _scan_vectors(it, m, metric), VECTOR_TOPS)
+        part = _in_tasks(matrix.withColumn("slice", F.lit(s)).join(F.broadcast(probe), "slice").drop("slice"), lambda it: _scan_vectors(it, m, metric), VECTOR_TOPS)
         scanned = part if scanned is None else scanned.unionByName(part)
     ranked = _merged(scanned, lambda t: _merge_vector_tops(t, m), VECTOR_TOPS)
-    cands = _stored(ranked.join(probes.select("cv_id", "cand_ords", "cand_scores"), "cv_id").mapInArrow(_candidates, CANDIDATES), "candidates")
+    cands = _stored(_in_tasks(ranked.join(probes.select("cv_id", "cand_ords", "cand_scores"), "cv_id"), _candidates, CANDIDATES), "candidates")
 
-    inside = blocks.join(cands.select("cv_id", "cands"), "cv_id").mapInArrow(lambda it: _own_hits(it, size), IN_BLOCK)
+    inside = _in_tasks(blocks.join(cands.select("cv_id", "cands"), "cv_id"), lambda it: _own_hits(it, size), IN_BLOCK)
     inside = _merged(inside.unionByName(_blank(cvs, IN_BLOCK)), _join_lists, IN_BLOCK)
-    text = _stored(inside.join(cands.select("cv_id", "cands"), "cv_id").mapInArrow(lambda it: _with_directory(it, size), TEXT), "candidate-hits")
+    text = _stored(_in_tasks(inside.join(cands.select("cv_id", "cands"), "cv_id"), lambda it: _with_directory(it, size), TEXT), "candidate-hits")
 
     wanted = text.select("cv_id", "f_ords", "f_scores", "t_ords", "t_scores")
-    counted = blocks.select("cv_id", "ords", "fts", "title").join(wanted, "cv_id").mapInArrow(_count_hits, HIT_COUNTS)
+    counted = _in_tasks(blocks.select("cv_id", "ords", "fts", "title").join(wanted, "cv_id"), _count_hits, HIT_COUNTS)
     counted = _merged(counted, _add_counts, HIT_COUNTS)
     state = cands.join(text, "cv_id").join(counted, "cv_id", "left")  # no count for a CV without a hit
-    full = state.select(*cands.columns, *text.columns[1:], *[F.coalesce(c, F.array().cast("array<long>")).alias(c) for c in counted.columns[1:]]).mapInArrow(_ranked, RANKED)
+    full = _in_tasks(state.select(*cands.columns, *text.columns[1:], *[F.coalesce(c, F.array().cast("array<long>")).alias(c) for c in counted.columns[1:]]), _ranked, RANKED)
     we, wf, wt = cfg.weights
     k = float(cfg.rrf_k)
     full = full.withColumn("combined_score", F.lit(we) / (F.lit(k) + F.col("embed_rank")) + F.lit(wf) / (F.lit(k) + F.col("fts_rank")) + F.lit(wt) / (F.lit(k) + F.col("title_rank")))

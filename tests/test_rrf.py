@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +101,26 @@ def test_blocks_of_hits_are_dealt_as_postings(spark, sf_small, size):
     assert "hashpartitioning(block" in plan and not re.search(r"hashpartitioning\(cv_id", plan)
     rows = lambda df: sorted(tuple(r) for r in df.collect())
     assert rows(got) == rows(want) and got.select(F.sum(F.size("ords"))).first()[0] == hits.where("fts_score > 0 or title_score > 0").count()
+
+
+def test_a_worker_is_given_bounded_batches_of_wide_rows(spark):
+    """A CV has a row for each block of the corpus: what a worker holds at a time does not grow with them."""
+    wide = spark.range(400).select(F.col("id").alias("cv_id"), F.array_repeat(F.col("id"), 8_000).alias("ords")).coalesce(1)  # 64 KB a row
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], names=["size", "rows"])
+
+    got = rrf._in_tasks(wide, sizes, "size long, rows long").collect()
+    assert sum(r.rows for r in got) == 400 and max(r.size for r in got) < 2 * rrf.BATCH_BYTES
+    kept = rrf._merged(wide, lambda t: t.slice(0, 1), "cv_id long, ords array<long>").count()
+    assert kept == 400
+
+
+def test_matrix_blocks_have_at_most_their_rows():
+    vectors = pa.array([[float(i), 1.0] for i in range(1000)], pa.list_(pa.float32()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000), pa.int64()), vectors], names=["ord", "embedding"])
+    blocks = list(rrf._matrix_blocks(iter([batch, batch.slice(0, 0), batch.slice(10, 100)]), 64))
+    ords = [np.frombuffer(b.column("ords")[0].as_py(), "<i8") for b in blocks]
+    assert max(map(len, ords)) == 64 and np.concatenate(ords).tolist() == [*range(1000), *range(10, 110)]
+    assert all(np.frombuffer(b.column("vectors")[0].as_py(), "<f8").reshape(-1, 2)[:, 0].tolist() == o.tolist() for b, o in zip(blocks, ords))
