@@ -15,6 +15,7 @@ all tasks; they and the pieces are the same whenever the same files are read wit
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -25,9 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerlake.llm.common import SegmentIds, slices, table, worker_memory
+from offerlake.llm.common import PieceIds, slices, table, worker_memory
 
 VOCABULARY = "byte_bpe_50k.json"
+# A space and letters of the first blocks, which every version of Unicode has: one match of the pattern.
+WORD = re.compile(" [A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
+# The letters in which byte-level vocabularies spell bytes that cannot be shown (a line end stays: it separates words here).
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+LETTERS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN) if b != 10}
 
 
 @dataclass(frozen=True)
@@ -106,34 +112,51 @@ class Packer:
         return out
 
 
-def tokenizer(path: str) -> SegmentIds:
+def tokenizer(path: str) -> PieceIds:
     """Ids of whole texts by the tokenizer file; its special string, if a text holds it, is left to the tokenizer."""
     from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import WhitespaceSplit
 
     whole = Tokenizer.from_file(path)
+    # the same merges behind a plain split, for words already spelled in the byte-level letters of the vocabulary
+    words = Tokenizer(whole.model)
+    words.pre_tokenizer = WhitespaceSplit()
 
     starts = np.zeros(whole.get_vocab_size(), dtype=bool)
     for token, k in whole.get_vocab().items():
         starts[k] = token[0] == "\u0120"  # the byte-level letter of a space
 
-    def ids(texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, dtype="<u4") for x in whole.encode_batch_fast(texts, add_special_tokens=False)]
+    def ids(texts: list[str], coder: Tokenizer = whole) -> list[np.ndarray]:
+        return [np.array(x.ids, dtype="<u4") for x in coder.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def segments(parts: list[str]) -> list[bytes]:
-        """Many segments in one text: behind the first of them, only a segment's start is a space."""
-        inner = [p for p in parts if p[:1] == " "]
+    def pieces(parts: list[str]) -> list[bytes]:
+        """Many pieces in one text: those that are a space and letters, which are one match of the pattern, and those that are a
+        space and other characters that are not white space."""
         out: dict[str, bytes] = {}
-        for at in range(0, len(inner), 2000):
-            block = inner[at : at + 2000]
-            found = ids(["".join(block)])[0]
-            cuts = [4 * int(c) for c in np.flatnonzero(starts[found])] + [4 * len(found)]
-            data = found.tobytes()
-            out.update(zip(block, [data[i:j] for i, j in zip(cuts, cuts[1:])]))
-        lone = [p for p in parts if p[:1] != " "]
-        out.update(zip(lone, [x.tobytes() for x in ids(lone)]))
+        plain = [p for p in parts if WORD(p)]
+        ascii_ = [p for p in plain if p.isascii()]
+        latin = [p for p in plain if not p.isascii()]
+        rest = [p for p in parts if not WORD(p)] if len(plain) < len(parts) else []
+        inner = [p for p in rest if p[0] == " " and p[1:].split() == [p[1:]]]
+        for some, coder in ((ascii_, words), (latin, words), (inner, whole)):
+            for at in range(0, len(some), 2000):
+                block = some[at : at + 2000]
+                if coder is whole:
+                    text = "".join(block)
+                elif some is ascii_:  # but for the space, bytes are spelled as they are
+                    text = "\n".join(block).replace(" ", LETTERS[32])
+                else:
+                    text = "\n".join(block).encode("utf-8").decode("latin-1").translate(LETTERS)
+                found = ids([text], coder)[0]
+                cuts = [*(4 * np.flatnonzero(starts[found])).tolist(), 4 * len(found)]
+                data = found.tobytes()
+                out.update(zip(block, [data[i:j] for i, j in zip(cuts, cuts[1:])]))
+        lone = [p for p in rest if p not in out]
+        for at in range(0, len(lone), 2000):
+            out.update(zip(lone[at : at + 2000], [x.tobytes() for x in ids(lone[at : at + 2000])]))
         return [out[p] for p in parts]
 
-    return SegmentIds(segments, lambda t: ids([t])[0].tobytes(), whole="<|endoftext|>")
+    return PieceIds(pieces, lambda t: ids([t])[0].tobytes(), whole="<|endoftext|>")
 
 
 def pack(docs: DataFrame, path: str, cfg: Config = Config(), id_col: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
@@ -168,7 +191,7 @@ def pack(docs: DataFrame, path: str, cfg: Config = Config(), id_col: str = "doc_
         for b in slices(batches, "_text"):
             schema_id = b.schema.field(0).type
             found = []
-            for doc_id, data in zip(b.column(0).to_pylist(), coder(b.column(1).to_pylist())):
+            for doc_id, data in zip(b.column(0).to_pylist(), coder(b.column(1))):
                 kept[n] = (doc_id, data + end)
                 found += packer.add(n, len(data) // 4 + 1)
                 n += 1

@@ -175,6 +175,42 @@ def test_segment_ids_equal_the_tokenizer(spark):
         assert bpe.Prefix(coder.encoder, data[:a]).append(data[a:]).last == bpe.Prefix(coder.encoder, data).last
 
 
+def test_packing_ids_equal_the_tokenizer():
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(packing.VOCABULARY)
+    theirs, coder = Tokenizer.from_file(path), packing.tokenizer(path)
+    coder.keep = 200  # generations change all the time
+    r = random.Random(4)
+    letters = "abS AB \n\t\x0b\x1c\x85\xa0 　 ᠎​ éßñ×÷ªдЖ漢字😀…—01²½'''s're'll!?--  \r\n.,"
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 60))) for _ in range(1500)]
+    texts += ["a" * 3000, " " * 500, "=-" * 900, " a", "a ", "", "\n", "\nA\n", "a <|endoftext|> b", "été. Ça\nvà; don't, 1st\n\nЖд, x's"]
+    held = pa.concat_arrays([pa.array(["left out"]), pa.array([*texts, None])]).slice(1)
+    for _ in range(2):
+        got = [x for at in range(0, len(held), 97) for x in coder(held.slice(at, 97))]
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [theirs.encode(t or "", add_special_tokens=False).ids for t in [*texts, None]]
+
+
+def test_packing_encodes_a_word_once():
+    """Marks and line ends around a word, and batches that it comes back in, give the tokenizer nothing new."""
+    import pyarrow as pa
+
+    coder, seen = packing.tokenizer(public_tokenizers.path(packing.VOCABULARY)), []
+    inner = coder.encode_pieces
+    coder.encode_pieces = lambda parts: (seen.extend(parts), inner(parts))[1]
+    words = [a + b for a in ("bla", "nor", "kis") for b in ("ta", "mé", "ru")]
+    text = " ".join(a + m + b for a in words for b in words for m in (" ", ", ", ".\n", "; ", "$$$ ", "\n"))
+    coder(pa.array([text]))
+    coder(pa.array([text + ".", text]))
+    coder.young, coder.old = {}, coder.young  # an older generation is asked too
+    coder(pa.array([text]))
+    assert len(seen) == len(set(seen)) and len([p for p in seen if p.strip() in words]) <= 2 * len(words)
+    assert all(p.strip() in words or not any(w in p for w in words) for p in seen)
+
+
 def test_bpe_round_trip(spark, odd_docs, no_docs):
     path = public_tokenizers.path(bpe.VOCABULARY)
     got = bpe.decode(bpe.encode(odd_docs, path, public_tokenizers.PATTERN), path).collect()
