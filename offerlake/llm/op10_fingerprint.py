@@ -15,12 +15,13 @@ ordered by a hash of their text, null ids come first. The row after the last is
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,27 +33,86 @@ from offerlake.llm.common import saved, scramble, slices, table, worker_memory
 class Config:
     samples: int = 64
     keep: int = 100_000  # terms whose draws a task keeps, and as many (term, count > 1)
-    rows: int = 4000  # rows of a range of ids, about
+    rows: int = 1000  # rows of a range of ids, about; a task has four ranges or more, so that tasks are of like size
     ranges: int = 20_000  # ranges at most: beyond, each holds more rows, which are streamed
     seed: int = 3
 
 
+class Kept:
+    """Draws of terms under their row numbers. What is above ``keep`` goes when the next batch comes, but for the
+    half of ``keep`` that most batches held."""
+
+    def __init__(self, keep: int, **columns: np.ndarray):
+        self.keep, self.columns = keep, columns
+        self.at: dict = {}
+        self.uses = np.zeros(0, dtype=np.int32)
+
+    def __getitem__(self, name: str) -> np.ndarray:
+        return self.columns[name]
+
+    def rows(self, terms: list, draw) -> np.ndarray:
+        """Row of each of the distinct ``terms``; ``draw`` gives the columns of some of them, by their positions."""
+        if len(self.at) > self.keep:
+            self._drop()
+        have = len(self.at)
+        found = np.fromiter(map(self.at.get, terms, repeat(-1)), np.int64, len(terms))
+        new = np.flatnonzero(found < 0)
+        found[new] = np.arange(have, have + len(new))
+        if have + len(new) > len(self.uses):
+            self._resize(have, have + len(new) + self.keep // 4)
+        for i in range(0, len(new), 512):
+            some = new[i : i + 512]
+            for name, x in draw(some).items():
+                self.columns[name][have + i : have + i + len(some)] = x
+        self.at.update(zip(map(terms.__getitem__, new.tolist()), range(have, have + len(new))))
+        self.uses[found] += 1
+        return found
+
+    def _resize(self, have: int, room: int) -> None:
+        for name, old in [*self.columns.items(), ("", self.uses)]:
+            x = np.empty((room, *old.shape[1:]), old.dtype)
+            x[:have] = old[:have]
+            if name:
+                self.columns[name] = x
+            else:
+                x[have:] = 0
+                self.uses = x
+
+    def _drop(self) -> None:
+        most = np.argsort(-self.uses[: len(self.at)], kind="stable")[: self.keep // 2]
+        most = np.sort(most[self.uses[most] > 1])
+        terms = list(self.at)
+        self.at = dict(zip(map(terms.__getitem__, most.tolist()), range(len(most))))
+        self.columns = {name: x[most] for name, x in self.columns.items()}
+        self.uses = self.uses[most] // 2
+
+
+def _listed(names: pa.Array) -> list[bytes]:
+    """The entries of a large_binary array."""
+    ends = np.frombuffer(names.buffers()[1], np.int64)[names.offset : names.offset + len(names) + 1].tolist()
+    data = names.buffers()[2].to_pybytes() if names.buffers()[2] else b""
+    return [data[a:b] for a, b in zip(ends, ends[1:])]
+
+
 class Sampler:
     def __init__(self, cfg: Config):
         self.cfg = cfg
-        self.at: dict[str, int] = {}
-        self.names = np.zeros(0, dtype=np.uint64)
-        self.once = np.zeros((0, cfg.samples), dtype=np.float32)  # log arrival of weight 1
-        self.often: dict[tuple[str, int], int] = {}  # the same for a term with its count, where that is above 1
-        self.arrivals = np.zeros((0, cfg.samples), dtype=np.float32)
-        self.steps = np.zeros((0, cfg.samples), dtype=np.int32)
+        grid = lambda kind: np.zeros((0, cfg.samples), dtype=kind)
+        self.terms = Kept(cfg.keep, name=np.zeros(0, dtype=np.uint64), arrival=grid(np.float32))  # log arrival of weight 1
+        self.often = Kept(cfg.keep, arrival=grid(np.float32), step=grid(np.int32))  # of a term with its count, where that is above 1
+        self.shifts = [scramble(np.arange(cfg.samples, dtype=np.uint64) + np.uint64(1000 * draw + 7919 * cfg.seed)) for draw in range(6)]
 
     def _uniform(self, names: np.ndarray, draw: int) -> np.ndarray:
         """Uniform variates in (0, 1): one row for each term, one column for each sample."""
-        columns = scramble(np.arange(self.cfg.samples, dtype=np.uint64) + np.uint64(1000 * draw + 7919 * self.cfg.seed))
-        x = (names[:, None] ^ columns[None, :]) * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        return ((x >> np.uint64(40)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24)
+        x = names[:, None] ^ self.shifts[draw][None, :]
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x >>= np.uint64(40)
+        out = x.astype(np.float32)
+        out += np.float32(0.5)
+        out *= np.float32(2.0**-24)
+        return out
 
     def _draws(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Gamma(2, 1) rate r, log of another such variate, and the uniform shift b."""
@@ -60,71 +120,65 @@ class Sampler:
         c = -np.log(self._uniform(names, 3) * self._uniform(names, 4))
         return r, np.log(c), self._uniform(names, 5)
 
-    def learn(self, found: set[str]) -> None:
-        if len(self.at) > self.cfg.keep:
-            self.at, self.names, self.once = {}, self.names[:0], self.once[:0]
-        new = [w for w in found if w not in self.at]
-        if not new:
-            return
-        have, need = len(self.at), len(self.at) + len(new)
-        if need > len(self.names):
-            room = 2 * need - have
-            self.names = np.concatenate([self.names[:have], np.zeros(room, np.uint64)])
-            self.once = np.concatenate([self.once[:have], np.zeros((room, self.cfg.samples), np.float32)])
-        names = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in new), np.uint64, len(new))
-        self.names[have:need] = names
-        for i in range(0, len(new), 4096):
-            r, log_c, b = self._draws(names[i : i + 4096])
-            # weight 1: log weight 0, so the step is floor(b) = 0
-            self.once[have + i : have + i + len(r)] = log_c + r * b - r
-        self.at.update(zip(new, range(have, need)))
-
-    def learn_often(self, found: set[tuple[str, int]]) -> None:
-        if len(self.often) > self.cfg.keep:
-            self.often, self.arrivals, self.steps = {}, self.arrivals[:0], self.steps[:0]
-        new = [p for p in found if p not in self.often]
-        if not new:
-            return
-        have, need = len(self.often), len(self.often) + len(new)
-        if need > len(self.arrivals):
-            room = have // 2 + len(new)
-            self.arrivals = np.concatenate([self.arrivals[:have], np.zeros((room, self.cfg.samples), np.float32)])
-            self.steps = np.concatenate([self.steps[:have], np.zeros((room, self.cfg.samples), np.int32)])
-        names = self.names[np.fromiter((self.at[w] for w, _ in new), np.int64, len(new))]
-        n = np.fromiter((c for _, c in new), np.float32, len(new))
-        for i in range(0, len(new), 4096):
-            r, log_c, b = self._draws(names[i : i + 4096])
-            t = np.floor(np.log(n[i : i + 4096])[:, None] / r + b)
-            self.arrivals[have + i : have + i + len(r)] = log_c - r * (t - b) - r
-            self.steps[have + i : have + i + len(r)] = t.astype(np.int32)
-        self.often.update(zip(new, range(have, need)))
-
-    def _sample(self, counts: Counter) -> bytes:
-        if not counts:
-            return b""
-        at = np.fromiter(map(self.at.__getitem__, counts), np.int64, len(counts))
-        n = np.fromiter(counts.values(), np.float32, len(counts))
-        arrival = self.once[at]
-        step = np.zeros_like(arrival, dtype=np.int32) if (n > 1).any() else None
-        if step is not None:
-            more = np.flatnonzero(n > 1)
-            kept = np.fromiter((self.often[p] for p in counts.items() if p[1] > 1), np.int64, len(more))
-            arrival[more] = self.arrivals[kept]
-            step[more] = self.steps[kept]
-        first = arrival.argmin(axis=0)
-        names = self.names[at[first]]
-        if step is not None:
-            names = scramble(names + step[first, np.arange(self.cfg.samples)].astype(np.uint64))
-        else:
-            names = scramble(names)
-        return (names >> np.uint64(32)).astype(">u4").tobytes()
+    def _once(self, names: np.ndarray) -> dict[str, np.ndarray]:
+        r, log_c, b = self._draws(names)
+        return {"name": names, "arrival": log_c + r * b - r}  # weight 1: log weight 0, so the step is floor(b) = 0
+
+    def _weighed(self, names: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
+        r, log_c, b = self._draws(names)
+        t = np.floor(np.log(n.astype(np.float32))[:, None] / r + b)
+        return {"arrival": log_c - r * (t - b) - r, "step": t.astype(np.int32)}
+
+    @staticmethod
+    def _pairs(text: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct (text, word) in the order in which they first occur, and their counts."""
+        n, word_bits, bits = len(word), int(word.max()).bit_length(), len(word).bit_length()
+        both = np.sort((text << word_bits | word) << bits | np.arange(n))
+        begin = np.flatnonzero(np.r_[True, both[1:] >> bits != both[:-1] >> bits])
+        heads, count = both[begin], np.diff(np.r_[begin, n])
+        place = np.full(n, -1)
+        place[heads & ((1 << bits) - 1)] = np.arange(len(heads))
+        order = place[place >= 0]
+        pair = heads[order] >> bits
+        return pair >> word_bits, pair & ((1 << word_bits) - 1), count[order]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Fingerprints of whole texts, together of bounded size."""
-        counted = [Counter(t.split()) if t else Counter() for t in texts]
-        self.learn(set().union(*counted))
-        self.learn_often({p for c in counted for p in c.items() if p[1] > 1})
-        return [self._sample(c) for c in counted]
+        split = pc.utf8_split_whitespace(pa.array([t or "" for t in texts], pa.large_string()))
+        text = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+        words = split.flatten().cast(pa.large_binary()).dictionary_encode()
+        word, listed = words.indices.to_numpy(), _listed(words.dictionary)
+        if b"" in listed:  # what lies before or behind white space at an end of a text
+            real = word != listed.index(b"")
+            text, word = text[real], word[real]
+        if not len(word):
+            return [b""] * len(texts)
+        text, word, count = self._pairs(text, word)
+        digest = lambda some: np.fromiter([xxhash.xxh64_intdigest(listed[i]) for i in some], np.uint64, len(some))
+        row = self.terms.rows(listed, lambda some: self._once(digest(some.tolist())))
+        names, row = self.terms["name"][row], row[word]
+        more = np.flatnonzero(count > 1)
+        weighed, which = np.unique(word[more] << 32 | count[more], return_inverse=True)
+        n = weighed & 0xFFFFFFFF
+        own = self.often.rows([(listed[w], c) for w, c in zip((weighed >> 32).tolist(), n.tolist())], lambda some: self._weighed(names[weighed[some] >> 32], n[some]))
+        often = np.full(len(word), -1)
+        often[more] = own[which]
+        bounds = np.searchsorted(text, np.arange(len(texts) + 1))
+        more_bounds = np.searchsorted(more, bounds).tolist()
+        bounds = bounds.tolist()
+        first = np.zeros((len(texts), self.cfg.samples), dtype=np.int64)
+        room = np.empty((max(b - a for a, b in zip(bounds, bounds[1:])), self.cfg.samples), dtype=np.float32)
+        for i, (a, b, c, d) in enumerate(zip(bounds, bounds[1:], more_bounds, more_bounds[1:])):
+            if a < b:
+                arrival = np.take(self.terms["arrival"], row[a:b], axis=0, out=room[: b - a], mode="clip")
+                if c < d:
+                    arrival[more[c:d] - a] = self.often["arrival"][often[more[c:d]]]
+                first[i] = arrival.argmin(axis=0) + a
+        step = np.zeros(first.shape, dtype=np.int32)
+        stepped = often[first] >= 0
+        step[stepped] = self.often["step"][often[first[stepped]], np.nonzero(stepped)[1]]
+        taken = (scramble(names[word[first]] + step.astype(np.uint64)) >> np.uint64(32)).astype(">u4")
+        return [x.tobytes() if a < b else b"" for x, a, b in zip(taken, bounds, bounds[1:])]
 
 
 def likeness(a: bytes, b: bytes) -> float:
@@ -197,7 +251,7 @@ def compare(docs: DataFrame, cfg: Config = Config(), id_col: str = "doc_id", tex
     sent = marked.withColumn("to", F.explode(F.when(F.col("head"), F.array(F.struct(F.lit(False).alias("extra"), F.col("part").alias("part")), F.struct(F.lit(True).alias("extra"), F.col("target").alias("part"))))
                                              .otherwise(F.array(F.struct(F.lit(False).alias("extra"), F.col("part").alias("part"))))))
     placed = sent.select("to.part", "to.extra", F.col("id").isNotNull().alias("has"), "id", "tie", "_text")
-    lined = placed.repartition(max(1, min(len(names), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))), "part").sortWithinPartitions("part", "extra", "has", "id", "tie")
+    lined = placed.repartition(max(1, min(len(names) // 4, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))), "part").sortWithinPartitions("part", "extra", "has", "id", "tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = worker_memory(f"sampler:{cfg}", lambda: Sampler(cfg))
@@ -207,8 +261,12 @@ def compare(docs: DataFrame, cfg: Config = Config(), id_col: str = "doc_id", tex
             own = [p[1] for p in pairs]
             nexts = [p[2] for p in pairs]
             edited = [edited_text(a, b) for a, b in zip(own, nexts)]
-            f_own, f_edit, f_next = sampler(own), sampler(edited), sampler([nexts[-1]])
-            f_next = f_own[1:] + f_next if all(a == b for a, b in zip(own[1:], nexts)) else sampler(nexts)
+            # nearly all following texts are the own texts of the next rows
+            apart = [i for i, b in enumerate(nexts) if i + 1 == len(own) or own[i + 1] != b]
+            made = sampler([*own, *edited, *[nexts[i] for i in apart]])
+            f_own, f_edit, f_next = made[: len(own)], made[len(own) : 2 * len(own)], made[1 : len(own) + 1]
+            for i, f in zip(apart, made[2 * len(own) :]):
+                f_next[i] = f
             return pa.RecordBatch.from_arrays([
                 pa.array([p[0] for p in pairs], pa.int64()), pa.array([len(t) for t in own], pa.int64()),
                 pa.array([hashlib.sha256(t.encode("utf-8")).hexdigest() for t in edited]), pa.array([f.hex() for f in f_own]), pa.array([f.hex() for f in f_edit]),

@@ -518,6 +518,38 @@ def test_fingerprint_estimates_generalised_jaccard():
     assert abs(prints.likeness(x, y) - sum((a & b).values()) / sum((a | b).values())) < 0.06
 
 
+def test_fingerprint_draws_of_frequent_terms_are_kept(monkeypatch):
+    cfg = prints.Config(keep=60)
+    drawn = []
+    whole = prints.Sampler._draws
+    monkeypatch.setattr(prints.Sampler, "_draws", lambda self, names: (drawn.append(len(names)), whole(self, names))[1])
+    sampler = prints.Sampler(cfg)
+    texts = [[" ".join([f"often{(i + k) % 20} often{i % 20} rare{10 * batch + i}" for k in range(20)]) for i in range(10)] for batch in range(30)]
+    found = [sampler(batch) for batch in texts]
+    # 20 frequent terms and the counts in which they occur are drawn once, 10 others and their count in each batch
+    assert sum(drawn) <= 30 * 20 + 20 * 4
+    fresh = [prints.Sampler(cfg)(batch[::-1])[::-1] for batch in texts]
+    assert found == fresh and len({f for batch in found for f in batch}) == 300
+
+
+def test_fingerprint_takes_the_first_arrival_of_all_terms(odd_docs):
+    cfg = prints.Config(samples=16)
+    sampler = prints.Sampler(cfg)
+    texts = [t or "" for _, t in rows_of(odd_docs)] + [" a\u3000b\x1fa  c\n", "\x85b"]
+    for text, got in zip(texts, sampler(texts)):
+        counts = collections.Counter(text.split())
+        if not counts:
+            assert got == b""
+            continue
+        names = np.array([prints.xxhash.xxh64_intdigest(w.encode()) for w in counts], dtype=np.uint64)
+        r, log_c, b = sampler._draws(names)
+        n = np.array(list(counts.values()), dtype=np.float32)[:, None]
+        step = np.where(n > 1, np.floor(np.log(n) / r + b), np.float32(0))
+        first = np.where(n > 1, log_c - r * (step - b) - r, log_c + r * b - r).argmin(axis=0)
+        taken = common.scramble(names[first] + step[first, np.arange(16)].astype(np.int32).astype(np.uint64))
+        assert got == (taken >> np.uint64(32)).astype(">u4").tobytes()
+
+
 # ---- pipeline
 
 
