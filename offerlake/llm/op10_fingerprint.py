@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerlake.llm.common import saved, scramble, slices, table, worker_memory
+from offerlake.llm.common import entries, first_pairs, saved, scramble, slices, table, worker_memory
 
 
 @dataclass(frozen=True)
@@ -87,13 +87,6 @@ class Kept:
         self.uses = self.uses[most] // 2
 
 
-def _listed(names: pa.Array) -> list[bytes]:
-    """The entries of a large_binary array."""
-    ends = np.frombuffer(names.buffers()[1], np.int64)[names.offset : names.offset + len(names) + 1].tolist()
-    data = names.buffers()[2].to_pybytes() if names.buffers()[2] else b""
-    return [data[a:b] for a, b in zip(ends, ends[1:])]
-
-
 class Sampler:
     def __init__(self, cfg: Config):
         self.cfg = cfg
@@ -129,31 +122,18 @@ class Sampler:
         t = np.floor(np.log(n.astype(np.float32))[:, None] / r + b)
         return {"arrival": log_c - r * (t - b) - r, "step": t.astype(np.int32)}
 
-    @staticmethod
-    def _pairs(text: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct (text, word) in the order in which they first occur, and their counts."""
-        n, word_bits, bits = len(word), int(word.max()).bit_length(), len(word).bit_length()
-        both = np.sort((text << word_bits | word) << bits | np.arange(n))
-        begin = np.flatnonzero(np.r_[True, both[1:] >> bits != both[:-1] >> bits])
-        heads, count = both[begin], np.diff(np.r_[begin, n])
-        place = np.full(n, -1)
-        place[heads & ((1 << bits) - 1)] = np.arange(len(heads))
-        order = place[place >= 0]
-        pair = heads[order] >> bits
-        return pair >> word_bits, pair & ((1 << word_bits) - 1), count[order]
-
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Fingerprints of whole texts, together of bounded size."""
         split = pc.utf8_split_whitespace(pa.array([t or "" for t in texts], pa.large_string()))
         text = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
         words = split.flatten().cast(pa.large_binary()).dictionary_encode()
-        word, listed = words.indices.to_numpy(), _listed(words.dictionary)
+        word, listed = words.indices.to_numpy(), entries(words.dictionary)
         if b"" in listed:  # what lies before or behind white space at an end of a text
             real = word != listed.index(b"")
             text, word = text[real], word[real]
         if not len(word):
             return [b""] * len(texts)
-        text, word, count = self._pairs(text, word)
+        text, word, count = first_pairs(text, word)
         digest = lambda some: np.fromiter([xxhash.xxh64_intdigest(listed[i]) for i in some], np.uint64, len(some))
         row = self.terms.rows(listed, lambda some: self._once(digest(some.tolist())))
         names, row = self.terms["name"][row], row[word]

@@ -18,22 +18,25 @@ a word that no pieces spell, which takes a vocabulary without byte pieces, gets
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from offerlake.llm.common import crc_mod, row_key, saved, scramble, slices, table
+from offerlake.llm.common import crc_mod, entries, first_pairs, gathered, row_key, saved, scramble, slices, table
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁".encode()
 END = b""  # the end token; no word is empty
-COUNTED = 400_000  # words a task counts before it passes them on
+COUNTED = 12 << 20  # bytes of text a task counts before it passes the words on
+BLOCK = 50_000  # distinct words that are spelled together
+SAFE = 600.0  # a path's natural-log probability above minus this is far from a double's smallest number
 FLOOR = -1e30
 NO_PATH = -1e6  # natural log, of a word that no pieces spell
 
@@ -55,6 +58,7 @@ class Pieces:
 
     def __init__(self, names: list[bytes], logp: np.ndarray):
         self.names, self.logp = names, logp
+        self.share = np.append(np.exp(logp), 0.0)  # the last one is that of no piece
         self.longest = max(map(len, names))
         hashes = np.array([self.hash_of(x) for x in names], dtype=np.uint64)
         # pieces sorted by their mixed hash, and for each value of its first bits where the pieces begin that have it
@@ -63,6 +67,7 @@ class Pieces:
         self.keys, self.at = mixed[order], order
         heads = (self.keys >> self.SHIFT).astype(np.int64)
         self.begin = np.searchsorted(heads, np.arange(2 ** (64 - int(self.SHIFT)))).astype(np.int32)
+        self.held = np.bincount(heads, minlength=len(self.begin)) > 0
         self.depth = int(np.bincount(heads).max())
 
     @classmethod
@@ -74,11 +79,14 @@ class Pieces:
 
     def find(self, h: np.ndarray) -> np.ndarray:
         h = scramble(h)
-        k = self.begin[(h >> self.SHIFT).astype(np.int64)]
+        head = (h >> self.SHIFT).astype(np.int64)
         out = np.full(len(h), -1, dtype=np.int64)
+        on = np.flatnonzero(self.held[head])  # few hashes share their first bits with a piece
+        h, k = h[on], self.begin[head[on]]
         for step in range(self.depth):
             at = np.minimum(k + step, len(self.keys) - 1)
-            out = np.where(self.keys[at] == h, self.at[at], out)
+            same = self.keys[at] == h
+            out[on[same]] = self.at[at[same]]
         return out
 
     def arcs(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -150,10 +158,59 @@ class Pieces:
             total = np.add.reduceat(np.exp(value - np.repeat(best, sizes[a:b])), heads[a:b] - first)
             flat[target[heads[a:b]]] = best + np.log(total)
 
+    def _alike(self, words: list[bytes], weights: np.ndarray | None, expected: np.ndarray | None) -> np.ndarray:
+        """As ``forward`` for words of one length that is short enough for plain probabilities: all their places are
+        reached in step, so each sum over arcs is a sum of whole rows."""
+        many, size = len(words), len(words[0])
+        text = np.ascontiguousarray(np.frombuffer(b"".join(words), dtype=np.uint8).reshape(many, size).T).astype(np.uint64) + np.uint64(1)
+        # pieces with the mark and the word's first j bytes, then pieces of n bytes at each place
+        h = np.full(many, self.hash_of(MARK), dtype=np.uint64)
+        hashes = [h]
+        for j in range(min(size, self.longest - len(MARK))):
+            h = h * self.BASE + text[j]
+            hashes.append(h)
+        first = self.find(np.concatenate(hashes)).reshape(-1, many)
+        inner = []
+        h = np.zeros((size, many), dtype=np.uint64)
+        for n in range(1, min(size, self.longest) + 1):
+            h = h[: size - n + 1] * self.BASE + text[n - 1 :]
+            inner.append(self.find(h.reshape(-1)).reshape(h.shape))
+        p_first, p_inner = self.share[first], [self.share[x] for x in inner]
+        alpha = np.zeros((size + 1, many))
+        alpha[: len(first)] = p_first
+        for j in range(1, size + 1):
+            for n in range(1, min(j, len(inner)) + 1):
+                alpha[j] += alpha[j - n] * p_inner[n - 1][j - n]
+        out = alpha[size]
+        if expected is not None:
+            beta = np.zeros((size + 1, many))
+            beta[size] = np.divide(weights, out, out=np.zeros(many), where=out > 0)
+            for j in range(size - 1, -1, -1):
+                for n in range(1, min(size - j, len(inner)) + 1):
+                    beta[j] += p_inner[n - 1][j] * beta[j + n]
+            pieces, counts = [first], [p_first * beta[: len(first)]]
+            for n, (piece, p) in enumerate(zip(inner, p_inner), 1):
+                pieces.append(piece)
+                counts.append(alpha[: size - n + 1] * p * beta[n:])
+            piece = np.concatenate([x.reshape(-1) for x in pieces])
+            on = np.flatnonzero(piece >= 0)
+            expected += np.bincount(piece[on], np.concatenate([x.reshape(-1) for x in counts])[on], len(expected))
+        return np.where(out > 0, np.log(np.maximum(out, 1e-307)), FLOOR)
+
     def score(self, words: list[bytes], weights=None, expected=None) -> np.ndarray:
-        """``forward`` over blocks of words of like length."""
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        """Natural-log probability of every word, in blocks of words of one length, or of like length where paths may
+        be too unlikely for plain probabilities. ``expected``: as in ``forward``."""
+        lens = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(lens, kind="stable")
         out = np.zeros(len(words))
+        plain = int(np.searchsorted(lens[order], SAFE / max(1e-9, -float(self.logp.min())) - 1))
+        edges = np.r_[0, np.flatnonzero(np.diff(lens[order[:plain]])) + 1, plain].tolist()
+        for a, b in zip(edges, edges[1:]):
+            wide = max(1, min(4096, 400_000 // (int(lens[order[a]]) + 1) ** 2)) if a < b else 1
+            for i in range(a, b, wide):
+                block = order[i : min(b, i + wide)]
+                out[block] = self._alike([words[k] for k in block.tolist()], None if weights is None else weights[block], expected)
+        order = order[plain:].tolist()
         at = 0
         while at < len(order):
             size, stop = 0, at  # a block's table has words x longest entries
@@ -192,29 +249,40 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8").lower().split() if text else []
 
 
+def tokens_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """``words_of`` of all texts behind each other, the end token after those of each text, and where the texts begin."""
+    texts = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    # the white space added at the end leaves an empty last word
+    spaced = pc.binary_join_element_wise(texts, pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string()))
+    split = pc.ascii_split_whitespace(pc.if_else(pc.equal(pc.binary_length(texts), 0), texts, spaced))
+    begins = split.offsets.to_numpy().astype(np.int64)
+    return begins - begins[0], split.flatten().cast(pa.large_binary())
+
+
 def count_words(docs: DataFrame, cfg: Config, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(word, c, every): occurrences in training texts and in all texts, of every word and of the end token."""
     source = docs.select((crc_mod(id_col, cfg.folds) != cfg.held).alias("train"), F.col(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        train, other = Counter(), Counter()
+        held: list[tuple[np.ndarray, pa.Array]] = []
 
         def out() -> pa.RecordBatch:
-            words = list(train.keys() | other.keys())
-            c = [train[w] for w in words]
-            every = [x + other[w] for x, w in zip(c, words)]
-            train.clear()
-            other.clear()
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(c, pa.int64()), pa.array(every, pa.int64())], ["word", "c", "every"])
+            words = pa.chunked_array([w for _, w in held], pa.large_binary()).combine_chunks().dictionary_encode()
+            train, at, n = np.concatenate([t for t, _ in held]), words.indices.to_numpy(), len(words.dictionary)
+            held.clear()
+            return pa.RecordBatch.from_arrays([words.dictionary.cast(pa.binary()), pa.array(np.bincount(at[train], minlength=n), pa.int64()), pa.array(np.bincount(at, minlength=n), pa.int64())],
+                                              ["word", "c", "every"])
 
+        size = 0
         for b in slices(batches, "_text"):
-            for mine, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found = train if mine else other
-                found.update(words_of(text))
-                found[END] += 1
-            if len(train) + len(other) > COUNTED:
+            begins, words = tokens_of(b.column(1))
+            held.append((np.repeat(b.column(0).to_numpy(zero_copy_only=False), np.diff(begins)), words))
+            size += b.column(1).nbytes
+            if size > COUNTED:
                 yield out()
-        yield out()
+                size = 0
+        if held:
+            yield out()
 
     parts = source.mapInArrow(run, "word binary, c long, every long")
     return parts.groupBy("word").agg(F.sum("c").alias("c"), F.sum("every").alias("every"))
@@ -227,8 +295,8 @@ def fit(counts: DataFrame, pieces: Pieces, cfg: Config) -> Pieces:
 
         def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(len(now.names))
-            for b in slices(batches, "word", 1 << 20):
-                now.score(b.column(0).to_pylist(), b.column(1).to_numpy().astype(np.float64), total)
+            for b in gathered(batches, "word", BLOCK, 1 << 20):
+                now.score(entries(b.column(0)), b.column(1).to_numpy().astype(np.float64), total)
             on = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(on.astype(np.int32)), pa.array(total[on])], ["piece", "n"])
 
@@ -255,16 +323,17 @@ def score_texts(docs: DataFrame, pieces: Pieces, cfg: Config = Config(), id_col:
     base_log = float(np.log10(n + v + 1))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "word", 1 << 20):
-            words, c = b.column(0).to_pylist(), b.column(1).to_numpy().astype(np.float64)
+        for b in gathered(batches, "word", BLOCK, 1 << 20):
+            words, c = entries(b.column(0)), b.column(1).to_numpy().astype(np.float64)
+            real = np.fromiter(map(len, words), np.int64, len(words)) > 0
             lattice = pieces.score(words)
             lattice = np.where(lattice > FLOOR / 2, lattice, NO_PATH)
-            spelled = np.where([len(w) > 0 for w in words], np.exp(np.maximum(lattice, -700)), 0.0)
+            spelled = np.where(real, np.exp(np.maximum(lattice, -700)), 0.0)
             seen = c / n if n else np.zeros(len(c))
             p = (1 - spell) * seen + spell * spelled
             tiny = lattice / np.log(10) + np.log10(spell)
-            logp = np.where(p < 1e-290, np.where([len(w) > 0 for w in words], tiny, np.log10(1 / (n + 1))), np.log10(np.maximum(p, 1e-300)))
-            alone = np.where([len(w) > 0 for w in words], lattice / np.log(10) + np.log10(1 - ending), np.log10(ending))
+            logp = np.where(p < 1e-290, np.where(real, tiny, np.log10(1 / (n + 1))), np.log10(np.maximum(p, 1e-300)))
+            alone = np.where(real, lattice / np.log(10) + np.log10(1 - ending), np.log10(ending))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c > 0), pa.array(np.log10(c + 1) - base_log), pa.array(logp), pa.array(alone), b.column(2)],
                                              ["word", "known", "base", "logp", "alone", "every"])
 
@@ -286,16 +355,16 @@ def score_texts(docs: DataFrame, pieces: Pieces, cfg: Config = Config(), id_col:
         known_, base_, logp_ = np.r_[known.astype(np.int64), 0], np.r_[base.astype(np.float64), 0.0], np.r_[logp.astype(np.float64), 0.0]
         alone_ = np.r_[alone.astype(np.float64), 0.0]
         for b in slices(batches, "_text"):
-            cols: list[list] = [[], [], [], [], [], []]
-            for t in b.column(3).to_pylist():
-                found = words_of(t)
-                found.append(END)
-                row = np.fromiter((at.get(w, miss) for w in found), np.int64, len(found))
-                rest = Counter([found[i] for i in np.flatnonzero(row == miss).tolist()])
-                for col, x in zip(cols, (len(found), int(known_[row].sum()), float(base_[row].sum()), float(logp_[row].sum()), float(alone_[row].sum()), [{"word": w, "n": c} for w, c in rest.items()])):
-                    col.append(x)
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.float64()),
-                                              pa.array(cols[5], pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())])))],
+            begins, words = tokens_of(b.column(3))
+            words = words.dictionary_encode()
+            word, listed = words.indices.to_numpy().astype(np.int64), entries(words.dictionary)
+            row = np.fromiter(map(at.get, listed, repeat(miss)), np.int64, len(listed))[word]
+            sums = [[x[i:j].sum() for i, j in zip(begins.tolist(), begins[1:].tolist())] for x in (known_[row], base_[row], logp_[row], alone_[row])]
+            rare = np.flatnonzero(row == miss)
+            text, word, n_rare = first_pairs(np.repeat(np.arange(len(b)), np.diff(begins))[rare], word[rare])
+            rest = pa.StructArray.from_arrays([words.dictionary.take(pa.array(word)).cast(pa.binary()), pa.array(n_rare, pa.int32())], ["word", "n"])
+            tails = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(len(b) + 1)), pa.int32()), rest)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(np.diff(begins), pa.int64()), pa.array(sums[0], pa.int64()), *[pa.array(x, pa.float64()) for x in sums[1:]], tails],
                                              ["doc_id", "k", "held_out", "n_tokens", "n_known", "base", "logp", "alone", "tail"])
 
     first = saved(source.mapInArrow(read, schema), "lattice-texts")

@@ -416,6 +416,35 @@ def test_lattice_score_is_the_lattice_alone(spark):
         assert math.isclose(r.score, want, rel_tol=1e-9) and r.score < r.mixed_score
 
 
+def test_lattice_of_words_of_one_length_needs_no_sorted_arcs(monkeypatch):
+    pieces = lattice.vocabulary(public_tokenizers.path(lattice.VOCABULARY))
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("aeinorst.é漢"), 1 + k % 12)).encode() for k in range(600)] + [b"", b"the", b"x" * 30]
+    weights = rng.integers(1, 9, len(words)).astype(float)
+    want, got = np.zeros(len(pieces.names)), np.zeros(len(pieces.names))
+    sorted_arcs = pieces.forward(words, weights, want)
+    monkeypatch.setattr(lattice.Pieces, "arcs", lambda *_: pytest.fail("arcs of short words were listed and sorted"))
+    assert np.allclose(pieces.score(words, weights, got), sorted_arcs, rtol=1e-12) and np.allclose(got, want, rtol=1e-9)
+    assert np.allclose(pieces.score(words), sorted_arcs, rtol=1e-12) and len(pieces.score([])) == 0
+    monkeypatch.undo()
+    monkeypatch.setattr(lattice, "SAFE", 100.0)  # longer words' paths are too unlikely for plain probabilities
+    assert np.allclose(pieces.score(words), sorted_arcs, rtol=1e-12)
+
+
+def test_lattice_words_of_arrays_and_small_batches():
+    texts = [None, "", " ", "\t\n a\x0b b \x0c", "One\x1cTWO\u3000É\r\nx", "x"]
+    begins, words = lattice.tokens_of(lattice.pa.array(["before", *texts]).slice(1))
+    words = words.to_pylist()
+    assert [words[a:b] for a, b in zip(begins, begins[1:])] == [lattice.words_of(t) + [b""] for t in texts]
+    # the words of many small batches are spelled together
+    small = [lattice.pa.record_batch({"word": [f"{k}-{i}".encode() for i in range(100)], "c": list(range(100))}) for k in range(25)]
+    made = list(common.gathered(iter(small), "word", 1000, 1 << 20))
+    assert [b.num_rows for b in made] == [1000, 1000, 500] and lattice.pa.Table.from_batches(made).equals(lattice.pa.Table.from_batches(small).combine_chunks())
+    assert [b.num_rows for b in common.gathered(iter(small), "word", 1000, 1)] == [1] * 2500
+    text, word, n = common.first_pairs(np.array([0, 0, 0, 2, 2, 2]), np.array([7, 3, 7, 5, 0, 0]))
+    assert (text.tolist(), word.tolist(), n.tolist()) == ([0, 0, 2, 2], [7, 3, 5, 0], [2, 1, 1, 2])
+
+
 def test_lattice_scores_follow_the_length_of_a_run(spark):
     pieces = lattice.vocabulary(public_tokenizers.path(lattice.VOCABULARY))
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
